@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dac, decontaminate, licenses, warc
-from .common import table
+from . import bpe, caps, chat, chosen_path, dac, decontaminate, gam, langid, licenses, warc
+from .common import learn_row, table
 
 
 def vocabulary_path() -> str:
@@ -15,9 +15,17 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.hit_report(decontaminate.match_items(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.hit_report(decontaminate.match_items(docs, table(spark, sf_dir, "benchmark"))).drop("longest", "longest_at")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +43,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs)).select("doc_id", (~learn_row()).alias("held_out"), "lang_pred", "score", "spans")
+
+
 #: The planted conversation holds the control strings themselves.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -58,16 +71,29 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = gam.score(docs, gam.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~learn_row()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_spherical_caps": op1_spherical_caps,
+    "op2_chosen_path": op2_chosen_path,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
     "op5_licenses": op5_licenses,
     "op6_warc": op6_warc,
+    "op7_language": op7_language,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 
-_WORDS3 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_REACH = "r(id, c) as (select id, id from nodes union select e.b, r.c from r join e on e.a = r.id), comp as (select id, min(c) as component_id from r group by id)"
 
 SQL = {
     "op6_warc": """
@@ -91,6 +117,35 @@ select conv_id, count(*) as n_turns,
   bool_and(case when n = 1 then role in ('system', 'user') when before = 'system' then role = 'user' when before = 'user' then role = 'assistant'
     when before = 'assistant' then role = 'user' else false end) and bool_or(n = total and role = 'assistant') as valid
 from p group by conv_id""",
-    "op3_decontaminate": None,
+    "op1_spherical_caps": f"""
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings
+  where label is not null and embedding is not null and vec_id is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+  and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_cosine_similarity(a.x, b.x) >= 0.93),
+nodes as (select distinct vec_id as id from embeddings), {_REACH},
+n as (select a, count(*) as n_links from e group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, coalesce(vec_id = component_id, false) as kept
+from embeddings left join n on n.a = vec_id left join comp on comp.id = vec_id""",
+    "op2_chosen_path": f"""
+with recursive w as (select doc_id, {_SPACED} as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+u as (select doc_id, unnest(s) as s from s),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as n from u a join u b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+e as (select a, b from i join s x on x.doc_id = a join s y on y.doc_id = b where 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+nodes as (select distinct doc_id as id from documents), {_REACH}
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, coalesce(doc_id = component_id, false) as kept from s left join comp on comp.id = doc_id""",
+    "op3_decontaminate": f"""
+with b as (select cast(item_id as varchar) as item, {_ALNUM} as w from benchmark),
+win as (select item, least(10, len(w)) as n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) as s from b where len(w) > 0),
+sizes as (select distinct n from win),
+d as (select doc_id, {_ALNUM} as w from documents),
+places as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, w from d, sizes where len(w) >= n),
+hits as (select doc_id, item, n, i from (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as s from places) join win using (n, s)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+items as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as names from hits group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
