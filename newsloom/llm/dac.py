@@ -140,8 +140,8 @@ _encoders: dict[int, Encoder] = {}
 def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> DataFrame:
     """Encodes the texts by the tokenizers library, appends end_id to each and writes .dac files in order of doc_id.
 
-    Returns the manifest: path, first_doc, n_docs, n_ids, file_start (ids in all files before). Ids are packed in two
-    bytes if the vocabulary allows before they are sorted, as that is less than the text.
+    Returns the manifest: path, first_doc, n_docs, n_ids, file_start (ids in all files before). Texts are
+    sorted before they are encoded, so that finding the ranges encodes nothing.
     """
     spark = docs.sparkSession
     text = read_vocabulary(path)
@@ -149,16 +149,13 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> Dat
     kind = "<u2" if Vocabulary(text).size <= 1 << 16 else "<u4"
     where = new_path(spark, "dac")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         if len(shared.value) not in _encoders:
             _encoders[len(shared.value)] = Encoder(Vocabulary(shared.value), library_words(shared.value))
         encoder = _encoders[len(shared.value)]
         for piece in slices(batches):
             ids, off = encoder(text_of(piece))
-            whole = np.insert(ids, off[1:], end_id).astype(kind)
-            off = (off + np.arange(len(off))) * whole.itemsize
-            col = pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(whole.tobytes())])
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), col], names=["doc_id", "ids"])
+            yield piece.column("doc_id").to_pylist(), np.insert(ids, off[1:], end_id).astype(kind), off + np.arange(len(off))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -178,9 +175,9 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> Dat
             for x in (held, lens, parts):
                 x.clear()
 
-        for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(raw.as_buffer(), kind)
+        for doc_ids, flat, off in encoded(batches):
+            for k, doc_id in enumerate(doc_ids):
+                ids = flat[off[k] : off[k + 1]]
                 held.append(-(1 << 63) if doc_id is None else doc_id)
                 lens.append(len(ids))
                 parts.append(ids)
@@ -194,8 +191,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> Dat
         yield pa.RecordBatch.from_pylist(rows, schema)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
-    by = coded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    by = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     files = written(by.mapInArrow(write, "path string, part long, number long, first_doc long, n_docs long, n_ids long"), "dac-manifest")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return files.withColumn("file_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("root", F.lit(where))
