@@ -140,3 +140,61 @@ LATIN = Rules(
     role_endings={"lead": ("ed", "er"), "fact": ("on",)},
     newsworthy=("ation", "keit", "ment"),
 )
+
+
+# Sentence boilerplate, outlets, unfinished endings, opinion tags, type words, fact dictionaries, image words.
+OUTLETS = (
+    "뉴스1", "연합뉴스", "조선일보", "중앙일보", "한국일보", "경향신문", "동아일보", "매일경제", "한국경제", "머니투데이", "뉴시스", "YTN",
+    "KBS", "MBC", "SBS", "JTBC", "이데일리", "파이낸셜뉴스", "서울신문", "세계일보", "문화일보", "아시아경제", "헤럴드경제", "디지털타임스",
+    "전자신문", "한겨레", "CBS", "TV조선", "채널A", "MBN", "아주경제",
+)
+BOILERPLATE = (
+    r"저작권자?\s*[\(（]?[cC©ⓒ][\)）]?", r"무단\s*(전재|복제|배포)", r"(?i)Copyright\s*[©ⓒ]", r"All\s*[Rr]ights\s*[Rr]eserved", r"<저작권자", r"재배포\s*금지",
+    r"기사\s*제공\s*[:：]", r"출처\s*[:：]\s*\S+\s*$", r"^\[.{2,20}(기자|특파원|팀)\]", r"(기자|특파원|앵커|리포터|진행자)\s*[:：]", r"^\|.*\|$", r"\[사진[=:].{2,30}\]",
+    r"(구독|좋아요|공유).*(눌러|클릭|해주)", r"\w+\.(com|co\.kr|net|or\.kr|go\.kr)", r"(입력|수정|작성|게재|발행)\s*[:：]?\s*\d{4}[-./]\d{1,2}[-./]\d{1,2}",
+    r"\[?(전화|팩스|이메일|메일|Tel|Fax|Email)\]?\s*[:：]?\s*[\d\-\(\)]+", r"\[%%\w+%%\]", r".{2,10}\s*(기자|특파원|앵커|리포터)(의|가)?\s*(보도|리포트|전합니다|입니다)",
+    r"(제보|의견|문의).*(기다립니다|보내주세요|문의하세요)", r"(시청|구독|좋아요|알림 설정).*(부탁|감사)", r"\[(이슈\+|논썰|칼럼|사설|시론|기고|논단|오피니언)\]",
+    r"(읽어주기|브라우저에서만)", r"^AD$", r"^\[(리포트|앵커|기자|인터뷰|현장음|녹취|영상)\]", r"\[(카카오톡|카톡|텔레그램|유튜브)\]",
+    r"(앱|어플|APP)\s*(다운|설치|다운로드)", r"사진\s*(온라인|커뮤니티|캡처|제공|출처)", r"출처\s*[=＝]\s*\S+", r"\*재판매", r"DB\s*금지",
+    r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+)
+UNFINISHED = ("지만", "하면", "하고", "하며", "라면", "니까", "므로", "면서", "듯이", "처럼", "때문", "인데", "는데", "은데", "다가", "고서", "어서", "아서", "다면", "자면", "해서")
+OPINION = ("논썰", "칼럼", "사설", "시론", "기고", "논단", "이슈+", "오피니언", "만평", "커버스토리")
+VISUAL_SURE = ("포토", "화보", "직캠", "스냅", "갤러리", "모토쇼", "패션쇼", "콘서트", "팬미팅", "레드카펫")
+VISUAL_MAYBE = ("현장", "모습", "사진", "공개", "인터뷰", "후기", "포착")
+DATA_PATTERNS = (r"\d+%", r"\d+억", r"\d+조", r"\d+만", "전년 대비", "동기 대비")
+DATA_WORDS = ("통계", "지표", "수치", "조사", "분석", "전망", "순위", "랭킹", "점유율", "증감", "실적", "매출")
+BRANDS = (
+    "삼성", "삼성전자", "LG", "SK", "현대", "현대차", "기아", "네이버", "카카오", "쿠팡", "배달의민족", "토스", "테슬라", "애플", "구글", "메타", "아마존",
+    "마이크로소프트", "엔비디아", "비트코인", "이더리움", "도지코인", "리비안", "루시드", "AI", "인공지능",
+)
+ACTIONS = (
+    "발표", "달성", "기록", "돌파", "상승", "하락", "증가", "감소", "출시", "공개", "확대", "축소", "투자", "인수", "합병", "협력",
+    "개발", "생산", "판매", "수출", "진출", "철수", "중단", "재개",
+)
+_AMOUNT = r"\d+(?:,\d{3})*(?:\.\d+)?"
+NUMBERS = (
+    (rf"시가?총액\s*{_AMOUNT}\s*조(?:원|달러)", "금액", 100), (rf"{_AMOUNT}\s*조(?:원|달러)", "금액", 90), (rf"{_AMOUNT}\s*억(?:원|달러)", "금액", 80),
+    (rf"주가?\s*{_AMOUNT}\s*만\s*{_AMOUNT}\s*원", "금액", 85), (rf"주가?\s*{_AMOUNT}\s*만원", "금액", 85), (rf"{_AMOUNT}\s*만원", "금액", 70),
+    (rf"{_AMOUNT}\s*%", "비율", 60), (rf"{_AMOUNT}\s*(?:명|개|건|회|대)", "수량", 50), (rf"{_AMOUNT}\s*(?:배|점|등급)", "배수", 40),
+)
+DATES = (r"\d{4}년\s*\d{1,2}월\s*\d{1,2}일", r"\d{1,2}월\s*\d{1,2}일", r"오늘|어제|내일|이번주|다음달|올해|내년")
+IMAGE_WORDS = (
+    "icon", "logo", "btn", "button", "badge", "util_", "_util", "tool-", "-tool", "bookmark", "print", "copy", "font", "_bg", "bg_", "series_", "header_", "footer_",
+    "_info", "info_", "notice_", "popup_", "modal_", "banner", "ad_", "ads_", "/ad/", "/ads/", "adsense", "advert", "sponsor", "promo", "campaign", "click", "track",
+    "sns", "share", "social", "kakao", "facebook", "twitter", "naver_", "google_", "thumb_s", "thumb_xs", "_s.", "_xs.", "_t.", "small_", "_small", "mini_", "_mini", ".thumb.",
+    "/feed/", "feed_", "_feed", "_thumb", "/thumb/", "journalist", "reporter", "byline", "author", "related_", "_related", "recommend", "sidebar", "player", "video_", "_video",
+    "play_", "_play", "loading", "spinner", "placeholder", "default", "no-image", "noimage", "pixel", "tracker", "spacer", "blank", "transparent", "1x1", "1px", "sprite", "emoji",
+    "avatar", "profile", ".svg", ".ico", ".cur", ".gif",
+)
+FORMAT_WEIGHTS = (
+    ("length", "short", "brief", 0.4), ("length", "short", "social_post", 0.3), ("length", "short", "card_news", 0.2),
+    ("length", "long", "feature", 0.3), ("length", "long", "analysis", 0.3), ("length", "long", "explainer", 0.2),
+    ("length", "medium", "straight", 0.3), ("length", "medium", "listicle", 0.2),
+    ("complexity", "complex", "analysis", 0.3), ("complexity", "complex", "explainer", 0.3), ("complexity", "complex", "feature", 0.2),
+    ("complexity", "simple", "brief", 0.2), ("complexity", "simple", "straight", 0.2), ("complexity", "simple", "card_news", 0.2),
+    ("complexity", "moderate", "straight", 0.2), ("visual", "medium", "card_news", 0.1),
+)
+BREAKING = ("속보", "긴급", "단독", "breaking", "just in", "flash")
+EVERGREEN = ("방법", "가이드", "설명", "이해", "how to", "guide", "explained")
+YOUTH = ("학생", "청소년", "게임", "아이돌", "틱톡", "유튜브")
