@@ -14,6 +14,10 @@ def shared_dir(spark) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if "://" not in found:  # without a scheme it lies in the session's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        found = "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
     return found.rstrip("/")
 
 
