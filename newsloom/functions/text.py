@@ -89,7 +89,7 @@ def unescape(text: Column) -> Column:
 
 
 def trimmed_lines(text: Column) -> Column:
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda x: x != ""), "\n")
 
 
 def clean_html(html: Column) -> Column:
@@ -121,7 +121,7 @@ def parse_time(text: Column) -> Column:
 
 
 def split_tags(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda s: F.trim(s)), lambda x: x != "")
 
 
 def infer_category(hint: Column, title: Column, categories: dict[str, tuple[str, ...]] = rules.CATEGORIES) -> Column:
@@ -147,7 +147,7 @@ def is_video(title: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Lines, cut after . ! ? and white space; a full stop is added where none of them ends the sentence."""
     parts = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(F.trim(line), r"(?<=[.!?])\s+")))
-    parts = F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
     return F.transform(parts, lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
 
 

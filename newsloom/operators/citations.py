@@ -39,7 +39,7 @@ def marked(text: Column, cited: Column, style: str = "inline") -> Column:
     tag = lambda c: F.concat(F.lit(" ("), c.source, F.lit(")")) if style == "inline" else F.concat(F.lit("["), c.n, F.lit("]"))
 
     def step(a: Column, c: Column) -> Column:
-        head = F.substring_index(a, c.cited, 1)
+        head = F.substring(a, F.lit(1), F.position(c.cited, a) - 1)
         return F.when(a.contains(c.cited) & (F.length(c.cited) > 0), F.concat(head, c.cited, tag(c), F.substring(a, F.length(head) + F.length(c.cited) + 1, F.length(a)))).otherwise(a)
 
     out = F.aggregate(numbered, text, step)

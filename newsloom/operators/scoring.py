@@ -17,7 +17,7 @@ def _text(name: str) -> Column:
 
 
 def paragraphs(body: Column) -> Column:
-    return F.filter(F.transform(F.split(body, "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(body, "\n"), lambda s: F.trim(s)), lambda p: p != "")
 
 
 def consistency(r: Rules = rules.KOREAN) -> Column:
@@ -57,7 +57,7 @@ def contamination(sims: Column) -> Column:
 
 def repeats(body: Column) -> Column:
     """Over 0.3 of at least three sentences occurred before."""
-    parts = F.filter(F.transform(F.split(body, r"\."), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(body, r"\."), lambda s: F.trim(s)), lambda s: s != "")
     return (F.size(parts) >= 3) & (1 - F.size(F.array_distinct(parts)) / F.size(parts) > 0.3)
 
 
