@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, slices, span_hashes, text_of
+from .common import bounded_batches, buffers, slices, span_hashes, text_of
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Words kept by a worker before the table starts anew.
@@ -242,6 +242,7 @@ def read_vocabulary(path: str) -> str:
 
 def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """docs with a column of token ids of `text`; path: a vocabulary file on the driver, of a few MB, which is broadcast."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     plain = docs.drop(ids)
     schema = T.StructType([*plain.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -258,6 +259,7 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of the ids; bytes that are no UTF-8 become U+FFFD."""
+    bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     plain = rows.drop(text)
     schema = T.StructType([*plain.schema.fields, T.StructField(text, T.StringType())])

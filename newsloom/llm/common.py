@@ -13,12 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels hold at once; one longer text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Rows of an Arrow batch between the JVM and Python, so that batches of long texts stay small beside the heap.
+BATCH_ROWS = 1_000
 #: Bounds what the driver broadcasts; larger tables take the other way of each operator.
 BROADCAST_BYTES = 32_000_000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if "://" not in found:  # without a scheme it lies in the session's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        found = "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
     return found.rstrip("/")
 
 
@@ -38,6 +52,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

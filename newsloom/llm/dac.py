@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, Vocabulary, byte_letters, read_vocabulary
-from .common import new_path, slices, text_of, written
+from .common import bounded_batches, new_path, slices, text_of, written
 
 MAGIC = b"DAC1"
 #: Ids of a file, but that a document is never cut.
@@ -143,6 +143,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> Dat
     Returns the manifest: path, first_doc, n_docs, n_ids, file_start (ids in all files before). Texts are
     sorted before they are encoded, so that finding the ranges encodes nothing.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = read_vocabulary(path)
     shared = spark.sparkContext.broadcast(text)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, BROADCAST_BYTES, slices, text_of, word_hashes
+from .common import ALNUM, BROADCAST_BYTES, bounded_batches, slices, text_of, word_hashes
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 #: Words: lower-cased A-Z, letters, digits and everything beyond ASCII.
@@ -150,6 +150,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataF
 
 
 def _pass(docs: DataFrame, test, more: bool) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     plain = [f for f in docs.schema.fields if f.name not in RESULTS]
     schema = T.StructType([*plain, *(T.StructField(k, t) for k, t in RESULTS.items())])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, buffers, find_words, learn_row, slices, span_hashes, text_of
+from .common import NOT_SPACE, bounded_batches, buffers, find_words, learn_row, slices, span_hashes, text_of
 
 SAMPLE_ROWS = 20_000
 FEATURES = (
@@ -212,6 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Gam:
 
 def score(docs: DataFrame, model: Gam, name: str = "score") -> DataFrame:
     """docs with a score column in place of any column of that name."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.drop(name)
     schema = T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())])
@@ -225,6 +226,7 @@ def score(docs: DataFrame, model: Gam, name: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Gam, least: float = 0.7) -> DataFrame:
     """docs with a score of at least that; columns as before."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import buffers, learn_row, mix, slices, text_of
+from .common import bounded_batches, buffers, learn_row, mix, slices, text_of
 
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 15
@@ -132,6 +132,7 @@ class Model:
 
 
 def learn(docs: DataFrame, most: int = SAMPLE_ROWS) -> Model:
+    bounded_batches(docs.sparkSession)
     few = docs.where(learn_row() & F.col("lang").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(few), "doc_id")
 
@@ -269,6 +270,7 @@ SPAN = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("n_wor
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and spans."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +283,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """docs whose language is known and holds at least that share of their letters; columns as before."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

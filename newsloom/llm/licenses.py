@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ALNUM, hash_of, slices, text_of, word_hashes
+from .common import ALNUM, bounded_batches, hash_of, slices, text_of, word_hashes
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -130,6 +130,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     templates that the text accepts anywhere. score: 1 if it accepts a template, 0.5 if it has a phrase only, else 0.
     spans: label, first word and words of each template match, longest at each place.
     """
+    bounded_batches(docs.sparkSession)
     short = [(np.array([hash_of(w) for w in words_of(p)], np.uint64), label) for p, label in phrases.items()]
     machines = [(label, compile_template(t)) for label, t in templates.items()]
     starts: dict[int, list[int]] = {}
