@@ -30,6 +30,11 @@ def first_filled(*cs: Column | str) -> Column:
     return F.coalesce(*map(filled, cs))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where it stands inside lambdas or several times."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     out = F.lit(False)
     for w in words:

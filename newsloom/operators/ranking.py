@@ -16,7 +16,8 @@ def candidates(queries: DataFrame, news: DataFrame) -> DataFrame:
     Queries are a stated set of checked size, so they are broadcast."""
     dated = F.col("published_at").isNull() | ((F.col("date_from").isNull() | (F.col("published_at") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("published_at") <= F.col("date_to"))))
     text = F.lower(F.concat_ws(" ", "title", "body"))
-    clean = ~F.exists(F.coalesce("exclude_keywords", F.array().cast("array<string>")), lambda k: text.contains(F.lower(k)))
+    banned = F.coalesce("exclude_keywords", F.array().cast("array<string>"))
+    clean = (F.size(banned) == 0) | ~x.let(text, lambda t: F.exists(banned, lambda k: t.contains(F.lower(k))))
     return news.join(F.broadcast(queries), dated & clean)
 
 

@@ -23,54 +23,66 @@ def paragraphs(body: Column) -> Column:
 def consistency(r: Rules = rules.KOREAN) -> Column:
     """Share of title entities in the body, less a fifth of how much title words crowd in one of the first five paragraphs."""
     title, body = _text("title"), _text("body")
-    names = x.entities(title, r.entities)
-    low = F.lower(body)
-    share = F.size(F.filter(names, lambda e: low.contains(F.lower(e)))) / F.size(names)
-    title_words = F.array_distinct(F.filter(x.words(F.lower(title)), lambda w: F.length(w) > 2))
-    few = F.slice(paragraphs(body), 1, 5)
-    hits = F.transform(few, lambda p: F.size(F.filter(title_words, lambda w: F.lower(p).contains(w))))
-    total = F.aggregate(hits, F.lit(0), lambda a, h: a + h)
-    crowd = F.array_max(hits) / F.greatest(total, F.lit(1))
-    return (
-        F.when((title == "") | (body == ""), 0.5).when(F.size(names) == 0, 1.0).when((F.size(few) == 0) | (F.size(title_words) == 0), share)
-        .when(total == 0, share * 0.5).otherwise(F.least(F.lit(1.0), share * (1 - crowd * 0.2)))
+    parts = F.struct(
+        x.entities(title, r.entities).alias("names"), F.array_distinct(F.filter(x.words(F.lower(title)), lambda w: F.length(w) > 2)).alias("words"),
+        F.transform(F.slice(paragraphs(body), 1, 5), lambda p: F.lower(p)).alias("few"), F.lower(body).alias("low"),
     )
 
+    def found(p: Column) -> Column:
+        share = F.size(F.filter(p.names, lambda e: p.low.contains(F.lower(e)))) / F.greatest(F.size(p.names), F.lit(1))
+        return F.struct(share.alias("share"), F.transform(p.few, lambda t: F.size(F.filter(p.words, lambda w: t.contains(w)))).alias("hits"), F.size(p.names).alias("names"), ((F.size(p.few) == 0) | (F.size(p.words) == 0)).alias("bare"))
+
+    def value(p: Column) -> Column:
+        total = F.aggregate(p.hits, F.lit(0), lambda a, h: a + h)
+        crowd = F.array_max(p.hits) / F.greatest(total, F.lit(1))
+        return F.when(p.names == 0, 1.0).when(p.bare, p.share).when(total == 0, p.share * 0.5).otherwise(F.least(F.lit(1.0), p.share * (1 - crowd * 0.2)))
+
+    return F.when((title == "") | (body == ""), 0.5).otherwise(x.let(parts, lambda p: x.let(found(p), value)))
+
 
 def neighbour_similarities(r: Rules = rules.KOREAN) -> Column:
     """Jaccard of the keywords of neighbouring paragraphs, the first ten; pairs without keywords are left out."""
     keys = F.transform(F.slice(paragraphs(_text("body")), 1, 10), lambda p: F.array_distinct(x.keywords(p, r.stop_words)))
-    n = F.size(keys)
-    both = F.zip_with(F.slice(keys, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(keys, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    some = F.filter(both, lambda p: F.size(F.array_union(p.a, p.b)) > 0)
-    return F.transform(some, lambda p: F.size(F.array_intersect(p.a, p.b)) / F.size(F.array_union(p.a, p.b)))
+
+    def compared(k: Column) -> Column:
+        n = F.greatest(F.size(k) - 1, F.lit(0))
+        both = F.zip_with(F.slice(k, F.lit(1), n), F.slice(k, F.lit(2), n), lambda a, b: F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("either")))
+        return F.transform(F.filter(both, lambda p: p.either > 0), lambda p: p.both / p.either)
+
+    return x.let(keys, compared)
 
 
 def contamination(sims: Column) -> Column:
     """Struct of score and flag."""
-    mean = F.aggregate(sims, F.lit(0.0), lambda a, s: a + s) / F.size(sims)
-    low = F.size(F.filter(sims, lambda s: s < 0.2))
-    score = F.when(F.coalesce(F.size(sims), F.lit(0)) == 0, 0.0).when(mean < 0.3, 0.7).when(low > F.size(sims) * 0.5, 0.5).otherwise(0.0)
-    flag = F.when(score == 0.7, "unrelated_topics").when(score == 0.5, "inconsistent_topics")
-    return F.struct(score.alias("score"), flag.alias("flag"))
+
+    def judged(s: Column) -> Column:
+        mean = F.aggregate(s, F.lit(0.0), lambda a, v: a + v) / F.size(s)
+        low = F.size(F.filter(s, lambda v: v < 0.2))
+        return F.when(F.coalesce(F.size(s), F.lit(0)) == 0, 0.0).when(mean < 0.3, 0.7).when(low > F.size(s) * 0.5, 0.5).otherwise(0.0)
+
+    flag = lambda score: F.when(score == 0.7, "unrelated_topics").when(score == 0.5, "inconsistent_topics")
+    return x.let(x.let(sims, judged), lambda score: F.struct(score.alias("score"), flag(score).alias("flag")))
 
 
 def repeats(body: Column) -> Column:
     """Over 0.3 of at least three sentences occurred before."""
     parts = F.filter(F.transform(F.split(body, r"\."), lambda s: F.trim(s)), lambda s: s != "")
-    return (F.size(parts) >= 3) & (1 - F.size(F.array_distinct(parts)) / F.size(parts) > 0.3)
+    return x.let(parts, lambda p: (F.size(p) >= 3) & (1 - F.size(F.array_distinct(p)) / F.size(p) > 0.3))
 
 
 def spam_parts(r: Rules = rules.KOREAN) -> dict[str, tuple[Column, float]]:
     low = F.lower(F.concat(_text("body"), F.lit(" "), _text("title")))
-    all_words = x.words(low)
-    dense = F.filter(all_words, lambda w: ~w.isin(*r.function_words) & (F.length(w) > 1))
+
+    def thin(words: Column) -> Column:
+        dense = F.size(F.filter(words, lambda w: ~w.isin(*r.function_words) & (F.length(w) > 1)))
+        return (F.size(words) > 0) & (dense / F.greatest(F.size(words), F.lit(1)) < 0.4)
+
     title = _text("title").rlike("|".join(f"(?:{p})" for p in r.sensational_titles))
     return {
         "repetitive_content": (repeats(_text("body")), 0.3),
-        "ad_content": (x.contains_any(low, r.ads), 0.3),
-        "illegal_content": (x.contains_any(low, r.illegal), 0.5),
-        "low_content_quality": ((F.size(all_words) > 0) & (F.size(dense) / F.greatest(F.size(all_words), F.lit(1)) < 0.4), 0.2),
+        "ad_content": (x.let(low, lambda t: x.contains_any(t, r.ads)), 0.3),
+        "illegal_content": (x.let(low, lambda t: x.contains_any(t, r.illegal)), 0.5),
+        "low_content_quality": (x.let(x.words(low), thin), 0.2),
         "sensational_title": (title, 0.1),
     }
 
@@ -78,18 +90,21 @@ def spam_parts(r: Rules = rules.KOREAN) -> dict[str, tuple[Column, float]]:
 def with_integrity(news: DataFrame, r: Rules = rules.KOREAN) -> DataFrame:
     """Adds title_body_consistency, contamination_score, spam_score, integrity_flags and integrity_score."""
     parts = spam_parts(r)
-    spam = F.lit(0.0)
-    for flag, weight in parts.values():
-        spam = spam + F.when(flag, weight).otherwise(0.0)
-    out = news.withColumns({"_consistency": consistency(r), "_contamination": contamination(neighbour_similarities(r)), "_spam": F.least(F.lit(1.0), spam)})
-    score = 0.4 * F.col("_consistency") + 0.3 * (1 - F.col("_contamination.score")) + 0.3 * (1 - F.col("_spam"))
-    flags = F.array_compact(F.array(F.col("_contamination.flag"), *(F.when(flag, name) for name, (flag, _) in parts.items())))
-    return out.withColumns(
-        {
-            "title_body_consistency": F.round("_consistency", 3), "contamination_score": F.round("_contamination.score", 3), "spam_score": F.round("_spam", 3),
-            "integrity_flags": flags, "integrity_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)),
-        }
-    ).drop("_consistency", "_contamination", "_spam")
+    marks = F.array(*(F.when(flag, name) for name, (flag, _) in parts.items()))
+    weights = F.create_map(*(F.lit(v) for name, (_, w) in parts.items() for v in (name, w)))
+
+    def whole(p: Column) -> Column:
+        spam = F.least(F.lit(1.0), F.aggregate(p.marks, F.lit(0.0), lambda a, m: a + weights[m]))
+        score = 0.4 * p.consistency + 0.3 * (1 - p.contamination.score) + 0.3 * (1 - spam)
+        flags = F.concat(F.array_compact(F.array(p.contamination.flag)), p.marks)
+        return F.struct(
+            F.round(p.consistency, 3).alias("title_body_consistency"), F.round(p.contamination.score, 3).alias("contamination_score"), F.round(spam, 3).alias("spam_score"), flags.alias("integrity_flags"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("integrity_score"),
+        )
+
+    one = F.struct(consistency(r).alias("consistency"), contamination(neighbour_similarities(r)).alias("contamination"), F.array_compact(marks).alias("marks"))
+    # inline() gives the columns once, where a projection would repeat their expressions
+    return news.select("*", F.inline(F.transform(F.array(one), lambda p: whole(p))))
 
 
 def trust(registry: DataFrame | None = None) -> Column:
@@ -197,13 +212,16 @@ def expanded_terms(queries: DataFrame, r: Rules = rules.KOREAN) -> DataFrame:
 
 def keyword_relevance() -> Column:
     """With columns keywords and terms: the mean over keywords of the best term, and 0.1 more if a keyword fits the category."""
-    title, body = F.lower(_text("title")), F.lower(_text("body"))
 
-    def term_score(t: Column) -> Column:
-        return F.when(title.contains(t), 0.6).otherwise(0.0) + F.when(body.contains(t), 0.3).otherwise(0.0) + F.least(F.lit(0.3), x.occurrences(body, t) * 0.05)
+    def term_score(p: Column, t: Column) -> Column:
+        return F.when(p.title.contains(t), 0.6).otherwise(0.0) + F.when(p.body.contains(t), 0.3).otherwise(0.0) + F.least(F.lit(0.3), x.occurrences(p.body, t) * 0.05)
+
+    def value(p: Column) -> Column:
+        best = F.transform("terms", lambda ts: F.array_max(F.transform(ts, lambda t: term_score(p, t))))
+        mean = F.aggregate(best, F.lit(0.0), lambda a, s: a + s) / F.size("terms")
+        fits = (p.cat != "") & F.exists("keywords", lambda k: p.cat.contains(F.lower(k)) | F.lower(k).contains(p.cat))
+        blank = F.trim(F.concat(p.title, F.lit(" "), p.body)) == ""
+        return F.when(blank, 0.0).otherwise(F.least(F.lit(1.0), mean + F.when(fits, 0.1).otherwise(0.0)))
 
-    best = F.transform("terms", lambda ts: F.array_max(F.transform(ts, term_score)))
-    mean = F.aggregate(best, F.lit(0.0), lambda a, s: a + s) / F.size("terms")
-    cat = F.lower(_text("category"))
-    fits = (cat != "") & F.exists("keywords", lambda k: cat.contains(F.lower(k)) | F.lower(k).contains(cat))
-    return F.when(F.trim(F.concat(title, F.lit(" "), body)) == "", 0.0).otherwise(F.least(F.lit(1.0), mean + F.when(fits, 0.1).otherwise(0.0)))
+    low = F.struct(F.lower(_text("title")).alias("title"), F.lower(_text("body")).alias("body"), F.lower(_text("category")).alias("cat"))
+    return x.let(low, value)

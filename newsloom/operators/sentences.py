@@ -61,11 +61,10 @@ def importance(r: Rules = rules.KOREAN) -> Column:
 
 def extract(news: DataFrame, keywords: list[str], r: Rules = rules.KOREAN, hangul: bool = True, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row per kept sentence: position, total, sentence, role, has_number, has_quote, matched, opinion, importance."""
-    every = x.sentences(F.coalesce("body", F.lit("")))
-    rows = news.select(*keep, is_opinion(F.col("title")).alias("opinion"), F.size(every).alias("total"), F.posexplode(every).alias("position", "raw"))
-    rows = rows.withColumn("sentence", F.trim(F.regexp_replace("raw", r"^[○●◎▶▷►◆◇■□★☆·•※→\-]\s*", "")))
+    every = F.transform(x.sentences(F.coalesce("body", F.lit(""))), lambda s: F.trim(F.regexp_replace(s, r"^[○●◎▶▷►◆◇■□★☆·•※→\-]\s*", "")))
+    rows = news.select(*keep, is_opinion(F.col("title")).alias("opinion"), F.size(every).alias("total"), F.posexplode(every).alias("position", "sentence"))
     s = F.col("sentence")
-    rows = rows.where((F.length(s) >= 10) & ~is_boilerplate(s, hangul) & ~is_unfinished(s)).drop("raw")
+    rows = rows.where((F.length(s) >= 10) & ~is_boilerplate(s, hangul) & ~is_unfinished(s))
     matched = F.filter(x.strings(keywords), lambda k: F.lower(s).contains(F.lower(k)))
     rows = rows.withColumns({"role": role_of(s, r), "has_number": x.has_number(s), "has_quote": x.has_quote(s), "matched": matched})
     return rows.withColumn("importance", F.round(importance(r), 6))
