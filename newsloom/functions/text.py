@@ -200,3 +200,44 @@ def keyword_in(text: Column, word: str) -> Column:
     import re
 
     return text.rlike(re.escape(word) + rules.WORD_END)
+
+
+def clean_title(title: Column) -> Column:
+    """Without a trailing outlet or domain, bracketed tags and teaser phrases."""
+    import re
+
+    names = "|".join(sorted(map(re.escape, rules.OUTLETS), key=len, reverse=True))
+    bare = F.regexp_replace(title, rf"\s*[-–—|]\s*(?:{names}|[a-zA-Z0-9\-]+\.(?:com|co\.kr|net|org))\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\s*\[[^\]]{2,30}\]\s*", " "), r"'이\s*(?:제품|기업|종목|것)'", "")
+    return F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
+
+
+def split_title_body(text: Column, default: Column) -> Column:
+    """Struct of title and body: the first line and the rest; a first line over 100 characters is no title."""
+    head = F.trim(F.regexp_replace(F.element_at(F.split(text, "\n"), 1), r"^#+\s*", ""))
+    rest = F.trim(F.regexp_replace(text, r"^[^\n]*\n?", ""))
+    return F.when((F.length(head) > 100) | (head == ""), F.struct(default.alias("title"), text.alias("body"))).otherwise(F.struct(head.alias("title"), rest.alias("body")))
+
+
+def section_parts(body: Column) -> Column:
+    """Struct of lead, body and closing: the first, the middle and the last of the blocks between blank lines."""
+
+    def parts(p: Column) -> Column:
+        n = F.size(p)
+        middle = F.array_join(F.slice(p, F.lit(2), F.greatest(F.when(n > 2, n - 2).otherwise(n - 1), F.lit(0))), "\n\n")
+        return F.struct(F.element_at(p, 1).alias("lead"), middle.alias("body"), F.when(n > 2, F.element_at(p, -1)).otherwise("").alias("closing"))
+
+    return let(F.split(body, "\n\n"), parts)
+
+
+def mentioned(text: Column, names: Iterable[str]) -> Column:
+    """The names of a dictionary that a text holds, in order of the dictionary."""
+    return F.filter(strings(names), lambda n: text.contains(n))
+
+
+def clean_body(text: Column) -> Column:
+    """Without bylines with addresses, list marks, copyright and advertising tails; blank runs collapsed."""
+    out = F.regexp_replace(text, r"[ \t]+", " ")
+    for pattern in (r"(?m)^.{0,40}(?:기자|특파원)\s*[\w.+-]+@[\w.-]+.*$", r"[\w.+-]+@[\w-]+\.[\w.]+", r"(?m)^[ \t]*[○●◎▶▷►◆◇■□★☆·•※→][ \t]*", r"(?im)^.*(?:무단\s*전재|저작권자|all rights reserved).*$", r"(?m)^\s*(?:AD|광고)\s*$"):
+        out = F.regexp_replace(out, pattern, "")
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

@@ -146,3 +146,40 @@ def article_type(text: Column, image_count: Column) -> Column:
         patterns = patterns + text.rlike(p).cast("int")
     data = ((digits >= 0.08) & (patterns >= 4)) | (x.count_contained(text, rules.DATA_WORDS) >= 4)
     return F.when((image_count >= 5) | sure | maybe, "visual").when(data, "data").otherwise("standard")
+
+
+def relevant_articles(news: DataFrame, topic: str, keywords: list[str], hangul: bool = True) -> DataFrame:
+    """The articles of each topic that fit its keywords: 3 for one in the title, 1 in the first 300 characters.
+
+    Titles without Hangul and other senses of a keyword are out. Kept is what reaches 0.4 of the best score if that is over 3, else what has a
+    score; if nothing has, all that is not out; if all are out, all. Topics of one article, and calls without keywords, stay as they are."""
+    if not keywords:
+        return news
+    title, head = F.coalesce("title", F.lit("")), F.substring(F.coalesce("body", F.lit("")), 1, 300)
+    out = F.lit(False)
+    if hangul:
+        out = (F.length(title) > 10) & (F.length(F.regexp_replace(title, "[^가-힣]", "")) < 0.2 * F.length(title))
+    for k in keywords:
+        if pattern := rules.OTHER_SENSES.get(k.lower()):
+            out = out | F.concat(title, F.lit(" "), head).rlike(pattern)
+    low = [k.lower() for k in keywords]
+    score = F.when(out, -1).otherwise(3 * x.count_contained(F.lower(title), low) + x.count_contained(F.lower(head), low))
+    scored = news.withColumn("_score", score)
+    best = scored.groupBy(topic).agg(F.max("_score").alias("_best"), F.count("*").alias("_n"))
+    rows = scored.join(best, topic)
+    keep = F.when(F.col("_best") > 3, F.col("_score") >= 0.4 * F.col("_best")).when(F.col("_best") > 0, F.col("_score") > 0).when(F.col("_best") == 0, F.col("_score") == 0).otherwise(True)
+    return rows.where((F.col("_n") <= 1) | keep).drop("_score", "_best", "_n")
+
+
+def with_connectors(text: Column, connectors: tuple[str, ...] = rules.CONNECTORS) -> Column:
+    """A connecting word before every second sentence that does not begin with one, each in turn while they last."""
+    parts = F.split(text, r"(?<=[.!?])\s+")
+    begins = lambda s: s.rlike("^(?:" + "|".join(rules.CONNECTED) + ")")
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("i"), F.lit(1).alias("next"))
+
+    def step(a: Column, s: Column) -> Column:
+        add = (a.i > 0) & (a.i % 2 == 0) & ~begins(s) & (a.next <= len(connectors))
+        piece = F.when(add, F.concat(F.element_at(x.strings(connectors), F.least(a.next, F.lit(len(connectors)))), F.lit(" "), s)).otherwise(s)
+        return F.struct(F.when(a.i == 0, piece).otherwise(F.concat(a.text, F.lit(" "), piece)).alias("text"), (a.i + 1).alias("i"), (a.next + add.cast("int")).alias("next"))
+
+    return F.aggregate(parts, start, step, lambda a: a.text)

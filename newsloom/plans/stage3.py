@@ -164,3 +164,28 @@ def e01_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.formats import features, recommend
 
     return recommend(features(articles(spark, sf_dir)))
+
+
+@query(
+    f"""with {ARTICLES}, s as (select *, id // 5 as topic_id, 3 * (contains(lower(title), 'thand')::int + contains(lower(title), 'eaux')::int) + contains(lower(left(body, 300)), 'thand')::int + contains(lower(left(body, 300)), 'eaux')::int as score from articles),
+b as (select *, max(score) over (partition by topic_id) as best, count(*) over (partition by topic_id) as n from s)
+select topic_id, id from b where n <= 1 or case when best > 3 then score >= 0.4 * best when best > 0 then score > 0 else score = 0 end"""
+)
+def f07_relevant_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the articles of each topic that fit its keywords."""
+    news = articles(spark, sf_dir).withColumn("topic_id", F.floor(F.col("id") / 5).cast("long"))
+    return sentences.relevant_articles(news, "topic_id", ["thand", "eaux"], False).select("topic_id", "id")
+
+
+_TITLES = f"regexp_replace(regexp_replace(title, '\\s*[-–—|]\\s*(?:[a-zA-Z0-9\\-]+\\.(?:com|co\\.kr|net|org))\\s*$', ''), '\\s*\\[[^\\]]{{2,30}}\\]\\s*', ' ', 'g')"
+
+
+@query(
+    f"""with {ARTICLES} select id, trim(regexp_replace({_TITLES}, '\\s{{2,}}', ' ', 'g')) as clean_title, list_filter(['the', 'que', 'und', 'para'], lambda w: contains(body, w)) as mentioned,
+  md5(string_split(body, chr(10) || chr(10))[1]) as lead_md5, case when len(string_split(body, chr(10) || chr(10))) > 2 then md5(string_split(body, chr(10) || chr(10))[-1]) else md5('') end as closing_md5
+from articles"""
+)
+def p17_titles_and_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned titles, sections of bodies, and names of a dictionary."""
+    s = x.section_parts(F.col("body"))
+    return articles(spark, sf_dir).select("id", x.clean_title(F.col("title")).alias("clean_title"), x.mentioned(F.col("body"), ("the", "que", "und", "para")).alias("mentioned"), F.md5(s.lead).alias("lead_md5"), F.md5(s.closing).alias("closing_md5"))

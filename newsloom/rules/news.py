@@ -198,3 +198,10 @@ FORMAT_WEIGHTS = (
 BREAKING = ("속보", "긴급", "단독", "breaking", "just in", "flash")
 EVERGREEN = ("방법", "가이드", "설명", "이해", "how to", "guide", "explained")
 YOUTH = ("학생", "청소년", "게임", "아이돌", "틱톡", "유튜브")
+# Senses of a keyword that are not meant, and connecting words.
+OTHER_SENSES = {"ai": r"(?i)고병원성\s*AI|조류\s*인플루엔자|조류\s*독감|AI\s*발생.*(?:방역|살처분)"}
+CONNECTORS = ("한편", "또한", "이어", "특히", "아울러")
+CONNECTED = (
+    "한편", "또한", "이어", "특히", "아울러", "이와", "향후", "앞으로", "이에", "반면", "그러나", "하지만", "다만", "그런데", "그래서", "따라서", "결국",
+    "이처럼", "이렇게", "이같이", "이로써", "게다가",
+)
