@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -80,6 +82,13 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Gives memory that a finished task has freed back to the system, as idle Python workers live on beside the heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece holds at most that many bytes of text, or one row."""
     for batch in batches:
@@ -91,6 +100,7 @@ def slices(batches: Iterable[pa.RecordBatch], name: str = "text", most: int = SL
             end = max(at + 1, end)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -116,6 +126,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
     if left:
         t = pa.Table.from_batches(left).combine_chunks()
         yield t, bounds(t)
+    release()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
