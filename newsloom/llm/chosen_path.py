@@ -3,8 +3,9 @@
 A document is the set of its distinct five-word shingles. Independent trees branch documents by the values of
 selected minwise coordinates: a document falls into one child per selected coordinate, so two documents with
 similarity s meet again in about s / SPLIT children of a node they share. Nodes of at most LEAF documents
-are compared exhaustively by their minwise values; larger ones branch on, unless their documents resemble one of them,
-picked by a hash of the node, so much that branching would not part them: then they are compared in chunks, dealt anew in each tree.
+are compared exhaustively by their minwise values. In a larger one, those alike to a picked document form a cluster with it,
+as branching would not part them; each of the others is compared with all of them, and the others branch on. Nodes that are
+still large at the last level are compared in all pairs of blocks.
 
 What is alike by minwise values forms clusters. In a cluster, chunks of documents and the cluster's best connected ones
 are compared exhaustively on the full shingle sets; of clusters with several chunks, documents outside the component of
@@ -34,8 +35,8 @@ WIDTH = 5
 #: Similarity in hundredths.
 LEAST = 75
 COORDINATES, TREES, LEAF, LEVELS = 96, 12, 100, 10
-#: A node whose documents resemble its picked one by that much on average is compared in chunks.
-DENSE = 0.35
+#: Documents of a large node of which the one that is alike to most of the others is picked; documents of one side of a comparison.
+PICKS, BLOCK = 8, 4096
 #: Best connected documents of a cluster that come to each of its chunks; shingles of a chunk.
 HUBS, CHUNK_SHINGLES = 8, 200_000
 #: Selected coordinates of a node on average are 1 / SPLIT.
@@ -139,49 +140,105 @@ def first_level(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "values").mapInArrow(run, "node long, doc_id long")
 
 
+def words_of(m: np.ndarray) -> np.ndarray:
+    """Rows of bytes as columns of 8-byte words."""
+    return np.ascontiguousarray(m.copy().view(np.uint64).T)
+
+
+def equal(words: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """For each column of words the bytes that equal those of one."""
+    x = words ^ one[:, None]
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return COORDINATES - np.bitwise_count((((x & low) + low) | x) & ~low).sum(0, dtype=np.uint16)
+
+
+def picked(large: DataFrame, brief: DataFrame) -> DataFrame:
+    """(node, first, first_brief): of PICKS documents of each node, picked by hashes, the one that most of them are alike."""
+    picks = large.groupBy("node").agg(F.array_distinct(F.array(*[F.min_by("doc_id", F.xxhash64("node", "doc_id", F.lit(k))) for k in range(PICKS)])).alias("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, ["node"]):
+            w = words_of(matrix(t.column("brief"), np.uint8))
+            best = [a + int(np.argmax([(equal(w[:, a:b], w[:, k]) >= ALIKE).sum() for k in range(a, b)])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            t = t.take(pa.array(best)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([t.column(c).chunk(0) for c in ("node", "doc_id", "brief")], names=["node", "first", "first_brief"])
+
+    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = picks.withColumn("doc_id", F.explode("doc_id")).join(brief, "doc_id").repartition(n, "node").sortWithinPartitions("node", "doc_id")
+    return dealt.mapInArrow(run, "node long, first long, first_brief binary")
+
+
 def next_level(rows: DataFrame) -> DataFrame:
-    """Rows of large nodes (node, doc_id, values, brief, and the brief of the node's first document): how near it is, and its children."""
+    """Rows of large nodes (node, doc_id, first, values, brief, first_brief): whether it is alike to the node's picked document, and if not, its children."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 piece = batch.slice(at, 4096)
                 node = piece.column("node").to_numpy()
-                near = (matrix(piece.column("brief"), np.uint8) == matrix(piece.column("first_brief"), np.uint8)).mean(1)
-                r, child = children(node, matrix(piece.column("values"), np.uint32))
+                near = (matrix(piece.column("brief"), np.uint8) == matrix(piece.column("first_brief"), np.uint8)).sum(1) >= ALIKE
+                far = np.flatnonzero(~near)
+                r, child = children(node[far], matrix(piece.column("values"), np.uint32)[far])
+                r = far[r]
                 order = np.argsort(r, kind="stable")
                 off = np.searchsorted(r[order], np.arange(len(piece) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("node"), piece.column("doc_id"), piece.column("n"), piece.column("first"), pa.array(near), pa.ListArray.from_arrays(pa.array(off), pa.array(child[order]))],
-                    names=["node", "doc_id", "n", "first", "near", "children"],
+                    [piece.column("node"), piece.column("doc_id"), piece.column("first"), pa.array(near), pa.ListArray.from_arrays(pa.array(off), pa.array(child[order]))],
+                    names=["node", "doc_id", "first", "near", "children"],
                 )
 
-    return rows.mapInArrow(run, "node long, doc_id long, n long, first long, near double, children array<long>")
+    return rows.mapInArrow(run, "node long, doc_id long, first long, near boolean, children array<long>")
+
+
+def all_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
-def leaves(reps: DataFrame) -> DataFrame:
-    """(node, n, first, doc_id) of all nodes that are to be compared."""
-    rows, found = first_level(reps), []
+def in_blocks(large: DataFrame) -> DataFrame:
+    """(node, chunk, doc_id) of large nodes(node, n, doc_id), once for each pair of blocks that a document belongs to."""
+    rows = large.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", "doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> with or own = 0")
+    return rows.select("node", (F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).cast("long").alias("chunk"), "doc_id")
+
+
+def in_sides(step: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, i, j, doc_id, first, near): documents alike to the picked one beside all that are not, in pairs of blocks."""
+    rows = step.where("doc_id <> first").join(counts.where("took > 1 and took < n"), "node")
+    near, far = F.ceil(F.col("took") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("took")) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", "doc_id"), F.when(F.col("near"), near).otherwise(far)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), far).otherwise(near) - 1)))
+    i, j = (F.when(F.col("near"), F.col(a)).otherwise(F.col(b)) for a, b in (("own", "with"), ("with", "own")))
+    return rows.select("node", i.alias("i"), j.alias("j"), "doc_id", "first", "near")
+
+
+def alike_stars(reps: DataFrame) -> DataFrame:
+    """(a, b, n) of what is alike in the trees: stars; n is a number of documents that b is alike."""
+    rows, groups, sides, stars = first_level(reps), [], [], []
+    brief = reps.select("doc_id", "brief")
     for level in range(LEVELS):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("node", "doc_id")).alias("first")).where("n > 1")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         both = written(rows.join(sizes, "node"), "nodes")
-        found.append(both.where(F.col("n") <= LEAF).select("node", "n", "first", "doc_id"))
+        groups.append(both.where(F.col("n") <= LEAF).select("node", F.lit(0).cast("long").alias("chunk"), "doc_id"))
         large = both.where(F.col("n") > LEAF)
         if large.isEmpty():
             break
         if level == LEVELS - 1:
-            found.append(large.select("node", "n", "first", "doc_id"))
+            groups.append(in_blocks(large))
             break
-        brief = reps.select(F.col("doc_id").alias("first"), F.col("brief").alias("first_brief"))
-        firsts = large.select("node", "first").distinct().join(brief, "first").select("node", "first_brief")
-        step = written(next_level(large.join(firsts, "node").join(reps.select("doc_id", "values", "brief"), "doc_id")), "branches")
-        dense = step.groupBy("node").agg(F.avg("near").alias("share")).where(F.col("share") >= DENSE).select("node")
-        found.append(step.join(dense, "node", "left_semi").select("node", "n", "first", "doc_id"))
-        rows = step.join(dense, "node", "left_anti").select(F.explode("children").alias("node"), "doc_id")
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+        firsts = written(picked(large, brief), "picked")
+        step = written(next_level(large.select("node", "doc_id").join(firsts, "node").join(reps.select("doc_id", "values", "brief"), "doc_id")), "branches")
+        counts = step.groupBy("node", F.col("first").alias("b")).agg(F.count_if("near").alias("took"), F.count("*").alias("n"))
+        stars.append(counts.where("took > 1").select(F.col("b").alias("a"), "b", (F.col("took") - 1).alias("n")))
+        stars.append(step.where("near and doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1).cast("long").alias("n")))
+        sides.append(in_sides(step, counts.drop("b")))
+        rows = step.where("not near").select(F.explode("children").alias("node"), "doc_id")
+    stars.append(clusters(all_of(groups), brief))
+    if sides:
+        stars.append(beside(all_of(sides), brief))
+    return all_of(stars).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -209,12 +266,8 @@ class Sets:
         return np.array([self.top(v) for v in range(len(self.root))], np.int64)
 
 
-def clusters(nodes: DataFrame, brief: DataFrame) -> DataFrame:
-    """(a, b, n) of what is alike in each node or chunk of it: stars from the smallest document; n is the number that b is alike."""
-    chunks = F.ceil(F.col("n") / LEAF).cast("int")
-    rows = nodes.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", "doc_id"), F.col("chunks")).cast("int"))
-    firsts = rows.where("chunks > 1 and doc_id = first").select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id")
-    rows = rows.where("chunks = 1 or doc_id <> first").select("node", "chunk", "doc_id").union(firsts)
+def clusters(rows: DataFrame, brief: DataFrame) -> DataFrame:
+    """(a, b, n) of what is alike in each group of rows(node, chunk, doc_id): stars from the smallest document; n is the number that b is alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, ["node", "chunk"]):
@@ -223,20 +276,50 @@ def clusters(nodes: DataFrame, brief: DataFrame) -> DataFrame:
             two = bounds[:-1][sizes == 2]
             two = two[(m[two] == m[two + 1]).sum(1) >= ALIKE]
             out = [(ids[two], ids[two + 1], np.ones(len(two), np.int64))]
+            words = words_of(m)
             for a, b in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist()):
-                alike = np.stack([(m[a:b] == m[k]).sum(1) >= ALIKE for k in range(a, b)])
-                sets = Sets(b - a)
+                w, top, n = words[:, a:b], np.arange(b - a), np.zeros(b - a, np.int64)
                 for k in range(b - a):
-                    for j in np.flatnonzero(alike[k, :k]).tolist():
-                        sets.join(j, k)
-                top = sets.tops()
-                some = np.flatnonzero(alike.sum(1) > 1)
-                out.append((ids[a + top[some]], ids[a + some], alike.sum(1)[some] - 1))
+                    near = np.flatnonzero(equal(w, w[:, k]) >= ALIKE)
+                    n[k] = len(near) - 1
+                    own = top[near]
+                    if (own != own[0]).any():
+                        top[np.isin(top, own)] = own.min()
+                some = np.flatnonzero(n)
+                out.append((ids[a + top[some]], ids[a + some], n[some]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=PAIR)
 
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.join(brief, "doc_id").repartition(n, "node", "chunk").sortWithinPartitions("node", "chunk", "doc_id")
-    return dealt.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return dealt.mapInArrow(run, "a long, b long, n long")
+
+
+def beside(rows: DataFrame, brief: DataFrame) -> DataFrame:
+    """(a, b, n): documents of the far side that are alike to n of the near side of a group, joined to its picked document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, ["node", "i", "j"]):
+            ids, first = t.column("doc_id").to_numpy(), t.column("first").to_numpy()
+            near, words = t.column("near").to_numpy(zero_copy_only=False).astype(bool), words_of(matrix(t.column("brief"), np.uint8))
+            out = [(ids[:0], ids[:0], ids[:0])]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                left, right = a + np.flatnonzero(near[a:b]), a + np.flatnonzero(~near[a:b])
+                n = np.zeros(len(right), np.int64)
+                if len(left) <= len(right):
+                    w = words[:, right]
+                    for k in left.tolist():
+                        n += equal(w, words[:, k]) >= ALIKE
+                else:
+                    w = words[:, left]
+                    for at, k in enumerate(right.tolist()):
+                        n[at] = (equal(w, words[:, k]) >= ALIKE).sum()
+                some = np.flatnonzero(n)
+                out.append((first[right[some]], ids[right[some]], n[some]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=PAIR)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(brief, "doc_id").repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long, n long")
 
 
 def linked(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -303,7 +386,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     every = written(describe(docs), "sets")
     classes = written(every.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(every.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "n_shingles", "values", "brief").dropDuplicates(["doc_id"]), "reps")
-    alike = written(clusters(leaves(reps), reps.select("doc_id", "brief")), "alike")
+    alike = written(alike_stars(reps), "alike")
     cluster = written(components(alike.select("a", "b")).withColumnsRenamed({"id": "doc_id", "component": "cluster"}), "clusters")
 
     # chunks of each cluster, and its best connected documents in each of them

@@ -122,6 +122,22 @@ def test_near_duplicates_like_brute_force(spark):
     assert chosen_path.near_duplicates(df.where("false")).count() == 0
 
 
+def test_near_duplicates_among_shared_boilerplate(spark, monkeypatch):
+    from newsloom.llm import chosen_path
+
+    monkeypatch.setattr(chosen_path, "ROOTS", chosen_path.ROOTS[:3])  # few trees show what each of them loses
+    r = random.Random(9)
+    vocab, boiler, texts = [f"w{i}" for i in range(20000)], [f"b{i}" for i in range(70)], []
+    for _ in range(400):
+        own = [r.choice(vocab) for _ in range(50)]
+        other = own[:-k] + [r.choice(vocab) for _ in range(k)] if (k := r.choice([14, 15, 16])) else own
+        texts += [" ".join(boiler + own), " ".join(boiler + other)]
+    texts += [" ".join(boiler + [r.choice(vocab) for _ in range(50)]) for _ in range(200)]
+    got = {x.doc_id for x in chosen_path.near_duplicates(docs(spark, texts).repartition(4)).collect() if not x.kept}
+    want = {g[0] for g in near_brute(texts) if not g[3]}
+    assert len(want) == 400 and got <= want and len(got) > 360
+
+
 # 3 -----------------------------------------------------------------------------------------------
 def contaminated_brute(texts, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
