@@ -5,7 +5,8 @@ selected minwise coordinates: a document falls into one child per selected coord
 similarity s meet again in about s / SPLIT children of a node they share. Nodes of at most LEAF documents
 are compared exhaustively by their minwise values. In a larger one, those alike to a picked document form a cluster with it,
 as branching would not part them; each of the others is compared with all of them, and the others branch on. Nodes that are
-still large at the last level are compared in all pairs of blocks.
+still large at the last level are compared in all pairs of blocks. Trees are added until, at the depth that they reached, all of
+them together lose at most MISS of the pairs at exactly the threshold that have enough equal minwise values to be candidates.
 
 What is alike by minwise values forms clusters. In a cluster, chunks of documents and the cluster's best connected ones
 are compared exhaustively on the full shingle sets; of clusters with several chunks, documents outside the component of
@@ -19,6 +20,8 @@ kept. An empty table gives none. Other columns are ignored or kept.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ WIDTH = 5
 #: Similarity in hundredths.
 LEAST = 75
 COORDINATES, TREES, LEAF, LEVELS = 96, 12, 100, 10
+#: Share of the candidate pairs at exactly the threshold that all trees may lose.
+MISS = 3e-5
 #: Documents of a large node of which the one that is alike to most of the others is picked; documents of one side of a comparison.
 PICKS, BLOCK = 8, 4096
 #: Best connected documents of a cluster that come to each of its chunks; shingles of a chunk.
@@ -124,16 +129,34 @@ def children(node: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(ids)
 
 
-ROOTS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+def lost(depth: int, trees: int) -> float:
+    """Share of pairs at exactly the threshold that are candidates but meet at that depth of no tree.
 
+    A pair with k equal values meets in a child of each selected coordinate with a chance of k / COORDINATES; all trees see the same values."""
+    s, total = LEAST / 100, 0.0
+    for k in range(ALIKE, COORDINATES + 1):
+        p, gone = k / COORDINATES, 0.0
+        for _ in range(depth):
+            gone = (1 - p * (1 - gone)) * (1 - (1 / SPLIT - 1) * p * (1 - gone))
+        total += math.comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k) * gone**trees
+    return total
 
-def first_level(reps: DataFrame) -> DataFrame:
+
+def trees_for(depth: int) -> int:
+    return next(n for n in itertools.count(TREES) if lost(depth, n) <= MISS)
+
+
+#: TREES at least, and as many as the deepest level may ask for.
+ROOTS = mix(np.arange(1, trees_for(LEVELS) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+
+
+def first_level(reps: DataFrame, roots: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 piece = batch.slice(at, 4096)
                 values, ids = matrix(piece.column("values"), np.uint32), piece.column("doc_id").to_numpy()
-                for root in ROOTS:
+                for root in roots:
                     r, node = children(np.full(len(ids), root), values)
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(ids[r])], names=["node", "doc_id"])
 
@@ -216,7 +239,17 @@ def in_sides(step: DataFrame, counts: DataFrame) -> DataFrame:
 
 def alike_stars(reps: DataFrame) -> DataFrame:
     """(a, b, n) of what is alike in the trees: stars; n is a number of documents that b is alike."""
-    rows, groups, sides, stars = first_level(reps), [], [], []
+    found, done, need = [], 0, TREES
+    while len(roots := ROOTS[done:need]):
+        stars, depth = stars_of(reps, roots)
+        found.append(written(stars, "stars"))
+        done, need = need, max(need, trees_for(depth))
+    return all_of(found).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def stars_of(reps: DataFrame, roots: np.ndarray) -> tuple[DataFrame, int]:
+    """(a, b, n) of what is alike in the trees of the roots, and the number of levels that they have."""
+    rows, groups, sides, stars = first_level(reps, roots), [], [], []
     brief = reps.select("doc_id", "brief")
     for level in range(LEVELS):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -238,7 +271,7 @@ def alike_stars(reps: DataFrame) -> DataFrame:
     stars.append(clusters(all_of(groups), brief))
     if sides:
         stars.append(beside(all_of(sides), brief))
-    return all_of(stars).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return all_of(stars), level + 1
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])

@@ -122,6 +122,27 @@ def test_near_duplicates_like_brute_force(spark):
     assert chosen_path.near_duplicates(df.where("false")).count() == 0
 
 
+def test_trees_lose_few_pairs_at_every_depth():
+    from newsloom.llm import chosen_path as c
+
+    r = np.random.default_rng(8)
+    equal = np.where(r.random((3000, c.COORDINATES)) < 0.75, 0, 1).astype(np.uint32)
+    equal = equal[(equal == 0).sum(1) >= c.ALIKE]  # a pair is one row: where it is 0 both documents have the same value
+    assert len(c.ROOTS) >= c.trees_for(c.LEVELS) >= c.trees_for(5) >= c.trees_for(1) == c.TREES
+    assert all(c.lost(d, c.trees_for(d)) <= c.MISS for d in range(1, c.LEVELS + 1)) and c.lost(c.LEVELS, 12) > 100 * c.MISS
+    lost = 0
+    for row in equal[:400]:
+        node = c.ROOTS
+        for _ in range(c.LEVELS):
+            r_, child = c.children(node, np.repeat(row[None], len(node), 0))
+            first, other = c.chosen(node)
+            at = np.concatenate([first, other[other >= 0]])
+            node = child[row[at] == 0]
+            node = node[:2000]
+        lost += not len(node)
+    assert lost == 0
+
+
 def test_near_duplicates_among_shared_boilerplate(spark, monkeypatch):
     from newsloom.llm import chosen_path
 
