@@ -63,6 +63,23 @@ def test_caps_recall_at_the_threshold():
     assert np.mean([bool(a & b) for a, b in zip(*sets)]) > 0.98
 
 
+@pytest.mark.parametrize("dim", [128, 384])
+def test_caps_recall_in_more_dimensions(dim):
+    from newsloom.llm import caps
+
+    r = np.random.default_rng(dim)
+    u = r.standard_normal((200, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = r.standard_normal((200, dim))
+    w -= (w * u).sum(1, keepdims=True) * u
+    v = 0.93 * u + (1 - 0.93**2) ** 0.5 * w / np.linalg.norm(w, axis=1, keepdims=True)
+    sets = []
+    for x in (u, v):
+        rows, ids = caps.list_decode(x, caps.product_codes(dim))
+        sets.append([set(ids[rows == k].tolist()) for k in range(200)])
+    assert np.mean([bool(a & b) for a, b in zip(*sets)]) > 0.98
+
+
 def test_list_decode_finds_all_filters():
     from newsloom.llm import caps
 
