@@ -108,7 +108,7 @@ def t04_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t04_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 as a stream: requests of each source by hour."""
     log = jobs.stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
-    counts = jobs.usage(log)
+    counts = jobs.usage(log, late=None)
     out = jobs.drain(counts, "usage", "update")
     return out.groupBy("source_id", "slot").agg(F.max("requests").alias("requests")).select("source_id", F.col("slot").cast("timestamp_ntz").alias("slot"), "requests")
 

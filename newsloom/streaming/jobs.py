@@ -36,9 +36,9 @@ def first_seen(records: DataFrame, time: str = "ts", horizon: str = "1 hour") ->
     return records.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["url_key"])
 
 
-def usage(log: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Requests of each source in tumbling windows; later rows are dropped."""
-    counts = log.withWatermark("ts", late).groupBy(F.window("ts", width), "source_id").agg(F.count("*").alias("requests"))
+def usage(log: DataFrame, width: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """Requests of each source in tumbling windows; later rows are dropped, or none where late is None (state then holds all windows)."""
+    counts = (log.withWatermark("ts", late) if late else log).groupBy(F.window("ts", width), "source_id").agg(F.count("*").alias("requests"))
     return counts.select("source_id", F.col("window.start").alias("slot"), "requests")
 
 

@@ -311,3 +311,26 @@ def test_entry_without_the_subpackage(monkeypatch):
     assert alone.queries() and not [q for q in alone.queries() if q.startswith("op") or q == "pipeline"]
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def in_files(spark, path, parts, schema):
+    """One file for each part, in that order by time of change."""
+    import os
+
+    for i, part in enumerate(parts):
+        rows(spark, part, schema).coalesce(1).write.mode("append").parquet(path)
+        for f in os.listdir(path):
+            if f.endswith(".parquet") and os.stat(f"{path}/{f}").st_mtime > 2_000_000:
+                os.utime(f"{path}/{f}", (1_000_000 + i, 1_000_000 + i))
+
+
+def test_usage_stream_counts_files_out_of_order(spark, tmp_path, monkeypatch):
+    from newsloom.plans.stage4 import t04_usage_stream
+    from newsloom.streaming import jobs
+
+    t0 = dt.datetime(2026, 1, 1)
+    parts = [[(7, t0 + dt.timedelta(hours=h, minutes=m), "click", m) for m in range(h + 1)] for h in (9, 6, 3, 0)]
+    in_files(spark, str(tmp_path / "events.parquet"), parts, "user_id long, ts timestamp, event_type string, event_id long")
+    whole = jobs.stream
+    monkeypatch.setattr(jobs, "stream", lambda s, path: whole(s, path, 1))
+    assert {(x.slot.hour, x.requests) for x in t04_usage_stream(spark, str(tmp_path)).collect()} == {(h, h + 1) for h in (9, 6, 3, 0)}
