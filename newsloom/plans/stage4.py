@@ -117,7 +117,7 @@ def t04_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t03_health_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health of sources by state that lives on between batches."""
     log = jobs.stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
-    return jobs.drain(jobs.health(log), "health").groupBy("source_id").agg(F.max_by("failures", "ts").alias("failures"), F.max_by("active", "ts").alias("active"))
+    return jobs.drain(jobs.health(log), "health").groupBy("source_id").agg(F.max_by("failures", "version").alias("failures"), F.max_by("active", "version").alias("active"))
 
 
 @query(

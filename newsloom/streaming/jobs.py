@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,7 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import text as x
 from ..storage import shared_dir
 
-HEALTH = "source_id long, ts timestamp, failures int, active boolean"
+HEALTH = "source_id long, ts timestamp, failures int, active boolean, version long"
+#: Stands for no time, in microseconds.
+NEVER = -(2**63)
 
 
 def stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -42,21 +47,50 @@ def usage(log: DataFrame, width: str = "1 hour", late: str | None = "1 hour") ->
     return counts.select("source_id", F.col("window.start").alias("slot"), "requests")
 
 
+def runs(log: DataFrame) -> DataFrame:
+    """(source_id, last, success, failures) of each piece of a log(source_id, ts, ok): its last time, its last success, and the packed times of failures after it."""
+    key = log.schema["source_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ts = pc.fill_null(batch.column("ts").cast(pa.timestamp("us", "UTC")).cast(pa.int64()), NEVER).to_numpy(zero_copy_only=False)
+            ok = batch.column("ok").to_pylist()
+            found: dict = {}
+            for k, t, fine in zip(batch.column("source_id").to_pylist(), ts.tolist(), ok):
+                own = found.setdefault(k, [NEVER, NEVER, []])
+                own[0] = max(own[0], t)
+                if fine:
+                    own[1] = max(own[1], t)
+                elif fine is not None:
+                    own[2].append(t)
+            rows = [(k, last, success, after(np.array(failed, np.int64), success).tobytes()) for k, (last, success, failed) in found.items()]
+            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((batch.column("source_id").type, pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["source_id", "last", "success", "failures"])
+
+    return log.select("source_id", F.col("ts").cast("timestamp").alias("ts"), "ok").mapInArrow(run, f"source_id {key}, last long, success long, failures binary")
+
+
+def after(failures: np.ndarray, success: int) -> np.ndarray:
+    return failures if success == NEVER else failures[failures > success]
+
+
 def health(log: DataFrame, most: int = 5) -> DataFrame:
-    """A row whenever a batch changes a source: failures in a row, and whether it is active. State is one counter and one flag per source."""
+    """A row whenever a batch changes a source: failures after the last success, whether it is active, and the number of the change.
+
+    State is the last time, the last success and the times of failures after it, so that neither the order of pieces nor that of batches counts."""
 
     def update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, active = state.get if state.exists else (0, True)
-        last = None
+        last, success, packed, version = state.get if state.exists else (NEVER, NEVER, b"", 0)
+        failures = [np.frombuffer(packed, np.int64)]
         for pdf in rows:
-            for row in pdf.sort_values("ts").itertuples():
-                failures = 0 if row.ok else failures + 1
-                active = active and failures < most or bool(row.ok)
-                last = row.ts
-        state.update((failures, active))
-        yield pd.DataFrame({"source_id": [key[0]], "ts": [last], "failures": [failures], "active": [active]})
-
-    return log.groupBy("source_id").applyInPandasWithState(update, HEALTH, "failures int, active boolean", "append", GroupStateTimeout.NoTimeout)
+            last, success = max(last, int(pdf["last"].max())), max(success, int(pdf["success"].max()))
+            failures = [after(f, success) for f in (*failures, *(np.frombuffer(f, np.int64) for f in pdf["failures"]))]
+        times = np.concatenate(failures)
+        state.update((last, success, times.tobytes(), version + 1))
+        ts = pd.NaT if last == NEVER else pd.Timestamp(last, unit="us")
+        yield pd.DataFrame({"source_id": [key[0]], "ts": pd.Series([ts], dtype="datetime64[ns]"), "failures": [len(times)], "active": [len(times) < most], "version": [version + 1]})
+
+    return runs(log).groupBy("source_id").applyInPandasWithState(update, HEALTH, "last long, success long, failures binary, version long", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:

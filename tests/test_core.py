@@ -334,3 +334,24 @@ def test_usage_stream_counts_files_out_of_order(spark, tmp_path, monkeypatch):
     whole = jobs.stream
     monkeypatch.setattr(jobs, "stream", lambda s, path: whole(s, path, 1))
     assert {(x.slot.hour, x.requests) for x in t04_usage_stream(spark, str(tmp_path)).collect()} == {(h, h + 1) for h in (9, 6, 3, 0)}
+
+
+def test_health_stream_needs_no_order(spark, tmp_path, monkeypatch):
+    from newsloom.operators import registry
+    from newsloom.plans.stage4 import fetch_log, t03_health_stream
+    from newsloom.streaming import jobs
+
+    r, t0 = random.Random(3), dt.datetime(2026, 1, 1)
+    log = [(s, t0 + dt.timedelta(minutes=m), "error" if m > 60 - 3 * s or r.random() < 0.5 else "click", m) for s in range(4) for m in range(61)]
+    r.shuffle(log)
+    in_files(spark, str(tmp_path / "events.parquet"), [log[:100], log[100:180], log[180:]], "user_id long, ts timestamp, event_type string, event_id long")
+    want = {(x.source_id, x.failure_count, x.is_active) for x in registry.health(fetch_log(spark, str(tmp_path))).collect()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, whole = spark.conf.get(key), jobs.stream
+    try:
+        spark.conf.set(key, "2")
+        assert {tuple(x) for x in t03_health_stream(spark, str(tmp_path)).collect()} == want
+        monkeypatch.setattr(jobs, "stream", lambda s, path: whole(s, path, 1))
+        assert {tuple(x) for x in t03_health_stream(spark, str(tmp_path)).collect()} == want
+    finally:
+        spark.conf.set(key, before)
