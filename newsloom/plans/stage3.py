@@ -125,11 +125,16 @@ def m01_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("topic_id", "primary_id", *map(md5, ("lead", "closing", "introduction", "highlights", "conclusion")), "hook", F.size("s").alias("n_sentences"))
 
 
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics with their body, brief, cards and rendered text."""
+    t = assembly.cards(assembly.brief(assembly.straight(assembly.ordered(_top(spark, sf_dir), "topic_id"))))
+    return assembly.rendered(t, ["lead", "body", "closing"])
+
+
 @query()
 def m05_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs, brief and cards of each topic, and the rendered text with its structure issues and score (V3, V4)."""
-    t = assembly.cards(assembly.brief(assembly.straight(assembly.ordered(_top(spark, sf_dir), "topic_id"))))
-    t = assembly.rendered(t, ["lead", "body", "closing"])
+    t = assembled(spark, sf_dir)
     issues = assembly.structure_issues(F.substring(F.coalesce(F.element_at(F.col("s"), 1).getField("sentence"), F.lit("")), 1, 60), F.col("text"), F.lit("standard"), F.lit(0))
     score = assembly.generation_score(F.length("text"), F.size(issues), F.lit(0), F.lit(0), F.lit(True))
     return t.select("topic_id", F.md5("body").alias("body_md5"), "headline", F.size("cards").alias("n_cards"), F.length("text").alias("n_chars"), F.array_join(issues, ",").alias("issues"), score.alias("score"))

@@ -11,7 +11,7 @@ from ..rules import news as rules
 from ..streaming import jobs
 from .registry import query
 from .stage1 import _LATIN, RANKED
-from .stage3 import topic_articles
+from .stage3 import assembled, topic_articles
 from .tables import ARTICLES, any_of, articles, as_of, news, query_table, sql_text, table, tier_of
 
 
@@ -178,9 +178,9 @@ def e05_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c01_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentences of topics as quotes, found in the articles of the topic, with one fact row for each article."""
-    n = topic_articles(spark, sf_dir).withColumn("quotes", F.slice(x.sentences(F.col("body")), 1, 5))
-    made = n.where(F.col("id") % 5 == 0).select("topic_id", "quotes")
+    """Sentences of the assembled text of each topic as quotes, found in all of its articles, with one fact row for each article."""
+    n = topic_articles(spark, sf_dir).withColumn("quotes", x.sentences(F.col("body")))
+    made = assembled(spark, sf_dir).select("topic_id", x.sentences(F.col("text")).alias("quotes"))
     cited = citations.citations(citations.quote_matches(made, n, "topic_id"), n, "topic_id")
     return citations.summary(cited, "topic_id")
 

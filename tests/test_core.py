@@ -243,6 +243,24 @@ def test_images(spark):
     assert one(spark, images.watermark(F.col("u")), u="http://x/wm/center.jpg") == "center" and one(spark, images.placement(F.lit(5), F.lit(6)), u="") == "gallery"
 
 
+def test_quotes_like_all_pairs_and_late_sentences(spark, monkeypatch):
+    from newsloom.operators import citations
+    from newsloom.plans import stage4
+
+    r = random.Random(5)
+    some = lambda n: [" ".join(r.choice("aBcdefghij") for _ in range(r.randrange(1, 9))) for _ in range(n)]
+    made, said = [(t, some(30)) for t in range(2)], [(t, i, some(20)) for t in range(2) for i in range(4)]
+    got = citations.quote_matches(rows(spark, made, "topic int, quotes array<string>"), rows(spark, said, "topic int, id int, quotes array<string>"), "topic").collect()
+    share = lambda q, o: len(set(q.lower().split()) & set(o.lower().split())) / len(set(o.lower().split()))
+    assert {tuple(x) for x in got} == {(t, q, i) for t, qs in made for q in qs for u, i, os in said if t == u for o in os if share(q, o) >= 0.7}
+
+    late = " ".join(f"Filler number {w} stands here." for w in ("one", "two", "three", "four", "five")) + " The late sentence counts too."
+    articles = rows(spark, [(0, 1, "T", late), (0, 2, "U", "Nothing of the kind.")], "topic_id long, id long, title string, body string")
+    monkeypatch.setattr(stage4, "topic_articles", lambda s, d: articles)
+    monkeypatch.setattr(stage4, "assembled", lambda s, d: rows(s, [(0, "The late sentence counts too.")], "topic_id long, text string"), raising=False)
+    assert [(x.quotes, x.facts, x.total) for x in stage4.c01_citations(spark, "").collect()] == [(1, 2, 3)]
+
+
 def test_citations(spark):
     from newsloom.operators import citations
 
