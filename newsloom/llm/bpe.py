@@ -2,8 +2,8 @@
 
 The symbols of many words lie in one flat array; in each round the ranks of all neighbouring pairs
 are found by binary search over sorted pair keys, and each word merges its lowest-ranked pair, until
-no word has a pair left. Words seen before come from a bounded table of the worker process. Decoding
-gathers the bytes of the ids.
+no word has a pair left. Words seen before come from a table of the worker process, which starts anew
+at a fixed number of words. Decoding gathers the bytes of the ids.
 
 Nulls: a null text is empty and has no ids; a null list of ids decodes to an empty text. Repeated rows,
 ties and an empty table need no care; other columns stay. Memory grows with the longest text only.
@@ -11,6 +11,7 @@ ties and an empty table need no care; other columns stay. Memory grows with the
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -23,8 +24,10 @@ from pyspark.sql import types as T
 from .common import bounded_batches, buffers, slices, span_hashes, text_of
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
-#: Words kept by a worker before the table starts anew.
-MEMO_WORDS = 1_500_000
+#: Words and bytes of text that a worker's table holds before it starts anew, and new words that it takes in at once.
+MEMO_WORDS, FRESH_WORDS = 200_000, 20_000
+#: Bytes of text that are encoded at once.
+PIECE_BYTES = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -173,16 +176,48 @@ def gather(at: np.ndarray, lens: np.ndarray, base: int = 0) -> np.ndarray:
     return np.repeat(at - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
 
 
+class WordTable:
+    """Ids of words by hash: a large sorted part, and a small one of late words that is merged into it now and then."""
+
+    def __init__(self):
+        self.parts = [self.empty(), self.empty()]
+
+    @staticmethod
+    def empty() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes, the offsets of their ids (one more), and the ids."""
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash the part that has it, or -1, and its place there."""
+        part, place = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for k, (own, _, _) in enumerate(self.parts):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[at] == keys
+                part[hit], place[hit] = k, at[hit]
+        return part, place
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        if len(self.parts[0][0]) + len(self.parts[1][0]) + len(keys) > MEMO_WORDS:
+            self.parts = [self.empty(), self.empty()]
+        fresh = (keys, np.concatenate([[0], np.cumsum(lens)]), ids.astype(np.int32))
+        self.parts[1] = self.merged(self.parts[1], fresh)
+        if len(self.parts[1][0]) > FRESH_WORDS:
+            self.parts = [self.merged(*self.parts), self.empty()]
+
+    @staticmethod
+    def merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        at, lens = np.concatenate([a[1][:-1], b[1][:-1] + len(a[2])])[order], np.concatenate([np.diff(a[1]), np.diff(b[1])])[order]
+        return keys[order], np.concatenate([[0], np.cumsum(lens)]), np.concatenate([a[2], b[2]])[gather(at, lens)]
+
+
 class Encoder:
     """Encodes slices of texts; encode_new(data, starts, ends) gives the flat ids and their number for words not in the table."""
 
     def __init__(self, v: Vocabulary, encode_new: Callable | None = None):
-        self.v, self.encode_new = v, encode_new or self.merge_new
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.at, self.lens = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.v, self.encode_new, self.table = v, encode_new or self.merge_new, WordTable()
 
     def merge_new(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return merge_words(self.v, data[gather(s, e - s)], e - s)
@@ -191,30 +226,29 @@ class Encoder:
         """Flat ids of all texts of the column, and the offsets of the texts among them."""
         data, off = buffers(col)
         s, e, rows, forced = split_words(data, off, self.v.added)
-        h = span_hashes(data, s, e, lower=False)
-        keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > MEMO_WORDS:
-            self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
-        new = first[~known]
-        if len(new):
-            ids, lens = self.encode_new(data, s[new], e[new])
-            starts = len(self.ids) + np.cumsum(lens) - lens
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.keys, self.at, self.lens = (np.insert(a, at[~known], b) for a, b in ((self.keys, keys[~known]), (self.at, starts), (self.lens, lens)))
-            at = np.searchsorted(self.keys, keys)
-        w = at[inverse]
-        ids = self.ids[gather(self.at[w], self.lens[w])] if len(w) else np.zeros(0, np.int32)
-        n = np.concatenate([[0], np.cumsum(self.lens[w])]) if len(w) else np.zeros(1, np.int64)
-        if (forced >= 0).any():
-            parts, ends = [], [0]
-            for k in range(len(w)):
-                parts.append(np.array([forced[k]], np.int32) if forced[k] >= 0 else ids[n[k] : n[k + 1]])
-                ends.append(ends[-1] + len(parts[-1]))
-            ids, n = np.concatenate(parts), np.array(ends)
-        return ids, n[rows]
+        keys, first, inverse = np.unique(span_hashes(data, s, e, lower=False), return_index=True, return_inverse=True)
+        part, place = self.table.find(keys)
+        new = part < 0
+        ids, lens = self.encode_new(data, s[first[new]], e[first[new]]) if new.any() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        # the ids of the distinct words of this piece, one after the other: known ones, then new ones
+        flat, at, n = [ids.astype(np.int32)], np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[new], n[new] = np.cumsum(lens) - lens, lens
+        total = len(ids)
+        for k, (_, off_k, ids_k) in enumerate(self.table.parts):
+            own = np.flatnonzero(part == k)
+            n[own] = off_k[place[own] + 1] - off_k[place[own]]
+            flat.append(ids_k[gather(off_k[place[own]], n[own])])
+            at[own] = total + np.cumsum(n[own]) - n[own]
+            total += len(flat[-1])
+        if new.any():
+            self.table.add(keys[new], ids, lens)
+        if (forced >= 0).any():  # an added token has an id of its own, whatever its characters
+            special = np.flatnonzero(forced >= 0)
+            flat.append(forced[special].astype(np.int32))
+            inverse[special] = len(at) + np.arange(len(special))
+            at, n = np.concatenate([at, total + np.arange(len(special))]), np.concatenate([n, np.ones(len(special), np.int64)])
+        out = np.concatenate(flat)[gather(at[inverse], n[inverse])]
+        return out, np.concatenate([[0], np.cumsum(n[inverse])])[rows]
 
 
 def decode_flat(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> list[str]:
@@ -224,15 +258,16 @@ def decode_flat(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> list[str]:
     return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
 
 
-_tables: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def worker_encoder(text: str) -> Encoder:
-    key = f"{len(text)}-{hash(text)}"
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = Encoder(Vocabulary(text))
-    return _tables[key]
+def worker_encoder(text: str, maker: Callable[[str], Callable] | None = None) -> Encoder:
+    """The encoder of this worker process for a vocabulary; maker gives its encode_new, else words are merged here."""
+    key = (hashlib.sha256(text.encode()).hexdigest(), maker is None)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(Vocabulary(text), maker(text) if maker else None)
+    return _encoders[key]
 
 
 def read_vocabulary(path: str) -> str:
@@ -249,7 +284,7 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value)
-        for piece in slices(batches):
+        for piece in slices(batches, most=PIECE_BYTES):
             flat, off = encoder(text_of(piece))
             col = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*piece.columns, col], names=schema.names)
@@ -283,7 +318,24 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return plain.mapInArrow(run, schema)
 
 
-def digests(rows: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    return rows.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256")
-    )
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the text decoded from them.
+
+    Encodes, decodes and digests a piece of texts in one pass of one worker, so that ids and decoded texts never leave it."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(shared.value)
+        decimal = [f"{i},".encode() for i in range(encoder.v.size)]
+        digits, digits_len = np.frombuffer(b"".join(decimal), np.uint8), np.array([len(d) for d in decimal])
+        digits_at = np.cumsum(digits_len) - digits_len
+        for piece in slices(batches, most=PIECE_BYTES):
+            ids, off = encoder(text_of(piece))
+            line = digits[gather(digits_at[ids], digits_len[ids])].tobytes()
+            ends = np.concatenate([[0], np.cumsum(digits_len[ids])])[off]
+            of_ids = [hashlib.sha256(line[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            of_text = [hashlib.sha256(t.encode()).hexdigest() for t in decode_flat(encoder.v, ids, off)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(off)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, Vocabulary, byte_letters, read_vocabulary
+from .bpe import PIECE_BYTES, Vocabulary, byte_letters, read_vocabulary, worker_encoder
 from .common import bounded_batches, new_path, slices, text_of, written
 
 MAGIC = b"DAC1"
@@ -134,9 +134,6 @@ def library_words(text: str):
     return encode_new
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> DataFrame:
     """Encodes the texts by the tokenizers library, appends end_id to each and writes .dac files in order of doc_id.
 
@@ -151,10 +148,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> Dat
     where = new_path(spark, "dac")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-        if len(shared.value) not in _encoders:
-            _encoders[len(shared.value)] = Encoder(Vocabulary(shared.value), library_words(shared.value))
-        encoder = _encoders[len(shared.value)]
-        for piece in slices(batches):
+        encoder = worker_encoder(shared.value, library_words)
+        for piece in slices(batches, most=PIECE_BYTES):
             ids, off = encoder(text_of(piece))
             yield piece.column("doc_id").to_pylist(), np.insert(ids, off[1:], end_id).astype(kind), off + np.arange(len(off))
 

@@ -66,9 +66,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path))
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,23 +251,29 @@ def test_bpe_like_the_library(spark):
 
     path, t = tokenizer()
     df = docs(spark, TEXTS).withColumnRenamed("source", "ids").repartition(3)
-    out = bpe.digests(bpe.decode(bpe.encode(df, path), path)).collect()
+    out = bpe.digests(df, path).collect()
+    back = {x.doc_id: (x.ids, x.decoded) for x in bpe.decode(bpe.encode(df, path), path).collect()}
     for x in out:
         ids = t.encode(TEXTS[x.doc_id] or "", add_special_tokens=False).ids
         assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert x.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert back[x.doc_id] == (ids, t.decode(ids, skip_special_tokens=False))
     assert len(out) == len(TEXTS) and bpe.encode(df.where("false"), path).count() == 0
 
 
-def test_bpe_random_characters():
+@pytest.mark.parametrize("words", [200_000, 300])
+def test_bpe_random_characters(words, monkeypatch):
     from newsloom.llm import bpe
 
+    monkeypatch.setattr(bpe, "MEMO_WORDS", words)
+    monkeypatch.setattr(bpe, "FRESH_WORDS", words // 10)
     path, t = tokenizer()
     e, r = bpe.Encoder(bpe.Vocabulary(bpe.read_vocabulary(path))), random.Random(1)
     al = "a b'\n\t\r.,!stlredvm0129é ñ日 ​😀   -_<|>\x1c\u0107"
     texts = ["".join(r.choice(al) for _ in range(r.randrange(60))) for _ in range(3000)]
-    ids, off = e(pa.array(texts))
-    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    for piece in (texts[:1000], texts[500:2500], texts[2000:], ["<|endoftext|>", "a<|endoftext|><|endoftext|>b"]):
+        ids, off = e(pa.array(piece))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [x.ids for x in t.encode_batch(piece, add_special_tokens=False)]
     raw = [r.randrange(50257) for _ in range(500)]
     assert bpe.decode_flat(e.v, np.array(raw), np.array([0, 500])) == [t.decode(raw, skip_special_tokens=False)]
 
