@@ -31,8 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes, decodes and digests what is left."""
-    path = vocabulary_path()
-    return bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path))
+    return bpe.digests(docs, vocabulary_path())
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]
