@@ -3,17 +3,20 @@
 Each of `CODES` codes turns the space at random and cuts it in two blocks; its filters are all concatenations of one of
 `WORDS` random codewords for each block, so WORDS squared directions on the sphere. A vector is list-decoded to every
 direction with which its inner product is at least a cap, without looking at the others: the best word of one block
-bounds which words of the other can follow. The cap is `CAP` up to 64 dimensions; beyond, that which a vector exceeds as often
-as CAP at 64. Of pairs of random vectors with a cosine of exactly 0.93, 99.8 in 100 share a filter
-(measured at 64 dimensions), and more of closer ones.
+bounds which words of the other can follow. The cap is `CAP` at 64 dimensions. Shorter vectors are filled with zeros to 64, which
+changes no inner product, so their filters are as many and as good; beyond 64 the cap is that which a vector exceeds as often as
+CAP at 64. Of pairs with a cosine of exactly 0.93 about 998 in 1000 share a filter, whatever the dimension, and more of closer ones;
+a vector exceeds about 71 filters on average.
 
 Vectors of a label meet in a filter and are compared there exactly, in double precision. Those that have a link in a filter come
 again with the list of their filters; then each pair counts in the first filter that both exceed. Filters with many
-vectors are compared in pairs of chunks.
+vectors are compared in pairs of chunks, as n_links counts every pair.
 
-Equal vectors of a label count as one, with a weight, until the end. Vectors without a label, null or zero vectors and those
-with null or non-finite components link with nothing. vec_id identifies vectors; repeated rows
-are copies of each other. An empty table gives none. Other columns are ignored.
+Equal vectors of a label count as one class, with a weight, until the end. Vectors without a label, null or zero vectors and those
+with null or non-finite components link with nothing, nor do vectors of different lengths. vec_id identifies vectors: rows that
+repeat it are one vector, never linked with each other, in one component; n_links sums the links of its rows with rows of other ids (to
+take out links within an id, rows of one id that differ are compared in all pairs). Rows without vec_id have no links and no
+component and are not kept. An empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +37,13 @@ LEAST = 0.93
 CODES, WORDS, CAP, SEED = 4, 512, 0.455, 20240131
 #: Dimensions that CAP is made for, and the filters that a vector must be expected to exceed.
 CAP_DIM, FEWEST = 64, 50
-#: Vectors of a filter that are compared in one piece.
-CHUNK = 1000
+#: Vectors of a filter that are compared in one piece, and filters whose members are marked at once.
+CHUNK, MARKED = 500, 2048
 
 
 def product_codes(dim: int, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each code a rotation and the words of its two blocks, of length 1 / sqrt(2)."""
-    out = []
+    """For each code of at least CAP_DIM dimensions a rotation and the words of its two blocks, of length 1 / sqrt(2)."""
+    out, dim = [], max(dim, CAP_DIM)
     for k in range(CODES):
         rng = np.random.default_rng([seed, dim, k])
         turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
@@ -76,6 +79,7 @@ def list_decode(x: np.ndarray, codes: list[tuple[np.ndarray, np.ndarray, np.ndar
     """Rows of unit vectors x, ascending, and the filters that they exceed: (code * WORDS + first word) * WORDS + second word."""
     cap = cap_of(x.shape[1]) if cap is None else cap
     rows, ids = [], []
+    x = np.pad(x, ((0, 0), (0, max(0, len(codes[0][0]) - x.shape[1]))))
     for c, (turn, first, second) in enumerate(codes):
         y = x @ turn
         left, right = y[:, : first.shape[1]] @ first.T, y[:, first.shape[1] :] @ second.T
@@ -107,7 +111,7 @@ def marked(vectors: DataFrame) -> DataFrame:
 
 
 def filters(classes: DataFrame, kind: str) -> DataFrame:
-    """rep, label, dim, n, packed (the vector), found (bytes of the filters it exceeds) and filters."""
+    """class, label, dim, n, packed (the vector), found (bytes of the filters it exceeds) and filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list] = {}
@@ -127,23 +131,23 @@ def filters(classes: DataFrame, kind: str) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(f))
                     found = pa.array([f[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [take.column("rep"), take.column("label"), pa.array(np.full(len(take), dim, np.int32)), take.column("n"), packed, found, lists],
-                        names=["rep", "label", "dim", "n", "packed", "found", "filters"],
+                        [take.column("class"), take.column("label"), pa.array(np.full(len(take), dim, np.int32)), take.column("n"), packed, found, lists],
+                        names=["class", "label", "dim", "n", "packed", "found", "filters"],
                     )
 
     label = classes.schema["label"].dataType.simpleString()
-    return classes.mapInArrow(run, f"rep long, label {label}, dim int, n long, packed binary, found binary, filters array<int>")
+    return classes.mapInArrow(run, f"class long, label {label}, dim int, n long, packed binary, found binary, filters array<int>")
 
 
 KEYS = ["label", "dim", "filter"]
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """Rows (label, dim, filter, rep) of filters with two vectors or more, once for each pair (low, high) of chunks that they belong to."""
+    """Rows (label, dim, filter, class) of filters with two vectors or more, once for each pair (low, high) of chunks that they belong to."""
     sizes = rows.groupBy(KEYS).agg(F.count("*").alias("size")).where("size > 1")
-    met = rows.join(sizes, KEYS).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    met = rows.join(sizes, KEYS).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return met.select(*KEYS, "rep", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
+    return met.select(*KEYS, "class", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -156,8 +160,8 @@ def groups_of(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa
                 yield part, bounds[run[0] : run[-1] + 2] - bounds[run[0]], unit_rows(part.column("packed"), kind)
 
 
-def linked_pairs(x: np.ndarray, chunk: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    hit = np.triu(x @ x.T >= LEAST, 1)
+def linked_pairs(x: np.ndarray, chunk: np.ndarray, cross: bool, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    hit = np.triu(x @ x.T >= least, 1)
     if cross:
         hit &= chunk[:, None] != chunk[None, :]
     return np.nonzero(hit)
@@ -165,11 +169,11 @@ def linked_pairs(x: np.ndarray, chunk: np.ndarray, cross: bool) -> tuple[np.ndar
 
 def dealt(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *KEYS, "low", "high").sortWithinPartitions(*KEYS, "low", "high", "rep")
+    return rows.repartition(parts, *KEYS, "low", "high").sortWithinPartitions(*KEYS, "low", "high", "class")
 
 
 def meeting(rows: DataFrame, kind: str) -> DataFrame:
-    """label, dim, filter and rep of vectors that have a link in the filter."""
+    """label, dim, filter and class of vectors that have a link in the filter, or miss it by a rounding error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds, x in groups_of(batches, kind):
@@ -180,12 +184,28 @@ def meeting(rows: DataFrame, kind: str) -> DataFrame:
             some[near] = some[near + 1] = True
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if b - a > 2:
-                    i, j = linked_pairs(x[a:b], chunk[a:b], cross[a])
+                    i, j = linked_pairs(x[a:b], chunk[a:b], cross[a], LEAST - 1e-9)
                     some[a + i] = some[a + j] = True
-            yield from t.select([*KEYS, "rep"]).filter(pa.array(some)).to_batches()
+            yield from t.select([*KEYS, "class"]).filter(pa.array(some)).to_batches()
 
     label = rows.schema["label"].dataType.simpleString()
-    return dealt(rows).mapInArrow(run, f"label {label}, dim int, filter int, rep long").distinct()
+    return dealt(rows).mapInArrow(run, f"label {label}, dim int, filter int, class long").distinct()
+
+
+def apart(found: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs (i, j) of members whether their sorted lists have no common value; values of one member only need no look."""
+    names, code, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    code, who = (np.cumsum(times > 1) - 1)[code[keep := times[code] > 1]], who[keep]
+    order = np.argsort(code, kind="stable")
+    code, who = code[order], who[order]
+    met = np.zeros(len(i), bool)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, MARKED):
+        a, b = np.searchsorted(code, [at, at + MARKED])
+        sets = np.zeros((len(found), MARKED), np.float32)
+        sets[who[a:b], code[a:b] - at] = 1
+        met |= (sets @ sets.T)[i, j] > 0
+    return ~met
 
 
 def counted(rows: DataFrame, kind: str) -> DataFrame:
@@ -208,18 +228,14 @@ def counted(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds, x in groups_of(batches, kind):
-            rep, n, chunk, this = (t.column(c).to_numpy() for c in ("rep", "n", "chunk", "filter"))
+            rep, n, chunk, this = (t.column(c).to_numpy() for c in ("class", "n", "chunk", "filter"))
             cross = t.column("low").to_numpy() != t.column("high").to_numpy()
             found = [np.frombuffer(v, np.int32) for v in t.column("found").to_pylist()]
             out: list[tuple[int, int | None, int]] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 i, j = linked_pairs(x[a:b], chunk[a:b], cross[a])
-                before = [f[f < this[a]] for f in found[a:b]]
-                names, code = np.unique(np.concatenate(before), return_inverse=True)
-                if len(names) and len(i):
-                    sets = np.zeros((b - a, len(names)), np.float32)
-                    sets[np.repeat(np.arange(b - a), [len(f) for f in before]), code] = 1
-                    first = (sets @ sets.T)[i, j] == 0
+                if len(i):
+                    first = apart([f[f < this[a]] for f in found[a:b]], i, j)
                     i, j = i[first], j[first]
                 if len(i):
                     own, w = rep[a:b], n[a:b]
@@ -232,22 +248,39 @@ def counted(rows: DataFrame, kind: str) -> DataFrame:
     return dealt(rows).mapInArrow(run, "id long, other long, n long")
 
 
+def within_ids(rows: DataFrame) -> DataFrame:
+    """(vec_id, own): ordered pairs of linked rows of one vec_id, a row with itself included, from rows(vec_id, class, label, vector, times)."""
+    same = rows.groupBy("vec_id").agg(F.sum(F.col("times") * F.col("times")).alias("own"), F.count("*").alias("kinds"))
+    repeated = rows.join(same.where("kinds > 1").select("vec_id"), "vec_id")
+    a, b = (repeated.select("vec_id", "label", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "vector", "times"))) for k in "ab")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+    cosine = dot("vector_a", "vector_b") / F.sqrt(dot("vector_a", "vector_a") * dot("vector_b", "vector_b"))
+    pairs = a.join(b, ["vec_id", "label"]).where((F.col("class_a") != F.col("class_b")) & (F.size("vector_a") == F.size("vector_b")) & (cosine >= LEAST))
+    more = pairs.groupBy("vec_id").agg(F.sum(F.col("times_a") * F.col("times_b")).alias("more"))
+    return same.join(more, "vec_id", "left").select("vec_id", (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"))
+
+
 def link_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors(vec_id, label, embedding)."""
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     every = marked(vectors)
-    ok = every.where("fine").drop("fine")
-    classes = written(ok.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    coded = written(filters(classes.select("rep", "label", "n", "vector"), kind), "filters")
-    met = chunked(coded.select("label", "dim", "rep", F.explode("filters").alias("filter")))
-    near = written(meeting(met.join(coded.select("rep", "packed"), "rep"), kind), "meetings")
-    found = written(counted(chunked(near).join(coded.select("rep", "n", "packed", "found"), "rep"), kind), "links")
-    counts = found.where("other is null").groupBy("id").agg(F.sum("n").alias("links"))
-    joined = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = (
-        classes.join(counts, classes.rep == counts.id, "left").drop("id").join(joined, F.col("rep") == joined.id, "left")
-        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    )
-    linked = ok.join(known, ["label", "vector"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-    alone = every.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    rows = every.where("fine").groupBy("vec_id", "label", "vector").agg(F.count("*").alias("times"))
+    classes = written(rows.groupBy("label", "vector").agg(F.sum("times").alias("n")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    rows = written(rows.join(classes.select("class", "label", "vector"), ["label", "vector"]), "vectors")
+    coded = written(filters(classes, kind), "filters")
+    met = chunked(coded.select("label", "dim", "class", F.explode("filters").alias("filter")))
+    near = written(meeting(met.join(coded.select("class", "packed"), "class"), kind), "meetings")
+    found = written(counted(chunked(near).join(coded.select("class", "n", "packed", "found"), "class"), kind), "links")
+
+    counts = found.where("other is null").groupBy(F.col("id").alias("class")).agg(F.sum("n").alias("links"))
+    every_class = classes.select("class", "n").join(counts, "class", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("n")).alias("links"))
+    ids = rows.select("vec_id", "class", "times").join(every_class, "class").groupBy("vec_id").agg(F.sum(F.col("times") * F.col("links")).alias("links"), F.min("class").alias("first"))
+    # classes that hold rows of one vec_id are one component; a component is named by its smallest vec_id
+    joined = rows.select("vec_id", "class").join(ids.select("vec_id", "first"), "vec_id").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    reach = written(components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).union(joined)), "components")
+    own = ids.select("vec_id", F.col("first").alias("id")).join(reach, "id", "left").select("vec_id", F.coalesce("component", "id").alias("component"))
+    names = own.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    known = ids.join(within_ids(rows), "vec_id").join(own.join(names, "component"), "vec_id").select(F.col("vec_id").alias("id"), (F.col("links") - F.col("own")).alias("n_links"), "component_id")
+    out = every.select("vec_id").join(known, F.col("vec_id") == known["id"], "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
