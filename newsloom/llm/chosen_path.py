@@ -4,18 +4,20 @@ A document is the set of its distinct five-word shingles. Independent trees bran
 selected minwise coordinates: a document falls into one child per selected coordinate, so two documents with
 similarity s meet again in about s / SPLIT children of a node they share. Nodes of at most LEAF documents
 are compared exhaustively by their minwise values. In a larger one, those alike to a picked document form a cluster with it,
-as branching would not part them; each of the others is compared with all of them, and the others branch on. Nodes that are
-still large at the last level are compared in all pairs of blocks. Trees are added until, at the depth that they reached, all of
-them together lose at most MISS of the pairs at exactly the threshold that have enough equal minwise values to be candidates.
+as branching would not part them; each of the others is compared with all of them, and the others branch on. Nodes of at most
+LOCAL documents branch inside one task, larger ones as a round of Spark jobs, in pairs of blocks where they compare. Nodes that
+are still large at the last level are compared exhaustively too, so no size loses a pair. Trees are added until, at the depth
+that they reached, all of them together lose at most MISS of the pairs at exactly the threshold that have enough equal minwise
+values to be candidates.
 
 What is alike by minwise values forms clusters. In a cluster, chunks of documents and the cluster's best connected ones
 are compared exhaustively on the full shingle sets; of clusters with several chunks, documents outside the component of
-the best connected one are then compared with all others in blocks. Equal sets count as one document until the end.
+the best connected one are then compared with all others in blocks. Equal sets count as one class until the end.
 Pairs are never written: each group gives stars of what is linked in it.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing; a text of fewer words is one shingle.
-doc_id identifies documents: rows that repeat it share a component, and rows without one have no component and are not
-kept. An empty table gives none. Other columns are ignored or kept.
+doc_id identifies documents: rows that repeat it share one component, to which each of their texts can link; rows without it have
+no component and are not kept. An empty table gives none. Other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -37,13 +39,17 @@ from .components import components
 WIDTH = 5
 #: Similarity in hundredths.
 LEAST = 75
-COORDINATES, TREES, LEAF, LEVELS = 96, 12, 100, 10
+COORDINATES, TREES, LEVELS = 96, 12, 10
+#: Documents of a node that are compared exhaustively, and of one that branches inside a task.
+LEAF, LOCAL = 500, 8000
 #: Share of the candidate pairs at exactly the threshold that all trees may lose.
 MISS = 3e-5
 #: Documents of a large node of which the one that is alike to most of the others is picked; documents of one side of a comparison.
 PICKS, BLOCK = 8, 4096
-#: Best connected documents of a cluster that come to each of its chunks; shingles of a chunk.
-HUBS, CHUNK_SHINGLES = 8, 200_000
+#: Best connected documents of a cluster that come to each of its chunks; documents and shingles of a chunk.
+HUBS, CHUNK_DOCS, CHUNK_SHINGLES = 8, 700, 400_000
+#: Shingles that so many documents of a chunk have are counted by matrix products, that many at once.
+COMMON, MARKED = 16, 2048
 #: Selected coordinates of a node on average are 1 / SPLIT.
 SPLIT = 0.7
 #: Equal minwise values, of COORDINATES, that make a candidate: four standard deviations below the threshold.
@@ -221,10 +227,10 @@ def all_of(frames: list[DataFrame]) -> DataFrame:
 
 
 def in_blocks(large: DataFrame) -> DataFrame:
-    """(node, chunk, doc_id) of large nodes(node, n, doc_id), once for each pair of blocks that a document belongs to."""
+    """(node, level, doc_id) of large nodes(node, n, doc_id), with a node for each pair of blocks that a document belongs to."""
     rows = large.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", "doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> with or own = 0")
-    return rows.select("node", (F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).cast("long").alias("chunk"), "doc_id")
+    return rows.select(F.xxhash64("node", F.least("own", "with"), F.greatest("own", "with")).alias("node"), F.lit(LEVELS).alias("level"), "doc_id")
 
 
 def in_sides(step: DataFrame, counts: DataFrame) -> DataFrame:
@@ -242,7 +248,7 @@ def alike_stars(reps: DataFrame) -> DataFrame:
     found, done, need = [], 0, TREES
     while len(roots := ROOTS[done:need]):
         stars, depth = stars_of(reps, roots)
-        found.append(written(stars, "stars"))
+        found.append(stars)
         done, need = need, max(need, trees_for(depth))
     return all_of(found).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -251,14 +257,14 @@ def stars_of(reps: DataFrame, roots: np.ndarray) -> tuple[DataFrame, int]:
     """(a, b, n) of what is alike in the trees of the roots, and the number of levels that they have."""
     rows, groups, sides, stars = first_level(reps, roots), [], [], []
     brief = reps.select("doc_id", "brief")
-    for level in range(LEVELS):
+    for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         both = written(rows.join(sizes, "node"), "nodes")
-        groups.append(both.where(F.col("n") <= LEAF).select("node", F.lit(0).cast("long").alias("chunk"), "doc_id"))
-        large = both.where(F.col("n") > LEAF)
+        groups.append(both.where(F.col("n") <= LOCAL).select("node", F.lit(level).alias("level"), "doc_id"))
+        large = both.where(F.col("n") > LOCAL)
         if large.isEmpty():
             break
-        if level == LEVELS - 1:
+        if level == LEVELS:
             groups.append(in_blocks(large))
             break
         firsts = written(picked(large, brief), "picked")
@@ -268,62 +274,99 @@ def stars_of(reps: DataFrame, roots: np.ndarray) -> tuple[DataFrame, int]:
         stars.append(step.where("near and doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1).cast("long").alias("n")))
         sides.append(in_sides(step, counts.drop("b")))
         rows = step.where("not near").select(F.explode("children").alias("node"), "doc_id")
-    stars.append(clusters(all_of(groups), brief))
+    stars.append(branched(all_of(groups), brief))
     if sides:
         stars.append(beside(all_of(sides), brief))
-    return all_of(stars), level + 1
+    stars = written(all_of(stars), "stars")
+    deepest = stars.where("a is null").agg(F.max("n")).first()[0]
+    return stars.where("a is not null"), max(level, deepest or 0)
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-class Sets:
-    """Disjoint sets of 0 to n - 1; the smallest number of a set stands for it."""
-
-    def __init__(self, n: int):
-        self.root = list(range(n))
-
-    def top(self, v: int) -> int:
-        root = self.root
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        self.root[max(a, b)] = min(a, b)
-        return a != b
-
-    def tops(self) -> np.ndarray:
-        return np.array([self.top(v) for v in range(len(self.root))], np.int64)
+def alike_in(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column of words the first one that it reaches by what is alike, and how many it is alike."""
+    top, n = np.arange(w.shape[1]), np.zeros(w.shape[1], np.int64)
+    for k in range(w.shape[1] - 1):
+        near = k + 1 + np.flatnonzero(equal(w[:, k + 1 :], w[:, k]) >= ALIKE)
+        if not len(near):
+            continue
+        n[k] += len(near)
+        n[near] += 1
+        own = np.append(top[near], top[k])
+        if (own != own[0]).any():
+            top[np.isin(top, own)] = own.min()
+    return top, n
+
+
+def alike_across(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each right column of words the number of left ones that it is alike."""
+    n = np.zeros(right.shape[1], np.int64)
+    if left.shape[1] <= right.shape[1]:
+        for k in range(left.shape[1]):
+            n += equal(right, left[:, k]) >= ALIKE
+    else:
+        for k in range(right.shape[1]):
+            n[k] = (equal(left, right[:, k]) >= ALIKE).sum()
+    return n
+
+
+def branch(m: np.ndarray, node: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Branches the rows of brief values m from a node on that level: stars (a, b, n) of row numbers, and the deepest level."""
+    words, out, deepest = words_of(m), [(np.zeros(0, np.int64),) * 3], level
+    todo = [(node, level, np.arange(len(m)))]
+    while todo:
+        node, level, rows = todo.pop()
+        deepest = max(deepest, level)
+        if len(rows) == 2:
+            if (m[rows[0]] == m[rows[1]]).sum() >= ALIKE:
+                out.append((rows[:1], rows[1:], np.ones(1, np.int64)))
+            continue
+        if len(rows) <= LEAF or level >= LEVELS:
+            top, n = alike_in(words[:, rows])
+            some = np.flatnonzero(n)
+            out.append((rows[top[some]], rows[some], n[some]))
+            continue
+        own = words[:, rows]
+        picks = np.argsort(mix(rows.astype(np.uint64) ^ np.int64(node).view(np.uint64)), kind="stable")[:PICKS]
+        near = max((equal(own, own[:, k]) >= ALIKE for k in picks.tolist()), key=lambda x: int(x.sum()))
+        inner, outer = np.flatnonzero(near), np.flatnonzero(~near)
+        if len(inner) > 1:
+            first = rows[inner[0]]
+            n = alike_across(own[:, inner], own[:, outer])
+            some = np.flatnonzero(n)
+            ends = np.concatenate([rows[inner], rows[outer[some]]])
+            out.append((np.full(len(ends), first), ends, np.concatenate([np.full(len(inner), len(inner) - 1), n[some]])))
+        r, child = children(np.full(len(outer), node), m[rows[outer]])
+        order = np.argsort(child, kind="stable")
+        cuts = np.flatnonzero(np.diff(child[order])) + 1
+        todo += [(int(child[order[a]]), level + 1, rows[outer[r[order[a:b]]]]) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(r)]) if b - a > 1]
+    a, b, n = (np.concatenate(x) for x in zip(*out))
+    return a, b, n, deepest
 
 
-def clusters(rows: DataFrame, brief: DataFrame) -> DataFrame:
-    """(a, b, n) of what is alike in each group of rows(node, chunk, doc_id): stars from the smallest document; n is the number that b is alike."""
+def branched(rows: DataFrame, brief: DataFrame) -> DataFrame:
+    """(a, b, n) of what is alike in each node of rows(node, level, doc_id), which branches on in one task; the deepest level as n beside null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in whole_groups(batches, ["node", "chunk"]):
-            ids, m = t.column("doc_id").to_numpy(), matrix(t.column("brief"), np.uint8)
-            sizes = np.diff(bounds)
-            two = bounds[:-1][sizes == 2]
+        deepest = 0
+        for t, bounds in whole_groups(batches, ["node"]):
+            ids, node, level = (t.column(c).to_numpy() for c in ("doc_id", "node", "level"))
+            m = matrix(t.column("brief"), np.uint8)
+            two = bounds[:-1][np.diff(bounds) == 2]
             two = two[(m[two] == m[two + 1]).sum(1) >= ALIKE]
             out = [(ids[two], ids[two + 1], np.ones(len(two), np.int64))]
-            words = words_of(m)
-            for a, b in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist()):
-                w, top, n = words[:, a:b], np.arange(b - a), np.zeros(b - a, np.int64)
-                for k in range(b - a):
-                    near = np.flatnonzero(equal(w, w[:, k]) >= ALIKE)
-                    n[k] = len(near) - 1
-                    own = top[near]
-                    if (own != own[0]).any():
-                        top[np.isin(top, own)] = own.min()
-                some = np.flatnonzero(n)
-                out.append((ids[a + top[some]], ids[a + some], n[some]))
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if y - x > 2:
+                    a, b, n, depth = branch(m[x:y], int(node[x]), int(level[x]))
+                    deepest = max(deepest, depth)
+                    out.append((ids[x + a], ids[x + b], n))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=PAIR)
+        yield pa.RecordBatch.from_pydict({"a": [None], "b": [None], "n": [deepest]}, schema=PAIR)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.join(brief, "doc_id").repartition(n, "node", "chunk").sortWithinPartitions("node", "chunk", "doc_id")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(brief, "doc_id").repartition(parts, "node").sortWithinPartitions("node", "doc_id")
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
@@ -337,15 +380,7 @@ def beside(rows: DataFrame, brief: DataFrame) -> DataFrame:
             out = [(ids[:0], ids[:0], ids[:0])]
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 left, right = a + np.flatnonzero(near[a:b]), a + np.flatnonzero(~near[a:b])
-                n = np.zeros(len(right), np.int64)
-                if len(left) <= len(right):
-                    w = words[:, right]
-                    for k in left.tolist():
-                        n += equal(w, words[:, k]) >= ALIKE
-                else:
-                    w = words[:, left]
-                    for at, k in enumerate(right.tolist()):
-                        n[at] = (equal(w, words[:, k]) >= ALIKE).sum()
+                n = alike_across(words[:, left], words[:, right])
                 some = np.flatnonzero(n)
                 out.append((first[right[some]], ids[right[some]], n[some]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=PAIR)
@@ -355,108 +390,145 @@ def beside(rows: DataFrame, brief: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
+def shared_shingles(key: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For documents i < j the number of shingles that both have, [i, j] of a square matrix."""
+    n = len(off) - 1
+    doc = np.repeat(np.arange(n), np.diff(off))
+    order = np.argsort(key, kind="stable")
+    doc = doc[order]
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(key)))
+    both = np.zeros((n, n), np.float32)
+    for t in range(2, COMMON):
+        start = first[times == t]
+        for part in np.array_split(start, 1 + len(start) * t * t // 2_000_000):
+            who = doc[part[:, None] + np.arange(t)]
+            i, j = np.triu_indices(t, 1)
+            both += np.bincount((who[:, i] * n + who[:, j]).ravel(), minlength=n * n).reshape(n, n)
+    start, times = first[times >= COMMON], times[times >= COMMON]
+    for at in range(0, len(start), MARKED):
+        size = times[at : at + MARKED]
+        marks = np.zeros((n, len(size)), np.float32)
+        marks[doc[np.repeat(start[at : at + MARKED] - (np.cumsum(size) - size), size) + np.arange(size.sum())], np.repeat(np.arange(len(size)), size)] = 1
+        both += marks @ marks.T
+    return both
+
+
+def joined_rows(text: pa.Array, component: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The component of each text after links between a query and any other; equal numbers are joined already."""
+    key, off = shingle_sets(text)
+    size, (_, top) = np.diff(off), np.unique(component, return_inverse=True)
+    both = np.triu(shared_shingles(key, off), 1)
+    link = (100 * both >= LEAST * (size[:, None] + size[None, :] - both)) & (both > 0) & (query[:, None] | query[None, :]) & (top[:, None] != top[None, :])
+    i, j = np.nonzero(link)
+    while len(i):  # smaller numbers spread along links and through components until none changes
+        least = top.copy()
+        np.minimum.at(least, i, top[j])
+        np.minimum.at(least, j, top[i])
+        lead = np.arange(top.max() + 1)
+        np.minimum.at(lead, top, least)
+        lead = lead[lead]
+        if (lead[top] == top).all():
+            break
+        top = lead[top]
+    return top
+
+
 def linked(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b): stars of what reaches the threshold on full sets in each group of rows(keys, doc_id, brief, component, query).
+    """(a, b): what reaches the threshold on full sets in each group of rows(keys, doc_id, source, set_a, component, query), as stars.
 
-    Compared are pairs that are alike, of which one is a query, and whose components differ, the most alike first; what is linked
-    by then needs no look. Texts come to the rows: if few are needed the rows are broadcast to the documents, else both are shuffled by doc_id.
-    """
-    rows = written(rows.select(*keys, "doc_id", "brief", "component", "query"), "groups")
-    if rows.count() * (COORDINATES + 60) <= BROADCAST_BYTES:
+    Compared are all pairs of which one is a query and whose components differ. Texts, found by the id `source`, come to the rows: if few are
+    needed the rows are broadcast to the documents, else both are shuffled by that id. Of texts under one id that with the row's set counts."""
+    rows = written(rows.select(*keys, "doc_id", F.col("source").alias("text_id"), "set_a", "component", "query"), "groups")
+    if rows.count() * 80 <= BROADCAST_BYTES:
         rows = F.broadcast(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rows, "doc_id")
-
-    def pairs(t: pa.Table) -> list[tuple[int, int]]:
-        ids, m = t.column("doc_id").to_numpy(), matrix(t.column("brief"), np.uint8)
-        query = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        _, comp = np.unique(t.column("component").to_numpy(), return_inverse=True)
-        found = []
-        for k in np.flatnonzero(query).tolist():
-            same = (m == m[k]).sum(1)
-            j = np.flatnonzero((same >= ALIKE) & (comp != comp[k]) & ~(query & (np.arange(len(ids)) < k)))
-            found.append(np.stack([same[j], np.full(len(j), k), j]))
-        found = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        if not found.shape[1]:
-            return []
-        need, at = np.unique(found[1:], return_inverse=True)
-        at = at.reshape(2, -1)
-        text = t.column("text").take(pa.array(need)).combine_chunks()
-        key, off = shingle_sets(pc.fill_null(text, ""))
-        sets = Sets(len(ids))
-        for c in np.unique(comp[need]).tolist():
-            own = need[comp[need] == c].tolist()
-            for x in own[1:]:
-                sets.join(own[0], x)
-        new = False
-        for k in np.argsort(-found[0], kind="stable").tolist():
-            i, j = int(need[at[0, k]]), int(need[at[1, k]])
-            if sets.top(i) == sets.top(j):
-                continue
-            x, y = (key[off[p] : off[p + 1]] for p in at[:, k].tolist())
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            if 100 * len(x) < LEAST * len(y) or not len(x):
-                continue
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if 100 * both >= LEAST * (len(x) + len(y) - both):
-                new |= sets.join(i, j)
-        if not new:
-            return []
-        top = sets.tops()
-        return [(int(ids[a]), int(ids[b])) for a, b in zip(top[need].tolist(), need.tolist()) if a != b]
+    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text").join(rows, "text_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, keys):
-            out = [e for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if b - a > 1 for e in pairs(t.slice(a, b - a))]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            ids, comp, want = (t.column(c).to_numpy() for c in ("doc_id", "component", "set_a"))
+            query, text = t.column("query").to_numpy(zero_copy_only=False).astype(bool), t.column("text").combine_chunks()
+            text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+            out = [(ids[:0], ids[:0])]
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = pc.fill_null(text.slice(x, y - x), "")
+                new = np.append(True, np.diff(ids[x:y]) != 0)
+                if not new.all():  # ids with several rows or texts: the first row with the right set
+                    key, off = shingle_sets(own)
+                    right = np.array([int(key[p:q].sum(dtype=np.uint64).astype(np.int64)) == w for p, q, w in zip(off, off[1:], want[x:y].tolist())])
+                    _, first = np.unique(ids[x:y][right], return_index=True)
+                    keep = np.flatnonzero(right)[first]
+                else:
+                    keep = np.arange(y - x)
+                if len(keep) < 2:
+                    continue
+                at = x + keep
+                top = joined_rows(own.take(pa.array(keep)), comp[at], query[at])
+                order = np.argsort(top, kind="stable")
+                lead = order[np.flatnonzero(np.append(True, np.diff(top[order]) != 0))]
+                first = np.zeros(top.max() + 1, np.int64)
+                first[top[lead]] = at[lead]
+                some = comp[at] != comp[first[top]]
+                out.append((ids[first[top[some]]], ids[at[some]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["a", "b"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = texts.select(*keys, "doc_id", "brief", "component", "query", "text").repartition(n, *keys).sortWithinPartitions(*keys, "doc_id")
+    by = texts.select(*keys, "doc_id", "set_a", "component", "query", "text").repartition(n, *keys).sortWithinPartitions(*keys, "doc_id")
     return by.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
     every = written(describe(docs), "sets")
-    classes = written(every.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(every.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "n_shingles", "values", "brief").dropDuplicates(["doc_id"]), "reps")
+    some = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    classes = every.where(some).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("source")).withColumn("class", F.monotonically_increasing_id())
+    classes = written(classes, "classes")
+    full = every.where(some).withColumnRenamed("doc_id", "source").join(classes, ["source", "set_a", "set_b"]).dropDuplicates(["class"])
+    reps = written(full.select(F.col("class").alias("doc_id"), "source", "set_a", "n_shingles", "values", "brief"), "reps")  # from here on ids are those of classes
     alike = written(alike_stars(reps), "alike")
     cluster = written(components(alike.select("a", "b")).withColumnsRenamed({"id": "doc_id", "component": "cluster"}), "clusters")
 
     # chunks of each cluster, and its best connected documents in each of them
-    own = cluster.join(reps.select("doc_id", "n_shingles", "brief"), "doc_id")
-    sizes = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / LEAF), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    own = cluster.join(reps.select("doc_id", "source", "set_a", "n_shingles"), "doc_id")
+    sizes = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     own = written(own.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")), "members")
     degree = alike.groupBy(F.col("b").alias("doc_id")).agg(F.sum("n").alias("degree"))
     wide = own.where("chunks > 1").join(degree, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     best = wide.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "doc_id"))).where(F.col("place") <= HUBS)
     best = written(best.drop("degree"), "hubs")
     spread = best.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("to <> chunk")
-    rows = own.select("cluster", "chunk", "doc_id", "brief").union(spread.select("cluster", F.col("to").alias("chunk"), "doc_id", "brief"))
+    rows = own.select("cluster", "chunk", "doc_id", "source", "set_a").union(spread.select("cluster", F.col("to").alias("chunk"), "doc_id", "source", "set_a"))
     links = written(linked(rows.select("*", F.col("doc_id").alias("component"), F.lit(True).alias("query")), docs, ["cluster", "chunk"]), "links")
-    found = written(components(links), "components")
 
     # of clusters with several chunks: what is outside the best document's component, against all
     if not best.isEmpty():
+        found = written(components(links), "components")
         state = own.where("chunks > 1").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         main = best.where("place = 1").select("cluster", "doc_id").join(state.select("doc_id", F.col("component").alias("main")), "doc_id").select("cluster", "main")
         state = state.join(F.broadcast(main) if main.count() * 32 <= BROADCAST_BYTES else main, "cluster").withColumn("query", F.col("component") != F.col("main"))
-        open_ = state.groupBy("cluster").agg(F.ceil(F.count_if("query") / LEAF).cast("int").alias("blocks")).where("blocks > 0")
+        open_ = state.groupBy("cluster").agg(F.ceil(F.count_if("query") / CHUNK_DOCS).cast("int").alias("blocks")).where("blocks > 0")
         state = written(state.join(open_, "cluster"), "open")
         asked = state.where("query").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
         asked = asked.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         base = state.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = asked.select("cluster", F.col("to").alias("chunk"), "block", "doc_id", "brief", "component", F.lit(True).alias("query"))
-        rows = rows.union(base.select("cluster", "chunk", "block", "doc_id", "brief", "component", F.lit(False)))
-        more = written(linked(rows, docs, ["cluster", "chunk", "block"]), "links")
-        if not more.isEmpty():
-            found = written(components(links.union(more)), "components")
-    by_set = classes.join(found, classes.rep == found.id, "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    out = every.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(by_set, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        cols = ["cluster", "chunk", "block", "doc_id", "source", "set_a", "component", "query"]
+        rows = asked.withColumn("chunk", F.col("to")).select(*cols).union(base.select(*cols)).groupBy(*cols[:-1]).agg(F.max("query").alias("query"))
+        links = links.union(written(linked(rows, docs, ["cluster", "chunk", "block"]), "links"))
+
+    # classes that hold rows of one doc_id are one component; a component is named by its smallest doc_id
+    ids = every.where(some).select("doc_id", "set_a", "set_b").join(classes.drop("source"), ["set_a", "set_b"]).select("doc_id", "class").distinct()
+    ids = written(ids.join(ids.groupBy("doc_id").agg(F.min("class").alias("first")), "doc_id"), "ids")
+    more = ids.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
+    found = written(components(links.union(more)), "components")
+    own = ids.where("class = first").join(found, ids["first"] == found["id"], "left").select("doc_id", F.coalesce("component", "first").alias("group"))
+    names = own.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = own.join(names, "group").select(F.col("doc_id").alias("id"), "component_id")
+    out = every.select("doc_id", "n_shingles").join(named, F.col("doc_id") == named["id"], "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those whose component holds a smaller doc_id; columns as before."""
-    gone = near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone"))
+    return docs.alias("docs").join(gone.alias("found"), F.col("docs.doc_id") == F.col("found.gone"), "left_anti")
