@@ -155,7 +155,7 @@ _LOWER_CODES = _CODES[LOWER]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, at least n of them."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _UNBASE)):
@@ -181,7 +181,7 @@ def find_words(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[n
 
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of the byte spans [s, e); never 0."""
-    up, down = _power(len(data) + 1)
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER_CODES if lower else _CODES)[data] * up[: len(data)], out=total[1:])
     return mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)) | np.uint64(1)

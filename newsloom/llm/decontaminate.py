@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays of the training words.
 
-Each shard (a slice of documents) gets a suffix array over its words; every suffix of every test
-item is binary-searched in it, which gives the longest verbatim match and all its places. A window
-is `width` consecutive item words (a shorter item is one window); document words inside any
-occurrence of a window are hit.
+Each shard (a slice of documents, which grows with the benchmark up to a bound) gets a suffix array over its words; every distinct window
+of the test items is binary-searched in it, which gives all its places. A window is `width` consecutive item words (a shorter
+item is one window); document words inside any occurrence of a window are hit. From each place of a window the longest
+verbatim match is read off the two neighbours that the place has among the sorted test suffixes with that window.
+
+Places of different windows of one width differ, so work is linear in the words of a shard, however often words repeat.
 
 Nulls: a null text has no words and no hits; items without words are ignored; a null item_id counts as
-an empty one. Repeated rows and ties are treated row by row. An empty documents table gives none,
-an empty benchmark no hits. Other columns of documents are kept, unless they have the names of results.
+an empty one. Repeated rows and ties are treated row by row; of longest matches that tie the first one counts. An empty documents
+table gives none, an empty benchmark no hits. Other columns of documents are kept, unless they have the names of results.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, BROADCAST_BYTES, bounded_batches, slices, text_of, word_hashes
+from .common import ALNUM, SLICE_BYTES, bounded_batches, mix, powers, slices, text_of, word_hashes
 
+#: Benchmark text that is searched at once; the shard is as large, between SLICE_BYTES and SHARD_BYTES.
+BLOCK_BYTES, SHARD_BYTES = 8_000_000, 3_000_000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 #: Words: lower-cased A-Z, letters, digits and everything beyond ASCII.
 RESULTS = {"n_words": T.LongType(), "hit_spans": SPANS, "hit_items": T.ArrayType(T.StringType()), "longest": T.LongType(), "longest_at": T.LongType()}
@@ -69,24 +73,56 @@ def narrow(h: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, k:
     return first, bound(first, hi, True)
 
 
-def search(h: np.ndarray, order: np.ndarray, test: np.ndarray, left: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each test position with a window (its length, else 0) that occurs: the position, and the range of the suffix array."""
-    n = len(order)
-    who = np.flatnonzero(window > 0)
-    lo, hi = np.zeros(len(who), np.int64), np.full(len(who), n, np.int64)
-    found = []
+def search(h: np.ndarray, order: np.ndarray, test: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows that occur in the shard, each with its range of the suffix array."""
+    who = np.arange(len(test["at"]))
+    lo, hi, found = np.zeros(len(who), np.int64), np.full(len(who), len(order), np.int64), []
     k = 0
     while len(who):
-        lo, hi = narrow(h, order, lo, hi, k, test[who + k])
+        lo, hi = narrow(h, order, lo, hi, k, test["words"][test["at"][who] + k])
         live = lo < hi
         who, lo, hi = who[live], lo[live], hi[live]
         k += 1
-        done = window[who] == k
+        done = test["width"][who] == k
         found.append((who[done], lo[done], hi[done]))
         who, lo, hi = who[~done], lo[~done], hi[~done]
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
+def prefix_sums(h: np.ndarray) -> np.ndarray:
+    """By which runs of words are compared, see `common_words`."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(len(h) + 1)[0][: len(h)], dtype=np.uint64)])
+
+
+def common_words(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many words from p on equal those from q on, between low and high; a and b are prefix sums."""
+    down = powers(max(len(a), len(b)) + 1)[1]
+    low, high = low.copy(), np.minimum(high, np.minimum(len(a) - 1 - p, len(b) - 1 - q))
+    while (open_ := low < high).any():
+        mid = (low + high + 1) // 2
+        same = (a[p + mid] - a[p]) * down[p] == (b[q + mid] - b[q]) * down[q]
+        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+    return low
+
+
+def longest_matches(h: np.ndarray, place: np.ndarray, window: np.ndarray, test: dict) -> np.ndarray:
+    """Words of the longest match with a test item that begins at each place, where the given window occurs."""
+    a, b = prefix_sums(h), test["sums"]
+    width, first, last = test["width"][window], test["off"][window], test["off"][window + 1]
+
+    def match(q: np.ndarray) -> np.ndarray:
+        return common_words(a, place, b, q, width, test["left"][q])
+
+    lo, hi = first.copy(), last.copy()
+    while (open_ := lo < hi).any():
+        mid = np.minimum((lo + hi) // 2, last - 1)
+        q = test["sorted"][mid]
+        n = match(q)
+        smaller = (test["left"][q] == n) | (test["words"][q + n] < h[place + n])  # an item that ends comes first
+        lo, hi = np.where(open_ & smaller, mid + 1, lo), np.where(open_ & ~smaller, mid, hi)
+    return np.maximum(match(test["sorted"][np.maximum(lo - 1, first)]), match(test["sorted"][np.minimum(lo, last - 1)]))
+
+
 def match_shard(words: np.ndarray, rows: np.ndarray, test: dict) -> dict:
     """Hits of the items in the documents of one shard; rows: offsets of the documents among the words."""
     n, lens = len(rows) - 1, np.diff(rows)
@@ -95,39 +131,60 @@ def match_shard(words: np.ndarray, rows: np.ndarray, test: dict) -> dict:
     doc = np.repeat(np.arange(n), lens + 1)
     h[np.arange(len(words)) + np.repeat(np.arange(n), lens)] = words
     order = suffix_array(h[: len(words) + n], test["most"])
-    who, lo, hi = search(h, order, test["words"], test["left"], test["window"])
+    who, lo, hi = search(h, order, test)
     times = hi - lo
     place = order[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    from_ = np.repeat(who, times)
-    width = test["window"][from_]
+    window = np.repeat(who, times)
     edge = np.zeros(len(h) + 1, np.int64)
     np.add.at(edge, place, 1)
-    np.add.at(edge, place + width, -1)
+    np.add.at(edge, place + test["width"][window], -1)
     covered = np.cumsum(edge)[: len(h)] > 0
-    # the longest verbatim match that starts at each hit
-    length, grow = width.copy(), np.arange(len(place))
-    while len(grow := grow[length[grow] < test["left"][from_[grow]]]):
-        grow = grow[h[place[grow] + length[grow]] == test["words"][from_[grow] + length[grow]]]
-        length[grow] += 1
     jump = np.diff(np.concatenate([[False], covered]).astype(np.int8))
     start, end = np.flatnonzero(jump == 1), np.flatnonzero(jump == -1)
-    pairs = np.unique(doc[place] * len(test["ids"]) + test["item"][from_]) if len(place) else np.zeros(0, np.int64)
+    length = longest_matches(h, place, window, test)
     longest, where = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     by = np.lexsort((-place, length))
     longest[doc[place[by]]], where[doc[place[by]]] = length[by], place[by]
+    # windows with the same items are one until here
+    kinds = len(test["kind_off"]) - 1
+    pairs = np.unique(doc[place] * kinds + test["kind"][window]) if len(place) else np.zeros(0, np.int64)
+    own, kind = pairs // max(1, kinds), pairs % max(1, kinds)
+    size = np.diff(test["kind_off"])[kind]
+    item = test["kind_items"][np.repeat(test["kind_off"][kind] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    pairs = np.unique(np.repeat(own, size) * len(test["ids"]) + item) if len(item) else np.zeros(0, np.int64)
     return {"start": start - first[doc[start]], "end": end - first[doc[start]], "span_doc": doc[start], "pair_doc": pairs // max(1, len(test["ids"])), "pair_item": pairs % max(1, len(test["ids"])), "longest": longest, "longest_at": np.where(where >= 0, where - first, -1), "n_words": lens}
 
 
 def prepare_items(ids: list[str], texts: pa.Array, width: int) -> dict:
-    """Test words with an end mark (2, which no hash is) after each item, the words left in the item, and the window length at each place."""
+    """The test words, their distinct windows (at, width, kind: the items that have it), and all suffixes by window, sorted."""
     words, rows = word_hashes(texts, ALNUM)
     n, lens = len(rows) - 1, np.diff(rows)
-    test = np.full(len(words) + n, 2, np.uint64)
+    test = np.zeros(len(words) + n, np.uint64)  # an end mark stands after each item
     test[np.arange(len(words)) + np.repeat(np.arange(n), lens)] = words
     item = np.repeat(np.arange(n), lens + 1)
     left = np.repeat(np.cumsum(lens + 1), lens + 1) - 1 - np.arange(len(test))
-    window = np.where(left >= np.minimum(width, lens[item]), np.minimum(width, lens[item]), 0)
-    return {"ids": ids, "words": test, "item": item, "left": left, "window": window, "most": int(max([width, *lens]))}
+    size = np.minimum(width, lens[item])
+    at = np.flatnonzero((left >= size) & (size > 0))
+    sums, most = prefix_sums(test), int(max([width, *lens]))
+    key = mix((sums[at + size[at]] - sums[at]) * powers(len(sums) + 1)[1][at] + size[at].astype(np.uint64))
+    _, first, window = np.unique(key, return_index=True, return_inverse=True)
+    rank = np.empty(len(test), np.int64)
+    rank[suffix_array(test, most)] = np.arange(len(test))
+    by = np.lexsort((rank[at], window))
+    off = np.searchsorted(window[by], np.arange(len(first) + 1))
+    # kinds: sets of items
+    both = np.unique(window * n + item[at]) if n else np.zeros(0, np.int64)
+    of, its = both // max(1, n), both % max(1, n)
+    bounds = np.searchsorted(of, np.arange(len(first) + 1))
+    marks = mix(its.astype(np.uint64) + np.uint64(77))
+    whole = np.add.reduceat(marks, bounds[:-1]) if len(of) else np.zeros(0, np.uint64)
+    _, lead, kind = np.unique(whole, return_index=True, return_inverse=True)
+    kind_size = np.diff(bounds)[lead]
+    kind_items = its[np.repeat(bounds[lead] - (np.cumsum(kind_size) - kind_size), kind_size) + np.arange(kind_size.sum())] if len(its) else its
+    return {
+        "ids": ids, "words": np.append(test, np.zeros(1, np.uint64)), "sums": sums, "left": left, "most": most, "at": at[first], "width": size[at[first]],
+        "sorted": at[by], "off": off, "kind": kind, "kind_off": np.concatenate([[0], np.cumsum(kind_size)]), "kind_items": kind_items,
+    }
 
 
 def match_items(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -137,7 +194,8 @@ def match_items(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataF
     """
     spark = docs.sparkSession
     total = benchmark.agg(F.sum(F.octet_length("text") + 40)).first()[0] or 0
-    blocks = int(total // BROADCAST_BYTES) + 1
+    blocks = int(total // BLOCK_BYTES) + 1
+    shard = int(min(max(SLICE_BYTES, total // blocks), SHARD_BYTES))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     out = docs.drop(*RESULTS)
     for k in range(blocks):
@@ -145,11 +203,11 @@ def match_items(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataF
         texts = block.column("text").combine_chunks()
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         test = spark.sparkContext.broadcast(prepare_items(block.column("item_id").to_pylist(), texts, width))
-        out = _pass(out, test, k > 0)
+        out = _pass(out, test, shard, k > 0)
     return out
 
 
-def _pass(docs: DataFrame, test, more: bool) -> DataFrame:
+def _pass(docs: DataFrame, test, shard: int, more: bool) -> DataFrame:
     bounded_batches(docs.sparkSession)
     plain = [f for f in docs.schema.fields if f.name not in RESULTS]
     schema = T.StructType([*plain, *(T.StructField(k, t) for k, t in RESULTS.items())])
@@ -167,7 +225,7 @@ def _pass(docs: DataFrame, test, more: bool) -> DataFrame:
         t = test.value
         ids = np.array(t["ids"], dtype=object)
         spans_type, items_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
-        for piece in slices(batches):
+        for piece in slices(batches, most=shard):
             words, rows = word_hashes(text_of(piece), ALNUM)
             m = match_shard(words, rows, t)
             n = len(piece)

@@ -223,7 +223,7 @@ def test_decontamination_like_brute_force(spark, blocks, monkeypatch):
     texts += [None, "", "...", "solo", "again " * 30, "ünïcode text Mixed", "Ünïcode TEXT mixed", texts[3], "w1 " * 20000]
     bench = spark.createDataFrame(items, "item_id long, text string")
     if blocks > 1:
-        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 800)
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
     df = docs(spark, texts).repartition(3)
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = contaminated_brute(texts, items)
@@ -234,6 +234,52 @@ def test_decontamination_like_brute_force(spark, blocks, monkeypatch):
     assert decontaminate.match_items(df.where("false"), bench).count() == 0
 
 
+def longest_brute(text, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w, best = word.findall(low(text)), (0, -1)
+    for t in items:
+        v = word.findall(low(t))
+        n = min(10, len(v))
+        for i in range(len(w) if v else 0):
+            for j in range(len(v) - n + 1):
+                if w[i : i + n] == v[j : j + n]:
+                    k = n
+                    while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                        k += 1
+                    best = max(best, (k, -i)) if best[1] != -1 or best[0] else (k, -i)
+    return (best[0], -best[1]) if best[0] else (0, -1)
+
+
+def test_longest_matches_like_brute_force():
+    from newsloom.llm import decontaminate as d
+    from newsloom.llm.common import ALNUM, word_hashes
+
+    r = random.Random(12)
+    long_item = [r.choice("abcd") for _ in range(60)]
+    items = [" ".join(long_item), " ".join(long_item[5:45] + ["z"] * 20), "a b c", "q " * 40, " ".join(long_item[:30]), ""]
+    texts = [" ".join(r.choice("abcd") for _ in range(20)) + " " + " ".join(long_item[k : k + n]) + " " + r.choice(["", "z z z z", "q " * 30]) for k in range(0, 45, 3) for n in (9, 12, 33)] + ["", "a b c", "q " * 25, "x"]
+    test = d.prepare_items([str(i) for i in range(len(items))], pa.array(items), 10)
+    got = d.match_shard(*word_hashes(pa.array(texts), ALNUM), test)
+    assert list(zip(got["longest"].tolist(), got["longest_at"].tolist())) == [longest_brute(t, items) for t in texts]
+
+
+def test_repeated_words_take_linear_time():
+    import time
+
+    from newsloom.llm import decontaminate as d
+    from newsloom.llm.common import ALNUM, word_hashes
+
+    texts = ["no " * 20_000, "yes no " * 10_000]
+    items = ["no " * 2_000, "yes no " * 1_000, "no " * 9]
+    start = time.process_time()
+    test = d.prepare_items(["1", "2", "3"], pa.array(items), 10)
+    got = d.match_shard(*word_hashes(pa.array(texts), ALNUM), test)
+    assert time.process_time() - start < 5
+    assert got["longest"].tolist() == [2000, 2000] and got["longest_at"].tolist() == [0, 0]
+    assert got["start"].tolist() == [0, 0] and got["end"].tolist() == [20_000, 20_000]
+    assert list(zip(got["pair_doc"].tolist(), got["pair_item"].tolist())) == [(0, 0), (0, 2), (1, 1)]
+
+
 def test_suffix_array_sorts():
     from newsloom.llm.decontaminate import suffix_array
 
