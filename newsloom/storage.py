@@ -1,4 +1,6 @@
-"""Intermediate tables in the folder that the session shares between driver and executors."""
+"""Intermediate tables in the folder that the session shares between driver and executors.
+
+They stay until the job that made them is over, as a lost executor's tasks read them again; `sweep` deletes what this session wrote."""
 
 from __future__ import annotations
 
@@ -8,12 +10,20 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Where this process may write without a shared folder: all executors then run in the driver's own process.
+_LOCAL: list[str] = []
+_written: list[str] = []
+
+
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir; a temporary folder only in local mode where the session names none, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        return _LOCAL[0]
     if "://" not in found:  # without a scheme it lies in the session's default file system
         path = spark._jvm.org.apache.hadoop.fs.Path(found)
         found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -21,8 +31,23 @@ def shared_dir(spark) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of an iterative job: df written as Parquet and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark) -> int:
+    """Deletes the intermediate tables and files written so far; call it when no result that reads them is needed any more."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
