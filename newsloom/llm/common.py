@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
+
 #: Bytes of text that the numpy kernels hold at once; one longer text is taken alone.
 SLICE_BYTES = 1_000_000
 #: Rows of an Arrow batch between the JVM and Python, so that batches of long texts stay small beside the heap.
@@ -34,23 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if "://" not in found:  # without a scheme it lies in the session's default file system
-        path = spark._jvm.org.apache.hadoop.fs.Path(found)
-        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        found = "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back."""
     spark = df.sparkSession
@@ -65,6 +48,14 @@ def learn_row(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2
 
 
+def smallest_hashes(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with about the `most` smallest hashes of the column, never more: where there are many, a bound on the hash cuts them before they are sorted."""
+    n, h = rows.agg(F.approx_count_distinct(column)).first()[0], F.xxhash64(column)
+    if n > 2 * most:
+        rows = rows.where(h <= int(-(2**63) + 2**64 * min(1.0, (1.2 * most + 6 * most**0.5) / n)))
+    return rows.orderBy(h, column).limit(most)
+
+
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     col = batch.column(name)
     return pc.fill_null(col, "") if col.null_count else col

@@ -4,8 +4,8 @@ An id is cut into chunks of `bits` bits, lowest first. Level k holds chunk k of
 one, a bitmap which marks those that continue on level k + 1, and a directory with the number of set
 bits before every 512th bit. So id i is read by one rank per level, without decoding its neighbours.
 
-A file (`.dac`, little-endian): magic `DAC1`, u32 levels, u32 bits, u64 ids, u64 documents; then doc_ids
-(i64) and first ids (u64, one more than documents); then for each level u64 entries, its chunks (u8),
+A file (`.dac`, little-endian): magic `DAC1`, u32 levels, u32 bits, u64 ids, u64 documents, u64 documents without
+doc_id, which come first; then doc_ids (i64, 0 for none) and first ids (u64, one more than documents); then for each level u64 entries, its chunks (u8),
 its bitmap (u8, lowest bit first) and its directory (u64).
 
 Nulls: a null text is empty; it has only the end id. Documents are in ascending order of doc_id, null first,
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PIECE_BYTES, Vocabulary, byte_letters, read_vocabulary, worker_encoder
@@ -98,21 +98,21 @@ class Codes:
         return cls(out, bits, n)
 
 
-def pack_file(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray, bits: int = 8) -> bytes:
+def pack_file(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray, bits: int = 8, nameless: int = 0) -> bytes:
     codes = Codes.build(ids, bits)
-    head = MAGIC + struct.pack("<IIQQ", len(codes.levels), bits, len(ids), len(doc_ids))
+    head = MAGIC + struct.pack("<IIQQQ", len(codes.levels), bits, len(ids), len(doc_ids), nameless)
     return head + doc_ids.astype("<i8").tobytes() + first.astype("<u8").tobytes() + codes.to_bytes()
 
 
-def open_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, Codes]:
-    """doc_ids, the first id of each document and the end, and the codes."""
+def open_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, Codes, int]:
+    """doc_ids, the first id of each document and the end, the codes, and how many documents have no doc_id."""
     if raw[:4] != MAGIC:
         raise ValueError("no DAC1 file")
-    levels, bits, n, docs = struct.unpack_from("<IIQQ", raw, 4)
-    at = 28
+    levels, bits, n, docs, nameless = struct.unpack_from("<IIQQQ", raw, 4)
+    at = 36
     doc_ids = np.frombuffer(raw, "<i8", docs, at)
     first = np.frombuffer(raw, "<u8", docs + 1, at + 8 * docs).astype(np.int64)
-    return doc_ids, first, Codes.from_bytes(memoryview(raw), at + 16 * docs + 8, levels, bits, n)
+    return doc_ids, first, Codes.from_bytes(memoryview(raw), at + 16 * docs + 8, levels, bits, n), nameless
 
 
 def library_words(text: str):
@@ -166,7 +166,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> Dat
             ids = np.concatenate(parts) if parts else np.zeros(0, kind)
             name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(rows):04d}.dac"
             with fs.open_output_stream(name) as out:
-                out.write(pack_file(np.array(held, np.int64), np.concatenate([[0], np.cumsum(lens)]), ids, bits))
+                out.write(pack_file(np.array([x or 0 for x in held], np.int64), np.concatenate([[0], np.cumsum(lens)]), ids, bits, held.count(None)))
             rows.append({"path": name, "part": task.partitionId(), "number": len(rows), "first_doc": held[0], "n_docs": len(held), "n_ids": len(ids)})
             for x in (held, lens, parts):
                 x.clear()
@@ -174,7 +174,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> Dat
         for doc_ids, flat, off in encoded(batches):
             for k, doc_id in enumerate(doc_ids):
                 ids = flat[off[k] : off[k + 1]]
-                held.append(-(1 << 63) if doc_id is None else doc_id)
+                held.append(doc_id)
                 lens.append(len(ids))
                 parts.append(ids)
                 total += len(ids)
@@ -189,8 +189,13 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, bits: int = 8) -> Dat
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     files = written(by.mapInArrow(write, "path string, part long, number long, first_doc long, n_docs long, n_ids long"), "dac-manifest")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    return files.withColumn("file_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("root", F.lit(where))
+    def before(window) -> Column:
+        return F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # a row a partition
+    parts = parts.select("part", before(Window.orderBy("part")).alias("part_start"))
+    within = files.withColumn("within", before(Window.partitionBy("part").orderBy("number")))
+    return within.join(F.broadcast(parts), "part").withColumn("file_start", F.col("part_start") + F.col("within")).drop("part_start", "within").withColumn("root", F.lit(where))
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
@@ -204,7 +209,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 fs, _ = FileSystem.from_uri(row["root"])
                 with fs.open_input_stream(row["path"]) as src:
-                    doc_ids, first, codes = open_file(src.read())
+                    doc_ids, first, codes, nameless = open_file(src.read())
                 crc, at = np.zeros(len(doc_ids), np.int64), 0
                 while at < len(doc_ids):  # documents of about half a million ids at a time
                     end = max(at + 1, int(np.searchsorted(first, first[at] + 500_000, "right")) - 1)
@@ -212,7 +217,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                     for k in range(at, end):
                         crc[k] = zlib.crc32(ids[first[k] - first[at] : first[k + 1] - first[at]])
                     at = end
-                ids = pa.array(doc_ids.astype(np.int64), mask=doc_ids == -(1 << 63))
+                ids = pa.array(doc_ids.astype(np.int64), mask=np.arange(len(doc_ids)) < nameless)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(first[:-1] + row["file_start"]), pa.array(np.diff(first)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())

@@ -6,8 +6,9 @@ way. A text is scored by adding one table entry per feature and pair.
 
 Fitted on at most `most` labelled rows, those with the smallest hashes of doc_id (rows with crc32(doc_id)
 mod 4 = 2 are never used). Nulls: a null text is empty and has a score like any other; labels that are null are not
-used; of labels that repeat for a doc_id the smallest counts. Without labelled rows every score is 0.7. An empty
-table gives none. Other columns are ignored.
+used; of labels that repeat for a doc_id the smallest counts, and of texts that repeat for it one of them. Without labelled
+rows every score is 0.7. Repeated rows and ties score alike; memory grows with the longest text only. An empty table gives none.
+Other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, bounded_batches, buffers, find_words, learn_row, slices, span_hashes, text_of
+from .common import NOT_SPACE, bounded_batches, buffers, find_words, learn_row, slices, smallest_hashes, span_hashes, text_of
 
 SAMPLE_ROWS = 20_000
 FEATURES = (
@@ -196,7 +197,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, pair_ro
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Gam:
     """Fits on the bounded sample; its features are computed by Spark, its tables on the driver."""
     few = labels.where(learn_row() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    few = smallest_hashes(few.withColumn("quality", F.col("quality").cast("int")), "doc_id", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -204,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Gam:
             rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), rows], names=["doc_id", "quality", "x"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").mapInArrow(run, "doc_id long, quality int, x array<double>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").mapInArrow(run, "doc_id long, quality int, x array<double>")
     rows = found.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit(x, rows["quality"].to_numpy(float))

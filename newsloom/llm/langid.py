@@ -7,7 +7,8 @@ spans hold most letters (of equal ones the first by name), and score is their sh
 
 Nulls: a text that is null or has no letter is `und` with score 0, as are all texts if no language is known; rows with a null
 language are not learnt from. Words in a script that no language was seen in take the label of their neighbours
-and add nothing to the score. Repeated rows and an empty table need no care. Other columns are ignored or kept.
+and add nothing to the score. Repeated rows are learnt from and labelled each, an empty table needs no care, and memory grows with the
+longest text only. Other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_batches, buffers, learn_row, mix, slices, text_of
+from .common import bounded_batches, buffers, learn_row, mix, slices, smallest_hashes, text_of
 
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 15
@@ -133,7 +134,7 @@ class Model:
 
 def learn(docs: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     bounded_batches(docs.sparkSession)
-    few = docs.where(learn_row() & F.col("lang").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    few = smallest_hashes(docs.where(learn_row() & F.col("lang").isNotNull()).select("doc_id").distinct(), "doc_id", most)
     sample = docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(few), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,8 @@
 
 `plan_records` decides which pages are full responses and which revisit an equal payload,
 `write_archives` writes the files to the shared folder, and `read_archives` decodes them frame by
-frame and validates version line, headers and lengths; a record that fails has its reason in `error`.
+frame and validates version line, headers and lengths; a record that fails has its reason in `error`. Where an archive
+breaks off or cannot be decoded, one row says so in `error`, as nothing after that place can be read.
 
 The payload is the html in UTF-8. Nulls: a null html is an empty payload, a null url an empty target.
 Of pages with equal payloads of at least `least` bytes, those with the smallest page_id are responses
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, new_path, written
+from .common import BROADCAST_BYTES, new_path, smallest_hashes, written
 
 SKIPPABLE = 0x184D2A5D
 #: The dictionary is trained on at most so many pages, each of at most so many bytes.
@@ -49,9 +50,13 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """From the sample of SAMPLE_PAGES pages with the smallest hashes; empty if there is too little to learn from."""
-    few = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).select("html").orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE_PAGES)
-    samples = [r[0].encode() for r in few.collect()]
+    """From a sample of at most SAMPLE_PAGES different payloads, those with the smallest hashes; empty if there is too little to learn from.
+
+    A bound on the hash is found first, so that only the payloads of the sample come to the driver, whatever the number of pages."""
+    fit = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES))
+    hashes = sorted(r[0] for r in smallest_hashes(fit.select("digest").distinct(), "digest", SAMPLE_PAGES).collect())
+    found = fit.where(F.col("digest").isin(hashes)).groupBy("digest").agg(F.any_value("html").alias("html")).orderBy("digest")
+    samples = [r["html"].encode() for r in found.collect()] if hashes else []
     try:
         return zstd.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 20 else b""
     except zstd.ZstdError:
@@ -143,16 +148,29 @@ def write_archives(records: DataFrame, dictionary: bytes) -> DataFrame:
     return manifest.withColumn("root", F.lit(where))
 
 
+ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
+
+
+def leading_dictionary(read) -> tuple[zstd.ZstdCompressionDict | None, bytes]:
+    """The dictionary in the leading skippable frame, which may be compressed itself, and the bytes read beyond it."""
+    head = b""
+    while len(head) < 8 and (part := read(8 - len(head))):
+        head += part
+    if len(head) < 8 or struct.unpack("<I", head[:4])[0] != SKIPPABLE:
+        return None, head
+    left, parts = struct.unpack("<I", head[4:])[0], []
+    while left:
+        if not (part := read(left)):
+            raise ValueError("the archive ends inside the dictionary")
+        parts.append(part)
+        left -= len(part)
+    raw = b"".join(parts)
+    return zstd.ZstdCompressionDict(zstd.ZstdDecompressor().decompressobj().decompress(raw) if raw[:4] == ZSTD_MAGIC else raw), b""
+
+
 def frames(read, size: int = 65_536) -> Iterator[bytes]:
     """Decodes one Zstandard frame after the other; read(n) gives the next bytes of the archive."""
-    data = read(8)
-    dictionary = None
-    if len(data) == 8 and struct.unpack("<I", data[:4])[0] == SKIPPABLE:
-        left, parts = struct.unpack("<I", data[4:])[0], []
-        while left and (part := read(left)):
-            parts.append(part)
-            left -= len(part)
-        dictionary, data = zstd.ZstdCompressionDict(b"".join(parts)), b""
+    dictionary, data = leading_dictionary(read)
     unpack = zstd.ZstdDecompressor(dict_data=dictionary)
     while data := data or read(size):
         frame, parts = unpack.decompressobj(), []
@@ -164,20 +182,35 @@ def frames(read, size: int = 65_536) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def records(read, expected: int | None = None) -> Iterator[dict]:
+    """The records of an archive; the last one tells in `error` where it breaks, or that records are missing."""
+    n, broken = 0, None
+    try:
+        for raw in frames(read):
+            n += 1
+            yield parse_record(raw)
+    except (ValueError, zstd.ZstdError) as e:
+        broken = str(e)
+    if broken is None and expected is not None and n != expected:
+        broken = f"{expected} records expected"
+    if broken is not None:
+        yield parse_record(b"") | {"error": f"after {n} records: {broken}"}
+
+
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """One row per record of the archives that the manifest lists; columns of RECORD."""
+    """One row per record of the archives that the manifest lists, and one for each place where an archive breaks; columns of RECORD."""
     schema = pa.schema([(k, pa.int64() if t == "long" else pa.string()) for k, t in (x.split() for x in RECORD.split(", "))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         for batch in batches:
-            for path, root in zip(batch.column("path").to_pylist(), batch.column("root").to_pylist()):
-                fs, _ = FileSystem.from_uri(root)
-                with fs.open_input_stream(path) as src:
+            for file in batch.to_pylist():
+                fs, _ = FileSystem.from_uri(file["root"])
+                with fs.open_input_stream(file["path"]) as src:
                     rows = []
-                    for raw in frames(src.read):
-                        rows.append(parse_record(raw))
+                    for row in records(src.read, file["n_records"]):
+                        rows.append(row)
                         if len(rows) == 2000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows = []

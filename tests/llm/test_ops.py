@@ -351,6 +351,26 @@ def test_token_files_like_the_library(spark):
         assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert dac.read_ids(dac.write_ids(df.where("false"), path)).count() == 0
+    odd = spark.createDataFrame([(-(2**63), "a b"), (None, "c"), (5, "d e f"), (5, "d e"), (2**63 - 1, None)], "doc_id long, text string").repartition(3)
+    got = sorted(((x.start, x.doc_id, x.n_tokens) for x in dac.read_ids(dac.write_ids(odd, path)).collect()))
+    assert got == [(0, None, 2), (2, -(2**63), 3), (5, 5, 3), (8, 5, 4), (12, 2**63 - 1, 1)]
+
+
+def test_encoders_of_two_vocabularies(spark):
+    """Two vocabularies of equal length must not share an encoder."""
+    import json
+
+    from newsloom.llm import bpe, dac
+
+    path, _ = tokenizer()
+    text = bpe.read_vocabulary(path)
+    model = json.loads(text)
+    a, b = (t for t in list(model["model"]["vocab"]) if model["model"]["vocab"][t] in (300, 301))
+    vocab = model["model"]["vocab"]
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    other = json.dumps(model)
+    one, two = bpe.worker_encoder(text, dac.library_words), bpe.worker_encoder(other, dac.library_words)
+    assert one is not two and one.v.piece_len[300] == two.v.piece_len[301] and bpe.worker_encoder(text) is not bpe.worker_encoder(text, dac.library_words)
 
 
 def test_dac_access():
@@ -362,8 +382,8 @@ def test_dac_access():
         codes = dac.Codes.build(ids)
         at = r.permutation(n)
         assert (codes.access(at) == ids[at]).all()
-        doc_ids, first, back = dac.open_file(dac.pack_file(np.array([7]), np.array([0, n]), ids))
-        assert doc_ids.tolist() == [7] and first.tolist() == [0, n] and (back.access(np.arange(n)) == ids).all()
+        doc_ids, first, back, nameless = dac.open_file(dac.pack_file(np.array([7]), np.array([0, n]), ids))
+        assert nameless == 0 and doc_ids.tolist() == [7] and first.tolist() == [0, n] and (back.access(np.arange(n)) == ids).all()
 
 
 # 5 -----------------------------------------------------------------------------------------------
@@ -425,6 +445,34 @@ def test_warc_errors():
     assert warc.parse_record(good.replace(b"WARC-Date", b"WARC-Dote"))["error"] and warc.parse_record(b"")["error"]
 
 
+def test_warc_broken_archives(spark, tmp_path):
+    import io
+    import struct
+
+    import zstandard as zstd
+
+    from newsloom.llm import warc
+
+    samples = [b"<html><body>" + bytes([97 + i % 26]) * 40 + b"page number %d" % i for i in range(200)]
+    dictionary = zstd.train_dictionary(2000, samples).as_bytes()
+    build = lambda i: warc.build_record(i, "u", samples[i], hashlib.sha256(samples[i]).hexdigest(), None)
+    packer = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(dictionary))
+    body = [packer.compress(build(i)) for i in range(3)]
+    for raw in (dictionary, zstd.ZstdCompressor().compress(dictionary)):
+        head = struct.pack("<II", warc.SKIPPABLE, len(raw)) + raw
+        got = list(warc.records(io.BytesIO(head + b"".join(body)).read, 3))
+        assert [x["page_id"] for x in got] == [0, 1, 2] and not any(x["error"] for x in got)
+    cut = {"cut": head + body[0] + body[1][:-3], "noise": head + body[0] + b"noise and no frame at all", "dictionary": head[:50], "missing": head + body[0] + body[1], "empty": b""}
+    for name, raw in cut.items():
+        (tmp_path / name).write_bytes(raw)
+    manifest = spark.createDataFrame([(str(tmp_path / k), 3, f"file://{tmp_path}") for k in cut], "path string, n_records long, root string")
+    rows = warc.read_archives(manifest).collect()
+    errors = sorted(x.error for x in rows if x.error)
+    assert len(rows) - len(errors) == 1 + 1 + 0 + 2 and len(errors) == 5
+    assert errors[:2] == ["after 0 records: 3 records expected", "after 0 records: the archive ends inside the dictionary"] and errors[4] == "after 2 records: 3 records expected"
+    assert errors[2].startswith("after 1 records: ") and errors[3] == "after 1 records: the archive ends inside a frame"
+
+
 # 7 and 10 ----------------------------------------------------------------------------------------
 def held(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
@@ -477,6 +525,9 @@ def test_quality(spark):
     odd = docs(spark, [None, "", "!", "A" * 100_000, "x\n" * 500]).withColumnRenamed("source", "score")
     got = gam.score(odd, model).collect()
     assert len(got) == 5 and all(0 <= x.score <= 1 for x in got) and gam.keep_good(odd, model).columns == odd.columns
+    wide = labels.select("doc_id", F.col("quality").cast("long").alias("quality")).union(labels.select("doc_id", F.lit(None).cast("long"))).union(labels.select("doc_id", F.col("quality").cast("long")))
+    again = gam.learn(d, wide)
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables))
     plain = gam.learn(d, labels.where("false"))
     assert gam.score(odd, plain).where(F.col("score") < 0.7).count() == 0
     assert gam.keep_good(odd, plain).count() == 5
