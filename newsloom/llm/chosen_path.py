@@ -41,7 +41,7 @@ WIDTH = 5
 LEAST = 75
 COORDINATES, TREES, LEVELS = 96, 12, 10
 #: Documents of a node that are compared exhaustively, and of one that branches inside a task.
-LEAF, LOCAL = 500, 8000
+LEAF, LOCAL = 2000, 8000
 #: Share of the candidate pairs at exactly the threshold that all trees may lose.
 MISS = 3e-5
 #: Documents of a large node of which the one that is alike to most of the others is picked; documents of one side of a comparison.
