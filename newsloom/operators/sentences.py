@@ -13,6 +13,8 @@ from .similarity import greedy_leaders, shared_substring_edges, similarity_edges
 
 Rules = rules.Rules
 BOILERPLATE = "|".join(f"(?:{p})" for p in rules.BOILERPLATE)
+#: Costly patterns, by how they begin, and words of which one stands in whatever they match; these are looked for first.
+GUARDS = {".{2,10}": ("기자", "특파원", "앵커", "리포터"), "[a-zA-Z0-9._%+-]+@": ("@",), r"\w+\.(": (".com", ".co.kr", ".net", ".or.kr", ".go.kr")}
 UNFINISHED = f"(?:{'|'.join(rules.UNFINISHED)})\\.*$"
 OUTLET_TAIL = f"^.{{0,59}}\\s(?:{'|'.join(map(re.escape, rules.OUTLETS))})[.!?]*$"
 OPINION = r"\[(?:" + "|".join(map(re.escape, rules.OPINION)) + r")\]"
@@ -25,7 +27,10 @@ def few_hangul(text: Column, least: float = 0.2, longer: int = 15) -> Column:
 
 
 def is_boilerplate(text: Column, hangul: bool = True) -> Column:
-    out = text.rlike(BOILERPLATE) | text.rlike(OUTLET_TAIL)
+    guards = {p: words for p in rules.BOILERPLATE for start, words in GUARDS.items() if p.startswith(start)}
+    out = text.rlike("|".join(f"(?:{p})" for p in rules.BOILERPLATE if p not in guards)) | (x.contains_any(text, rules.OUTLETS) & text.rlike(OUTLET_TAIL))
+    for p, words in guards.items():
+        out = out | (x.contains_any(text, words) & text.rlike(p))
     return out | few_hangul(text) if hangul else out
 
 
@@ -61,10 +66,13 @@ def importance(r: Rules = rules.KOREAN) -> Column:
 
 def extract(news: DataFrame, keywords: list[str], r: Rules = rules.KOREAN, hangul: bool = True, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row per kept sentence: position, total, sentence, role, has_number, has_quote, matched, opinion, importance."""
-    every = F.transform(x.sentences(F.coalesce("body", F.lit(""))), lambda s: F.trim(F.regexp_replace(s, r"^[○●◎▶▷►◆◇■□★☆·•※→\-]\s*", "")))
-    rows = news.select(*keep, is_opinion(F.col("title")).alias("opinion"), F.size(every).alias("total"), F.posexplode(every).alias("position", "sentence"))
+    # the number of sentences is carried in each, as a size beside the generator would cut the body again for every sentence
+    every = x.let(x.sentences(F.coalesce("body", F.lit(""))), lambda e: F.transform(e, lambda s: F.struct(F.size(e).alias("total"), s.alias("raw"))))
+    rows = news.select(*keep, is_opinion(F.col("title")).alias("opinion"), F.posexplode(every).alias("position", "cut"))
+    bare = F.trim(F.regexp_replace("cut.raw", r"^[○●◎▶▷►◆◇■□★☆·•※→\-]\s*", ""))
+    rows = rows.select(*keep, "opinion", "position", F.col("cut.total").alias("total"), bare.alias("sentence")).where(F.length("sentence") >= 10)
     s = F.col("sentence")
-    rows = rows.where((F.length(s) >= 10) & ~is_boilerplate(s, hangul) & ~is_unfinished(s))
+    rows = rows.where(~is_boilerplate(s, hangul) & ~is_unfinished(s))
     matched = F.filter(x.strings(keywords), lambda k: F.lower(s).contains(F.lower(k)))
     rows = rows.withColumns({"role": role_of(s, r), "has_number": x.has_number(s), "has_quote": x.has_quote(s), "matched": matched})
     return rows.withColumn("importance", F.round(importance(r), 6))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..operators import assembly, scoring, sentences
 from ..rules import news as rules
+from ..storage import materialized
 from .registry import query
 from .stage1 import _LATIN, QUALITY
 from .tables import ARTICLES, NEWS, any_of, articles, sql_text
@@ -45,8 +46,16 @@ def topic_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("topic_id", F.floor(F.col("id") / 5).cast("long"))
 
 
-def topic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.extract(topic_articles(spark, sf_dir), KEYS, _LATIN, False, ("topic_id", "id", "ord"))
+def topic_sentences(spark: SparkSession, sf_dir: str, news: DataFrame | None = None) -> DataFrame:
+    """Sentences of the articles of topics, written once as they are read several times."""
+    news = articles(spark, sf_dir).withColumn("topic_id", F.floor(F.col("id") / 5).cast("long")) if news is None else news
+    return materialized(sentences.extract(news, KEYS, _LATIN, False, ("topic_id", "id", "ord")), "topic-sentences")
+
+
+def scored_topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The articles of topics without their bodies, and their sentences; both written once."""
+    news = topic_articles(spark, sf_dir).select("topic_id", "id", "ord", "title", "source_id", "credibility_score", "quality_score")
+    return materialized(news, "topic-articles"), topic_sentences(spark, sf_dir)
 
 
 @query(f"with {ARTICLES}, {SENTENCES} select id, position, total, md5(s) as sentence_md5, role, has_number, has_quote, len(matched) as n_matched, importance from sentences")
@@ -69,7 +78,8 @@ primary_ as (select topic_id, id, score from (select *, row_number() over (parti
 @query(f"with {_PRIMARY} select topic_id, id, round(score, 3) as score from primary_")
 def n04_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primary article of each topic."""
-    out = sentences.primary_articles(topic_sentences(spark, sf_dir), topic_articles(spark, sf_dir), "topic_id", _LATIN)
+    news, rows = scored_topics(spark, sf_dir)
+    out = sentences.primary_articles(rows, news, "topic_id", _LATIN)
     return out.select("topic_id", "id", F.round("score", 3).alias("score"))
 
 
@@ -84,7 +94,7 @@ def n05_top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, news = topic_sentences(spark, sf_dir), topic_articles(spark, sf_dir)
+    news, rows = scored_topics(spark, sf_dir)
     return sentences.top_sentences(sentences.boosted(rows, sentences.primary_articles(rows, news, "topic_id", _LATIN), "topic_id"), "topic_id")
 
 

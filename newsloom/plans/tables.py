@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least as many partitions as there are cores, as one Parquet row group is one task; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def as_of(text: str = AS_OF) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -27,7 +33,7 @@ def tier_of(source: Column) -> Column:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as news, without time and engagement."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     body = F.coalesce("text", F.lit(""))
     title = F.substring_index(body, "\n", 1)
     return d.select(
