@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as x
+from ..rules.formats import IMAGES_OF_TYPE
+from .sentences import with_connectors
+
 LEAD, BODY, CLOSING = ("lead", "fact"), ("background", "detail", "quote"), ("outlook", "implication")
 
 
@@ -113,3 +117,76 @@ def generation_score(chars: Column, issues: Column, millis: Column, bad_images:
     length = F.when(chars >= 400, 0).when(chars >= 300, 10).when(chars >= 200, 20).otherwise(30)
     slow = F.when(millis > 10000, 10).when(millis > 5000, 5).otherwise(0)
     return F.when(success, F.greatest(F.lit(0.0), F.lit(100.0) - length - 5 * issues - slow - 3 * bad_images)).otherwise(0.0)
+
+
+def picked(s: Column, used: Column, roles: tuple[str, ...], quota: int, least: int) -> Column:
+    """Up to `quota` sentences of the roles that are not used; if fewer than `least`, others that are not used fill the quota."""
+    free = F.filter(s, lambda e: ~F.array_contains(used, e.sentence))
+
+    def filled(own: Column) -> Column:
+        more = F.filter(free, lambda e: ~F.array_contains(own, e))
+        return F.when(F.size(own) < least, F.concat(own, F.slice(more, F.lit(1), quota - F.size(own)))).otherwise(own)
+
+    return x.let(F.slice(F.filter(free, lambda e: e.role.isin(*roles)), 1, quota), filled)
+
+
+def analysis(topics: DataFrame) -> DataFrame:
+    """current_situation, background, outlook and implications: quotas of five, five, four and three; the last three are filled up from what is left."""
+    out = topics.withColumn("_now", F.slice(F.filter("s", lambda e: e.role.isin("lead", "fact", "statistic")), 1, 5)).withColumn("_used", texts(F.col("_now")))
+    for name, role, quota, least in (("background", "background", 5, 3), ("outlook", "outlook", 4, 3), ("implications", "implication", 3, 2)):
+        out = out.withColumn("_own", picked(F.col("s"), F.col("_used"), (role,), quota, least))
+        out = out.withColumn(name, joined(F.col("_own"))).withColumn("_used", F.concat("_used", texts(F.col("_own"))))
+    return out.withColumn("current_situation", joined(F.col("_now"))).drop("_now", "_used", "_own")
+
+
+def of_primary(roles: tuple[str, ...] | None = None) -> Column:
+    """Sentences of the primary article, of these roles or of any but closing ones."""
+    return F.filter("s", lambda e: (e.id == F.col("primary_id")) & (e.role.isin(*roles) if roles else ~e.role.isin(*CLOSING)))
+
+
+def laid_out(topics: DataFrame, lead: Column, numbers_first: bool, prefix: str) -> DataFrame:
+    """lead (the first sentence if empty), body and closing of the primary article; no text twice."""
+    out = topics.withColumn("_lead", F.when(F.size(lead) > 0, lead).otherwise(F.slice("s", 1, 1)))
+    fresh = lambda s: F.filter(s, lambda e: ~F.array_contains(texts(F.col("_lead")), e.sentence))
+    body = fresh(of_primary())
+    if numbers_first:
+        body = F.concat(F.filter(body, lambda e: e.has_number), F.filter(body, lambda e: ~e.has_number))
+    out = out.withColumn("_body", body).withColumn("_text", joined(F.col("_body")))
+    closing = F.filter(fresh(of_primary(CLOSING)), lambda e: ~F.array_contains(texts(F.col("_body")), e.sentence))
+    linked = F.when(F.col("_text") != "", with_connectors(F.trim("_text"))).otherwise("")
+    return out.withColumns({f"{prefix}_lead": F.trim(joined(F.col("_lead"))), f"{prefix}_plain": F.trim("_text"), f"{prefix}_body": linked, f"{prefix}_closing": F.trim(joined(closing))}).drop("_lead", "_body", "_text")
+
+
+def visual(topics: DataFrame) -> DataFrame:
+    """Texts around images: scenes lead, then the rest of the primary article."""
+    return laid_out(topics, of_primary(("lead", "fact", "background")), False, "visual")
+
+
+def data(topics: DataFrame) -> DataFrame:
+    """Texts around figures: sentences with numbers lead, and come first in the body."""
+    sure = F.filter(of_primary(("statistic", "lead")), lambda e: e.has_number)
+    return laid_out(topics, F.when(F.size(sure) > 0, sure).otherwise(of_primary(("lead", "fact"))), True, "data")
+
+
+def preferred(s: Column, primary: Column, most: int, strict: bool = True) -> Column:
+    """Up to `most` sentences of the primary article; filled up with others unless strict. Without a primary article the first ones."""
+    own = F.filter(s, lambda e: e.id == primary)
+    other = F.filter(s, lambda e: e.id != primary)
+    kept = F.slice(own, 1, most)
+    if not strict:
+        kept = F.slice(F.concat(kept, other), 1, most)
+    return F.when(primary.isNull(), F.slice(s, 1, most)).otherwise(kept)
+
+
+def images_of_type(images: Column, kind: Column) -> Column:
+    """The first images of a topic, as many as its type keeps."""
+    most = F.lit(5)
+    for name, n in IMAGES_OF_TYPE.items():
+        most = F.when(kind == name, n).otherwise(most)
+    return F.slice(images, F.lit(1), most)
+
+
+def copied(sentences: DataFrame, outputs: DataFrame, topic: str, least: int = 10) -> DataFrame:
+    """(topic, sentences, copied): source sentences of over `least` characters, and how many of them the topic's output(topic, text) holds."""
+    rows = sentences.where(F.length("sentence") > least).join(outputs.select(topic, "text"), topic)
+    return rows.groupBy(topic).agg(F.count("*").alias("sentences"), F.count_if(F.col("text").contains(F.col("sentence"))).alias("copied"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..rules import formats
 from ..rules import news as rules
 
 
@@ -69,3 +70,55 @@ def main_topic(entity: Column, noun: Column, keyword: Column) -> Column:
 def headline(topic: Column, action: Column, number: Column) -> Column:
     """A title of the main topic, with what is known of number and action."""
     return F.concat_ws(" ", topic, number, action)
+
+
+def _words(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def number_context(kind: Column) -> Column:
+    """What a number is about: the first known word in actions, entities or topic; price words for shares that rise or fall."""
+    known = F.array_join(F.concat("actions", "entities"), " ")
+    out = F.when((kind == "비율") & F.exists("actions", lambda a: a.isin(*formats.PRICE_ACTIONS)), "주가").otherwise("")
+    for word, context in reversed(formats.NUMBER_CONTEXTS.items()):
+        out = F.when(known.contains(word) | F.col("main_topic").contains(word), context).otherwise(out)
+    return out
+
+
+def article_of(rows: DataFrame) -> DataFrame:
+    """Adds title, lead and body made from facts alone: entities, numbers (number, kind), dates, actions, main_topic."""
+    first = lambda c: F.get(F.col(c), F.lit(0))
+    entity, action, topic = first("entities"), first("actions"), F.col("main_topic")
+    number, kind = first("numbers").getField("number"), first("numbers").getField("kind")
+    has = lambda c: F.size(c) > 0
+    verbs = F.create_map(*(F.lit(v) for pair in formats.ACTION_VERBS.items() for v in pair))
+    verb, context = F.coalesce(verbs[action], action), number_context(kind)
+    with_context = F.when(context != "", _words(context, " ")).otherwise("")
+    title = (
+        F.when(has("entities") & has("actions") & has("numbers"), _words(entity, ", ", F.when(kind == "비율", with_context).otherwise(""), number, " ", verb))
+        .when(has("entities") & has("actions"), _words(entity, ", ", action, " 소식")).when(has("entities") & has("numbers"), _words(entity, ", ", with_context, number, " 기록"))
+        .when(has("entities"), _words(entity, " 최신 동향")).otherwise(_words(topic, " 업계 동향"))
+    )
+    when = F.when(has("dates"), _words(first("dates"), " ")).otherwise("")
+    amount = F.coalesce(F.when(kind == "금액", _words(" ", number, "의")).when(kind == "비율", _words(" ", number)), F.lit(""))
+    acts = (
+        F.when(action.isin("발표", "공개", "출시"), _words(when, entity, "가", amount, " ", action, "를 진행했다.")).when(action.isin("달성", "기록", "돌파"), _words(when, entity, "가", amount, " ", action, "했다."))
+        .when(action.isin("상승", "증가", "확대"), _words(when, entity, "의 실적이", amount, " ", action, "했다.")).otherwise(_words(when, entity, "가 ", action, " 관련 소식을 전했다."))
+    )
+    lead = F.when(has("entities") & has("actions"), acts).when(has("entities") & has("numbers"), _words(entity, "가 ", number, "를 기록하며 업계의 주목을 받고 있다."))
+    lead = lead.when(has("entities"), _words(entity, " 관련 최신 동향이 전해졌다.")).otherwise(_words(topic, " 분야의 새로운 소식이 전해졌다."))
+
+    def told(e: Column, i: Column) -> Column:
+        first_said = F.when(e.kind == "금액", _words(e.number, " 규모를 기록했다")).when(e.kind == "비율", _words(e.number, "의 성장률을 보였다"))
+        later = F.when(e.kind == "금액", _words("추가로 ", e.number, "의 성과를 달성했다")).when(e.kind == "비율", _words(e.number, " 개선되었다"))
+        return F.coalesce(F.when(i == 0, first_said).otherwise(later), F.when(e.kind == "수량", _words(e.number, "를 달성했다")))
+
+    said = F.array_compact(F.transform(F.slice("numbers", 1, 2), told))
+    figures = F.when(F.size(said) == 1, _words(F.coalesce(action, F.lit("이번 실적")), "에서 ", F.get(said, F.lit(0)), ".")).when(F.size(said) == 2, _words(F.get(said, F.lit(0)), ". ", F.get(said, F.lit(1)), "."))
+    same = (F.lower(entity) == F.lower(topic)) | topic.contains(entity)
+    back = F.when(has("entities") & same & has("actions"), _words(entity, "는 최근 ", action, " 등의 성과를 이어가고 있다.")).when(has("entities") & same, _words(entity, "는 관련 분야에서 지속적인 발전을 보이고 있다."))
+    back = back.when(has("entities"), _words(entity, "는 ", topic, " 분야에서 두각을 나타내고 있다.")).otherwise(_words(topic, " 시장이 주목받고 있다."))
+    others = F.when(F.size("entities") > 1, _words(F.array_join(F.slice("entities", 1, 3), ", "), " 등 주요 기업들이 관련 분야에 참여하고 있다."))
+    any_action = lambda *names: F.exists("actions", lambda a: a.isin(*names))
+    ahead = F.when(any_action("증가", "상승"), "업계에서는 이러한 추세가 당분간 이어질 것으로 전망하고 있다.").when(any_action("감소", "하락"), "전문가들은 향후 상황을 주의 깊게 지켜보고 있다.").otherwise("관련 업계의 향후 움직임이 주목된다.")
+    return rows.withColumns({"title": title, "lead": lead, "body": F.concat_ws(" ", figures, back, others, ahead)})

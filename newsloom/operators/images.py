@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..rules import formats
 from ..rules import news as rules
 
 
@@ -56,6 +57,22 @@ def verdict(url: Column, r: ImageRules = QA) -> Column:
     return out.otherwise("valid")
 
 
+def fits_page(url: Column) -> Column:
+    """Whether an address may be an image of an article by the rules of the web page: no excluded word, ending or size, and an ending or host of images."""
+    low = F.lower(url)
+    path = F.substring_index(low, "?", 1)
+    w, h = (F.regexp_extract(low, r"[_-](\d+)x(\d+)", k).try_cast("int") for k in (1, 2))
+    out = ~url.startswith("http") | url.contains("{{") | url.contains("}}") | path.rlike(r"\.(svg|ico|cur|gif)$") | x.contains_any(low, formats.WEB_IMAGE_WORDS) | F.coalesce((w < 150) | (h < 100), F.lit(False))
+    return F.coalesce(~out & (path.rlike(r"\.(jpg|jpeg|png|webp)$") | x.contains_any(low, formats.WEB_IMAGE_HOSTS)), F.lit(False))
+
+
+def in_order(images: DataFrame, by: str, most: int = 5) -> DataFrame:
+    """images(by, position, url) with place: the metadata's image (position -2), og:image (-1), then by position; each address once, the first `most`."""
+    once = images.groupBy(by, "url").agg(F.min("position").alias("position"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("position", "url"))
+    return once.withColumn("place", place).where(F.col("place") <= most)
+
+
 def watermark(url: Column) -> Column:
     low = F.lower(url)
     marked = low.rlike("/watermark/|/wm/|_wm\\.|-wm\\.")

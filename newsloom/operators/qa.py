@@ -59,3 +59,38 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> Dat
     right = b.select(key, *(F.col(v).alias(f"{v}_after") for v in values))
     out = left.join(right, key, "full_outer")
     return out.withColumns({f"{v}_change": F.round(F.coalesce(f"{v}_after", F.lit(0)) - F.coalesce(f"{v}_before", F.lit(0)), 3) for v in values})
+
+
+def batch_report(runs: DataFrame, by: str) -> DataFrame:
+    """A row for each value of `by`, and one for all (`all` = 1), of runs(by, passed, error, score, issues): tests, passed, failed, errors,
+    pass rate, mean score, and how often each of the ten most frequent issues occurs."""
+    groups = runs.rollup(by).agg(
+        F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if("error").alias("errors"),
+        F.round(F.count_if("passed") / F.count("*") * 100, 1).alias("pass_rate"), F.round(F.avg("score"), 1).alias("mean_score"), F.grouping(by).alias("all"),
+    )
+    counts = runs.select(by, F.explode("issues").alias("issue")).groupingSets([[by, "issue"], ["issue"]], by, "issue").agg(F.count("*").alias("n"), F.grouping(by).alias("all"))
+    order = Window.partitionBy("all", by).orderBy(F.desc("n"), "issue")
+    top = counts.withColumn("k", F.row_number().over(order)).where("k <= 10").groupBy("all", by).agg(F.array_sort(F.collect_list(F.struct("k", "issue", "n"))).alias("top"))
+    listed = top.select("all", by, F.array_join(F.transform("top", lambda t: F.concat_ws(":", t.issue, t.n.cast("string"))), ",").alias("issues"))
+    joined = groups.join(listed, (groups["all"] == listed["all"]) & groups[by].eqNullSafe(listed[by]), "left")
+    return joined.select(groups[by], groups["all"], "total", "passed", "failed", "errors", "pass_rate", "mean_score", F.coalesce("issues", F.lit("")).alias("issues"))
+
+
+def run_rows(queries: DataFrame, found: DataFrame, made: DataFrame, least: int = 400) -> DataFrame:
+    """One row per query: results found, characters made, success, issues of missing stages, and a score.
+
+    found(query_id, ...) and made(query_id, chars, issues) are outputs of the stages; what is not there is an issue of its own."""
+    searched = found.groupBy("query_id").agg(F.count("*").alias("search_count"))
+    rows = queries.select("query_id").join(searched, "query_id", "left").join(made, "query_id", "left")
+    none = F.array().cast("array<string>")
+    stage = F.when(F.col("search_count").isNull(), F.array(F.lit("NO_SEARCH_RESULTS"))).when(F.col("chars").isNull(), F.array(F.lit("GENERATION_FAILED"))).otherwise(none)
+    rows = rows.withColumn("issues", F.concat(stage, F.coalesce("issues", none))).withColumn("success", F.col("chars").isNotNull() & F.col("search_count").isNotNull())
+    return rows.select("query_id", F.coalesce("search_count", F.lit(0)).alias("search_count"), F.coalesce("chars", F.lit(0)).alias("chars"), "success", "issues")
+
+
+def image_counts(articles: DataFrame, kind: str) -> DataFrame:
+    """Mean, least, most and number of articles by number of images, by kind and in all: articles(kind, images)."""
+    stats = articles.rollup(kind).agg(F.count("*").alias("n"), F.round(F.avg("images"), 3).alias("mean"), F.min("images").alias("least"), F.max("images").alias("most"), F.grouping(kind).alias("all"))
+    values = articles.groupingSets([[kind, "images"], ["images"]], kind, "images").agg(F.count("*").alias("held"), F.grouping(kind).alias("all"))
+    listed = values.groupBy(kind, "all").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("images", "held"))), lambda v: F.concat_ws(":", v.images.cast("string"), v.held.cast("string"))), ",").alias("values"))
+    return stats.join(listed, (stats["all"] == listed["all"]) & stats[kind].eqNullSafe(listed[kind])).select(stats[kind], stats["all"], "n", "mean", "least", "most", "values")

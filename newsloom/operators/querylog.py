@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..rules import news as rules
+from ..storage import small, stated
 
 #: Keyword, exclusion and limit patterns, and option words.
 KEYWORD_PATTERNS = (r"([가-힣A-Za-z0-9]+)\s*관련", r"([가-힣A-Za-z0-9]+)에\s*대한")
@@ -118,12 +119,30 @@ def query_errors() -> Column:
 
 
 def sources_of(queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """(query_id, source_id, place): active sources that fit a query, by credibility; the registry is broadcast, it has a row per outlet."""
+    """(query_id, source_id, place): active sources that fit a query, by credibility; the registry is a stated set, a row per outlet."""
     free = lambda c: F.coalesce(F.size(c), F.lit(0)) == 0
     fits = F.col("is_active") & (~F.col("verified_sources_only") | F.col("tier").isin("whitelist", "tier1"))
     fits = fits & (free("category") | free("supported_categories") | F.arrays_overlap("category", "supported_categories"))
-    rows = queries.join(F.broadcast(sources), fits)
-    from pyspark.sql import Window
-
+    rows = queries.join(stated(sources), fits)
     order = Window.partitionBy("query_id").orderBy(F.desc("credibility_base_score"), "source_id")
     return rows.select("query_id", "source_id", F.row_number().over(order).alias("place"))
+
+
+def widened(queries: DataFrame, news: DataFrame, days: int = 3, enough: int = 5, most: int = 30) -> DataFrame:
+    """(query_id, id, step) of queries(query_id, keywords, date): articles of that day with all keywords; if there are none, those of `days` days around it;
+    and if a query of several keywords has fewer than `enough`, also those of the day with any one of them. step tells which of the three found it; the first `most` by ord.
+
+    Queries are a stated set, as the join has no key. One pass over the articles marks what each step finds; counts by query decide which steps hold."""
+    text = F.lower(F.concat_ws(" ", "title", "body"))
+    low = F.transform("keywords", lambda k: F.lower(k))
+    hits = F.size(F.filter(low, lambda k: F.col("_text").contains(k)))
+    away = F.abs(F.datediff(F.col("published_at"), F.col("date")))
+    rows = news.select("id", "ord", "published_at", text.alias("_text")).join(stated(queries), (away <= days) & (F.size("keywords") > 0)).select("query_id", "id", "ord", F.size("keywords").alias("n"), hits.alias("hits"), away.alias("away"))
+    rows = rows.where("hits > 0").withColumns({"exact": F.expr("away = 0 and hits = n"), "wide": F.expr("hits = n"), "any": F.expr("away = 0")})
+    counts = rows.groupBy("query_id").agg(F.count_if("exact").alias("n_exact"), F.count_if("wide").alias("n_wide"))
+    rows = rows.join(small(counts), "query_id")
+    found = F.when(F.col("exact"), 1).when(F.col("wide") & (F.col("n_exact") == 0), 2)
+    first = F.when(F.col("n_exact") > 0, F.col("n_exact")).otherwise(F.col("n_wide"))
+    step = F.coalesce(found, F.when(F.col("any") & (F.col("n") >= 2) & (first < enough), 3))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("step", "ord", "id"))
+    return rows.withColumn("step", step).where("step is not null").withColumn("place", place).where(F.col("place") <= most).select("query_id", "id", "step", "place")

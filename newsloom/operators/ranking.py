@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..rules import news as rules
+from ..storage import materialized, small, stated
 from . import scoring
 
 
 def candidates(queries: DataFrame, news: DataFrame) -> DataFrame:
     """Articles in the date range of each query (undated ones pass) that hold no excluded keyword; one row per query and article.
 
-    Queries are a stated set of checked size, so they are broadcast."""
+    Queries are a stated set, whose size is checked, as the join has no key."""
     dated = F.col("published_at").isNull() | ((F.col("date_from").isNull() | (F.col("published_at") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("published_at") <= F.col("date_to"))))
     text = F.lower(F.concat_ws(" ", "title", "body"))
     banned = F.coalesce("exclude_keywords", F.array().cast("array<string>"))
     clean = (F.size(banned) == 0) | ~x.let(text, lambda t: F.exists(banned, lambda k: t.contains(F.lower(k))))
-    return news.join(F.broadcast(queries), dated & clean)
+    return news.join(stated(queries), dated & clean)
 
 
 def final_score(preset: Column) -> Column:
@@ -48,23 +49,31 @@ def order_of(preset: Column) -> list[Column]:
     return [latest.desc(), F.when(preset != "latest", F.col("final_score")).desc(), F.col("ord").asc()]
 
 
-def ranked(scored: DataFrame, most_per_source: int = 3) -> DataFrame:
+def ranked(scored: DataFrame, most_per_source: int = 3, salts: int = 32) -> DataFrame:
     """Sorts each query's rows, keeps the first few of a source, and numbers those within offset and limit.
 
     With group_by the limit holds for each day or source of a query. If a query's rows all have one source_id, source_name tells sources apart.
-    Only what can still reach its limit is numbered: rows beyond the first few of a source go before the ranks are made."""
+    A query or source may hold most of the rows, so what can be among the first is found in salted parts before the ranks are made: the first
+    few of a source in each part, and the first `offset + limit` of a group in each part. Every rank is that of the whole."""
     sets = scored.groupBy("query_id").agg(F.count("*").alias("_rows"), F.min("source_id").alias("_low"), F.max("source_id").alias("_high"))
-    rows = scored.join(F.broadcast(sets), "query_id")
+    rows = scored.join(small(materialized(sets, "query-sets")), "query_id")
     key = F.when((F.col("_low") == F.col("_high")) & (F.col("_rows") > 1), F.col("source_name")).otherwise(F.col("source_id"))
-    rows = rows.withColumn("_key", F.coalesce(key, F.lit("")))
-    order = order_of(F.col("preset"))
-    diverse = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_key").orderBy(*order)))
-    diverse = diverse.where(~F.col("diversity") | (F.col("_n") <= most_per_source))
     group = F.when(F.col("group_by") == "day", F.date_format("published_at", "yyyy-MM-dd")).when(F.col("group_by") == "source", F.col("source_id")).otherwise("")
-    out = diverse.withColumn("group_key", F.coalesce(group, F.lit("")))
+    rows = rows.withColumns({"_key": F.coalesce(key, F.lit("")), "group_key": F.coalesce(group, F.lit("")), "_salt": F.pmod(F.xxhash64("id"), F.lit(salts))})
+    order = order_of(F.col("preset"))
+
+    def first(df: DataFrame, by: list[str], most: int) -> DataFrame:
+        """The first rows of each group: of each salted part, then of the whole; a literal bound, which Spark cuts to before it shuffles."""
+        for keys in ([*by, "_salt"], by):
+            df = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+        return df
+
+    most = scored.agg(F.max(F.col("offset") + F.col("limit"))).first()[0] or 0
+    diverse = first(rows.where("diversity"), ["query_id", "_key"], most_per_source).unionByName(rows.where("not coalesce(diversity, false)"))
+    out = first(diverse, ["query_id", "group_key"], most)
     out = out.withColumn("rank_position", F.row_number().over(Window.partitionBy("query_id", "group_key").orderBy(*order)))
     kept = out.where((F.col("rank_position") > F.col("offset")) & (F.col("rank_position") <= F.col("offset") + F.col("limit")))
-    return kept.drop("_rows", "_low", "_high", "_key", "_n")
+    return kept.drop("_rows", "_low", "_high", "_key", "_salt")
 
 
 def score_articles(news: DataFrame, r: rules.Rules = rules.KOREAN, registry: DataFrame | None = None) -> DataFrame:
@@ -74,13 +83,15 @@ def score_articles(news: DataFrame, r: rules.Rules = rules.KOREAN, registry: Dat
 
 def rank(queries: DataFrame, news: DataFrame, as_of: Column, r: rules.Rules = rules.KOREAN, registry: DataFrame | None = None) -> DataFrame:
     """The whole job: candidates, scores, policy, order, diversity, limits."""
+    news = materialized(news, "news")
     scored = score_articles(news, r, registry)
     crossed = scored.join(scoring.cross_counts(news), "id", "left")
     crossed = crossed.withColumn("credibility_score", scoring.credibility(F.col("trust"), F.coalesce("cross_count", F.lit(0))))
-    rows = candidates(queries.join(F.broadcast(scoring.expanded_terms(queries, r)), "query_id", "left"), crossed)
+    crossed = materialized(crossed, "scored-articles")
+    rows = candidates(queries.join(small(scoring.expanded_terms(queries, r)), "query_id", "left"), crossed)
     relevance = F.when(F.coalesce(F.size("keywords"), F.lit(0)) > 0, scoring.keyword_relevance()).otherwise(scoring.plain_relevance())
     rows = scoring.with_popularity(rows, ["query_id"], as_of).withColumn("relevance_score", relevance)
-    return ranked(policy(rows.withColumn("final_score", final_score(F.col("preset")))))
+    return ranked(materialized(policy(rows.withColumn("final_score", final_score(F.col("preset")))).drop("body"), "scored-candidates"))
 
 
 def best_source(news: DataFrame, topic: str, keywords: list[str], newsworthy: tuple[str, ...] = rules.NEWSWORTHY_TITLES) -> DataFrame:

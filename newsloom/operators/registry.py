@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..rules import formats
 from ..rules import news as rules
+from ..storage import small
 
 #: Failures in a row after which a source is inactive.
 MOST_FAILURES = 5
@@ -63,16 +65,54 @@ def usage(log: DataFrame, unit: str = "hour") -> DataFrame:
 
 
 def over_limit(log: DataFrame, limits: DataFrame) -> DataFrame:
-    """Slots in which a source made more requests than limits(source_id, per_minute, per_hour, per_day) allow; a row per source, broadcast."""
+    """Slots in which a source made more requests than limits(source_id, per_minute, per_hour, per_day) allow.
+
+    Limits have a row for each source, so they join by its id, and are broadcast only where they are small."""
     out = None
     for unit, name in (("minute", "per_minute"), ("hour", "per_hour"), ("day", "per_day")):
-        part = usage(log, unit).join(F.broadcast(limits.select("source_id", F.col(name).alias("allowed"))), "source_id").where("requests > allowed").withColumn("unit", F.lit(unit))
+        part = usage(log, unit).join(limits.select("source_id", F.col(name).alias("allowed")), "source_id").where("requests > allowed").withColumn("unit", F.lit(unit))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def longest_failures(log: DataFrame) -> DataFrame:
-    """(source_id, longest): the longest run of failures, by numbering successes before each fetch."""
-    w = Window.partitionBy("source_id").orderBy("ts", "ord")
-    runs = log.withColumn("run", F.sum(F.col("ok").cast("int")).over(w)).where(~F.col("ok")).groupBy("source_id", "run").agg(F.count("*").alias("n"))
-    return runs.groupBy("source_id").agg(F.max("n").alias("longest"))
+    """(source_id, longest): the longest run of failures in order of time.
+
+    Runs are found within each day of a source, then days are put together from their first, last and longest runs, so that a
+    source with most of the log is spread over its days."""
+    day = F.to_date("ts")
+    w = Window.partitionBy("source_id", "day").orderBy("ts", "ord")
+    rows = log.withColumn("day", day).withColumn("run", F.sum(F.col("ok").cast("int")).over(w))
+    runs = rows.groupBy("source_id", "day", "run").agg(F.count_if(~F.col("ok")).alias("n"))
+    days = runs.groupBy("source_id", "day").agg(F.max("run").alias("successes"), F.max("n").alias("longest"), F.max_by("n", F.col("run")).alias("last"), F.max(F.when(F.col("run") == 0, F.col("n"))).alias("first"))
+    # a day without success is one run that goes on; a block of days ends with a day that has a success
+    by_day = Window.partitionBy("source_id").orderBy("day")
+    before = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    block = days.withColumn("block", F.coalesce(F.sum((F.col("successes") > 0).cast("int")).over(before), F.lit(0)))
+    carried = F.sum(F.when(F.col("successes") > 0, F.coalesce("first", F.lit(0))).otherwise(F.col("longest")))
+    joined = block.groupBy("source_id", "block").agg(carried.alias("over"), F.max(F.when(F.col("successes") > 0, F.col("last"))).alias("tail"), F.max("longest").alias("within"))
+    next_ = joined.withColumn("over", F.col("over") + F.coalesce(F.lag("tail").over(Window.partitionBy("source_id").orderBy("block")), F.lit(0)))
+    out = next_.groupBy("source_id").agg(F.max(F.greatest("over", "within")).alias("longest"))
+    return out.where("longest > 0")
+
+
+def outlet(url: Column, names: dict[str, str] = formats.DOMAIN_NAMES) -> Column:
+    """The name of the outlet of an address, its domain if that is not known; fixed names without an address or domain."""
+    domain = F.regexp_extract(url, r"https?://(?:www\.)?([^/]+)", 1)
+    known = F.create_map(*(F.lit(v) for pair in names.items() for v in pair))
+    return F.when(F.coalesce(url, F.lit("")) == "", "네이버 뉴스").when(domain == "", "Unknown").otherwise(F.coalesce(known[domain], domain))
+
+
+def inferred_tier(name: Column, first: tuple[str, ...] = formats.FIRST_TIER, second: tuple[str, ...] = formats.SECOND_TIER) -> Column:
+    return F.when(name.isin(*first), "tier1").when(name.isin(*second), "tier2").otherwise("tier3")
+
+
+def known_tier(name: Column, tiers: dict[str, str] = formats.KNOWN_TIERS) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(v) for pair in tiers.items() for v in pair))[name], F.lit("tier2"))
+
+
+def with_source(news: DataFrame, sources: DataFrame) -> DataFrame:
+    """news with tier and credibility_base_score of its source where the registry has it; else source_tier stays and the score is null."""
+    own = sources.select("source_id", F.col("tier").alias("_tier"), "credibility_base_score")
+    out = news.join(small(own), "source_id", "left")
+    return out.withColumn("source_tier", F.coalesce("_tier", "source_tier")).drop("_tier")

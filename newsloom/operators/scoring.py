@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..rules import news as rules
+from ..storage import materialized, small
 from .similarity import by_class, similarity_edges
 
 Rules = rules.Rules
@@ -123,7 +124,7 @@ def with_quality(news: DataFrame, r: Rules = rules.KOREAN, registry: DataFrame |
     loud = loud + F.least(F.lit(0.2), F.regexp_count(title, F.lit(r"[!?]{2,}|[ㅋㅎ]{2,}")) * 0.1)
     own = trust()
     if registry is not None:
-        news = news.join(F.broadcast(registry.select("source_id", "credibility_base_score")), "source_id", "left")
+        news = news.join(small(registry.select("source_id", "credibility_base_score")), "source_id", "left")
         own = F.coalesce(F.col("credibility_base_score") / 100.0, own)
     out = news.withColumns({"trust": own, "_evidence": evidence, "_loud": F.least(F.lit(1.0), loud)})
     out = out.withColumns(
@@ -181,7 +182,7 @@ def with_popularity(news: DataFrame, by: list[str], as_of: Column, half_life: fl
 
     A batch whose latest article is seven days old or more is judged from that article on, not from as_of."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = news.join(F.broadcast(batch_limits(news, by)), by)
+    out = news.join(materialized(batch_limits(news, by), "batch-limits"), by)  # Spark broadcasts what is written small
     old = F.floor((F.unix_micros(as_of) - F.unix_micros("latest")) / 86_400_000_000) >= 7
     since = F.when(old, F.col("latest")).otherwise(as_of)
     fresh = F.when(F.col("published_at").isNull(), 0.3).otherwise(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), hours(since, F.col("published_at"))) / half_life))
@@ -204,7 +205,7 @@ def expanded_terms(queries: DataFrame, r: Rules = rules.KOREAN) -> DataFrame:
     spark = queries.sparkSession
     known = spark.createDataFrame([(k.lower(), [s.lower() for s in v]) for k, v in r.synonyms.items()], "keyword string, synonyms array<string>")
     each = queries.select("query_id", F.posexplode("keywords").alias("place", "keyword")).withColumn("keyword", F.lower("keyword"))
-    each = each.join(F.broadcast(known), "keyword", "left")
+    each = each.join(small(known), "keyword", "left")
     terms = F.array_union(F.array("keyword"), F.coalesce("synonyms", F.array().cast("array<string>")))
     ordered = F.sort_array(F.collect_list(F.struct("place", terms.alias("terms"))))
     return each.groupBy("query_id").agg(F.transform(ordered, lambda x_: x_.terms).alias("terms"))

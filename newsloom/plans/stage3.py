@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators import assembly, scoring, sentences
+from ..operators.formats import WEIGHTS, features, recommend
 from ..rules import news as rules
 from ..storage import materialized
 from .registry import query
@@ -165,19 +166,19 @@ def n07_article_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SENTS = "string_split_regex(body, '[.!?]\\s*')"
 _FEATURES = f"""feat as (select id, case when length(title) + length(body) < 200 then 'short' when length(title) + length(body) < 800 then 'medium' else 'long' end as length,
   case when list_sum(list_transform({_SENTS}, lambda s: length(s))) / len({_SENTS}) > 50 then 'complex' when list_sum(list_transform({_SENTS}, lambda s: length(s))) / len({_SENTS}) < 25 then 'simple' else 'moderate' end as complexity,
-  case when regexp_matches(title || ' ' || body, '\\d+%|\\d+억|\\d+만|\\d+조|\\d+배|\\d+위') then 'medium' else 'none' end as visual from articles)"""
+  case when regexp_matches(title || ' ' || body, '\\d+%|\\d+억|\\d+만|\\d+조|\\d+배|\\d+위') then 'medium' else 'none' end as visual,
+  case when regexp_matches(title || ' ' || body, '\\d+%|\\d+억|\\d+만|\\d+조|\\d+배|\\d+위') then 'yes' else 'no' end as figures, category as topic,
+  case when {any_of("lower(title)", rules.BREAKING)} then 'breaking' when {any_of("lower(title || ' ' || body)", rules.EVERGREEN)} then 'evergreen' else 'daily' end as urgency from articles)"""
 
 
 @query(
-    f"""with {ARTICLES}, {_FEATURES}, rule(feature, value, format, weight) as (values {', '.join(str(r) for r in rules.FORMAT_WEIGHTS)}),
-f as (select id, 'length' as feature, length as value from feat union all select id, 'complexity', complexity from feat union all select id, 'visual', visual from feat),
+    f"""with {ARTICLES}, {_FEATURES}, rule(feature, value, format, weight) as (values {', '.join(str(r) for r in WEIGHTS)}),
+f as (select id, 'length' as feature, length as value from feat union all select id, 'complexity', complexity from feat union all select id, 'visual', visual from feat union all select id, 'figures', figures from feat union all select id, 'urgency', urgency from feat union all select id, 'topic', topic from feat),
 s as (select id, format, round(least(sum(weight), 1.0), 3) as score from f join rule using (feature, value) group by id, format)
 select id, format, score, place from (select *, row_number() over (partition by id order by score desc, format) as place from s) where place <= 5"""
 )
 def e01_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best formats of each article, by a table of rules."""
-    from ..operators.formats import features, recommend
-
     return recommend(features(articles(spark, sf_dir)))
 
 

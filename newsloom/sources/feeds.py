@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..storage import small
 
 RSS = "title string, link string, description string, pubDate string, author string, `dc:creator` string, guid string, source string"
 ATOM = "title string, link struct<_href:string>, summary string, content string, published string, updated string, author struct<name:string>"
@@ -70,7 +71,7 @@ def to_news(records: DataFrame, sources: DataFrame | None, fetched: Column) -> D
         x.infer_category(F.lit(""), F.col("title")).alias("category"),
     ).where(~x.is_video(F.col("title")))
     if sources is not None:
-        out = out.join(F.broadcast(sources.select("source_id", "tier")), "source_id", "left").withColumn("source_tier", F.coalesce("tier", F.lit("tier3"))).drop("tier")
+        out = out.join(small(sources.select("source_id", "tier")), "source_id", "left").withColumn("source_tier", F.coalesce("tier", F.lit("tier3"))).drop("tier")
     return out
 
 

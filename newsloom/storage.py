@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 #: Where this process may write without a shared folder: all executors then run in the driver's own process.
@@ -44,6 +45,22 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that may be broadcast, and rows of a stated set.
+BROADCAST_BYTES, STATED_ROWS = 32_000_000, 100_000
+
+
+def small(df: DataFrame, row_bytes: int = 200) -> DataFrame:
+    """df with a broadcast hint if it is counted to be small enough, else as it is, for a join by shuffle; for tables that are cheap to count."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def stated(df: DataFrame) -> DataFrame:
+    """A stated set, for joins that have no key to shuffle by: broadcast, and refused beyond STATED_ROWS rows."""
+    if (n := df.count()) > STATED_ROWS:
+        raise ValueError(f"{n} rows are no stated set; run it in parts of at most {STATED_ROWS}")
+    return F.broadcast(df)
+
+
 def sweep(spark) -> int:
     """Deletes the intermediate tables and files written so far; call it when no result that reads them is needed any more."""
     n = 0
