@@ -136,29 +136,20 @@ def with_quality(news: DataFrame, r: Rules = rules.KOREAN, registry: DataFrame |
     return out.drop("_evidence", "_loud", *(["credibility_base_score"] if registry is not None else []))
 
 
-def cross_source_edges(news: DataFrame) -> DataFrame:
-    """(a, b) of articles of different sources whose titles have a Jaccard similarity of at least 0.5."""
-    items = news.select(F.lit(0).alias("grp"), "id", x.words(F.lower(_text("title"))).alias("tokens"))
-    source = news.select("id", "source_id")
-    pairs = similarity_edges(items, 1, 2).select("a", "b")
-    return (
-        pairs.join(source.toDF("a", "sa"), "a").join(source.toDF("b", "sb"), "b").where("sa <> sb").select("a", "b")
-    )
-
-
-def cross_counts(news: DataFrame) -> DataFrame:
-    """(id, cross_count): similar titles of other sources, of articles with a title of three distinct words or more.
+def cross_counts(news: DataFrame, least: int = 3) -> DataFrame:
+    """(id, cross_count): titles of other sources with a Jaccard similarity of at least 0.5, of articles with a title of `least` distinct words or more.
 
     Equal titles are counted as one class by source, so that copies make no pairs."""
     items = news.select(F.lit(0).alias("grp"), "id", "ord", "source_id", x.words(F.lower(_text("title"))).alias("tokens"))
     classes, members = by_class(items)
+    classes = materialized(classes, "classes")
     members = members.join(items.select("id", "source_id", F.size(F.array_distinct("tokens")).alias("n")), "id").where("n > 0")
     held = members.groupBy("first", "source_id").agg(F.count("*").alias("held"))
     pairs = similarity_edges(classes, 1, 2).select("a", "b")
     both = pairs.union(pairs.select("b", "a")).union(classes.select("id", F.col("id").alias("b"))).toDF("first", "other")
     near = both.join(held.withColumnRenamed("first", "other"), "other").groupBy("first", "source_id").agg(F.sum("held").alias("own"))
     total = near.groupBy("first").agg(F.sum("own").alias("total"))
-    out = members.where("n >= 3").join(near, ["first", "source_id"]).join(total, "first")
+    out = members.where(F.col("n") >= least).join(near, ["first", "source_id"]).join(total, "first")
     return out.select("id", (F.col("total") - F.col("own")).alias("cross_count")).where("cross_count > 0")
 
 

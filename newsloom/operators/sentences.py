@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..rules import news as rules
-from .similarity import greedy_leaders, shared_substring_edges, similarity_edges
+from ..storage import materialized
+from .similarity import edge_keys, greedy_leaders_by_keys, link_counts, shared_substrings, similarity_edges
 
 Rules = rules.Rules
 BOILERPLATE = "|".join(f"(?:{p})" for p in rules.BOILERPLATE)
@@ -82,11 +83,12 @@ def distinct_sentences(rows: DataFrame, num: int = 1, den: int = 2, shared: int
     """rows(grp, id, ord, sentence) without those equal or similar to an earlier kept one of their group."""
     keyed = rows.withColumn("key", x.for_dedup(F.col("sentence"))).where(F.length("key") >= least)
     first = keyed.groupBy("grp", "key").agg(F.min(F.struct("ord", "id")).alias("f")).select("grp", "key", F.col("f.id").alias("id"), F.col("f.ord").alias("ord"))
+    first = materialized(first, "sentences")
     tokens = first.select("grp", "id", x.words(F.col("key")).alias("tokens"))
-    edges = similarity_edges(tokens, num, den).select("grp", "a", "b")
+    keys = edge_keys(similarity_edges(tokens, num, den).select("grp", "a", "b"))
     if shared:
-        edges = edges.union(shared_substring_edges(first.select("grp", "id", F.col("key").alias("text")), shared))
-    led = greedy_leaders(first.select("grp", "id", "ord"), edges.distinct())
+        keys = keys.union(shared_substrings(first.select("grp", "id", F.col("key").alias("text")), shared))
+    led = greedy_leaders_by_keys(first.select("grp", "id", "ord"), keys)
     return rows.join(led.where("id = leader").select("grp", "id"), ["grp", "id"], "left_semi")
 
 
@@ -107,11 +109,8 @@ def merge_bodies(groups: DataFrame, news: DataFrame, target: int = 500) -> DataF
 
 def coverage(news: DataFrame, topic: str) -> DataFrame:
     """(topic, id, coverage): one and the number of other articles of the topic with a title similarity of a fifth (case matters)."""
-    items = news.select(F.col(topic).alias("grp"), "id", x.words(F.col("title")).alias("tokens"))
-    edges = similarity_edges(items, 1, 5)
-    both = edges.select("grp", F.col("a").alias("id")).union(edges.select("grp", F.col("b").alias("id")))
-    more = both.groupBy("grp", "id").agg(F.count("*").alias("more"))
-    return items.select("grp", "id").join(more, ["grp", "id"], "left").select(F.col("grp").alias(topic), "id", (1 + F.coalesce("more", F.lit(0))).alias("coverage"))
+    items = news.select(F.col(topic).alias("grp"), "id", "ord", x.words(F.col("title")).alias("tokens"))
+    return link_counts(items, 1, 5).select(F.col("grp").alias(topic), "id", (1 + F.col("links")).alias("coverage"))
 
 
 def primary_articles(rows: DataFrame, news: DataFrame, topic: str, r: Rules = rules.KOREAN) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact set-similarity join by prefix filtering, shared-substring edges, and the greedy leader kernel."""
+"""Exact set-similarity join by prefix filtering, shared substrings, and the greedy leader kernel."""
 
 from __future__ import annotations
 
@@ -29,44 +29,51 @@ def similarity_edges(items: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(F.col("both") * den >= F.col("either") * num).distinct()
 
 
-def shared_substring_edges(items: DataFrame, length: int = 15) -> DataFrame:
-    """(grp, a, b) of pairs of items(grp, id, text) in one group whose texts share a substring of that length, a < b."""
+def shared_substrings(items: DataFrame, length: int = 15) -> DataFrame:
+    """(grp, key, id): for items(grp, id, text) the substrings of that length that others of their group hold too; who shares a key is a neighbour."""
     n = F.length("text") - length + 1
-    grams = items.where(n > 0).select("grp", "id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("text"), i, F.lit(length))))).alias("gram"))
-    a, b = grams.alias("a"), grams.alias("b")
-    same = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same).select(F.col("a.grp").alias("grp"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    grams = items.where(n > 0).select("grp", "id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("text"), i, F.lit(length))))).alias("key"))
+    often = grams.groupBy("grp", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return grams.join(often, ["grp", "key"], "left_semi").select("grp", "key", "id")
+
+
+def edge_keys(edges: DataFrame) -> DataFrame:
+    """edges(grp, a, b) as keys that their two ends share."""
+    key = F.concat_ws("\u0001", F.least(F.col("a").cast("string"), F.col("b").cast("string")), F.greatest(F.col("a").cast("string"), F.col("b").cast("string")))
+    return edges.where("a <> b").select("grp", key.alias("key"), F.explode(F.array("a", "b")).alias("id"))
 
 
 def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(grp, id, leader) of nodes(grp, id, ord) under the sequential rule: in order, a node is a leader unless it is
-    similar to an earlier leader; then it belongs to the earliest of them. edges(grp, a, b) have no direction.
+    """`greedy_leaders_by_keys` with edges(grp, a, b), which have no direction."""
+    return greedy_leaders_by_keys(nodes, edge_keys(edges))
+
+
+def greedy_leaders_by_keys(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(grp, id, leader) of nodes(grp, id, ord) under the sequential rule: in order, a node is a leader unless it is a
+    neighbour of an earlier leader; then it belongs to the earliest of them. Nodes that share one of keys(grp, key, id) are neighbours.
 
-    Rounds: a node without an open earlier neighbour leads; its later neighbours are members; both are closed. Few rounds are
-    enough for orders that are not adversarial. Ties of ord are broken by id.
+    Rounds: a node that is first in all its keys leads; who shares a key with it is a member; both are closed. A key of n nodes
+    costs n rows and not its pairs, and only minima are aggregated, so a hot key is no hot task. Few rounds are enough for orders
+    that are not adversarial. Ties of ord are broken by id.
     """
     place = nodes.select("grp", "id", F.struct("ord", "id").alias("place"))
-    ends = edges.select("grp", "a", "b").distinct()
-    at = lambda name: place.select("grp", F.col("id").alias(name), F.col("place").alias(f"at_{name}"))
-    directed = ends.join(at("a"), ["grp", "a"]).join(at("b"), ["grp", "b"]).where("a <> b")
-    early = F.when(F.col("at_a") < F.col("at_b"), F.struct(F.col("a").alias("lo"), F.col("at_a").alias("at"), F.col("b").alias("hi"))).otherwise(
-        F.struct(F.col("b").alias("lo"), F.col("at_b").alias("at"), F.col("a").alias("hi"))
-    )
-    directed = materialized(directed.select("grp", early.alias("e")).select("grp", "e.*"), "edges")
-    open_edges, members = directed, None
-    while not open_edges.isEmpty():
-        blocked = open_edges.select("grp", F.col("hi").alias("lo")).distinct()
-        leads = open_edges.select("grp", "lo").distinct().join(blocked, ["grp", "lo"], "left_anti")
-        closed = materialized(open_edges.join(leads, ["grp", "lo"], "left_semi").select("grp", F.col("hi").alias("id")).distinct(), "members")
+    every = materialized(keys.select("grp", "key", "id").distinct().join(place, ["grp", "id"]), "keys")
+    left, members = every, None
+    while True:
+        first = left.groupBy("grp", "key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+        left = materialized(left.join(first, ["grp", "key"]).select("grp", "key", "id", "place", "first"), "open")
+        leads = left.groupBy("grp", "id").agg(F.bool_and(F.col("place") == F.col("first")).alias("leads")).where("leads").select("grp", "id")
+        led = left.where("place = first").join(leads, ["grp", "id"], "left_semi").select("grp", "key").distinct()
+        closed = materialized(left.where("place <> first").join(led, ["grp", "key"], "left_semi").select("grp", "id").distinct(), "members")
+        if closed.isEmpty():
+            break
         members = closed if members is None else members.union(closed)
-        gone = closed.union(leads.select("grp", F.col("lo").alias("id")))
-        open_edges = open_edges.join(gone.withColumnRenamed("id", "lo"), ["grp", "lo"], "left_anti").join(gone.withColumnRenamed("id", "hi"), ["grp", "hi"], "left_anti")
-        open_edges = materialized(open_edges, "edges")
+        left = left.join(closed.union(leads), ["grp", "id"], "left_anti").select("grp", "key", "id", "place")
     if members is None:
         return nodes.select("grp", "id", F.col("id").alias("leader"))
-    to_leader = directed.join(members.withColumnRenamed("id", "lo"), ["grp", "lo"], "left_anti").join(members.withColumnRenamed("id", "hi"), ["grp", "hi"], "left_semi")
-    earliest = to_leader.groupBy("grp", F.col("hi").alias("id")).agg(F.min("at").alias("at"))
-    return nodes.select("grp", "id").join(earliest, ["grp", "id"], "left").select("grp", "id", F.coalesce("at.id", "id").alias("leader"))
+    heads = every.join(members, ["grp", "id"], "left_anti").groupBy("grp", "key").agg(F.min("place").alias("head"))
+    earliest = every.join(members, ["grp", "id"], "left_semi").join(heads, ["grp", "key"]).groupBy("grp", "id").agg(F.min("head").alias("head"))
+    return nodes.select("grp", "id").join(earliest, ["grp", "id"], "left").select("grp", "id", F.coalesce("head.id", "id").alias("leader"))
 
 
 def by_class(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,3 +93,17 @@ def leaders_by_tokens(items: DataFrame, num: int, den: int) -> DataFrame:
     classes = materialized(classes, "classes")
     led = greedy_leaders(classes, similarity_edges(classes, num, den)).select("grp", F.col("id").alias("first"), "leader")
     return members.join(led, ["grp", "first"], "left").select("grp", "id", F.coalesce("leader", "id").alias("leader"))
+
+
+def link_counts(items: DataFrame, num: int, den: int) -> DataFrame:
+    """(grp, id, first, links) of items(grp, id, ord, tokens): the first item with the same tokens, and how many other items reach that similarity.
+
+    Pairs are made of classes only, so n equal items cost n rows."""
+    classes, members = by_class(items)
+    classes, members = materialized(classes, "classes"), materialized(members, "class-members")
+    size = members.groupBy("grp", "first").agg(F.count("*").alias("size"))
+    pairs = similarity_edges(classes, num, den).select("grp", "a", "b")
+    both = pairs.union(pairs.select("grp", F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size.withColumnRenamed("first", "b"), ["grp", "b"]).groupBy("grp", F.col("a").alias("first")).agg(F.sum("size").alias("near"))
+    links = F.coalesce("near", F.lit(0)) + F.col("size") - 1
+    return members.join(size, ["grp", "first"]).join(near, ["grp", "first"], "left").select("grp", "id", "first", links.alias("links"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators import dedup, ranking, scoring
+from ..operators.similarity import link_counts
 from ..rules import news as rules
 from ..rules.news import LATIN
-from .registry import query
+from .registry import SQL, query
 from .tables import ARTICLES, AS_OF, LATER, NEWS, QUERIES, any_of, articles, as_of, category_sql, count_of, news, query_table, sql_text, table, words_sql
 
 _BARE = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g')"
@@ -94,46 +95,54 @@ _TITLES = f"titles as (select id, ord, source_id, list_distinct({words_sql('lowe
 _JACC = "len(list_intersect(a.t, b.t))"
 
 
-def _edges_sql(extra: str, num: int, den: int, tokens: str = _TITLES) -> str:
-    return f"""with {ARTICLES}, {tokens} select a.id as a, b.id as b, {_JACC} as both, len(a.t) + len(b.t) - {_JACC} as either
-from titles a join titles b on a.id < b.id {extra} where len(a.t) > 0 and len(b.t) > 0 and {_JACC} * {den} >= (len(a.t) + len(b.t) - {_JACC}) * {num}"""
+def _counts_sql(num: int, den: int, tokens: str = _TITLES) -> str:
+    """Of each article the first with the same tokens, and how many others are similar."""
+    return f"""with {ARTICLES}, {tokens}, e as (select a.id, count(*) as links from titles a join titles b on a.id <> b.id where len(a.t) > 0 and len(b.t) > 0 and {_JACC} * {den} >= (len(a.t) + len(b.t) - {_JACC}) * {num} group by a.id)
+select id, case when len(t) > 0 then min(id) over (partition by list_sort(t)) else id end as class_id, coalesce(links, 0) as links from titles left join e using (id)"""
 
 
-@query(_edges_sql("", 6, 10))
-def j03_title_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar titles."""
-    from ..operators.similarity import similarity_edges
+def _counts(df: DataFrame) -> DataFrame:
+    return df.select("id", F.col("first").alias("class_id"), "links")
+
 
-    return similarity_edges(dedup.title_items(articles(spark, sf_dir)), 6, 10).drop("grp")
+@query(_counts_sql(6, 10))
+def j03_title_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal titles, and how many titles are similar to each."""
+    return _counts(link_counts(dedup.title_items(articles(spark, sf_dir)), 6, 10))
 
 
-@query(_edges_sql("and a.source_id <> b.source_id", 1, 2).replace(f", {_JACC} as both, len(a.t) + len(b.t) - {_JACC} as either", ""))
+@query(
+    f"""with {ARTICLES}, {_TITLES} select a.id, count(*) as cross_count from titles a join titles b on a.id <> b.id and a.source_id <> b.source_id
+where len(a.t) > 0 and len(b.t) > 0 and {_JACC} * 2 >= len(a.t) + len(b.t) - {_JACC} group by a.id"""
+)
 def j04_cross_source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar titles of different sources."""
-    return scoring.cross_source_edges(articles(spark, sf_dir))
+    """How many titles of other sources are similar to each."""
+    return scoring.cross_counts(articles(spark, sf_dir), 1)
 
 
-@query(_edges_sql("", 4, 10, f"titles as (select id, list_distinct(regexp_extract_all(lower(title), '[가-힣a-z]{{2,}}')) as t from articles)"))
+@query(_counts_sql(4, 10, "titles as (select id, list_distinct(regexp_extract_all(lower(title), '[가-힣a-z]{2,}')) as t from articles)"))
 def j06_letter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of titles by runs of letters."""
-    from ..operators.similarity import similarity_edges
-
+    """Classes of titles by runs of letters, and how many are similar to each."""
     n = articles(spark, sf_dir)
-    return similarity_edges(dedup.title_items(n, x.title_tokens(F.col("title"))), 4, 10).drop("grp")
+    return _counts(link_counts(dedup.title_items(n, x.title_tokens(F.col("title"))), 4, 10))
 
 
 _MIXED = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[가-힣]+|[a-z]+|[0-9]+'), lambda t: length(t) >= 2))"
 
 
-@query(
-    f"""with {ARTICLES}, s as (select id, {_MIXED.format("title")} as t, {_MIXED.format("body")} as w from articles),
+_WEIGHTED = f"""s as (select id, ord, length(body) as chars, list_sort({_MIXED.format("title")}) as t, list_sort({_MIXED.format("body")}) as w from articles),
 p as (select a.id as a, b.id as b, a.t as ta, b.t as tb, a.w as wa, b.w as wb from s a join s b on a.id < b.id where len(list_intersect(a.t, b.t)) * 4 >= len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) and len(a.t) > 0 and len(b.t) > 0),
-q as (select a, b, 0.6 * (len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb)))) + 0.4 * (case when len(wa) > 0 and len(wb) > 0 then len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb))) else 0 end) as s from p)
-select a, b, round(s, 6) as score from q where round(s, 6) >= 0.55"""
+q as (select a, b, 0.6 * (len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb)))) + 0.4 * (case when len(wa) > 0 and len(wb) > 0 then len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb))) else 0 end) as s from p),
+w0 as (select a, b, round(s, 6) as score from q where round(s, 6) >= 0.55), w2 as (select a, b, score from w0 union all select b, a, score from w0)"""
+
+
+@query(
+    f"""with {ARTICLES}, {_WEIGHTED}, n as (select a as id, count(*) as links from w2 group by a)
+select id, first_value(id) over (partition by t, w order by chars desc, ord, id) as class_id, coalesce(links, 0) as links from s left join n using (id)"""
 )
 def j05_weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of articles by title and body."""
-    return dedup.weighted_edges(articles(spark, sf_dir))
+    """Classes of equal token sets, and how many articles are similar by title and body."""
+    return _counts(dedup.weighted_counts(articles(spark, sf_dir)))
 
 
 @query(f"select min(page_id) as page_id, {_URL} as url_key from pages where {_URL} is not null group by 2 union all select page_id, null from pages where {_URL} is null")
@@ -149,26 +158,59 @@ def d02_title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.by_title(articles(spark, sf_dir)).select("id", x.title_hash(F.col("title")).alias("title_hash"))
 
 
-@query()
+def _greedy_sql(nodes: str, edges: str) -> str:
+    """SQL of the sequential rule, one node a step: nodes_(id, k) in order, e(a, b) both ways, led(id, leader)."""
+    return f"""nodes_ as ({nodes}), e as ({edges}), nb as (select b as id, list(a) as near from e group by b),
+steps(k, leaders) as (select cast(0 as bigint), cast([] as bigint[]) union all select n.k, case when len(list_intersect(leaders, coalesce(near, []))) > 0 then leaders else list_append(leaders, n.id) end
+  from steps s join nodes_ n on n.k = s.k + 1 left join nb on nb.id = n.id),
+heads as (select leaders from steps order by k desc limit 1), led as (select n.id, case when list_contains(leaders, n.id) then n.id else list_filter(leaders, lambda l: list_contains(coalesce(near, []), l))[1] end as leader from nodes_ n cross join heads left join nb using (id))"""
+
+
+_TITLE_PAIRS = f"select a.id as a, b.id as b from titles a join titles b on a.id <> b.id where len(a.t) > 0 and len(b.t) > 0 and {_JACC} * 10 >= (len(a.t) + len(b.t) - {_JACC}) * 6"
+_CLUSTERS = """sized as (select leader, count(*) as size, first(id order by length(body) desc, ord) as representative from led join arts using (id) group by leader)"""
+
+
+@query(
+    f"""with recursive {ARTICLES}, {_TITLES}, arts as (select * from articles), {_greedy_sql("select id, row_number() over (order by ord, id) as k from articles", _TITLE_PAIRS)}, {_CLUSTERS}
+select id, leader, size, representative, case when size > 1 then sha256(cast(leader as varchar)) end as cluster_id from led join sized using (leader)"""
+)
 def d03_title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: greedy title clusters."""
     return dedup.title_clusters(articles(spark, sf_dir)).select("id", "leader", "size", "representative", "cluster_id")
 
 
-@query()
+_FIRSTS = "arts as (select * from (select *, row_number() over (partition by md5(lower(trim(title))) order by ord) as n from articles) where n = 1)"
+
+
+@query(
+    f"""with recursive {ARTICLES}, {_FIRSTS}, {_TITLES.replace("from articles", "from arts")}, {_greedy_sql("select id, row_number() over (order by ord, id) as k from arts", _TITLE_PAIRS)}, {_CLUSTERS}
+select led.id, leader, leader as leader_ord, size, case when size > 1 then sha256(cast(leader as varchar)) end as cluster_id from led join sized using (leader) where led.id = representative"""
+)
 def d04_deduplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Url, title and cluster dedup in turn."""
     n = articles(spark, sf_dir).withColumn("url", F.concat(F.lit("http://news.example/"), F.col("source_id"), F.lit("/"), F.col("id").cast("string"), F.lit("?ref=x")))
     return dedup.deduplicate(n).select("id", "leader", "leader_ord", "size", "cluster_id")
 
 
-@query()
+@query(
+    f"""with recursive {ARTICLES}, {_WEIGHTED}, {_greedy_sql("select id, row_number() over (order by chars desc, ord, id) as k from s", "select a, b from w2")}
+select leader, led.id, score from led join w2 on w2.a = leader and w2.b = led.id where leader <> led.id"""
+)
 def d05_similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of articles with similar titles and bodies."""
     return dedup.similar_groups(articles(spark, sf_dir))
 
 
-@query()
+_LETTERS = "titles as (select id, ord, list_distinct(regexp_extract_all(lower(title), '[가-힣a-z]{2,}')) as t from articles)"
+
+
+@query(
+    f"""with recursive {ARTICLES}, @QUALITY@, {_LETTERS},
+web as (select id, ord, case when length(body) >= 500 then 40 when length(body) >= 300 then 30 when length(body) >= 100 then 20 else length(body) / 10 end + round(quality, 3) * 20 + case when {any_of("source_name", rules.MAJOR_SOURCES)} then 10 else 0 end as q from quality),
+{_greedy_sql("select id, row_number() over (order by q desc, ord, id) as k from web", _TITLE_PAIRS.replace("* 6", "* 4"))}, n as (select leader, count(*) as size from led group by leader)
+select leader, led.id, case when len(a.t) > 0 and len(b.t) > 0 then round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) else 0 end as similarity, size
+from led join n using (leader) join titles a on a.id = led.id join titles b on b.id = leader"""
+)
 def d07_web_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups by letters of titles, the best article leading."""
     n = scoring.with_quality(articles(spark, sf_dir), LATIN).withColumns({"final_score": F.col("quality_score"), "image_urls": F.array().cast("array<string>")})
@@ -219,6 +261,7 @@ def k05_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.with_quality(articles(spark, sf_dir), _LATIN).select("id", "trust", "evidence_score", "sensationalism_penalty", "quality_score")
 
 
+SQL["d07_web_groups"] = SQL["d07_web_groups"].replace("@QUALITY@", QUALITY.replace("{0}", "articles"))
 _CROSS = f"""{_TITLES}, cross_ as (select a.id, count(*) as cross_count from titles a join titles b on a.id <> b.id and a.source_id <> b.source_id
   where len(a.t) >= 3 and len(b.t) > 0 and {_JACC} * 2 >= len(a.t) + len(b.t) - {_JACC} group by a.id)"""
 _CRED = "round(least(1.0, trust + case when cross_count >= 3 then 0.15 when cross_count >= 1 then 0.05 else 0.0 end), 3)"

@@ -9,7 +9,7 @@ from ..functions import text as x
 from ..operators import citations, facts, images, qa, querylog, ranking, registry
 from ..rules import news as rules
 from ..streaming import jobs
-from .registry import query
+from .registry import SQL, query
 from .stage1 import _LATIN, RANKED
 from .stage3 import assembled, topic_articles
 from .tables import ARTICLES, any_of, articles, as_of, news, query_table, sql_text, table, tier_of
@@ -113,7 +113,10 @@ def t04_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("source_id", "slot").agg(F.max("requests").alias("requests")).select("source_id", F.col("slot").cast("timestamp_ntz").alias("slot"), "requests")
 
 
-@query()
+@query(
+    """with l as (select user_id as source_id, ts, event_type <> 'error' as ok from events), s as (select source_id, max(ts) filter (ok) as last from l group by 1)
+select source_id, count(*) filter (not ok and (last is null or ts > last)) as failures, count(*) filter (not ok and (last is null or ts > last)) < 5 as active from l join s using (source_id) group by 1"""
+)
 def t03_health_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health of sources by state that lives on between batches."""
     log = jobs.stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
@@ -146,11 +149,30 @@ def i02_link_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", url.alias("url")).select("page_id", "url", images.image_key(F.col("url")).alias("image_key"), images.watermark(F.col("url")).alias("mark"))
 
 
-@query()
+_PARTS = sorted((w.replace(".", "\\.") for w in rules.IMAGE_WORDS), key=len, reverse=True)
+_NARROW = "try_cast(regexp_extract(low, '[_-](\\d+)x(\\d+)', 1) as int) < {0} or try_cast(regexp_extract(low, '[_-](\\d+)x(\\d+)', 2) as int) < {1}"
+
+
+def _verdict_sql(more: str = "", width: int = 150, height: int = 100, last: str = "") -> str:
+    size = "'too_small:' || regexp_extract(low, '[_-](\\d+)x(\\d+)', 1) || 'x' || regexp_extract(low, '[_-](\\d+)x(\\d+)', 2)"
+    return f"""case when coalesce(url, '') = '' then 'empty_url' when not starts_with(url, 'http') then 'invalid_protocol' when contains(url, '{{{{') or contains(url, '}}}}') then 'placeholder' {more}
+  when regexp_matches(low, {sql_text("|".join(_PARTS))}) then 'pattern:' || regexp_extract(low, {sql_text("(" + "|".join(_PARTS) + ")")}, 1) when {_NARROW.format(width, height)} then {size} {last} else 'valid' end"""
+
+
+@query(
+    SQL["i02_link_urls"].replace("select page_id, url, lower(case", ", k as (select page_id, url, lower(url) as low, lower(case", 1)
+    + f"""), v as (select *, {_verdict_sql()} as verdict, {_verdict_sql("when regexp_matches(url, '[{{]%|[$][{{]|%%|[{{][a-zA-Z_]+[}}]') then 'placeholder'")} as strict,
+  {_verdict_sql("", 100, 100, "when not regexp_matches(low, '[.](jpg|jpeg|png|webp)|image|img|photo') then 'no_image_name'")} as scraped from k)
+select page_id, count(*) as total_count, count(*) filter (verdict = 'valid') as valid_count, coalesce(array_to_string(list_sort(list(distinct verdict) filter (verdict <> 'valid')), ','), '') as invalid_reasons,
+  count(*) filter (strict = 'valid') as strict_count, count(*) filter (scraped = 'valid') as scraped_count, count(*) filter (mark = 'center') as dropped from v group by page_id"""
+)
 def i03_image_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses inside pages judged by three sets of rules, with reasons, counted by page."""
-    rows = i02_link_urls(spark, sf_dir).withColumn("verdict", images.verdict(F.col("url"))).withColumn("strict", images.verdict(F.col("url"), images.ASSEMBLER))
-    return images.audit(rows, ["page_id"]).select("page_id", "total_count", "valid_count", F.array_join("invalid_reasons", ",").alias("invalid_reasons"))
+    """Addresses inside pages judged by three sets of rules, with reasons, and what their watermarks make of them, counted by page."""
+    rows = i02_link_urls(spark, sf_dir).withColumn("verdict", images.verdict(F.col("url")))
+    counts = images.audit(rows, ["page_id"]).select("page_id", "total_count", "valid_count", F.array_join("invalid_reasons", ",").alias("invalid_reasons"))
+    valid = lambda r: F.count_if(images.verdict(F.col("url"), r) == "valid")
+    more = rows.groupBy("page_id").agg(valid(images.ASSEMBLER).alias("strict_count"), valid(images.SCRAPER).alias("scraped_count"), F.count_if(images.disposition(F.col("mark"), F.lit(False)) == "drop").alias("dropped"))
+    return counts.join(more, "page_id")
 
 
 @query(
@@ -170,7 +192,7 @@ def e04_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e05_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers by priority of their patterns (here of Latin text), each value and kind once."""
+    """E5: numbers by priority of their patterns (here of Latin text), each value and kind once."""
     texts = facts.topic_texts(topic_articles(spark, sf_dir), "topic_id")
     patterns = ((r"\d+\.\d+", "version", 90), (r"\d{3,}", "long", 60), (r"\d+", "short", 40))
     return facts.numbers(texts, "topic_id", patterns)
@@ -216,7 +238,7 @@ def a10_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 select news_type, n, round(n / sum(n) over (), 4) as share, round(n / sum(n) over () - coalesce(target, 0.0), 4) as off from t left join g using (news_type)"""
 )
 def a12_type_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of types against targets."""
+    """Shares of types against targets."""
     return qa.type_shares(articles(spark, sf_dir).select(F.col("source_tier").alias("news_type")), {"whitelist": 0.4, "tier1": 0.3, "tier2": 0.2})
 
 

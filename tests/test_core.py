@@ -50,7 +50,7 @@ def test_greedy_leaders_like_the_sequential_rule(spark):
 
 
 def test_similarity_edges_like_all_pairs(spark):
-    from newsloom.operators.similarity import leaders_by_tokens, shared_substring_edges, similarity_edges
+    from newsloom.operators.similarity import leaders_by_tokens, link_counts, shared_substrings, similarity_edges
 
     r = random.Random(2)
     items = [(g, i, i, [r.choice("abcdefgh") for _ in range(r.randrange(0, 7))]) for g in range(3) for i in range(40)]
@@ -63,7 +63,24 @@ def test_similarity_edges_like_all_pairs(spark):
             own = greedy_model([(i, i) for i in range(40)], [(a, b) for h, a, b in want if h == g])
             assert {i: led[g, i] for i in range(40)} == own
     texts = rows(spark, [(0, 1, "abcdefghij klmnop"), (0, 2, "xx abcdefghij klmno"), (0, 3, "short"), (1, 4, "abcdefghij klmnop")], "grp int, id int, text string")
-    assert [(x.a, x.b) for x in shared_substring_edges(texts).collect()] == [(1, 2)]
+    assert {x.id for x in shared_substrings(texts).collect()} == {1, 2}
+    counts = {(x.grp, x.id): (x.first, x.links) for x in link_counts(df, 1, 2).collect()}
+    for g in range(3):
+        own = {i: set(s) for h, i, _, s in items if h == g}
+        for i, s in own.items():
+            near = [j for j, t in own.items() if j != i and s and t and len(s & t) * 2 >= len(s | t)]
+            assert counts[g, i] == (min(j for j, t in own.items() if t == s) if s else i, len(near))
+
+
+def test_many_equal_titles_make_no_pairs(spark):
+    from newsloom.operators import dedup
+    from newsloom.operators.similarity import link_counts
+
+    df = spark.range(50_000).select("id", F.col("id").alias("ord"), F.lit("the same five word title").alias("title"), F.concat(F.lit("body "), F.pmod("id", F.lit(2)).cast("string")).alias("body"))
+    assert link_counts(dedup.title_items(df), 6, 10).agg(F.min("links"), F.max("links"), F.max("first")).first() == (49_999, 49_999, 0)
+    assert dedup.weighted_counts(df).agg(F.min("links"), F.max("links")).first() == (49_999, 49_999)
+    groups = dedup.similar_groups(df).agg(F.count("*"), F.countDistinct("leader")).first()
+    assert groups == (49_999, 1) and dedup.title_clusters(df).agg(F.min("size"), F.max("leader")).first() == (50_000, 0)
 
 
 NEWS = "id long, ord long, title string, body string, source_id string, source_name string, source_tier string, url string, category string, tags array<string>, published_at timestamp, view_count long, share_count long, comment_count long"
