@@ -93,12 +93,15 @@ def text_features(col: pa.Array) -> np.ndarray:
 
 
 def _cut(g: np.ndarray, h: np.ndarray, least: float) -> tuple[float, int]:
-    """The best threshold along sums of gradients and weights: its gain, and the first bin to the right."""
+    """The best threshold along sums of gradients and weights: its gain, and the first bin to the right; 0 if both sides never weigh enough."""
     if len(g) < 2:
         return 0.0, 0
     gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
     gr, hr = g.sum() - gl, h.sum() - hl
-    gain = np.where((hl > least) & (hr > least), gl**2 / (hl + 1) + gr**2 / (hr + 1), 0) - g.sum() ** 2 / (h.sum() + 1)
+    fits = (hl > least) & (hr > least)
+    if not fits.any():
+        return 0.0, 0
+    gain = np.where(fits, gl**2 / (hl + 1) + gr**2 / (hr + 1), 0) - g.sum() ** 2 / (h.sum() + 1)
     k = int(np.argmax(gain))
     return float(gain[k]), k + 1
 

@@ -1,10 +1,11 @@
 """License scans: template markup compiled to token automata.
 
 A template is license wording with `<<beginOptional>> ... <<endOptional>>` around regions that may be
-missing (they nest) and `<<var;words=a..b>>` for a replaceable region of a to b words. The rest is mandatory and
+missing (they nest) and `<<var;...>>` for a replaceable region: `words=a..b` gives its number of words; other attributes, as in
+public template collections, are allowed, and without a number of words a region takes 0 to VAR_WORDS. The rest is mandatory and
 must match word for word. Words are lower-cased runs of letters, digits and everything beyond ASCII, so
 punctuation, case and line breaks never matter. A template compiles to an automaton over word hashes;
-it is tried wherever one of its possible first words stands.
+it is tried wherever its possible first two words stand. `read_templates` takes templates from a folder.
 
 Nulls: a null text has no words. Repeated rows, ties and an empty table need no care. Other columns are ignored.
 """
@@ -17,28 +18,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from .common import ALNUM, bounded_batches, hash_of, slices, text_of, word_hashes
-
-#: Phrases and their labels.
-PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices in template markup, by label.
-TEMPLATES = {
-    "apache-2.0": "<<beginOptional>>This work is <<endOptional>>Licensed under the Apache License<<beginOptional>>, Version<<endOptional>> 2.0",
-    "mit": "<<beginOptional>>This software is <<endOptional>>Released under the MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;words=1..8>> and associated documentation files",
-    "gpl-3.0": "This <<var;words=1..3>> is licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>>,<<endOptional>> version 3",
-    "gpl-notice": "This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "cc-by-nc-4.0": "<<beginOptional>>This work is <<endOptional>>Licensed under <<beginOptional>>a <<endOptional>>CC BY-NC 4.0",
-    "cc-by-4.0": "Licensed under <<beginOptional>>a <<endOptional>>CC BY 4.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "copyright-notice": "Copyright <<beginOptional>>(c) <<endOptional>><<var;words=1..8>> All rights reserved",
-}
-_MARK = re.compile(r"<<(beginOptional|endOptional|var;words=(\d+)\.\.(\d+))>>")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import ALNUM, bounded_batches, hash_of, mix, slices, text_of, word_hashes
+from .license_texts import PHRASES, TEMPLATES
+
+#: Words that a replaceable region without a number of words takes at most.
+VAR_WORDS = 60
+#: Bytes of a folder of templates.
+TEMPLATE_BYTES = 16_000_000
+_MARK = re.compile(r"<<(beginOptional|endOptional|var)(?:;(.*?))?>>", re.S)
+_WORDS = re.compile(r"(?:^|;)words=(\d+)\.\.(\d+)")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
@@ -65,11 +64,15 @@ class Automaton:
                     todo.append(s)
         return seen
 
-    def first_words(self) -> set[int]:
-        start = self.closure({0})
+    def first_words(self) -> dict[int, set[int] | None]:
+        """The words that can come first, each with those that can follow; None if it may end there or any word can follow."""
+        start, out = self.closure({0}), {}
         if any(s in self.any_word for s in start) or self.end in start:
             raise ValueError("a template must begin with wording")
-        return {w for s, w in self.by_word if s in start}
+        for w in {w for s, w in self.by_word if s in start}:
+            after = self.closure({t for s in start for t in self.by_word.get((s, w), ())})
+            out[w] = None if self.end in after or any(s in self.any_word for s in after) else {v for s, v in self.by_word if s in after}
+        return out
 
     def run(self, words: np.ndarray) -> int:
         """Words in the longest accepted prefix; 0 if none is accepted."""
@@ -104,7 +107,8 @@ def compile_template(markup: str) -> Automaton:
             a.free.setdefault(opened.pop(), set()).add(nxt)
             at = nxt
         else:
-            low, high = int(m[2]), int(m[3])
+            sized = _WORDS.search(m[2] or "")
+            low, high = (int(sized[1]), int(sized[2])) if sized else (0, VAR_WORDS)
             skips = []
             for k in range(high):
                 if k >= low:
@@ -123,6 +127,16 @@ def compile_template(markup: str) -> Automaton:
     return a
 
 
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates of a folder that Spark can read, such as a shared one: files of wording in markup, labelled by their names without the ending.
+
+    They are a stated set that goes to every task, so more than TEMPLATE_BYTES of them are refused."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.template)?(?:\.txt)?$", 1).alias("label"), "value")
+    if (files.agg(F.sum(F.octet_length("value"))).first()[0] or 0) > TEMPLATE_BYTES:
+        raise ValueError(f"more than {TEMPLATE_BYTES} bytes of templates")
+    return {r["label"]: r["value"] for r in files.orderBy("label").collect()}
+
+
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
@@ -133,11 +147,16 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     bounded_batches(docs.sparkSession)
     short = [(np.array([hash_of(w) for w in words_of(p)], np.uint64), label) for p, label in phrases.items()]
     machines = [(label, compile_template(t)) for label, t in templates.items()]
-    starts: dict[int, list[int]] = {}
+    one: dict[int, list[int]] = {}
+    two: dict[int, list[int]] = {}
     for k, (_, m) in enumerate(machines):
-        for w in m.first_words():
-            starts.setdefault(w, []).append(k)
-    heads = np.array(sorted(starts), np.uint64)
+        for w, after in m.first_words().items():
+            if after is None:
+                one.setdefault(w, []).append(k)
+            else:
+                for pair in pair_keys(np.full(len(after), w, np.uint64), np.array(sorted(after), np.uint64)).tolist():
+                    two.setdefault(pair, []).append(k)
+    heads, pairs = np.array(sorted(one), np.uint64), np.array(sorted(two), np.uint64)
     out = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("n_words", pa.int64())])))]
     )
@@ -159,20 +178,20 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 for d in np.unique(doc[at]).tolist():
                     base[d].add(label)
             spans: list[list[dict]] = [[] for _ in range(len(piece))]
-            near = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
-            for p in np.flatnonzero(heads[near] == h).tolist() if len(heads) else ():
+            both = pair_keys(h[:-1], h[1:])
+            tries = [(p, k) for keys, table in ((h, (heads, one)), (both, (pairs, two))) for p in np.flatnonzero(np.isin(keys, table[0])).tolist() for k in table[1][int(keys[p])]]
+            for p, k in sorted(tries):
                 d = int(doc[p])
-                for k in starts[int(h[p])]:
-                    if n := machines[k][1].run(h[p : rows[d + 1]]):
-                        spans[d].append({"label": machines[k][0], "start": p - int(rows[d]), "n_words": n})
+                if n := machines[k][1].run(h[p : rows[d + 1]]):
+                    spans[d].append({"label": machines[k][0], "start": p - int(rows[d]), "n_words": n})
             labels = [b | {s["label"] for s in found} for b, found in zip(base, spans)]
             none = last < 0
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").cast(pa.int64()), pa.array(np.diff(rows)), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none),
+                [piece.column("doc_id"), pa.array(np.diff(rows)), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none),
                  pa.array([",".join(sorted(b)) for b in base]), pa.array([",".join(sorted(b)) for b in labels]),
                  pa.array([1.0 if s else 0.5 if b else 0.0 for s, b in zip(spans, base)]), pa.array(spans, out.field("spans").type)],
                 schema=out,
             )
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,n_words:long>>"
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)

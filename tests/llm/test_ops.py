@@ -191,6 +191,42 @@ def test_near_duplicates_among_shared_boilerplate(spark, monkeypatch):
     assert len(want) == 400 and got <= want and len(got) > 360
 
 
+def test_near_duplicates_recall_at_the_threshold_in_a_dense_cluster(spark):
+    """Documents of similarity 0.6 to 0.74 around one boilerplate, and pairs planted just above the threshold."""
+    from newsloom.llm import chosen_path
+
+    r = random.Random(17)
+    boiler, texts = [f"b{i}" for i in range(84)], []
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    for _ in range(1500):  # 80 boilerplate shingles of 100: 0.6 to 0.74 to each other
+        texts.append(" ".join(boiler + own(r.choice([16, 18, 20]))))
+    planted = 0
+    for _ in range(150):
+        a = own(20)
+        k = r.choice([9, 10])
+        texts += [" ".join(boiler + a), " ".join(boiler + a[: 20 - k] + own(k))]
+        planted += 1
+    texts += [" ".join(own(60)) for _ in range(500)]
+    got = {x.doc_id: x.component_id for x in chosen_path.near_duplicates(docs(spark, texts).repartition(4)).collect()}
+    want = {i: c for i, _, c, _ in near_brute(texts)}
+    missed = [i for i in want if want[i] != i and got[i] == i]
+    assert all(want[i] == i or got[i] in (i, want[i]) for i in want) and all(got[i] == i for i in want if want[i] == i)
+    assert sum(want[i] != i for i in want) >= planted and len(missed) <= 0.01 * planted
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    from newsloom.llm import chosen_path
+
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "other words that stand quite alone here"), (4, None), (None, a), (5, ""), (2, a + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((x.doc_id or -1, x.component_id, x.kept) for x in chosen_path.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True), (-1, None, False)], key=str)
+    clash = df.withColumnRenamed("text", "t").selectExpr("doc_id", "t as text", "1 as gone", "2 as component_id", "3 as kept")
+    kept = chosen_path.keep_first(clash)
+    assert kept.columns == clash.columns and sorted(x.doc_id or -1 for x in kept.collect()) == [-1, 1, 1, 4, 4, 5]
+
+
 # 3 -----------------------------------------------------------------------------------------------
 def contaminated_brute(texts, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -417,6 +453,83 @@ def test_template_markup():
     assert run("one x end") == 3 and run("one two x y end more") == 5 and run("one two three x end") == 5 and run("one end") == 0 and run("one two three x y z end") == 0
     with pytest.raises(ValueError):
         compile_template("<<var;words=1..2>> end").first_words()
+    with pytest.raises(ValueError):
+        compile_template("a <<beginOptional>> end")
+
+
+def template_regex(markup):
+    """The same template as a regular expression over words that each end with a blank."""
+    from newsloom.llm.licenses import words_of
+
+    out = ""
+    for part in re.split(r"(<<.*?>>)", markup, flags=re.S):
+        if part == "<<beginOptional>>":
+            out += "(?:"
+        elif part == "<<endOptional>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            m = re.search(r"words=(\d+)\.\.(\d+)", part)
+            out += r"(?:\S+ ){%s,%s}" % (m.groups() if m else (0, 60))
+        else:
+            out += "".join(re.escape(w) + " " for w in words_of(part))
+    return re.compile(out)
+
+
+def test_templates_accept_what_their_regular_expressions_do():
+    from newsloom.llm import licenses
+    from newsloom.llm.common import hash_of
+
+    r = random.Random(21)
+    odd = {"nested": "one <<beginOptional>>two <<beginOptional>>three<<endOptional>> <<endOptional>><<var;words=0..2>> end", "spdx": 'start <<var;name="c";original="x; y";match=".+">> stop <<beginOptional>>now<<endOptional>>'}
+    for label, markup in (licenses.TEMPLATES | odd).items():
+        machine, pattern = licenses.compile_template(markup), template_regex(markup)
+        parts = re.split(r"(<<.*?>>)", markup, flags=re.S)
+        seen = 0
+        for _ in range(60):
+            words, depth, skip = [], 0, 0
+            for part in parts:
+                if part == "<<beginOptional>>":
+                    depth += 1
+                    skip = skip or (depth if r.random() < 0.5 else 0)
+                elif part == "<<endOptional>>":
+                    skip = 0 if skip == depth else skip
+                    depth -= 1
+                elif skip:
+                    continue
+                elif part.startswith("<<var"):
+                    words += [r.choice(["acme", "inc", "end", "the"]) for _ in range(r.randrange(0, 10))]
+                else:
+                    words += licenses.words_of(part)
+            if r.random() < 0.4 and words:
+                words[r.randrange(len(words))] = "other"
+            words += ["tail"] * r.randrange(3)
+            want = max((k for k in range(1, len(words) + 1) if pattern.fullmatch("".join(w + " " for w in words[:k]))), default=0)
+            assert machine.run(np.array([hash_of(w) for w in words], np.uint64)) == want, (label, words)
+            seen += want > 0
+        assert seen > 0, label
+
+
+def test_licenses_like_a_plain_scan(spark, tmp_path):
+    from newsloom.llm import licenses
+
+    for name, text in {"one.template.txt": "made by <<var;words=1..2>> for all", "two.txt": "made <<beginOptional>>well <<endOptional>>by hand"}.items():
+        (tmp_path / name).write_text(text)
+    templates = licenses.read_templates(spark, f"file://{tmp_path}")
+    assert sorted(templates) == ["one", "two"]
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["made", "by", "well", "hand", "for", "all", "x", "cc"]) for _ in range(r.randrange(40))) for _ in range(200)] + [None, "", "made by hand", "made"]
+    rows = licenses.scan_licenses(docs(spark, texts).repartition(3), templates=templates).collect()
+    patterns = {k: template_regex(v) for k, v in templates.items()}
+    for x in rows:
+        w = licenses.words_of(texts[x.doc_id] or "")
+        found = []
+        for at in range(len(w)):
+            for label, p in patterns.items():
+                n = max((k for k in range(1, 10) if at + k <= len(w) and p.fullmatch("".join(v + " " for v in w[at : at + k]))), default=0)
+                found += [(at, label, n)] if n else []
+        assert sorted((s.start, s.label, s.n_words) for s in x.spans) == sorted(found)
+        base = {lab for p, lab in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}
+        assert x.labels == ",".join(sorted(base | {f[1] for f in found})) and x.score == (1.0 if found else 0.5 if base else 0.0)
 
 
 # 6 -----------------------------------------------------------------------------------------------
@@ -533,6 +646,154 @@ def test_quality(spark):
     assert gam.keep_good(odd, plain).count() == 5
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mix(h):
+    for _ in range(2):
+        h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & MASK
+    return h ^ (h >> 32)
+
+
+def test_language_like_a_plain_model(spark):
+    """Counting, scores and labels of texts by loops over words and letters."""
+    import regex
+
+    from newsloom.llm import langid
+
+    r = random.Random(3)
+    words = {"xx": ["abra", "kada", "bra", "ab", "\u00c9t\u00e9"], "yy": ["zyx", "zzy", "xyz", "yx"], "cc": ["\u041c\u0438\u0440", "\u043f\u0440\u0438\u0432\u0435\u0442"]}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randrange(1, 30))), lang, "s", 0) for i in range(120) for lang in [r.choice(list(words))]]
+    rows += [(200, None, "xx", "s", 0), (201, "abra", None, "s", 0), (202, "", "xx", "s", 0)]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    model = langid.learn(df)
+
+    def grams(word):
+        out = []
+        for k in range(len(word)):
+            for n in (1, 2, 3):
+                key = 0
+                for m in range(n):
+                    at = k - m
+                    q = ord(word[at]) if at >= 0 else 1 if at == -1 else 0
+                    key = (key * 0x110000 + q + m) & MASK
+                out.append(plain_mix((key + ((n - 1) << 62)) & MASK) % langid.BUCKETS)
+        return out
+
+    def whole(word):
+        up = total = 0
+        base = 0x9E3779B97F4A7C15
+        for k, c in enumerate(word):
+            up = pow(base, k + 1, 1 << 64)
+            total = (total + plain_mix(ord(c) + 1) * up) & MASK
+        return plain_mix(total) % langid.BUCKETS
+
+    split = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    counts = {}
+    for i, t, lang, *_ in rows:
+        if lang and not held(i):
+            for w in split(t):
+                for b in grams(w):
+                    counts[b, lang] = counts.get((b, lang), 0) + 1
+                counts[whole(w), lang] = counts.get((whole(w), lang), 0) + 2
+    langs = sorted({lang for _, lang in counts})
+    assert model.langs == langs
+    total = {lang: sum(n for (_, x), n in counts.items() if x == lang) for lang in langs}
+    for b in {b for b, _ in counts}:
+        logs = [np.log((counts.get((b, x), 0) + 0.5) / (total[x] + 0.5 * langid.BUCKETS)) for x in langs]
+        assert np.allclose(model.table[b], np.array(logs) - np.mean(logs), atol=1e-5)
+    texts = [" ".join(r.choice(words[r.choice(list(words))]) for _ in range(r.randrange(1, 9))) for _ in range(60)] + ["123", "abra 7 " * 5 + "zyx " * 6]
+    got, score, _ = langid.predict_texts(pa.array(texts), model)
+    cyrillic = langs.index("cc")
+    for t, lang, sc in zip(texts, got, score):
+        own = split(t)
+        if not own:
+            assert (lang, sc) == ("und", 0)
+            continue
+        each = []
+        for w in own:
+            v = sum(model.table[b] for b in grams(w)) / 2 + 2 * model.table[whole(w)]
+            inside = "\u0400" <= w[0] < "\u0530"
+            each.append([v[k] if (k == cyrillic) == inside else -50.0 for k in range(len(langs))])
+        best = {k: (each[0][k], [k]) for k in range(len(langs))}
+        for v in each[1:]:
+            best = {k: max(((b - (model.switch if j != k else 0) + v[k], [*path, k]) for j, (b, path) in best.items()), key=lambda x: x[0]) for k in range(len(langs))}
+        path = max(best.values(), key=lambda x: x[0])[1]
+        weight = [sum(len(w) for w, k in zip(own, path) if k == x) for x in range(len(langs))]
+        assert lang == langs[weight.index(max(weight))] and abs(sc - max(weight) / sum(map(len, own))) < 1e-9
+
+
+def plain_features(text):
+    data, words = (text or "").encode(), re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    lines = [x for x in data.split(b"\n") if x]
+    n, size = len(words), len(data)
+    count = lambda chars, of: sum(c in chars for c in of)
+    upper, letters = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", data) + sum(c >= 128 for c in data)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    lows = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in lines]
+    w1, l1, s1, symbols = max(n, 1), max(len(lines), 1), max(size, 1), rb"#$%&*<>{}[]=+~^_\/@"
+    triples = len({tuple(low[i : i + 3]) for i in range(n - 2)})
+    return [
+        np.log1p(n), sum(map(len, words)) / w1, count(upper, data) / max(letters, 1), count(b"0123456789", data) / s1, count(symbols, data) / s1, count(b"!?", data) / w1, count(b".,;:", data) / w1, count(b"|", data) / w1, count(b"\n", data) / w1,
+        len(set(low)) / w1, 1 - len(set(lows)) / l1, max((low.count(w) for w in set(low)), default=0) / w1, triples / max(n - 2, 1), sum(c >= 128 for c in data) / s1, sum(len(w) == 1 for w in words) / w1, n / (count(b".", data) + 1),
+        sum(w[0] in upper for w in words) / w1, n / l1, sum(w[-1] in symbols for w in words) / w1, letters / s1,
+    ]
+
+
+def test_quality_features_and_scores_like_loops():
+    from newsloom.llm import gam
+
+    r = random.Random(8)
+    al = list("aAbBzZ09 .,!?|#@\\/\n\t") + ["\u00e9", "\u65e5", "the ", "The\n", "the the the "]
+    texts = ["", " ", "A", "\n\n", "x" * 50] + ["".join(r.choice(al) for _ in range(r.randrange(120))) for _ in range(150)]
+    got = gam.text_features(pa.array(texts))
+    assert got.shape == (len(texts), len(gam.FEATURES)) and np.allclose(got, [plain_features(t) for t in texts])
+    x = np.random.default_rng(2).random((400, 5))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4)).astype(float)
+    m = gam.fit(x, y, rounds=10, pair_rounds=10)
+    for row, p in zip(x, m.score(x)):
+        b = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges)]
+        z = m.start + sum(t[k] for t, k in zip(m.tables, b)) + sum(g[b[i] // m.coarse][b[j] // m.coarse] for (i, j), g in zip(m.pairs, m.grids))
+        assert abs(p - 1 / (1 + np.exp(-z))) < 1e-9
+    assert np.mean((m.score(x) > 0.5) == (y > 0.5)) > 0.9
+
+
+def test_trees_find_the_best_cuts():
+    from newsloom.llm import gam
+
+    r = np.random.default_rng(6)
+    gain = lambda g, h: g.sum() ** 2 / (h.sum() + 1)
+
+    def best_cut(g, h, least):
+        found = [(gain(g[:k], h[:k]) + gain(g[k:], h[k:]) - gain(g, h), k) for k in range(1, len(g)) if h[:k].sum() > least and h[k:].sum() > least]
+        return max(found, key=lambda f: f[0]) if found else (0, 0)
+
+    for _ in range(200):
+        n = int(r.integers(1, 12))
+        g, h = r.normal(size=n), r.random(n) * 3
+        out = np.zeros(n)
+        top, k = best_cut(g, h, 1.0)
+        for a, b in [(0, n)] if top <= 1e-12 else [(0, k), (k, n)]:
+            inner, j = best_cut(g[a:b], h[a:b], 1.0)
+            for x, y in [(a, b)] if inner <= 1e-12 else [(a, a + j), (a + j, b)]:
+                out[x:y] = g[x:y].sum() / (h[x:y].sum() + 1)
+        assert np.allclose(gam._tree(g, h, 1.0), out)
+        gg, hh = r.normal(size=(n, n)), r.random((n, n)) * 3
+        grid, total = gam._pair_tree(gg, hh, 1.0)
+        options = []
+        for a, b in ((gg, hh), (gg.T, hh.T)):
+            _, k = best_cut(a.sum(1), b.sum(1), 1.0)
+            k = k or n // 2
+            value, table = 0.0, np.zeros((n, n))
+            for lo, hi in ((0, k), (k, n)):
+                _, j = best_cut(a[lo:hi].sum(0), b[lo:hi].sum(0), 1.0)
+                for c, d in ((0, j), (j, n)) if j else ((0, n),):
+                    value += gain(a[lo:hi, c:d], b[lo:hi, c:d])
+                    table[lo:hi, c:d] = a[lo:hi, c:d].sum() / (b[lo:hi, c:d].sum() + 1)
+            options.append((value, table if a is gg else table.T))
+        assert abs(total - max(v for v, _ in options)) < 1e-9 and any(np.allclose(grid, t) and abs(v - total) < 1e-9 for v, t in options)
+
+
 # 8 -----------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     from newsloom.llm import chat
@@ -551,6 +812,47 @@ def test_chat_round_trip(spark):
 
 
 # pipeline ----------------------------------------------------------------------------------------
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names and empty tables, each stage against a plain rule."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from newsloom.llm import gam, langid
+    from newsloom.llm.common import table
+
+    known = table(spark, SF, "documents")
+    good = [x.text for x in known.limit(40).collect() if x.text]
+    item = next(x.text for x in table(spark, SF, "benchmark").collect() if x.text and len(x.text.split()) > 12)
+    texts = [None, "", " \n\t", "123 456", good[0], good[0], good[1] + " " + item + " " + good[2], (good[3] + " ") * 300, *good[4:12]]
+    rows = [(i if i != 3 else None, t, None if i % 3 else "en", None if i % 2 else "s", None if i % 5 else 1, "x", 1, None) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[8]]
+    odd = spark.createDataFrame(rows, DOC + ", hit_spans string, score int, gone string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    d = odd.unionByName(known.withColumns({"hit_spans": F.lit("k"), "score": F.lit(0), "gone": F.lit(None).cast("string")}).where("doc_id >= 100"))
+    every = d.collect()
+    key = lambda x: (x.doc_id, x.text, x.hit_spans)
+    counts = lambda found: {k: sum(key(x) == k for x in found) for k in map(key, found)}
+    out = {name: stages[name](spark, d, SF) for name in stages}
+    assert all(out[n].columns == d.columns for n in stages if n != "tokens")
+    model = gam.learn(d, table(spark, SF, "labels"))
+    assert counts(out["quality"].collect()) == counts([x for x, s in zip(every, model.score(gam.text_features(pa.array([x.text or "" for x in every])))) if s >= 0.7])
+    langs, score, _ = langid.predict_texts(pa.array([x.text or "" for x in every]), langid.learn(d))
+    assert counts(out["language"].collect()) == counts([x for x, lang, s in zip(every, langs, score) if lang != "und" and s >= 0.5])
+    best = {}
+    for x, (_, _, c, _) in zip(every, near_brute([x.text for x in every])):
+        if x.doc_id is not None:
+            best.setdefault(c, set()).add(x.doc_id)
+    gone = {i for ids in best.values() for i in ids if i != min(ids)}
+    assert counts(out["near_duplicates"].collect()) == counts([x for x in every if x.doc_id is None or x.doc_id not in gone])
+    items = [(x.item_id, x.text) for x in table(spark, SF, "benchmark").collect()]
+    hit = contaminated_brute([x.text for x in every], items)
+    assert counts(out["decontamination"].collect()) == counts([x for x, h in zip(every, hit) if not h[5]])
+    _, t = tokenizer()
+    want = sorted((x.doc_id or -1, len(t.encode(x.text or "", add_special_tokens=False).ids)) for x in every)
+    assert sorted((x.doc_id or -1, x.n_tokens) for x in out["tokens"].collect()) == want
+    assert all(stages[n](spark, odd.where("false"), SF).count() == 0 for n in stages)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from newsloom.llm import decontaminate, gam, langid
