@@ -90,3 +90,28 @@ def nested_groups(groups: DataFrame, news: DataFrame) -> DataFrame:
     rows = groups.join(news.select("id", "title", "source_name"), "id")
     item = F.struct("id", "title", "source_name")
     return rows.groupBy("leader").agg(F.count("*").alias("size"), F.max(F.when(F.col("id") == F.col("leader"), item)).alias("representative"), F.sort_array(F.collect_list(F.when(F.col("id") != F.col("leader"), item))).alias("members"))
+
+
+RAW = "struct<title:string,text:string,description:string,summary:string,content:string,raw_html:string,author:string,creator:string,tags:string,published:string>"
+
+
+def normalized(raw: DataFrame, fetched: Column) -> DataFrame:
+    """Raw JSON rows(id, json) as articles: the first filled of several fields for title, body and author, tags, the time with the fetch time as fallback; video items are out."""
+    r = raw.select("id", F.from_json("json", RAW).alias("r")).select("id", "r.*")
+    title = F.coalesce(x.filled("title"), F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    body = F.coalesce(x.filled("description"), x.filled("summary"), x.filled("content"), x.filled("raw_html"), "text", F.lit(""))
+    out = r.select("id", x.clean_html(title).alias("title"), x.clean_html(body).alias("body"), x.first_filled("author", "creator").alias("author"), x.split_tags(F.col("tags")).alias("tags"), F.coalesce(x.parse_time(F.col("published")), fetched).alias("published_at"))
+    return out.where(~x.is_video(F.col("title")))
+
+
+def enriched(news: DataFrame, pages: DataFrame, key: str, least: int = 150) -> DataFrame:
+    """news with the longer of two bodies where its own is shorter than `least`: pages(key, full) are joined to short articles only."""
+    short = news.where(F.length("body") < least)
+    longer = short.select(key, F.length("body").alias("own")).join(pages.select(key, "full"), key).where(F.length("full") > F.col("own")).groupBy(key).agg(F.max_by("full", F.length("full")).alias("full"))
+    return news.join(longer, key, "left").withColumn("body", F.coalesce("full", "body")).drop("full")
+
+
+def unseen(records: DataFrame, seen: DataFrame) -> DataFrame:
+    """Records whose address no row of seen(url) has."""
+    known = seen.select(x.url_key(F.col("url")).alias("_known")).where("_known is not null").distinct()
+    return records.join(known, x.url_key(F.col("url")) == F.col("_known"), "left_anti")
