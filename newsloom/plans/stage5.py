@@ -59,6 +59,33 @@ def m03_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("topic_id", *md5s(t, "visual_lead", "visual_plain", "visual_closing", "data_lead", "data_plain", "data_closing"))
 
 
+_OTHER = "not list_contains(list_transform(ld, lambda f: f.s), e.s)"
+_FOLD = """list_reduce(list_transform(bd, lambda e: {'done': cast([] as varchar[]), 'now': e.s, 'n': length(e.s), 'role': e.role}),
+  lambda a, e: {'done': case when a.n >= 50 and (coalesce(a.role <> e.role, false) or a.n + e.n > 400) then list_append(a.done, a.now) else a.done end,
+    'now': case when a.now = '' or (a.n >= 50 and (coalesce(a.role <> e.role, false) or a.n + e.n > 400)) then e.now else a.now || ' ' || e.now end,
+    'n': case when a.n >= 50 and (coalesce(a.role <> e.role, false) or a.n + e.n > 400) then e.n else a.n + e.n end, 'role': e.role},
+  {'done': cast([] as varchar[]), 'now': '', 'n': cast(0 as bigint), 'role': cast(null as varchar)})"""
+_MERGE = """list_reduce(list_transform(case when cut.now = '' then cut.done else list_append(cut.done, cut.now) end, lambda p: {'l': cast([] as varchar[]), 'p': p}),
+  lambda a, e: {'l': case when length(e.p) < 50 and len(a.l) > 0 then list_append(a.l[1:len(a.l) - 1], a.l[len(a.l)] || ' ' || e.p) else list_append(a.l, e.p) end, 'p': ''}, {'l': cast([] as varchar[]), 'p': ''}).l"""
+#: Topics with the text of their straight form.
+ASSEMBLED = f"""{_TOP}, as_l as (select *, case when len(list_filter(l, lambda e: e.role in ('lead', 'fact') and e.id = primary_id)) > 0 then list_filter(l, lambda e: e.role in ('lead', 'fact') and e.id = primary_id) else l[1:1] end as ld from st),
+as_b as (select *, list_filter(l, lambda e: e.id = primary_id and e.role in ('background', 'detail', 'quote') and {_OTHER}) as bd, {_JOIN.format(f"list_filter(l, lambda e: e.id = primary_id and e.role in ('outlook', 'implication') and {_OTHER})")} as closing from as_l),
+as_c as (select *, {_FOLD} as cut from as_b), as_d as (select *, array_to_string({_MERGE}, chr(10) || chr(10)) as body from as_c),
+assembled as (select topic_id, l, body, array_to_string(list_filter([{_JOIN.format('ld')}, body, closing], lambda t: t is not null and t <> ''), chr(10) || chr(10)) as text from as_d)"""
+_HEADLINE = "case when length(l[1].s) > 150 then '' when len(l) < 2 or length(l[1].s) + length(l[2].s) > 150 then l[1].s when len(l) < 3 or length(l[1].s) + 1 + length(l[2].s) + length(l[3].s) > 150 then l[1].s || ' ' || l[2].s else l[1].s || ' ' || l[2].s || ' ' || l[3].s end"
+SQL["m05_folds"] = f"""with {ASSEMBLED}, t as (select topic_id, md5(body) as body_md5, {_HEADLINE} as headline, cast(least(greatest(len(l), 5), 10) as int) as n_cards, length(text) as n_chars,
+  list_filter([case when length(left(l[1].s, 60)) = 0 then 'MISSING_TITLE' end, case when length(text) < 400 then 'BODY_TOO_SHORT:' || length(text) when length(text) > 800 then 'BODY_TOO_LONG:' || length(text) end,
+    case when not (length(text) > 0 and length(string_split(text, chr(10) || chr(10))[1]) > 30) then 'MISSING_LEAD' end, case when length(text) < 100 then 'CONTENT_TOO_SHORT' end], lambda v: v is not null) as found from assembled)
+select topic_id, body_md5, headline, n_cards, n_chars, array_to_string(found, ',') as issues, greatest(0.0, 100.0 - case when n_chars >= 400 then 0 when n_chars >= 300 then 10 when n_chars >= 200 then 20 else 30 end - 5 * len(found)) as score from t"""
+_SPLIT = "list_transform(list_filter(list_transform(flatten(list_transform(string_split({0}, chr(10)), lambda l: string_split(regexp_replace(trim(l), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))), lambda s: trim(s)), lambda s: s <> ''), lambda s: case when regexp_matches(s, '[.!?]$') then s else s || '.' end)"
+_BAG = "list_distinct(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''))"
+SQL["c01_citations"] = f"""with {ASSEMBLED}, mq as (select distinct topic_id, unnest({_SPLIT.format('text')}) as quote from assembled), m as (select *, trim(lower(quote)) as lq, {_BAG.format('trim(lower(quote))')} as qw from mq),
+sq as (select distinct id // 5 as topic_id, id, trim(lower(unnest({_SPLIT.format('body')}))) as ls from articles), w as (select *, {_BAG.format('ls')} as sw from sq),
+c as (select distinct m.topic_id, quote, w.id from m join w on m.topic_id = w.topic_id and (lq = ls or (len(sw) > 0 and len(list_intersect(qw, sw)) / len(sw) >= 0.7))),
+u as (select topic_id, id, 1 as direct from c union all select id // 5, id, 0 from articles)
+select topic_id, count(*) filter (direct = 1) as quotes, count(*) filter (direct = 0) as facts, count(*) as total, count(distinct id) as sources from u group by topic_id"""
+
+
 def _quota(source: str, name: str, role: str, quota: int, least: int) -> str:
     free = "list_filter(l, lambda e: not list_contains(used, e.s))"
     return f"""{name}_a as (select *, list_filter({free}, lambda e: e.role = '{role}')[1:{quota}] as own from {source}),
