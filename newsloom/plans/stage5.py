@@ -189,7 +189,7 @@ def _render_sql(name: str) -> str:
 
 @query(f"with {ARTICLES}, f as (select *, {_P} as p from articles) select id, {', '.join(f'md5({_render_sql(n)}) as {n}_md5, length({_render_sql(n)}) as {n}_chars' for n in rules.TEMPLATES)} from f")
 def m11_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each article in all twelve formats; a missing field is empty, blank lines collapse, long titles are cut."""
+    """Each article in all twelve formats; a missing field is empty, blank lines collapse, long titles are cut."""
     fields, lists = article_fields(), tuple(templates.LISTS)
     texts = articles(spark, sf_dir).select("id", *(templates.render(n, fields, lists).alias(n) for n in rules.TEMPLATES))
     return texts.select("id", *(c for n in rules.TEMPLATES for c in (F.md5(n).alias(f"{n}_md5"), F.length(n).alias(f"{n}_chars"))))

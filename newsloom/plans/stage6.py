@@ -274,3 +274,47 @@ def s09_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<p[^>]*>(.*?)(?:</p>|<p[ >]|\z)"), F.lit(1))
     ps = F.filter(F.transform(blocks, lambda p: F.trim(F.regexp_replace(x.clean_html(p), r"\s+", " "))), lambda p: p != "")
     return table(spark, sf_dir, "pages").select("page_id", ps.alias("ps"), "html").select("page_id", F.size("ps").alias("n_paragraphs"), F.md5(F.array_join("ps", "\n\n")).alias("body_md5"), F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("headline"))
+
+
+_CLEANING = (
+    (r"[ \t]+", " "), (r"(?m)^.{0,40}(?:기자|특파원)\s*[\w.+-]+@[\w.-]+.*$", ""), (r"[\w.+-]+@[\w-]+\.[\w.]+", ""), (r"(?m)^[ \t]*[○●◎▶▷►◆◇■□★☆·•※→][ \t]*", ""),
+    (r"(?im)^.*(?:무단\s*전재|저작권자|all rights reserved).*$", ""), (r"(?m)^\s*(?:AD|광고)\s*$", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
+)
+
+
+def _clean_sql(text: str) -> str:
+    for pattern, value in _CLEANING:
+        text = f"regexp_replace({text}, {sql_text(pattern)}, {sql_text(value)}, 'g')"
+    return text
+
+
+@query(f"with {ARTICLES}, c as (select id, {_clean_sql('body')} as t from articles) select id, length(t) as n_chars, md5(t) as text_md5 from c")
+def p16_clean_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies without bylines, addresses, list marks, copyright and advertising lines."""
+    t = articles(spark, sf_dir).select("id", x.clean_body(F.col("body")).alias("t"))
+    return t.select("id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+_CUTS = "string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_LINK = f"""list_reduce(list_transform({{0}}, lambda s: {{{{'t': '', 'i': 0, 'k': 0, 's': s}}}}), lambda a, e: {{{{
+  't': case when a.i = 0 then '' else a.t || ' ' end || case when a.i > 0 and a.i % 2 = 0 and a.k < {len(rules.CONNECTORS)} and not regexp_matches(e.s, {sql_text('^(?:' + '|'.join(rules.CONNECTED) + ')')}) then {sql_text(list(rules.CONNECTORS))}[a.k + 1] || ' ' || e.s else e.s end,
+  'i': a.i + 1, 'k': a.k + case when a.i > 0 and a.i % 2 = 0 and a.k < {len(rules.CONNECTORS)} and not regexp_matches(e.s, {sql_text('^(?:' + '|'.join(rules.CONNECTED) + ')')}) then 1 else 0 end, 's': ''}}}}, {{{{'t': '', 'i': 0, 'k': 0, 's': ''}}}}).t"""
+_MARKED = """list_reduce(list_transform({0}, lambda e: {{'t': '', 'c': e.s, 'g': {1}}}), lambda a, e: {{'t': case when length(e.c) > 0 and contains(a.t, e.c) then left(a.t, strpos(a.t, e.c) - 1) || e.c || e.g || substr(a.t, strpos(a.t, e.c) + length(e.c)) else a.t end, 'c': '', 'g': ''}}, {{'t': {2}, 'c': '', 'g': ''}}).t"""
+
+
+@query(
+    f"""with {_TOP}, o as (select topic_id, l, {_JOIN.format('l[1:8]')} as text from st), c as (select topic_id, text, l[2:4] as cited, {_JOIN.format('l[1:5]')} as intro from o),
+f as (select topic_id, string_agg(source_name, ', ' order by first) as names from (select id // 5 as topic_id, source_name, min(ord) as first from articles where source_name is not null group by 1, 2) group by topic_id)
+select topic_id, md5({_LINK.format(_CUTS.format('text'))}) as linked_md5, md5({_MARKED.format('cited', "' (src' || e.place || ')'", 'intro')}) as inline_md5,
+  md5({_MARKED.format('cited', "'[' || (e.place - 1) || ']'", 'intro')} || chr(10) || chr(10) || array_to_string(list_transform(cited, lambda e: '[' || (e.place - 1) || '] src' || e.place), chr(10))) as endnote_md5, names from c join f using (topic_id)"""
+)
+def c03_marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each topic with connecting words; its introduction with markers of three cited sentences, inline and as notes; its sources in order of first use."""
+    from ..operators.sentences import with_connectors
+
+    t = ordered_topics(spark, sf_dir)
+    some = lambda n: assembly.joined(F.slice("s", 1, n))
+    cited = F.transform(F.slice("s", 2, 3), lambda e: F.struct(e.sentence.alias("cited"), F.concat(F.lit("src"), e.place.cast("string")).alias("source")))
+    named = citations.source_list(articles(spark, sf_dir).where("source_name is not null").select(F.floor(F.col("id") / 5).cast("long").alias("topic_id"), "source_name", "ord"), "topic_id")
+    made = t.select("topic_id", F.md5(with_connectors(some(8))).alias("linked_md5"), F.md5(citations.marked(some(5), cited)).alias("inline_md5"), F.md5(citations.marked(some(5), cited, "endnote")).alias("endnote_md5"))
+    return made.join(named.withColumnRenamed("sources", "names"), "topic_id")
