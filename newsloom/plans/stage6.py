@@ -318,3 +318,24 @@ def c03_marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = citations.source_list(articles(spark, sf_dir).where("source_name is not null").select(F.floor(F.col("id") / 5).cast("long").alias("topic_id"), "source_name", "ord"), "topic_id")
     made = t.select("topic_id", F.md5(with_connectors(some(8))).alias("linked_md5"), F.md5(citations.marked(some(5), cited)).alias("inline_md5"), F.md5(citations.marked(some(5), cited, "endnote")).alias("endnote_md5"))
     return made.join(named.withColumnRenamed("sources", "names"), "topic_id")
+
+
+_KEY = "trim(regexp_replace(regexp_replace(lower(title), '\\s+', ' ', 'g'), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\s]', '', 'g'))"
+
+
+@query(
+    f"""with recursive {ARTICLES}, k0 as (select coalesce(source_id, '') as grp, id, ord, {_KEY} as key from articles), f as (select *, list_distinct(list_filter(string_split_regex(key, '\\s+'), lambda w: w <> '')) as t from (select *, row_number() over (partition by grp, key order by ord, id) as n from k0) where n = 1),
+g as (select distinct grp, id, substr(key, i, 15) as gram from (select grp, id, key, unnest(range(1, length(key) - 13)) as i from f where length(key) >= 15)), m as (select grp, gram from g group by all having count(*) > 1),
+e0 as (select a.grp, a.id as a, b.id as b from f a join f b on a.grp = b.grp and a.id <> b.id where len(a.t) > 0 and len(b.t) > 0 and len(list_intersect(a.t, b.t)) * 2 >= len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))),
+e1 as (select distinct x.grp, x.id as a, y.id as b from g x join m using (grp, gram) join g y on y.grp = x.grp and y.gram = x.gram and y.id <> x.id), nb as (select grp, b as id, list(distinct a) as near from (select * from e0 union all select * from e1) group by all),
+nodes_ as (select grp, id, row_number() over (partition by grp order by ord, id) as k from f),
+steps(grp, k, leaders) as (select grp, cast(0 as bigint), cast([] as bigint[]) from (select distinct grp from f) union all
+  select n.grp, n.k, case when len(list_intersect(leaders, coalesce(near, []))) > 0 then leaders else list_append(leaders, n.id) end from steps s join nodes_ n on n.grp = s.grp and n.k = s.k + 1 left join nb on nb.grp = n.grp and nb.id = n.id)
+select grp, unnest(leaders) as id from (select grp, leaders, row_number() over (partition by grp order by k desc) as z from steps) where z = 1"""
+)
+def d08_title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of each source without those equal or similar to an earlier kept one, or sharing fifteen characters with it."""
+    from ..operators.sentences import distinct_sentences
+
+    rows = articles(spark, sf_dir).select(F.coalesce("source_id", F.lit("")).alias("grp"), "id", "ord", F.col("title").alias("sentence"))
+    return distinct_sentences(rows).select("grp", "id")

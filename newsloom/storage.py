@@ -61,10 +61,24 @@ def stated(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def sweep(spark) -> int:
-    """Deletes the intermediate tables and files written so far; call it when no result that reads them is needed any more."""
+def mark() -> int:
+    """A place in the list of what was written, for `sweep`."""
+    return len(_written)
+
+
+def sweep(spark, since: int = 0) -> int:
+    """Deletes the intermediate tables and files written after a mark; call it when no result that reads them is needed any more."""
     n = 0
-    while _written:
+    while len(_written) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df written and read back, after which everything else written after the mark is deleted, as nothing reads it any more."""
+    out = materialized(df, name)
+    kept = _written.pop()
+    sweep(df.sparkSession, since)
+    _written.append(kept)
+    return out

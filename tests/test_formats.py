@@ -221,3 +221,34 @@ def test_raw_records_and_page_images(spark):
     urls = {"https://img.a.com/p.jpg": True, "https://a.com/logo.png": False, "https://cdn.a.com/x?y=1": True, "ftp://img/x.jpg": False, "https://a.com/a_100x90.jpg": False, "https://a.com/p.gif": False, "https://a.com/page": False, None: False}
     df = frame(spark, [(u,) for u in urls], "url string")
     assert {x.url: x.fits for x in df.select("url", images.fits_page(F.col("url")).alias("fits")).collect()} == urls
+
+
+def test_intermediate_tables_are_swept(spark):
+    import os
+
+    from newsloom import storage
+
+    start = storage.mark()
+    a = storage.materialized(spark.range(5), "a")
+    paths = [storage._written[-1].removeprefix("file://")]
+    out = storage.settled(a.where("id > 2"), "b", start)
+    assert out.count() == 2 and not os.path.exists(paths[0]) and storage.mark() == start + 1
+    assert storage.sweep(spark, start) == 1 and storage.mark() == start
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    import pytest
+
+    from newsloom.storage import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, other: other)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
