@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import mark, settled
 from .common import whole_groups, written
 from .components import components
 
@@ -263,6 +264,7 @@ def within_ids(rows: DataFrame) -> DataFrame:
 def link_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors(vec_id, label, embedding)."""
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    start = mark()
     every = marked(vectors)
     rows = every.where("fine").groupBy("vec_id", "label", "vector").agg(F.count("*").alias("times"))
     classes = written(rows.groupBy("label", "vector").agg(F.sum("times").alias("n")).withColumn("class", F.monotonically_increasing_id()), "classes")
@@ -283,4 +285,5 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     known = ids.join(within_ids(rows), "vec_id").join(own.join(names, "component"), "vec_id").select(F.col("vec_id").alias("id"), (F.col("links") - F.col("own")).alias("n_links"), "component_id")
     out = every.select("vec_id").join(known, F.col("vec_id") == known["id"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return settled(out, "vector-links", start)

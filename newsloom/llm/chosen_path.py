@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import mark, settled
 from .common import BROADCAST_BYTES, NOT_SPACE, bounded_batches, mix, slices, text_of, whole_groups, word_hashes, written
 from .components import components
 
@@ -479,6 +480,7 @@ def linked(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
+    start = mark()
     every = written(describe(docs), "sets")
     some = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = every.where(some).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("source")).withColumn("class", F.monotonically_increasing_id())
@@ -525,7 +527,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = own.join(names, "group").select(F.col("doc_id").alias("id"), "component_id")
     out = every.select("doc_id", "n_shingles").join(named, F.col("doc_id") == named["id"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return settled(out, "near-duplicates", start)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
