@@ -10,12 +10,19 @@ PENALTY = {"CRITICAL": 30, "HIGH": 15, "MEDIUM": 5, "LOW": 2}
 
 
 def search_checks(results: DataFrame) -> DataFrame:
-    """One row per query of results(query_id, group_key, rank_position, id, source_id, final_score, relevance_score): metrics, issues, score and passed."""
+    """One row per query of results(query_id, group_key, rank_position, id, source_id, final_score, relevance_score): metrics, issues, score and passed.
+
+    Where results carry published_at, date_from and date_to, date_match is the share that lies in its query's range."""
     order = Window.partitionBy("query_id", "group_key").orderBy("rank_position")
     rows = results.withColumn("rises", F.coalesce(F.lead("final_score").over(order) > F.col("final_score"), F.lit(False)))
+    inside = F.lit(None).cast("int")
+    if {"published_at", "date_from", "date_to"} <= set(results.columns):
+        at, low, high = (F.col(c) for c in ("published_at", "date_from", "date_to"))
+        inside = F.coalesce(at.isNotNull() & (low.isNull() | (at >= low)) & (high.isNull() | (at <= high)), F.lit(False)).cast("int")
     m = rows.groupBy("query_id").agg(
         F.count("*").alias("n"), F.round(F.avg("final_score"), 3).alias("mean_score"), F.min("final_score").alias("least"), F.max("final_score").alias("most"),
         F.count_if(F.col("relevance_score") >= 0.3).alias("relevant"), F.countDistinct("source_id").alias("sources"), F.countDistinct("id").alias("ids"), F.count_if("rises").alias("rises"),
+        F.round(F.avg(inside), 3).alias("date_match"),
     )
     issue = lambda cond, severity, check: F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check")))
     issues = F.array_compact(

@@ -212,9 +212,10 @@ _RANK = f"{RANKED}, res as (select * from ranked where rank_position > off and r
 
 @query(
     f"""with {_RANK}, r as (select *, coalesce(lead(final_score) over (partition by query_id, group_key order by rank_position) > final_score, false) as rises from res),
-m as (select query_id, count(*) as n, round(avg(final_score), 3) as mean_score, min(final_score) as least, max(final_score) as most, count(*) filter (relevance_score >= 0.3) as relevant, count(distinct source_id) as sources, count(distinct id) as ids, count(*) filter (rises) as rises from r group by 1),
+m as (select query_id, count(*) as n, round(avg(final_score), 3) as mean_score, min(final_score) as least, max(final_score) as most, count(*) filter (relevance_score >= 0.3) as relevant, count(distinct source_id) as sources, count(distinct id) as ids, count(*) filter (rises) as rises,
+  round(avg((published_at is not null and (date_from is null or published_at >= date_from) and (date_to is null or published_at <= date_to))::int), 3) as date_match from r group by 1),
 s as (select *, 15 * (n < 3)::int + 30 * (ids < n)::int + 5 * (mean_score < 30)::int + 15 * (relevant < 0.5 * n)::int + 5 * (sources < 0.3 * n)::int + 2 * (rises > 0)::int + 2 * (most - least < 1 and n > 5)::int as cost from m)
-select query_id, n, mean_score, least, most, relevant, sources, rises, greatest(0, least(100, 100 - cost)) as score, greatest(0, least(100, 100 - cost)) >= 50 and not ids < n as passed from s"""
+select query_id, n, mean_score, least, most, relevant, sources, rises, date_match, greatest(0, least(100, 100 - cost)) as score, greatest(0, least(100, 100 - cost)) >= 50 and not ids < n as passed from s"""
 )
 def v01_search_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks on the ranking of each query."""

@@ -339,3 +339,35 @@ def d08_title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = articles(spark, sf_dir).select(F.coalesce("source_id", F.lit("")).alias("grp"), "id", "ord", F.col("title").alias("sentence"))
     return distinct_sentences(rows).select("grp", "id")
+
+
+_SOURCES = """s as (select source as source_id, case cast(regexp_extract(source, '(\\d+)', 1) as int) % 4 when 0 then 'whitelist' when 1 then 'tier1' when 2 then 'tier2' else 'tier3' end as tier, cast(regexp_extract(source, '(\\d+)', 1) as int) as n, list(distinct lang) as cats from documents group by source),
+r as (select *, case when n % 3 = 0 then 'api' else 'rss' end as kind, n % 5 <> 0 as active, case when n % 2 = 0 then ['KR', 'US'] else ['US'] end as locales, case tier when 'whitelist' then 95.0 when 'tier1' then 85.0 when 'tier2' then 65.0 else 40.0 end as base from s)"""
+_FILTERS = {
+    "active": (dict(), "active"), "all": (dict(active=False), "true"), "tier": (dict(tier="tier2"), "active and tier = 'tier2'"), "type": (dict(ingestion_type="api"), "active and kind = 'api'"),
+    "category": (dict(category="fr", active=False), "list_contains(cats, 'fr')"), "locale": (dict(locale="KR"), "active and list_contains(locales, 'KR')"), "verified": (dict(verified=True), "active and tier in ('whitelist', 'tier1')"),
+}
+
+
+@query(f"with {_SOURCES} " + " union all ".join(f"select '{name}' as filter, source_id, row_number() over (order by base desc, source_id) as place from r where {test}" for name, (_, test) in _FILTERS.items()))
+def f18_source_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by each filter of the registry, by credibility."""
+    n = F.regexp_extract("source_id", r"(\d+)", 1).cast("int")
+    s = sources(spark, sf_dir).withColumns({"ingestion_type": F.when(n % 3 == 0, "api").otherwise("rss"), "is_active": n % 5 != 0, "supported_locales": F.when(n % 2 == 0, x.strings(("KR", "US"))).otherwise(x.strings(("US",)))})
+    s = materialized(s, "sources")
+    place = F.row_number().over(Window.orderBy(F.desc("credibility_base_score"), "source_id"))  # a row an outlet
+    out = [registry.select(s, **how).select(F.lit(name).alias("filter"), "source_id", place.alias("place")) for name, (how, _) in _FILTERS.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4]).union(out[5]).union(out[6])
+
+
+_FEW = "length({0}) > {1} and length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g')) > 0 and length(regexp_replace({0}, '[^가-힣]', '', 'g')) < 0.2 * length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))"
+
+
+@query(f"with {ARTICLES}, m as (select id, title, case when id % 2 = 0 then '한국어 제목이 앞에 섭니다 ' || left(title, 12) else title end as mixed from articles) select id, {_FEW.format('title', 15)} as title_few, {_FEW.format('mixed', 10)} as mixed_few from m")
+def f09_hangul_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """titles of which less than a fifth of the letters are Hangul, as they are and behind a Korean phrase."""
+    from ..operators.sentences import few_hangul
+
+    title = F.col("title")
+    mixed = F.when(F.col("id") % 2 == 0, F.concat(F.lit("한국어 제목이 앞에 섭니다 "), F.substring("title", 1, 12))).otherwise(title)
+    return articles(spark, sf_dir).select("id", few_hangul(title).alias("title_few"), few_hangul(mixed, longer=10).alias("mixed_few"))
