@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import mark, settled
+from ..storage import mark, settled, small
 from .common import BROADCAST_BYTES, NOT_SPACE, bounded_batches, mix, slices, text_of, whole_groups, word_hashes, written
 from .components import components
 
@@ -533,5 +533,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those whose component holds a smaller doc_id; columns as before."""
-    gone = near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone"))
+    gone = small(near_duplicates(docs).where("doc_id is not null and not kept").select(F.col("doc_id").alias("gone")), 16)  # ids only; texts stay where they are
     return docs.alias("docs").join(gone.alias("found"), F.col("docs.doc_id") == F.col("found.gone"), "left_anti")
