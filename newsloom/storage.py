@@ -1,10 +1,12 @@
 """Intermediate tables in the folder that the session shares between driver and executors.
 
-They stay until the job that made them is over, as a lost executor's tasks read them again; `sweep` deletes what this session wrote."""
+They stay until the job that made them is over, as a lost executor's tasks read them again; `sweep` deletes what this session wrote.
+Each thread of the driver has a list of its own, so that a job that settles leaves the tables of jobs on other threads alone."""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,7 +15,18 @@ from pyspark.sql import functions as F
 
 #: Where this process may write without a shared folder: all executors then run in the driver's own process.
 _LOCAL: list[str] = []
-_written: list[str] = []
+_threads: list[list[str]] = []
+
+
+class _Own(threading.local):
+    """What this thread wrote, in order; the list stays known to `sweep` when the thread is gone."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        _threads.append(self.paths)
+
+
+_own = _Own()
 
 
 def shared_dir(spark) -> str:
@@ -34,7 +47,7 @@ def shared_dir(spark) -> str:
 
 def new_path(spark, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _own.paths.append(path)
     return path
 
 
@@ -62,23 +75,27 @@ def stated(df: DataFrame) -> DataFrame:
 
 
 def mark() -> int:
-    """A place in the list of what was written, for `sweep`."""
-    return len(_written)
+    """A place in the list of what this thread wrote, for `sweep` and `settled`."""
+    return len(_own.paths)
 
 
-def sweep(spark, since: int = 0) -> int:
-    """Deletes the intermediate tables and files written after a mark; call it when no result that reads them is needed any more."""
+def _deleted(spark, paths: list[str], since: int) -> int:
     n = 0
-    while len(_written) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while len(paths) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+def sweep(spark, since: int | None = None) -> int:
+    """Deletes what this thread wrote after a mark; without a mark what all threads wrote, so call it so when no job runs and no result is needed any more."""
+    return sum(_deleted(spark, paths, since or 0) for paths in (_threads if since is None else [_own.paths]))
+
+
 def settled(df: DataFrame, name: str, since: int) -> DataFrame:
-    """df written and read back, after which everything else written after the mark is deleted, as nothing reads it any more."""
+    """df written and read back, after which everything else that this thread wrote after the mark is deleted, as nothing reads it any more."""
     out = materialized(df, name)
-    kept = _written.pop()
+    kept = _own.paths.pop()
     sweep(df.sparkSession, since)
-    _written.append(kept)
+    _own.paths.append(kept)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as x
-from ..storage import shared_dir
+from ..storage import new_path
 
 HEALTH = "source_id long, ts timestamp, failures int, active boolean, version long"
 #: Stands for no time, in microseconds.
@@ -95,14 +95,12 @@ def health(log: DataFrame, most: int = 5) -> DataFrame:
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what has landed, into a Parquet table of the shared folder, and reads it."""
-    import uuid
-
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, state = new_path(spark, name), new_path(spark, name + "-state")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that runs again overwrites itself
 
-    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/batch=*")

@@ -230,12 +230,38 @@ def test_intermediate_tables_are_swept(spark):
 
     start = storage.mark()
     a = storage.materialized(spark.range(5), "a")
-    paths = [storage._written[-1].removeprefix("file://")]
+    paths = [storage._own.paths[-1].removeprefix("file://")]
     out = storage.settled(a.where("id > 2"), "b", start)
     assert out.count() == 2 and not os.path.exists(paths[0]) and storage.mark() == start + 1
     assert storage.sweep(spark, start) == 1 and storage.mark() == start
 
 
+def test_a_job_that_settles_leaves_those_on_other_threads_alone(spark):
+    import threading
+
+    from newsloom import storage
+
+    half, go, got = threading.Event(), threading.Event(), []
+
+    def slow():
+        start = storage.mark()
+        a = storage.materialized(spark.range(7), "slow")
+        half.set()
+        go.wait(60)
+        got.append(storage.settled(a.where("id > 3"), "slow-out", start).count())
+
+    t = threading.Thread(target=slow)
+    t.start()
+    half.wait(60)
+    start = storage.mark()  # a whole job between the other's two writes
+    b = storage.materialized(spark.range(5), "fast")
+    assert storage.settled(b, "fast-out", start).count() == 5
+    go.set()
+    t.join(60)
+    assert got == [3]
+    assert storage.sweep(spark, start) == 1 and storage.sweep(spark) >= 1
+
+
 def test_a_shared_folder_is_needed_on_a_cluster():
     import pytest
 
