@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, chat, chosen_path, dac, decontaminate, gam, langid, licenses, warc
+from . import bpe, caps, chat, chosen_path, dac, decontaminate, gam, langid, licenses, warc, whitening
 from .common import learn_row, table
 
 
@@ -75,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learn_row()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_spherical_caps": op1_spherical_caps,
     "op2_chosen_path": op2_chosen_path,
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op12_whitening": op12_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
