@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, chat, chosen_path, dac, decontaminate, gam, langid, licenses, warc, whitening
+from . import bpe, caps, chat, chosen_path, dac, decontaminate, gam, langid, licenses, negatives, warc, whitening
 from .common import learn_row, table
 
 
@@ -79,6 +79,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding", (F.col("vec_id") % 50 == 0).alias("anchor")))
+
+
 QUERIES = {
     "op1_spherical_caps": op1_spherical_caps,
     "op2_chosen_path": op2_chosen_path,
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
     "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,4 +157,12 @@ items as (select doc_id, count(distinct item) as n_items, array_to_string(list_s
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)""",
+    "op13_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+pos as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, other) as int) as rank, other as negative_id, positive_score, score as negative_score
+from pos join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3""",
 }

@@ -97,3 +97,79 @@ def test_op12_over_the_table(spark):
         for c in range(8):
             x, sign = got[i, c + 1], np.sign(got[one, c + 1].whitened * want[one][2][c])
             assert (x.n, x.deviation) == (n, dev) and abs(x.whitened - sign * w[c]) < 1e-9 and abs(x.explained / share[c] - 1) < 1e-9 and x.identity_error < 1e-9
+
+
+# 13 ----------------------------------------------------------------------------------------------
+def mined_brute(rows, positives=5, negatives=3, least=50, most=95):
+    from math import floor, isfinite
+
+    good = [(i, lab, [floor(256 * c) for c in v], anchor) for i, lab, v, anchor in rows if None not in (i, lab, v) and v and all(c is not None and isfinite(c) for c in v)]
+    dims = [len(g[2]) for g in good]
+    good = [g for g in good if len(g[2]) == max(set(dims), key=lambda d: (dims.count(d), d))]
+    out = []
+    for a, lab, x, anchor in good:
+        if not anchor:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), i, other == lab) for i, other, y, _ in good)
+        for s, i, _ in [t for t in scored if t[2] and t[1] != a][:positives]:
+            fits = [t for t in scored if not t[2] and least * -s <= 100 * -t[0] <= most * -s][:negatives]
+            out += [(a, i, k + 1, t[1], -s, -t[0]) for k, t in enumerate(fits)]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, label int, embedding array<double>, anchor boolean, score long, block string"
+
+
+def mined(spark, rows, **more):
+    from newsloom.llm import negatives
+
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], VECTORS).repartition(5)
+    return sorted(tuple(x) for x in negatives.mine(df, **more).collect())
+
+
+def test_negatives_like_brute_force(spark, monkeypatch):
+    from newsloom.llm import negatives
+
+    monkeypatch.setattr(negatives, "WINDOW", 7)
+    monkeypatch.setattr(negatives, "ANCHORS", 9)
+    monkeypatch.setattr(negatives, "HELD", 20)
+    r = np.random.default_rng(2)
+    base = r.standard_normal((6, 10))
+    rows = [(i, int(r.integers(0, 4)), [float(c) for c in base[i % 6] * r.uniform(0.3, 3) + 0.4 * r.standard_normal(10)], i % 5 == 0) for i in range(240)]
+    rows += [(300 + i, i % 3, rows[5][2], i % 2 == 0) for i in range(12)]  # equal vectors of several labels
+    rows += [(400, 1, [0.0] * 10, True), (401, 1, [0.0] * 10, False), (402, None, rows[0][2], True), (403, 1, None, True), (404, 1, [1.0] * 9 + [None], True), (None, 1, rows[0][2], True)]
+    rows += [(405, 1, [float("nan")] * 10, True), (406, 1, [1.0] * 3, True), (407, 9, rows[1][2], True), (408, 2, [-c for c in rows[0][2]], True), (409, 1, [1e7] * 10, True), (410, 1, rows[2][2], None)]
+    want = mined_brute([x for x in rows if x[0] != 409])  # its squared length needs more than 62 bits
+    assert len(want) > 400 and mined(spark, rows) == want
+    assert mined(spark, rows, positives=2, negatives=6, least=20, most=110) == mined_brute([x for x in rows if x[0] != 409], 2, 6, 20, 110)
+
+
+def test_negatives_of_few_rows(spark):
+    one = [1.0, 2.0]
+    assert mined(spark, []) == [] and mined(spark, [(1, 1, one, True)]) == [] and mined(spark, [(1, 1, one, True), (2, 1, one, True)]) == []
+    assert mined(spark, [(1, 1, one, False), (2, 1, one, False), (3, 2, [0.5, 1.0], False)]) == []
+    rows = [(1, 1, one, True), (1, 1, one, True), (2, 1, one, False), (3, 2, [0.5, 1.0], False), (3, 2, [0.5, 1.0], False)]  # repeated rows
+    assert mined(spark, rows) == mined_brute(rows) and len(mined_brute(rows)) == 4
+
+
+def test_windows_hold_all_scores():
+    """Bounds of a window hold the score of each of its rows, with lengths from tiny to large, and those of a block hold its anchors'."""
+    from newsloom.llm import negatives
+
+    r = np.random.default_rng(8)
+    x = np.floor(r.standard_normal((400, 6)) * 10.0 ** r.integers(0, 7, (400, 1))).astype(np.int64)
+    x[:40] = x[40:80]
+    directions = negatives.reference_directions(x[:100])
+    t, size = negatives.angles_to(x, directions), np.linalg.norm(x.astype(float), axis=1)
+    order = np.lexsort((t[:, 0], t.argmin(1)))
+    tight = 0
+    for at in range(0, 400, 25):
+        own = order[at : at + 25]
+        low, high = negatives.score_bounds(t, size, t[own].min(0), t[own].max(0), size[own].min(), size[own].max())
+        score = x @ x[own].T
+        assert (low[:, None] <= score).all() and (score <= high[:, None]).all()
+        tight += int((high < size * size[own].max() * 0.9).sum())
+        for block in np.split(order, 8):
+            wide_low, wide_high = negatives.score_bounds(t[block].min(0), size[block].max(), t[own].min(0), t[own].max(0), size[own].min(), size[own].max(), t[block].max(0) - t[block].min(0))
+            assert min(wide_low, 0) <= score[block].min() and score[block].max() <= max(wide_high, 0)
+    assert tight > 2000
