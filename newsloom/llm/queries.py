@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, chat, chosen_path, dac, decontaminate, gam, langid, licenses, negatives, warc, whitening
+from . import bpe, caps, chat, chosen_path, dac, decontaminate, gam, langid, licenses, negatives, token_counts, warc, whitening
 from .common import learn_row, table
 
 
@@ -15,6 +15,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def words_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +81,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learn_row()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
+    n = token_counts.n_tokens(F.col("prefix_tokens"))
+    return token_counts.prefix_counts(docs, words_path(), keep_text=False).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 2048).alias("over_limit"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +107,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_token_counts": op11_token_counts,
     "op12_whitening": op12_whitening,
     "op13_hard_negatives": op13_hard_negatives,
 }
