@@ -22,7 +22,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import LETTER, NUMBER, PIECE_BYTES, SPACE, WordTable, byte_letters, character_classes, gather, read_vocabulary
+from .bpe import NUMBER, PIECE_BYTES, SPACE, WordTable, byte_letters, character_classes, gather, read_vocabulary
 from .common import bounded_batches, slices, span_hashes, text_of
 
 #: Pairs of tokens of which a worker remembers whether they go together.
@@ -65,7 +65,7 @@ class Merges:
         for k in sorted(set(vocab.values()) - single, key=self.made.__getitem__):
             if self.made[k] >= 0 and self.left[k] in whole and self.right[k] in whole and self.stay(self.left[k], self.right[k], self.made[k]):
                 whole.add(k)
-        #: These by their bytes, inside a word and at its end, and the lengths of those that end in each two bytes.
+        #: These by their bytes, inside a word and at its end, and the lengths (from three) of those that end in each three bytes.
         self.inside: dict[bytes, int] = {}
         self.ending: dict[bytes, int] = {}
         for token, i in vocab.items():
@@ -76,8 +76,8 @@ class Merges:
         for own in (self.inside, self.ending):
             found: dict[bytes, set[int]] = {}
             for piece in own:
-                if len(piece) > 1:
-                    found.setdefault(piece[-2:], set()).add(len(piece))
+                if len(piece) > 2:
+                    found.setdefault(piece[-3:], set()).add(len(piece))
             self.lengths.append({k: tuple(sorted(v, reverse=True)) for k, v in found.items()})
         self.known: dict[int, bool] = {}
 
@@ -103,28 +103,38 @@ class Merges:
             good = self.known[key] = self.stay(a, b, len(self.rank))
         return good
 
-    def counts(self, word: bytes, stops: list[int]) -> list[int]:
-        """The number of tokens of each prefix of a word that ends at one of the stops (rising, in bytes)."""
-        together, inside, ending = self.together, self.inside, self.ending
-        inner, outer = self.lengths
-        last, number = [-1] * (len(word) + 1), [0] * (len(word) + 1)
-        out, wanted = [], iter(stops)
-        stop = next(wanted, -1)
-        for j in range(1, len(word) + 1):
-            pair = word[j - 2 : j] if j > 1 else b""
-            if j == stop:
-                out.append(self.step(word, j, outer.get(pair, ()), ending, last, number, together)[1])
-                stop = next(wanted, -1)
-            last[j], number[j] = self.step(word, j, inner.get(pair, ()), inside, last, number, together)
-        return out
+    def counts(self, words: Iterable[bytes]) -> Iterator[list[int]]:
+        """For each of many words, best in sorted order, the number of tokens of its prefixes by their bytes; 0 for those that cut a character.
 
-    @staticmethod
-    def step(word: bytes, j: int, lengths: tuple[int, ...], tokens: dict[bytes, int], last: list[int], number: list[int], together) -> tuple[int, int]:
-        """The last token of the prefix of j bytes, and its number of tokens."""
-        for n in (*lengths, 1):
-            if n <= j and (t := tokens.get(word[j - n : j])) is not None and (n == j or together(last[j - n], t)):
-                return t, number[j - n] + 1
-        raise ValueError(f"no token ends at byte {j} of {word[:100]!r}")
+        What a word shares with the one before it is not computed again."""
+        inside, ending, together = self.inside, self.ending, self.together
+        inner, outer = self.lengths
+        known, size = self.known, self.size
+        before, last, number, closed = b"", [-1], [0], [0]
+        for word in words:
+            n = len(word)
+            k, most = 0, min(n, len(before))
+            while k < most and word[k] == before[k]:
+                k += 1
+            del last[k + 1 :], number[k + 1 :], closed[k + 1 :]
+            for j in range(k + 1, n + 1):
+                tail = word[j - 3 : j] if j > 2 else b""
+                if j == n or word[j] & 0xC0 != 0x80:
+                    for length in (*outer.get(tail, ()), 2, 1):
+                        if length <= j and (t := ending.get(word[j - length : j])) is not None:
+                            if length == j or (good := known.get((a := last[j - length]) * size + t)) or good is None and together(a, t):
+                                closed.append(number[j - length] + 1)
+                                break
+                else:
+                    closed.append(0)
+                for length in (*inner.get(tail, ()), 2, 1):
+                    if length <= j and (t := inside.get(word[j - length : j])) is not None:
+                        if length == j or (good := known.get((a := last[j - length]) * size + t)) or good is None and together(a, t):
+                            last.append(t)
+                            number.append(number[j - length] + 1)
+                            break
+            before = word
+            yield closed
 
 
 _lower: list[np.ndarray] = []
@@ -177,17 +187,18 @@ class Counter:
             _lower.append(lower_table())
             _classes.append(character_classes())
 
-    def fresh(self, raw: bytes, s: np.ndarray, e: np.ndarray, char_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fresh(self, raw: bytes, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts at all character ends of new words, flat, and their number by word."""
-        flat: list[int] = []
-        first, last = np.searchsorted(char_ends, s, "right"), np.searchsorted(char_ends, e, "right")
-        for a, b, i, j in zip(s.tolist(), e.tolist(), first.tolist(), last.tolist()):
-            word = raw[a:b]
-            own = self.m.counts(word, (char_ends[i:j] - a).tolist())
-            if len(word) == 3 and word[0] == 39 and word[1:].isalpha() and word.isascii():  # a prefix of two is an apostrophe and a letter
-                own[1] = own[0] + self.m.counts(word[1:2], [1])[0]
-            flat += own
-        return np.array(flat, np.int32), last - first
+        words = [raw[a:b] for a, b in zip(s.tolist(), e.tolist())]
+        order = sorted(range(len(words)), key=words.__getitem__)
+        letters = {c: next(self.m.counts([c]))[1] for c in (b"r", b"v", b"l")}
+        found: list[list[int]] = [[]] * len(words)
+        for k, counts in zip(order, self.m.counts(words[k] for k in order)):
+            word, own = words[k], [c for c in counts if c]
+            if len(word) == 3 and word[0] == 39 and word[1:2] in letters:  # a prefix of two is an apostrophe and a letter
+                own[1] = own[0] + letters[word[1:2]]
+            found[k] = own
+        return np.array([c for own in found for c in own], np.int32), np.array([len(own) for own in found])
 
     def __call__(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The texts in NFC, the counts after each of their characters, flat, and the offsets of the texts among them."""
@@ -244,7 +255,7 @@ class Counter:
         lens = (e - s)[first]
         flat, at, total = [], np.zeros(len(keys), np.int64), 0
         if new.any():
-            own, number = self.fresh(raw, byte[s[first[new]]], byte[e[first[new]]], byte[1:])
+            own, number = self.fresh(raw, byte[s[first[new]]], byte[e[first[new]]])
             flat.append(own)
             at[new] = np.cumsum(number) - number
             total = len(own)
