@@ -40,17 +40,24 @@ def stats(sources: DataFrame) -> DataFrame:
     return sources.groupingSets([["tier"], ["ingestion_type"], []], "tier", "ingestion_type").agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"))
 
 
-def health(log: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
-    """log(source_id, ts, ok[, ord]) to failures in a row at the end of the log, and whether the source is still active.
+def health(log: DataFrame, most: int = MOST_FAILURES, reactivations: DataFrame | None = None) -> DataFrame:
+    """log(source_id, ts, ok, ord) to failures in a row at the end of the log, and whether the source is still active.
 
-    The last success and the failures after it are aggregates, so that a source with many rows is no hot task. A run of `most`
-    failures anywhere makes it inactive until the next success."""
-    last = log.where("ok").groupBy("source_id").agg(F.max("ts").alias("last_success"))
+    `most` failures in a row make a source inactive, and no later success revives it: only a row of reactivations(source_id, ts, ord) does, which
+    also sets its failures back to none. So the longest run of failures after the last reactivation decides. All are aggregates and runs by
+    day, so that a source with most of the log is no hot task."""
+    place, log = F.struct("ts", "ord"), log.select("source_id", "ts", "ok", "ord")
     own = log.groupBy("source_id").agg(F.count("*").alias("fetches"), F.count_if(~F.col("ok")).alias("failures"))
-    since = log.join(last, "source_id", "left").where(~F.col("ok") & (F.col("last_success").isNull() | (F.col("ts") > F.col("last_success"))))
-    tail = since.groupBy("source_id").agg(F.count("*").alias("failure_count"))
-    out = own.join(last, "source_id", "left").join(tail, "source_id", "left").withColumn("failure_count", F.coalesce("failure_count", F.lit(0)))
-    return out.withColumn("is_active", F.col("failure_count") < most)
+    since = log
+    if reactivations is not None:
+        back = reactivations.groupBy("source_id").agg(F.max(place).alias("back"))
+        since = log.join(back, "source_id", "left").where(F.col("back").isNull() | (place > F.col("back"))).drop("back")
+    last = since.where("ok").groupBy("source_id").agg(F.max(place).alias("success"))
+    tail = since.join(last, "source_id", "left").where(~F.col("ok") & (F.col("success").isNull() | (place > F.col("success")))).groupBy("source_id").agg(F.count("*").alias("failure_count"))
+    worst = longest_failures(since).select("source_id", F.col("longest").alias("worst"))
+    out = own.join(last.select("source_id", F.col("success.ts").alias("last_success")), "source_id", "left").join(tail, "source_id", "left").join(worst, "source_id", "left")
+    out = out.withColumn("failure_count", F.coalesce("failure_count", F.lit(0)))
+    return out.withColumn("is_active", F.coalesce("worst", F.lit(0)) < most).drop("worst")
 
 
 def reactivated(sources: DataFrame, ids: Column) -> DataFrame:

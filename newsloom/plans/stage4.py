@@ -76,21 +76,40 @@ def ql08_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "popularity_type", "limit", "offset", F.element_at("keywords", 1).alias("first_keyword"), F.array_join("errors", ";").alias("errors"))
 
 
+def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fetches of sources; some are no fetch, but reactivate their source unless it is blacklisted (every tenth)."""
+    return _events(table(spark, sf_dir, "events"))
+
+
+def _events(e: DataFrame) -> DataFrame:
+    back = (F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0)
+    rows = e.select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (~F.col("event_type").isin("error", "purchase")).alias("ok"), F.col("event_id").alias("ord"), back.alias("back"))
+    return rows.where(~F.col("back") | (F.col("source_id") % 10 != 0))
+
+
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.col("ts"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("ord"))
+    return source_events(spark, sf_dir).where(~F.col("back")).drop("back")
+
+
+#: Every event in order: `run` numbers what ends a run of failures, `backs` the reactivations.
+_HEALTH = """e as (select user_id as source_id, ts, event_id as ord, case when event_type = 'signup' and event_id % 3 = 0 then 'back' when event_type in ('error', 'purchase') then 'fail' else 'ok' end as kind from events
+  where not (event_type = 'signup' and event_id % 3 = 0 and user_id % 10 = 0)),
+b as (select *, count(*) filter (kind = 'back') over w as backs, count(*) filter (kind <> 'fail') over w as run, count(*) filter (kind = 'ok') over w as ok_run from e window w as (partition by source_id order by ts, ord)),
+m as (select source_id, max(backs) as backs, max(run) as run, count(*) filter (kind <> 'back') as fetches, count(*) filter (kind = 'fail') as failures from b group by 1),
+r as (select source_id, backs, run, count(*) filter (kind = 'fail') as n from b group by 1, 2, 3),
+h as (select m.source_id, any_value(fetches) as fetches, any_value(failures) as failures, coalesce(max(n) filter (r.run = m.run), 0) as failure_count, coalesce(max(n) filter (r.backs = m.backs), 0) < 5 as is_active
+  from m join r using (source_id) group by 1)"""
 
 
 @query(
-    """with l as (select user_id as source_id, ts, event_type <> 'error' as ok, event_id as ord from events), s as (select source_id, max(ts) filter (ok) as last_success, count(*) as fetches, count(*) filter (not ok) as failures from l group by 1),
-t as (select source_id, count(*) as failure_count from l join s using (source_id) where not ok and (last_success is null or ts > last_success) group by 1),
-runs as (select source_id, run, count(*) as n from (select *, sum(ok::int) over (partition by source_id order by ts, ord) as run from l) where not ok group by 1, 2)
-select source_id, fetches, failures, coalesce(failure_count, 0) as failure_count, coalesce(failure_count, 0) < 5 as is_active, longest
-from s left join t using (source_id) left join (select source_id, max(n) as longest from runs group by 1) using (source_id)"""
+    f"""with {_HEALTH}, o as (select source_id, max(n) as longest from (select source_id, ok_run, count(*) as n from b where kind = 'fail' group by 1, 2) group by 1)
+select source_id, fetches, failures, failure_count, is_active, longest from h left join o using (source_id) where fetches > 0"""
 )
 def r02_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health of sources from their log."""
+    """Health of sources from their log, with reactivations."""
     log = fetch_log(spark, sf_dir)
-    return registry.health(log).join(registry.longest_failures(log), "source_id", "left").select("source_id", "fetches", "failures", "failure_count", "is_active", "longest")
+    back = source_events(spark, sf_dir).where("back")
+    return registry.health(log, reactivations=back).join(registry.longest_failures(log), "source_id", "left").select("source_id", "fetches", "failures", "failure_count", "is_active", "longest")
 
 
 @query(
@@ -106,20 +125,16 @@ def t04_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id as source_id, cast(date_trunc('hour', ts) as timestamp) as slot, count(*) as requests from events group by 1, 2")
 def t04_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 as a stream: requests of each source by hour."""
-    log = jobs.stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
-    counts = jobs.usage(log, late=None)
-    out = jobs.drain(counts, "usage", "update")
-    return out.groupBy("source_id", "slot").agg(F.max("requests").alias("requests")).select("source_id", F.col("slot").cast("timestamp_ntz").alias("slot"), "requests")
+    """T4 as a stream: requests of each source by hour, of which a day stays in the state; what comes later corrects the counts."""
+    log = jobs.stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source_id"), "ts")
+    out = jobs.usage_totals(jobs.drain(jobs.usage_with_late(log), "usage"))
+    return out.select("source_id", F.col("slot").cast("timestamp_ntz").alias("slot"), "requests")
 
 
-@query(
-    """with l as (select user_id as source_id, ts, event_type <> 'error' as ok from events), s as (select source_id, max(ts) filter (ok) as last from l group by 1)
-select source_id, count(*) filter (not ok and (last is null or ts > last)) as failures, count(*) filter (not ok and (last is null or ts > last)) < 5 as active from l join s using (source_id) group by 1"""
-)
+@query(f"with {_HEALTH} select source_id, failure_count as failures, is_active as active from h")
 def t03_health_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health of sources by state that lives on between batches."""
-    log = jobs.stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    """Health of sources by state that lives on between batches, with reactivations."""
+    log = _events(jobs.stream(spark, f"{sf_dir}/events.parquet"))
     return jobs.drain(jobs.health(log), "health").groupBy("source_id").agg(F.max_by("failures", "version").alias("failures"), F.max_by("active", "version").alias("active"))
 
 

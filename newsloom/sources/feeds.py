@@ -9,22 +9,54 @@ from ..functions import text as x
 from ..storage import small
 
 RSS = "title string, link string, description string, pubDate string, author string, `dc:creator` string, guid string, source string"
-ATOM = "title string, link struct<_href:string>, summary string, content string, published string, updated string, author struct<name:string>"
+ATOM = "title string, link array<struct<_href:string>>, summary string, content string, published string, updated string, author struct<name:string>"
 API_ITEM = "array<struct<title:string,originallink:string,link:string,url:string,description:string,summary:string,pubDate:string,published:string>>"
 #: Records have these columns whatever they were read from.
 RECORD = ("feed", "title", "url", "description", "published", "author", "source_name")
 
 
+#: Elements that a feed document has at its root.
+ROOTS = ("rss", "feed", "rdf:RDF")
+#: Where the XML reader puts what it cannot parse.
+CORRUPT = "corrupt"
+
+
+def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """Elements of a tag with the address of their file as `feed`, and a row with the text in `corrupt` where the reader met something malformed."""
+    df = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(f"{schema}, {CORRUPT} string").load(path)
+    return df.withColumn("feed", F.input_file_name())
+
+
 def _named(df: DataFrame, source: Column, title: Column, url: Column, text: Column, time: Column, author: Column) -> DataFrame:
-    cols = (F.input_file_name(), title, url, text, time, author, source)
-    return df.select(*(F.trim(c).alias(n) for c, n in zip(cols, RECORD)))
+    cols = (F.col("feed"), title, url, text, time, author, source)
+    # the reader refuses to look at corrupt records alone; as no XML text holds a NUL, the title keeps every row
+    return df.where(F.col(CORRUPT).isNull() & (F.coalesce(title, F.lit("")) != "\0")).select(*(F.btrim(c, F.lit(" \t\r\n")).alias(n) for c, n in zip(cols, RECORD)))
+
+
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """(feed, corrupt, elements): landed files that are no well-formed document, with their text and the number of items and entries in it.
+
+    Kept apart, not dropped unseen: a document counts as a whole, so none of its elements are records."""
+    found = None
+    for root in ROOTS:
+        # a second column, which has no value there, as the reader refuses to look at corrupt records alone
+        part = _elements(spark, path, root, "_version string").where(F.col(CORRUPT).isNotNull() & F.col("_version").isNull()).select("feed", CORRUPT)
+        found = part if found is None else found.union(part)
+    return found.groupBy("feed").agg(F.first(CORRUPT).alias(CORRUPT)).withColumn("elements", F.regexp_count(CORRUPT, F.lit("<(?:item|entry)[ />]")))
+
+
+def _whole(records: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    return records.join(malformed(spark, path).select("feed"), "feed", "left_anti")
+
+
+def _items(spark: SparkSession, path: str) -> DataFrame:
+    df = _elements(spark, path, "item", RSS)
+    return _named(df, x.filled("source"), F.col("title"), x.filled("link"), F.col("description"), F.col("pubDate"), x.first_filled("author", "dc:creator"))
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """`<item>` elements of RSS files; malformed ones are skipped, empty feeds give no rows."""
-    df = spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(RSS).load(path)
-    author = x.first_filled("author", "dc:creator")
-    return _named(df, x.filled("source"), F.col("title"), x.filled("link"), F.col("description"), F.col("pubDate"), author)
+    """`<item>` elements of well-formed RSS files; empty feeds give no rows, malformed ones are in `malformed`."""
+    return _whole(_items(spark, path), spark, path)
 
 
 def read_search_rss(spark: SparkSession, path: str) -> DataFrame:
@@ -32,29 +64,56 @@ def read_search_rss(spark: SparkSession, path: str) -> DataFrame:
     return read_rss(spark, path).withColumn("source_name", F.coalesce("source_name", F.lit("Unknown")))
 
 
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """`<entry>` elements of Atom files, with the first of their links."""
+    df = _elements(spark, path, "entry", ATOM)
+    return _named(df, F.lit(None).cast("string"), F.col("title"), F.get("link", F.lit(0))["_href"], x.first_filled("summary", "content"), x.first_filled("published", "updated"), x.filled("author.name"))
+
+
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.format("xml").option("rowTag", "entry").option("mode", "DROPMALFORMED").schema(ATOM).load(path)
-    return _named(df, F.lit(None).cast("string"), F.col("title"), F.col("link._href"), x.first_filled("summary", "content"), x.first_filled("published", "updated"), F.col("author.name"))
+    return _whole(_entries(spark, path), spark, path)
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """RSS items, and Atom entries of files without any item."""
-    rss = read_rss(spark, path)
-    atom = read_atom(spark, path).join(rss.select("feed").distinct(), "feed", "left_anti")
-    return rss.unionByName(atom)
+    """Records of well-formed files: RSS items, and Atom entries of files without any item."""
+    rss = _items(spark, path)
+    atom = _entries(spark, path).join(rss.select("feed").distinct(), "feed", "left_anti")
+    return _whole(rss.unionByName(atom), spark, path)
+
+
+def xml_text(c: Column) -> Column:
+    """Text as it stands in an XML document: no characters that XML forbids, and `&`, `<`, `>` and quotes as entities."""
+    out = F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
 
 
-def read_api(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """`items`, else `articles`, of JSON responses; original links before links; at most so many of each response."""
-    df = spark.read.schema(f"items {API_ITEM}, articles {API_ITEM}").option("multiLine", True).json(path)
-    rows = df.select(F.input_file_name().alias("file"), F.posexplode(F.coalesce("items", "articles")).alias("place", "i"))
+def xml_element(tag: str, c: Column, attributes: str = "") -> Column:
+    """An element with the text of c; nothing where that is null."""
+    return F.concat(F.lit(f"<{tag}{attributes}>"), xml_text(c), F.lit(f"</{tag}>"))
+
+
+def _responses(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    df = spark.read.schema(f"items {API_ITEM}, articles {API_ITEM}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", not lines).json(path)
+    return df.withColumn("feed", F.input_file_name())
+
+
+def read_api(spark: SparkSession, path: str, most: int | None = None, lines: bool = False) -> DataFrame:
+    """`items`, else `articles`, of JSON responses, one a file or one a line; original links before links; at most so many of each response."""
+    rows = _responses(spark, path, lines).where(F.col(CORRUPT).isNull()).select("feed", F.posexplode(F.coalesce("items", "articles")).alias("place", "i"))
     rows = rows.where(F.col("place") < most) if most is not None else rows
-    out = rows.select("file", "place", "i.*")
+    out = rows.select("feed", "place", "i.*")
     text = x.clean_snippet(x.first_filled("description", "summary"))
-    cols = (F.col("file"), x.clean_snippet(F.col("title")), x.first_filled("originallink", "link", "url"), text, x.first_filled("pubDate", "published"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    cols = (F.col("feed"), x.clean_snippet(F.col("title")), x.first_filled("originallink", "link", "url"), text, x.first_filled("pubDate", "published"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     return out.select(*(c.alias(n) for c, n in zip(cols, RECORD)))
 
 
+def malformed_api(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(feed, corrupt): responses that are no JSON, which give no records."""
+    return _responses(spark, path, lines).where(F.col(CORRUPT).isNotNull() & F.col("items").isNull() & F.col("articles").isNull()).select("feed", CORRUPT)
+
+
 def first_of_feed(records: DataFrame, most: int, keywords: list[str]) -> DataFrame:
     """The first rows of each feed, and of these the ones with a keyword: the limit comes before the keywords."""
     n = F.row_number().over(Window.partitionBy("feed").orderBy("ord"))
@@ -85,11 +144,39 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def nested_groups(groups: DataFrame, news: DataFrame) -> DataFrame:
-    """(leader, size, representative, members): one nested row per group of groups(leader, id), for JSON output."""
-    rows = groups.join(news.select("id", "title", "source_name"), "id")
+def report_documents(runs: DataFrame, report: str) -> DataFrame:
+    """One row for each report: its name, a summary of its runs, and the runs by test_id; a report holds the runs of one batch."""
+    fields = F.struct(*(c for c in runs.columns if c != report))
+    summary = F.struct(F.count("*").alias("tests"), F.count_if("success").alias("successes"), F.round(F.avg(F.when(F.col("success"), F.col("score"))), 3).alias("mean_score"))
+    return runs.groupBy(report).agg(summary.alias("summary"), F.sort_array(F.collect_list(fields)).alias("results"))
+
+
+def report_rows(reports: DataFrame, report: str) -> DataFrame:
+    """The runs of nested reports, each with the summary of its report."""
+    return reports.select(report, "summary", F.explode("results").alias("r")).select(report, "summary.*", "r.*")
+
+
+#: Members of a group that stand in one row of its JSON.
+MEMBERS = 1_000
+
+
+def nested_groups(groups: DataFrame, news: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """(leader, size, part, parts, representative, members): nested rows of groups(leader, id), for JSON output.
+
+    A group of many members is dealt by a hash into parts of about `most`, one row each, so that no group is gathered in one task."""
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / most).cast("int"))
     item = F.struct("id", "title", "source_name")
-    return rows.groupBy("leader").agg(F.count("*").alias("size"), F.max(F.when(F.col("id") == F.col("leader"), item)).alias("representative"), F.sort_array(F.collect_list(F.when(F.col("id") != F.col("leader"), item))).alias("members"))
+    rows = groups.join(sizes, "leader").join(news.select("id", "title", "source_name"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    members = rows.groupBy("leader", "size", "parts", "part").agg(F.sort_array(F.collect_list(F.when(F.col("id") != F.col("leader"), item))).alias("members"))
+    return members.join(rows.where("id = leader").select("leader", item.alias("representative")), "leader", "left").select("leader", "size", "part", "parts", "representative", "members")
+
+
+def group_rows(nested: DataFrame) -> DataFrame:
+    """(leader, size, id, title, source_name) of nested groups: the representatives and all members."""
+    # the representative stands in every part; the first part that there is gives it
+    first = nested.groupBy("leader").agg(F.min("part").alias("first"))
+    every = F.concat(F.when(F.col("part") == F.col("first"), F.array("representative")).otherwise(F.array().cast(nested.schema["members"].dataType)), F.col("members"))
+    return nested.join(first, "leader").select("leader", "size", F.explode(every).alias("m")).select("leader", "size", "m.*")
 
 
 RAW = "struct<title:string,text:string,description:string,summary:string,content:string,raw_html:string,author:string,creator:string,tags:string,published:string>"
