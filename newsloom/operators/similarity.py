@@ -5,36 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as x
 from ..storage import materialized
 
 
-def similarity_edges(items: DataFrame, num: int, den: int) -> DataFrame:
+def similarity_edges(items: DataFrame, num: int | None, den: int) -> DataFrame:
     """(grp, a, b, both, either) of pairs of items(grp, id, tokens) in one group with |A & B| / |A | B| >= num / den, a < b.
 
     Tokens are ordered by rising frequency; two sets that reach the threshold share one of their first
     n - ceil(t n) + 1 tokens, so only these are joined. Items without tokens have no edge. Equal ids must not repeat in a group.
+    Without num each group has its own, in a column `num` of the items.
     """
-    items = items.select("grp", "id", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
-    each = items.select("grp", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    own = F.col("num") if num is None else F.lit(num)
+    items = items.select("grp", "id", own.alias("num"), F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
+    each = items.select("grp", "id", "num", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("often"))
     # the row's own number of tokens bounds this group
-    ordered = each.join(often, "token").groupBy("grp", "id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked"))
-    keep = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    prefix = ordered.select("grp", "id", "n", F.transform("ranked", lambda x: x.token).alias("tokens"), F.explode(F.transform(F.slice("ranked", F.lit(1), keep), lambda x: x.token)).alias("token"))
+    ordered = each.join(often, "token").groupBy("grp", "id", "num", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked"))
+    keep = F.col("n") - F.ceil(F.col("n") * F.col("num") / den).cast("int") + 1
+    prefix = ordered.select("grp", "id", "num", "n", F.transform("ranked", lambda x: x.token).alias("tokens"), F.explode(F.transform(F.slice("ranked", F.lit(1), keep), lambda x: x.token)).alias("token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))
-    length = (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
+    length = (F.col("a.n") * den >= F.col("b.n") * F.col("a.num")) & (F.col("b.n") * den >= F.col("a.n") * F.col("a.num"))
     both = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    pairs = a.join(b, near & length).select(F.col("a.grp").alias("grp"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), both.alias("both"), (F.col("a.n") + F.col("b.n") - both).alias("either"))
-    return pairs.where(F.col("both") * den >= F.col("either") * num).distinct()
+    pairs = a.join(b, near & length).select(F.col("a.grp").alias("grp"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), both.alias("both"), (F.col("a.n") + F.col("b.n") - both).alias("either"), F.col("a.num").alias("num"))
+    return pairs.where(F.col("both") * den >= F.col("either") * F.col("num")).drop("num").distinct()
+
+
+#: Characters of the grams whose hashes pick the places of a text.
+GRAM = 8
+
+
+def winnowed(items: DataFrame, length: int = 15, gram: int = GRAM) -> DataFrame:
+    """(grp, id, print, piece) of items(grp, id, text): each substring of `length` characters lies in a piece whose print its own grams determine.
+
+    A substring's print is the smallest hash of its grams; neighbours mostly have the same one, and come as one piece. So two
+    texts that share the substring share the print (winnowing), and a text is written as about 2 / (length - gram + 2) rows a character."""
+    m = length - gram + 1
+    rows = items.where(F.char_length("text") >= length).select("grp", "id", F.split("text", "").alias("c"))
+    n = F.size("c")
+    hashes = F.transform(F.sequence(F.lit(1), n - gram + 1), lambda i: F.xxhash64(F.slice("c", i, F.lit(gram))))
+    least = x.let(hashes, lambda h: F.transform(F.sequence(F.lit(1), n - length + 1), lambda s: F.array_min(F.slice(h, s, F.lit(m)))))
+    rows = rows.select("grp", "id", "c", least.alias("least"))
+    first = F.filter(F.sequence(F.lit(1), F.size("least")), lambda s: (s == 1) | (F.get("least", s - 1) != F.get("least", s - 2)))
+    runs = x.let(first, lambda f: F.transform(f, lambda s, i: F.struct(F.get("least", s - 1).alias("print"), s.alias("s"), F.coalesce(F.get(f, i + 1) - 1, F.size("least")).alias("e"))))
+    rows = rows.select("grp", "id", "c", F.explode(runs).alias("r"))
+    return rows.select("grp", "id", "r.print", F.array_join(F.slice("c", F.col("r.s"), F.col("r.e") - F.col("r.s") + length), "").alias("piece"))
 
 
 def shared_substrings(items: DataFrame, length: int = 15) -> DataFrame:
-    """(grp, key, id): for items(grp, id, text) the substrings of that length that others of their group hold too; who shares a key is a neighbour."""
-    n = F.length("text") - length + 1
-    grams = items.where(n > 0).select("grp", "id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("text"), i, F.lit(length))))).alias("key"))
-    often = grams.groupBy("grp", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return grams.join(often, ["grp", "key"], "left_semi").select("grp", "key", "id")
+    """(grp, key, id): for items(grp, id, text) the substrings of that length that others of their group hold too; who shares a key is a neighbour.
+
+    Only pieces whose print several items of the group have are cut into their substrings."""
+    pieces = materialized(winnowed(items, length), "pieces")
+    often = pieces.select("grp", "print", "id").distinct().groupBy("grp", "print").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    near = pieces.join(often, ["grp", "print"], "left_semi")
+    places = F.sequence(F.lit(1), F.char_length("piece") - length + 1)
+    keys = near.select("grp", "id", F.explode(F.transform(places, lambda i: F.substring(F.col("piece"), i, F.lit(length)))).alias("key")).distinct()
+    held = keys.groupBy("grp", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return keys.join(held, ["grp", "key"], "left_semi").select("grp", "key", "id")
 
 
 def edge_keys(edges: DataFrame) -> DataFrame:
