@@ -9,13 +9,10 @@ from ..functions import text as x
 from ..storage import materialized
 
 
-def similarity_edges(items: DataFrame, num: int | None, den: int) -> DataFrame:
-    """(grp, a, b, both, either) of pairs of items(grp, id, tokens) in one group with |A & B| / |A | B| >= num / den, a < b.
+def prefixes(items: DataFrame, num: int | None, den: int) -> DataFrame:
+    """(grp, id, num, n, tokens, token) of items(grp, id, tokens): a row for each token of the prefix, and all tokens, rarest first.
 
-    Tokens are ordered by rising frequency; two sets that reach the threshold share one of their first
-    n - ceil(t n) + 1 tokens, so only these are joined. Items without tokens have no edge. Equal ids must not repeat in a group.
-    Without num each group has its own, in a column `num` of the items.
-    """
+    Two sets with |A & B| / |A | B| >= num / den share one of their first n - ceil(n num / den) + 1 tokens in that order."""
     own = F.col("num") if num is None else F.lit(num)
     items = items.select("grp", "id", own.alias("num"), F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
     each = items.select("grp", "id", "num", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -23,7 +20,16 @@ def similarity_edges(items: DataFrame, num: int | None, den: int) -> DataFrame:
     # the row's own number of tokens bounds this group
     ordered = each.join(often, "token").groupBy("grp", "id", "num", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked"))
     keep = F.col("n") - F.ceil(F.col("n") * F.col("num") / den).cast("int") + 1
-    prefix = ordered.select("grp", "id", "num", "n", F.transform("ranked", lambda x: x.token).alias("tokens"), F.explode(F.transform(F.slice("ranked", F.lit(1), keep), lambda x: x.token)).alias("token"))
+    return ordered.select("grp", "id", "num", "n", F.transform("ranked", lambda x: x.token).alias("tokens"), F.explode(F.transform(F.slice("ranked", F.lit(1), keep), lambda x: x.token)).alias("token"))
+
+
+def similarity_edges(items: DataFrame, num: int | None, den: int) -> DataFrame:
+    """(grp, a, b, both, either) of pairs of items(grp, id, tokens) in one group with |A & B| / |A | B| >= num / den, a < b.
+
+    Only sets that share a token of their prefixes are joined. Items without tokens have no edge. Equal ids must not repeat in a group.
+    Without num each group has its own, in a column `num` of the items.
+    """
+    prefix = prefixes(items, num, den)
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))
     length = (F.col("a.n") * den >= F.col("b.n") * F.col("a.num")) & (F.col("b.n") * den >= F.col("a.n") * F.col("a.num"))
@@ -116,12 +122,50 @@ def by_class(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, members
 
 
+#: Rounds in which leaders gather their members before what is left is compared, and pairs for each post that make no further round worth it.
+ROUNDS, PAIRS = 8, 20
+
+
+def gathered(posts: DataFrame, leads: DataFrame, open_: DataFrame, num: int, den: int) -> DataFrame:
+    """(grp, id, place of a leader) of open items that are similar to one of the leads, from posts(grp, id, n, tokens, token, place)."""
+    heads = posts.join(leads, ["grp", "id"], "left_semi").select("grp", "token", F.col("n").alias("hn"), F.col("tokens").alias("head"), F.col("place").alias("lead"))
+    met = posts.join(open_, ["grp", "id"], "left_semi").join(heads, ["grp", "token"]).where((F.col("place") > F.col("lead")) & (F.col("n") * den >= F.col("hn") * num) & (F.col("hn") * den >= F.col("n") * num))
+    both = F.size(F.array_intersect("tokens", "head"))
+    return met.where(both * den >= (F.col("n") + F.col("hn") - both) * num).select("grp", "id", "lead")
+
+
 def leaders_by_tokens(items: DataFrame, num: int, den: int) -> DataFrame:
-    """(grp, id, leader) of items(grp, id, ord, tokens): greedy leaders at that Jaccard similarity."""
+    """(grp, id, leader) of items(grp, id, ord, tokens): greedy leaders at that Jaccard similarity, by the sequential rule of `greedy_leaders_by_keys`.
+
+    Only leaders post their prefixes. In a round an open item leads if it is first among the open ones for every token of
+    its prefix, as no earlier one can be similar to it; the items that are similar to it are closed as members. So a leader of n items that
+    differ in a word costs n rows and not their pairs. After ROUNDS rounds, or once the open items would make few pairs, these are made of the rest only;
+    there a round decides at least every second item of a chain, and `greedy_leaders` works on shared keys. At last each member finds the earliest
+    of its leaders among the posts of leaders."""
     classes, members = by_class(items)
     classes = materialized(classes, "classes")
-    led = greedy_leaders(classes, similarity_edges(classes, num, den)).select("grp", F.col("id").alias("first"), "leader")
-    return members.join(led, ["grp", "first"], "left").select("grp", "id", F.coalesce("leader", "id").alias("leader"))
+    place = classes.select("grp", "id", F.struct("ord", "id").alias("place"))
+    posts = materialized(prefixes(classes, num, den).drop("num").join(place, ["grp", "id"]), "posts")
+    open_, leaders = materialized(place.select("grp", "id"), "open"), None
+    for _ in range(ROUNDS):
+        own = posts.select("grp", "id", "token", "place").join(open_, ["grp", "id"], "left_semi")
+        n = F.col("count").cast("double")
+        size, pairs = own.groupBy("grp", "token").count().agg(F.coalesce(F.sum(n), F.lit(0.0)), F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0))).first()
+        if pairs <= PAIRS * size:
+            break
+        first = own.groupBy("grp", "token").agg(F.min("place").alias("first"))
+        leads = own.join(first, ["grp", "token"]).groupBy("grp", "id").agg(F.bool_and(F.col("place") == F.col("first")).alias("leads")).where("leads").select("grp", "id")
+        leads = materialized(leads, "leads")
+        closed = gathered(posts, leads, open_, num, den).select("grp", "id").distinct()
+        leaders = leads if leaders is None else leaders.union(leads)
+        open_ = materialized(open_.join(leads.union(closed), ["grp", "id"], "left_anti"), "open")
+    rest = classes.join(open_, ["grp", "id"], "left_semi")
+    led = greedy_leaders(rest.select("grp", "id", "ord"), similarity_edges(rest, num, den))
+    last = led.where("id = leader").select("grp", "id")
+    leaders = materialized(last if leaders is None else leaders.union(last), "leaders")
+    follow = classes.select("grp", "id").join(leaders, ["grp", "id"], "left_anti")
+    earliest = gathered(posts, leaders, follow, num, den).groupBy("grp", "id").agg(F.min("lead").alias("lead")).select("grp", F.col("id").alias("first"), F.col("lead.id").alias("leader"))
+    return members.join(earliest, ["grp", "first"], "left").select("grp", "id", F.coalesce("leader", "first").alias("leader"))
 
 
 def link_counts(items: DataFrame, num: int, den: int) -> DataFrame:

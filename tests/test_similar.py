@@ -93,3 +93,51 @@ def test_winnowing_writes_less_than_a_quarter(spark):
     rows = winnowed(spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "grp int, id int, text string")).agg(F.count("*").alias("n"), F.sum(F.length("piece")).alias("chars")).first()
     grams = sum(len(t) - 14 for t in texts)
     assert rows.n < grams / 4 and rows.chars < 15 * grams / 2.5
+
+
+def greedy(rows, num, den):
+    """The sequential rule over (ord, id, tokens)."""
+    heads, leader = [], {}
+    for _, i, t in sorted(rows, key=lambda r: r[:2]):
+        near = [h for h, s in heads if s and t and len(s & t) * den >= len(s | t) * num]
+        leader[i] = near[0] if near else i
+        heads += [] if near else [(i, t)]
+    return leader
+
+
+def test_leaders_in_rounds_like_the_sequential_rule(spark, monkeypatch):
+    from newsloom.operators import similarity
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    for case, (rounds, pairs) in enumerate([(8, 0), (2, 0), (8, 20), (8, 3)]):
+        monkeypatch.setattr(similarity, "ROUNDS", rounds)
+        monkeypatch.setattr(similarity, "PAIRS", pairs)
+        sets = [r.sample(words, r.randrange(0, 7)) for _ in range(150)] + [words[:8] + [f"x{i}"] for i in range(40)]
+        sets += [[f"c{i + k}" for k in range(6)] for i in range(50)]  # a chain: each is similar to the next
+        rows = [(g, i, (i * 37) % 100, t) for g in (0, 1) for i, t in enumerate(sets[g * 20 :])]
+        df = spark.createDataFrame(rows, "grp int, id long, ord long, tokens array<string>")
+        got = {(x.grp, x.id): x.leader for x in similarity.leaders_by_tokens(df, 6, 10).collect()}
+        want = {(g, i): h for g in (0, 1) for i, h in greedy([(o, k, set(t)) for gg, k, o, t in rows if gg == g], 6, 10).items()}
+        assert got == want, case
+
+
+def test_fifty_thousand_titles_that_differ_in_one_word(spark):
+    from newsloom.operators import similarity
+
+    n = 50_000
+    common = [F.lit(w) for w in ("all", "of", "these", "titles", "are", "nearly", "equal")]
+    items = spark.range(n).select(F.lit(0).alias("grp"), "id", F.col("id").alias("ord"), F.array(*common, F.concat(F.lit("n"), F.col("id").cast("string"))).alias("tokens"))
+    made = []
+    whole = similarity.similarity_edges
+
+    def edges(*a):
+        made.append(whole(*a).count())
+        return whole(*a)
+
+    similarity.similarity_edges = edges
+    try:
+        got = similarity.leaders_by_tokens(items, 6, 10).groupBy("leader").count().collect()
+    finally:
+        similarity.similarity_edges = whole
+    assert [(x.leader, x["count"]) for x in got] == [(0, n)] and made == [0]
