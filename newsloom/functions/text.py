@@ -235,9 +235,24 @@ def mentioned(text: Column, names: Iterable[str]) -> Column:
     return F.filter(strings(names), lambda n: text.contains(n))
 
 
+#: A line of a list of articles, and the lines after it up to a blank one.
+PRESS_LIST = r"(?:^|\n)[^\S\n]*[-·•][^\S\n]*[^\n]+[-–][^\S\n]*(?:" + "|".join(rules.LIST_OUTLETS) + r")[^\n]*(?:\n[^\S\n]*[^\s][^\n]*)*"
+#: An element of a list: a line that begins with a hyphen, after any blank lines.
+LISTED = r"\n\s*-\s*[^\n]+"
+
+
 def clean_body(text: Column) -> Column:
-    """Without bylines with addresses, list marks, copyright and advertising tails; blank runs collapsed."""
-    out = F.regexp_replace(text, r"[ \t]+", " ")
-    for pattern in (r"(?m)^.{0,40}(?:기자|특파원)\s*[\w.+-]+@[\w.-]+.*$", r"[\w.+-]+@[\w-]+\.[\w.]+", r"(?m)^[ \t]*[○●◎▶▷►◆◇■□★☆·•※→][ \t]*", r"(?im)^.*(?:무단\s*전재|저작권자|all rights reserved).*$", r"(?m)^\s*(?:AD|광고)\s*$"):
+    """A scraped body without bylines and addresses, lists of articles, sentences of services and tails about rights.
+
+    Two listed lines or more in a row are dropped; from a line that names an outlet at its end on, everything up to a blank line is."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n{3,}", "\n\n"), " {2,}", " ")
+    for pattern in (r"[가-힣]{2,4}\s*기자\s*[\p{L}\p{N}_.]*@[\p{L}\p{N}_.]+", r"[\p{L}\p{N}_.]+@[\p{L}\p{N}_.]+\.[\p{L}\p{N}_.]+", r"(?md)\n[가-힣]{2,4}\s*기자\s*$"):
         out = F.regexp_replace(out, pattern, "")
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    # first all of a run but its last, then the last: no loop over groups, which long lists would nest too deep
+    out = F.regexp_replace(F.regexp_replace(out, f"{LISTED}(?={LISTED})", "\uffff"), f"\uffff+{LISTED}", "")
+    for flags, patterns in (("(?id)", rules.BODY_SERVICE), ("(?imd)", rules.BODY_TAILS)):
+        for pattern in patterns:
+            out = F.regexp_replace(out, flags + pattern, "")
+    out = F.regexp_replace(out, PRESS_LIST, "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s*\n", "")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")

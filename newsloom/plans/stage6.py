@@ -276,10 +276,11 @@ def s09_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ps.alias("ps"), "html").select("page_id", F.size("ps").alias("n_paragraphs"), F.md5(F.array_join("ps", "\n\n")).alias("body_md5"), F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("headline"))
 
 
-_CLEANING = (
-    (r"[ \t]+", " "), (r"(?m)^.{0,40}(?:기자|특파원)\s*[\w.+-]+@[\w.-]+.*$", ""), (r"[\w.+-]+@[\w-]+\.[\w.]+", ""), (r"(?m)^[ \t]*[○●◎▶▷►◆◇■□★☆·•※→][ \t]*", ""),
-    (r"(?im)^.*(?:무단\s*전재|저작권자|all rights reserved).*$", ""), (r"(?m)^\s*(?:AD|광고)\s*$", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
-)
+_CLEANING = [
+    (r"\n{3,}", "\n\n"), (" {2,}", " "), (r"[가-힣]{2,4}\s*기자\s*[\p{L}\p{N}_.]*@[\p{L}\p{N}_.]+", ""), (r"[\p{L}\p{N}_.]+@[\p{L}\p{N}_.]+\.[\p{L}\p{N}_.]+", ""), (r"(?m)\n[가-힣]{2,4}\s*기자\s*$", ""), (r"(?:\n\s*-\s*[^\n]+){2,}", ""),
+    *(("(?i)" + w, "") for w in rules.BODY_SERVICE), *(("(?im)" + w, "") for w in rules.BODY_TAILS),
+]
+_LIST_LINE = "^[-·•]\\s*.+[-–]\\s*(?:" + "|".join(rules.LIST_OUTLETS) + ")"
 
 
 def _clean_sql(text: str) -> str:
@@ -288,9 +289,15 @@ def _clean_sql(text: str) -> str:
     return text
 
 
-@query(f"with {ARTICLES}, c as (select id, {_clean_sql('body')} as t from articles) select id, length(t) as n_chars, md5(t) as text_md5 from c")
+@query(
+    f"""with {ARTICLES}, c as (select id, {_clean_sql('body')} as t from articles), l as (select id, i, string_split(t, chr(10))[i] as line from (select id, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) as i from c)),
+m as (select *, sum((trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = '')::int) over (partition by id order by i) as section, regexp_matches(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '{_LIST_LINE}') as listed from l),
+k as (select *, bool_or(listed) over (partition by id, section order by i) as skip from m), j as (select id, string_agg(line, chr(10) order by i) filter (not skip) as t from k group by id),
+e as (select id, regexp_replace(regexp_replace(regexp_replace(coalesce(t, ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s*\\n', '', 'g'), '^\\s+|\\s+$', '', 'g') as t from j)
+select id, length(t) as n_chars, md5(t) as text_md5 from e"""
+)
 def p16_clean_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies without bylines, addresses, list marks, copyright and advertising lines."""
+    """Bodies without bylines, addresses, lists of articles (up to a blank line), sentences of services and tails about rights."""
     t = articles(spark, sf_dir).select("id", x.clean_body(F.col("body")).alias("t"))
     return t.select("id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
 

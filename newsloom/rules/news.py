@@ -205,3 +205,31 @@ CONNECTED = (
     "한편", "또한", "이어", "특히", "아울러", "이와", "향후", "앞으로", "이에", "반면", "그러나", "하지만", "다만", "그런데", "그래서", "따라서", "결국",
     "이처럼", "이렇게", "이같이", "이로써", "게다가",
 )
+
+# What is cut out of scraped bodies. Sentences of services, whatever their case.
+BODY_SERVICE = (
+    r"전체\s*맥락을\s*이해하기\s*위해서는\s*본문\s*보기를\s*권장합니다\.?",
+    r"본문\s*내용은\s*.*?참조하세요\.?",
+    r"자세한\s*내용은\s*.*?확인하세요\.?",
+    r"인공지능이\s*자동으로\s*줄인.*?기술을\s*사용합니다\.?",
+    r"AI가\s*요약한\s*내용입니다\.?",
+    r"더\s*자세한\s*내용은\s*원문에서\s*확인.*",
+)
+# Tails of lines with related articles, sources and rights, whatever their case.
+BODY_TAILS = (
+    r"\[관련기사\].*$",
+    r"\[ⓒ.*?\]",
+    r"\[출처:\s*[^\]]+\]",
+    r"Copyright\s*©.*$",
+    r"무단\s*전재.*금지.*$",
+    r"ⓒ\s*\d{4}.*$",
+    r"All\s*[Rr]ights\s*[Rr]eserved.*$",
+    r"저작권자\s*\([cC©]\).*$",
+    r"<저작권자.*?(?:>|$)",
+    r"저작권\s*(?:ⓒ|©).*$",
+    r"\(끝\)\s*$",
+    r"▶\s*.*$",
+    r"☞\s*.*$",
+)
+# Outlets that end the lines of a list of articles.
+LIST_OUTLETS = ("아시아경제", "연합뉴스", "한겨레", "조선일보", "중앙일보", "동아일보", "매일경제", "한국경제", "머니투데이", "뉴시스", "뉴스1", "YTN", "MBC", "KBS", "SBS")

@@ -178,7 +178,7 @@ def test_titles_topics_and_connectors(spark):
     assert one(spark, x.clean_title(F.col("t")), t="[논썰] 반도체 '이 기업' 급등 - 연합뉴스") == "반도체 급등"
     assert one(spark, x.split_title_body(F.col("t"), F.lit("d")), t="# Title\nBody\nmore").asDict() == {"title": "Title", "body": "Body\nmore"}
     assert one(spark, x.section_parts(F.col("t")), t="a\n\nb\n\nc\n\nd").asDict() == {"lead": "a", "body": "b\n\nc", "closing": "d"}
-    assert one(spark, x.clean_body(F.col("t")), t="본문이다.\n홍길동 기자 hong@news.kr\n▶ 목록\n무단 전재 금지") == "본문이다.\n\n목록"
+    assert one(spark, x.clean_body(F.col("t")), t="본문이다.\n홍길동 기자 hong@news.kr\n▶ 목록\n무단 전재 금지") == "본문이다."
     assert one(spark, with_connectors(F.col("t")), t="하나. 둘. 셋. 넷. 또한 다섯. 여섯. 일곱.") == "하나. 둘. 한편 셋. 넷. 또한 다섯. 여섯. 또한 일곱."
     news = rows(spark, [article(0, "AI 반도체 투자 확대"), article(1, "고병원성 AI 발생 방역 강화"), article(2, "English title only here"), article(3, "축구 경기 결과", "인공지능")], NEWS).withColumn("topic", F.lit(1))
     assert [r.id for r in relevant_articles(news, "topic", ["AI"]).collect()] == [0]
