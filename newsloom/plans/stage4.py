@@ -164,6 +164,9 @@ def i02_link_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", url.alias("url")).select("page_id", "url", images.image_key(F.col("url")).alias("image_key"), images.watermark(F.col("url")).alias("mark"))
 
 
+#: Entities of Latin text: keywords, brands, and patterns in place of the Korean ones.
+_ENDED = "[A-Z][a-z]*(?:tion|ment|eur|ung)"
+NAMED = {"keywords": ["the", "que"], "brands": ("eaux", "thand"), "names": "[A-Z][a-z]{5,}", "companies": _ENDED, "nouns": "[a-z]{6,}"}
 _PARTS = sorted((w.replace(".", "\\.") for w in rules.IMAGE_WORDS), key=len, reverse=True)
 _NARROW = "try_cast(regexp_extract(low, '[_-](\\d+)x(\\d+)', 1) as int) < {0} or try_cast(regexp_extract(low, '[_-](\\d+)x(\\d+)', 2) as int) < {1}"
 
@@ -192,17 +195,21 @@ def i03_image_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {ARTICLES}, t as (select id // 5 as topic_id, string_agg(title, ' ' order by ord) as titles, string_agg(title || ' ' || body, ' ' order by ord) as text from articles group by 1),
-n as (select topic_id, titles, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{{5,}}'))) as entity from t),
-e as (select topic_id, entity, 5 + case when contains(titles, entity) then 15 else 0 end as points from n union all
-  select topic_id, w, 50 + case when contains(lower(titles), w) then 20 else 0 end from t, (values ('the'), ('que')) k(w) where contains(lower(text), w) union all
-  select topic_id, w, 10 + case when contains(titles, w) then 20 else 0 end from t, (values ('eaux'), ('thand')) k(w) where contains(text, w)),
-s as (select topic_id, entity, sum(points) + count(*) as score from e group by 1, 2 having sum(points) + count(*) >= 2)
-select topic_id, entity, score, place from (select *, row_number() over (partition by topic_id order by score desc, entity) as place from s) where place <= 5"""
+h as (select topic_id, w as entity, 50 + case when contains(lower(titles), w) then 20 else 0 end as points, pos from t, (values ('the', 0), ('que', 1)) k(w, pos) where contains(lower(text), w) union all
+  select topic_id, w, 10 + case when contains(titles, w) then 20 else 0 end, 1000000 + pos from t, (values ('eaux', 0), ('thand', 1)) k(w, pos) where contains(text, w)),
+c as (select topic_id, titles, l[i] as entity, i, list_position(l, l[i]) = i as first from (select topic_id, titles, l, unnest(range(1, len(l) + 1)) as i from (select topic_id, titles, regexp_extract_all(text, '{_ENDED}') as l from t))),
+n as (select topic_id, any_value(titles) as titles, entity, min(i) as i from (select topic_id, titles, l[i] as entity, i from (select topic_id, titles, l, unnest(range(1, len(l) + 1)) as i from (select topic_id, titles, regexp_extract_all(text, '[A-Z][a-z]{{5,}}') as l from t))) group by topic_id, entity),
+e as (select topic_id, entity, points, 1 as listed, pos from h union all
+  select topic_id, entity, 5 + case when contains(titles, entity) then 15 else 0 end, (first and (topic_id, entity) not in (select topic_id, entity from h))::int, 2000000 + i from c union all
+  select topic_id, entity, 5 + case when contains(titles, entity) then 15 else 0 end, 1, 3000000 + i from n where (topic_id, entity) not in (select topic_id, entity from h) and (topic_id, entity) not in (select topic_id, entity from c)),
+s as (select topic_id, entity, sum(points) + sum(listed) as score, row_number() over (partition by topic_id order by sum(points) + sum(listed) desc, min(pos)) as place from e group by 1, 2),
+o as (select topic_id, w as entity, count(*) as score, row_number() over (partition by topic_id order by count(*) desc, min(i)) as n from (select topic_id, l[i] as w, i from (select topic_id, l, unnest(range(1, len(l) + 1)) as i from (select topic_id, regexp_extract_all(text, '[a-z]{{6,}}') as l from t where topic_id not in (select topic_id from e)))) group by 1, 2)
+select topic_id, entity, score, place from (select topic_id, entity, score, place from s where place <= 5 and score >= 2 union all select topic_id, entity, score, row_number() over (partition by topic_id order by n) from o where n <= 5 and score >= 2)"""
 )
 def e04_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best entities of each topic."""
     texts = facts.topic_texts(topic_articles(spark, sf_dir), "topic_id")
-    return facts.entity_scores(texts, "topic_id", ["the", "que"], ("eaux", "thand"), "[A-Z][a-z]{5,}")
+    return facts.entity_scores(texts, "topic_id", **NAMED)
 
 
 @query()

@@ -14,7 +14,7 @@ from ..storage import materialized
 from .registry import SQL, query
 from .stage1 import _LATIN
 from .stage3 import _FEATURES, _PRIMARY, _STRUCT, KEYS, _top, q, scored_topics, topic_articles
-from .stage4 import _URLS, sources
+from .stage4 import NAMED, _URLS, sources
 from .tables import ARTICLES, NEWS, any_of, articles, count_of, news, sql_text, table
 
 _TOP = f"""{_PRIMARY}, b as (select s.id // 5 as topic_id, p.id as primary_id, s.id, s.ord, position, s.s, s.role, s.has_number, round(case when s.id = p.id then least(importance * 1.5, 1.0) when len(matched) > 0 then importance * 0.6 else importance * 0.3 end, 6) as importance
@@ -340,7 +340,7 @@ select topic_id, n_dates, actions, title, lead, body from g"""
 def e09_fact_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, actions, the main topic, and texts made from facts alone."""
     texts = materialized(facts.topic_texts(articles(spark, sf_dir).withColumn("topic_id", F.floor(F.col("id") / 5).cast("long")), "topic_id"), "topic-texts")
-    named = facts.entity_scores(texts, "topic_id", ["the", "que"], ("eaux", "thand"), "[A-Z][a-z]{5,}")
+    named = facts.entity_scores(texts, "topic_id", **NAMED)
     ents = named.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entity"))), lambda e: e.entity).alias("entities"))
     found = facts.numbers(texts, "topic_id", NUMBER_PATTERNS)
     nums = found.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "number", "kind"))), lambda e: F.struct(e.number.alias("number"), e.kind.alias("kind"))).alias("numbers"))

@@ -168,6 +168,9 @@ BRANDS = (
     "삼성", "삼성전자", "LG", "SK", "현대", "현대차", "기아", "네이버", "카카오", "쿠팡", "배달의민족", "토스", "테슬라", "애플", "구글", "메타", "아마존",
     "마이크로소프트", "엔비디아", "비트코인", "이더리움", "도지코인", "리비안", "루시드", "AI", "인공지능",
 )
+#: Endings of company names, and nouns that say nothing of a topic.
+COMPANY = r"[가-힣A-Z][가-힣a-zA-Z0-9]*(?:전자|그룹|엔터|모빌리티|바이오|화학|증권|생명|카드|물산|중공업|자동차|건설|디스플레이|에너지|헬스케어|테크|소프트|시스템)"
+NOUN_STOP = ("이번", "올해", "내년", "기자", "관계자", "시장", "업계", "오늘", "어제", "도어", "손잡이", "조회수", "댓글", "영상")
 ACTIONS = (
     "발표", "달성", "기록", "돌파", "상승", "하락", "증가", "감소", "출시", "공개", "확대", "축소", "투자", "인수", "합병", "협력",
     "개발", "생산", "판매", "수출", "진출", "철수", "중단", "재개",

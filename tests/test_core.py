@@ -300,6 +300,18 @@ def test_facts(spark):
     assert n[0] == ("10조원", "금액") and ("50%", "비율") in n and len({k for _, k in n}) == len(n) <= 3
     e = [x.entity for x in facts.entity_scores(t, "topic", ["실적"]).orderBy("place").collect()]
     assert e[0] == "실적" and "삼성전자" in e
+    assert e == ["실적", "삼성전자", "삼성", "Apple Inc"]
+    texts = [
+        (1, "Tesla 판매", "Tesla 판매 Tesla 공장 Tesla"), (2, "현대자동차 신차", "현대자동차 신차 현대자동차 수출 한국에너지 LG Apple 애플"), (3, "날씨 소식", "날씨 소식 날씨 오늘 오늘 오늘 우산 우산 비"), (4, "", "비"),
+    ]
+    found = {}
+    for x in facts.entity_scores(rows(spark, texts, "topic int, titles string, text string"), "topic", ["tesla", "애플", "Tesla"]).orderBy("topic", "place").collect():
+        found.setdefault(x.topic, []).append((x.entity, x.score))
+    assert found == {
+        1: [("tesla", 71), ("Tesla", 71)],  # a listed name gets no second points
+        2: [("애플", 50 + 10 + 2), ("현대자동차", 5 + 15 + 5 + 15 + 1), ("현대", 10 + 20 + 1), ("LG", 11), ("한국에너지", 6)],
+        3: [("날씨", 2), ("우산", 2)],
+    }
     assert t.select(facts.dates(F.col("text")).alias("d"), facts.actions(F.col("text")).alias("a")).first().asDict() == {"d": ["7월 5일"], "a": ["발표", "돌파", "증가", "출시", "협력"]}
 
 
