@@ -94,6 +94,46 @@ def page_images(pages: DataFrame, r: ImageRules = SCRAPER) -> DataFrame:
     return rows.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+#: A tag with its attributes, which may hold `>` inside quotes.
+TAG = r"""(?i)<{0}\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: name = value, in double, single or no quotes.
+ATTRIBUTE = r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def attributes(tag: Column) -> Column:
+    """The attributes of a tag as (name, value) in order, names in lower case."""
+    pairs = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+    value = lambda p: F.regexp_replace(F.regexp_extract(p, ATTRIBUTE, 2), r"""^["']|["']$""", "")
+    return F.transform(pairs, lambda p: F.struct(F.lower(F.regexp_extract(p, ATTRIBUTE, 1)).alias("name"), value(p).alias("value")))
+
+
+def attribute(parsed: Column, name: str) -> Column:
+    """The first value of a name, empty without one."""
+    return F.coalesce(F.get(F.filter(parsed, lambda a: a["name"] == name), F.lit(0))["value"], F.lit(""))
+
+
+def image_records(pages: DataFrame, r: ImageRules = SCRAPER) -> DataFrame:
+    """(page_id, place, position, url, alt, title, css_class, in_article): records of the images of pages(page_id, url, html) that may belong to the article.
+
+    og:image first, at position -1 (of several the last one first), then img tags in order; each address once; those that the rules refuse are out.
+    Attributes may stand in any order and quoting."""
+    html, base = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    parsed = lambda tag: F.transform(F.regexp_extract_all(html, F.lit(TAG.format(tag)), F.lit(0)), attributes)
+    og = F.filter(parsed("meta"), lambda a: F.lower(attribute(a, "property")) == "og:image")
+    metas = F.transform(og, lambda a, i: F.struct(F.lit(-1).alias("position"), (-i).alias("n"), attribute(a, "content").alias("src"), F.lit("").alias("alt"), F.lit("Open Graph Image").alias("title"), F.lit("og-image").alias("css_class")))
+    tags = F.transform(parsed("img"), lambda a, i: F.struct(F.lit(0).alias("position"), i.alias("n"), *(attribute(a, n).alias(m) for n, m in (("src", "src"), ("alt", "alt"), ("title", "title"), ("class", "css_class")))))
+    rows = pages.select("page_id", base.alias("base"), F.explode(F.concat(metas, tags)).alias("i")).select("page_id", "base", "i.*").where("src <> ''")
+    rows = rows.withColumn("url", image_url(F.col("src"), F.col("base"))).where(verdict(F.col("url"), r) == "valid")
+    # an address that an img tag has stays there, with what the tag says of it
+    once = F.row_number().over(Window.partitionBy("page_id", "url").orderBy(F.desc("position"), "n"))
+    rows = rows.withColumn("_n", once).where("_n = 1").drop("_n")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("position", "n"))
+    rows = rows.withColumn("place", place)
+    metas_of = F.count_if(F.col("position") < 0).over(Window.partitionBy("page_id"))
+    position = F.when(F.col("position") < 0, -1).otherwise(F.col("place") - metas_of - 1).cast("int")
+    return rows.select("page_id", "place", position.alias("position"), "url", "alt", "title", "css_class", F.lit(True).alias("in_article"))
+
+
 def relevance(keywords: Column) -> Column:
     """3 inside the article, 3 for a keyword in alt or title, 1 for an early place (2 without any metadata), 2 for a keyword in the file name."""
     said = F.lower(F.concat_ws(" ", "alt", "title"))

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import registry
+from ..operators import images, registry
+from ..operators import pages as page_blocks
 from ..rules import formats
 from ..sources import feeds, landing
 from ..storage import new_path
 from .registry import query
 from .stage1 import _unescape
+from .stage4 import _verdict_sql
 from .tables import ARTICLES, articles, sql_text, table
 
 #: Pages of a landed feed, of an API response, and runs of a report.
@@ -150,3 +152,55 @@ def s11_nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_path(spark, "groups")
     landing.publish(feeds.nested_groups(n.join(first, "k").select("leader", "id"), n), root)
     return feeds.group_rows(landing.read_published(spark, root))
+
+
+def image_pages(p: DataFrame) -> DataFrame:
+    """Pages of image tags in every quoting and order: two that stay, one without scheme, one without source, a repeated one, one that the rules refuse, and metadata in every third."""
+    k = F.col("page_id")
+    n = lambda m: F.pmod(k, F.lit(m)).cast("string")
+    first = F.concat(F.lit("<IMG alt='A \"q\" "), k.cast("string"), F.lit('\' src="http://img.example/photo-'), n(7), F.lit('_600x400.jpg" class=wide>'))
+    second = F.concat(F.lit('<img title="T > '), k.cast("string"), F.lit('" data-src="http://no.example/x.jpg" src=\'/images/p'), n(3), F.lit(".png' alt=plain>"))
+    third = F.concat(F.lit('<img class="c d" src=//cdn.example/news'), n(5), F.lit(".webp>"))
+    meta = F.when(k % 3 == 0, F.concat(F.lit('<meta content="http://img.example/og'), n(4), F.lit(".jpg\" property='og:image'>"))).otherwise("")
+    html = F.concat(F.lit("<head>"), meta, F.lit("</head><body><p>x</p>"), first, F.lit('<img src="http://x.example/logo.png"><img alt="none">'), second, F.when(k % 2 == 0, first).otherwise(""), third, F.lit("</body>"))
+    return p.select("page_id", "url", html.alias("html"))
+
+
+@query(
+    f"""with p as (select page_id, regexp_extract(url, '^(https?://[^/]+)', 1) as host, regexp_extract(url, '^(https?:)', 1) as scheme, page_id % 3 = 0 as og from pages),
+r as (select page_id, -1 as n, 'http://img.example/og' || (page_id % 4) || '.jpg' as url, '' as alt, 'Open Graph Image' as title, 'og-image' as css_class from p where og
+  union all select page_id, 0, 'http://img.example/photo-' || (page_id % 7) || '_600x400.jpg', 'A "q" ' || page_id, '', 'wide' from p
+  union all select page_id, 1, host || '/images/p' || (page_id % 3) || '.png', 'plain', 'T > ' || page_id, '' from p union all select page_id, 2, scheme || '//cdn.example/news' || (page_id % 5) || '.webp', '', '', 'c d' from p),
+v as (select *, {_verdict_sql("", 100, 100, "when not regexp_matches(low, '[.](jpg|jpeg|png|webp)|image|img|photo') then 'no_image_name'")} as verdict from (select *, lower(url) as low from r))
+select page_id, cast(row_number() over (partition by page_id order by n) as int) as place, cast(case when n < 0 then -1 else row_number() over (partition by page_id, n < 0 order by n) - 1 end as int) as position, url, alt, title, css_class, true as in_article
+from v where verdict = 'valid'"""
+)
+def i02_image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image records of pages: attributes in any order and quoting, og:image first, each address once, without refused ones."""
+    return images.image_records(image_pages(table(spark, sf_dir, "pages")))
+
+
+def _blocks_sql() -> str:
+    out = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g')"
+    for tag in page_blocks.SKIPPED:
+        out = f"regexp_replace({out}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', chr(57344), 'g')"
+    return f"string_split(regexp_replace({out}, '(?i)</?(?:{'|'.join(page_blocks.BLOCKS)})(?:\\s[^>]*)?/?>', chr(57344), 'g'), chr(57344))"
+
+
+_PLAIN_OF = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""with b0 as (select page_id, unnest({_blocks_sql()}) as part, generate_subscripts({_blocks_sql()}, 1) as i from pages),
+b1 as (select page_id, i, {_PLAIN_OF.format(_unescape("regexp_replace(part, '<[^>]*>', '', 'g')"))} as text, {_PLAIN_OF.format(_unescape("regexp_replace(regexp_replace(part, '(?is)<a(?:\\s[^>]*)?>.*?</a\\s*>', '', 'g'), '<[^>]*>', '', 'g')"))} as alone from b0),
+b as (select page_id, row_number() over (partition by page_id order by i) as i, text, 2 * length(alone) - length(text) - {page_blocks.COST} as weight from b1 where text <> ''),
+s as (select *, sum(weight) over w as s, sum(weight) over w - weight as before from b window w as (partition by page_id order by i)), m as (select *, min(before) over (partition by page_id order by i) as least from s),
+e as (select page_id, first(i order by s - least desc, i) as last, first(least order by s - least desc, i) as least, max(s - least) as best from m group by 1 having max(s - least) > 0),
+f as (select e.page_id, last, min(s.i) as first from e join s on s.page_id = e.page_id and s.before = e.least group by 1, 2)
+select p.page_id, count(b.i) as n_blocks, count(b.i) filter (b.i between first and last) as n_run, md5(coalesce(string_agg(text, chr(10) order by b.i) filter (b.i between first and last), '')) as body_md5
+from pages p left join b using (page_id) left join f using (page_id) group by 1"""
+)
+def s09_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of each page: the run of blocks with most text and least links, without navigation, lists of links and scripts."""
+    out = page_blocks.page_bodies(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "n_blocks", "n_run", F.md5("body").alias("body_md5"))

@@ -47,3 +47,45 @@ def test_bodies_are_cleaned_like_the_rule(spark):
     assert got[-1] == ""
     long = spark.createDataFrame([("본문\n" + "\n- 항목 하나" * 20_000,)], "t string")
     assert long.select(clean_body(F.col("t")).alias("c")).first().c == "본문"
+
+
+def test_image_records_of_any_quoting(spark):
+    from newsloom.operators import images
+
+    html = (
+        """<meta name=x content=y><META content='/og1.jpg' property="og:image"><meta property=og:image content=http://h/og2.jpg><meta property="og:image" content="http://h/seen.jpg">"""
+        """<img src=one.jpg alt=A><IMG SRC='/two.png' title="a > b" class='c "d"'><img alt="no source"><img src="http://h/seen.jpg" alt='first' alt='second'><img data-src="http://h/lazy.jpg" src="//cdn/x.webp">"""
+        """<img src="one.jpg" alt=again><img src="http://h/photo-40x40.jpg"><img src="data:image/png;base64,AAAA"><image src="http://h/no.jpg"><img src="http://h/broken.jpg" alt="never closed"""
+    )
+    rows = [(1, "http://h/n/1.html", html), (2, "http://h/", None), (3, None, "<img src='http://h/a.jpg'>"), (4, "http://h/", "<img " + "x" * 200_000 + ' "unclosed' * 3)]
+    got = images.image_records(spark.createDataFrame(rows, "page_id int, url string, html string")).orderBy("page_id", "place").collect()
+    assert [(x.page_id, x.place, x.position, x.url, x.alt, x.title, x.css_class) for x in got] == [
+        (1, 1, -1, "http://h/og2.jpg", "", "Open Graph Image", "og-image"), (1, 2, -1, "http://h/og1.jpg", "", "Open Graph Image", "og-image"), (1, 3, 0, "http://h/n/one.jpg", "A", "", ""),
+        (1, 4, 1, "http://h/two.png", "", "a > b", 'c "d"'), (1, 5, 2, "http://h/seen.jpg", "first", "", ""), (1, 6, 3, "http://cdn/x.webp", "", "", ""), (3, 1, 0, "http://h/a.jpg", "", "", ""),
+    ]
+
+
+def test_page_bodies_leave_navigation_out(spark):
+    from newsloom.operators import pages
+
+    para = lambda n: f"Sentence number {n} of the article says something of some length about its subject."
+    nav = "<ul>" + "".join(f'<li><a href="/{i}">A link to another page number {i}</a></li>' for i in range(12)) + "</ul>"
+    html = f"""<html><head><title>{para(0)}</title></head><body><!-- <p>{para(9)}</p> --><nav><p>{para(8)}</p></nav>{nav}<div class="ad">Buy</div>
+<article><h1>Short</h1><p>{para(1)}</p><P>{para(2)} <a href="x">with a link</a> &amp; more</P><blockquote>quote</blockquote><p>{para(3)}<br/>{para(4)}</p></article>{nav}<p>{para(5)}</p><footer>{para(6)}</footer><script>var p="<p>{para(7)}</p>"</script></body></html>"""
+    rows = [(1, html), (2, None), (3, ""), (4, nav), (5, "plain text without any tag, long enough to be worth something"), (6, "<p>" + "word " * 40_000)]
+    got = {x.page_id: x for x in pages.page_bodies(spark.createDataFrame(rows, "page_id int, html string")).collect()}
+    assert got[1].body == "\n".join([para(1), para(2) + " with a link & more", "quote", para(3), para(4)])
+    assert [got[i].body for i in (2, 3, 4)] == ["", "", ""] and got[4].n_blocks == 12 and got[5].body.startswith("plain") and len(got[6].body) == 199_999
+
+
+def test_the_best_run_like_all_runs(spark):
+    from newsloom.operators import pages
+
+    r = random.Random(2)
+    rows = [(i, [(str(k), r.randrange(-6, 7)) for k in range(r.randrange(0, 12))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, w array<struct<text:string,weight:int>>")
+    for x in df.select("id", pages.best_run(F.col("w")).alias("run")).collect():
+        w = [v for _, v in rows[x.id][1]]
+        runs = [(-sum(w[a:b]), b, a) for b in range(1, len(w) + 1) for a in range(b) if sum(w[a:b]) > 0]
+        _, b, a = min(runs, default=(0, 0, 0))
+        assert [y.text for y in x.run] == [str(k) for k in range(a, b)], w
