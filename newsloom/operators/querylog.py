@@ -132,12 +132,13 @@ def widened(queries: DataFrame, news: DataFrame, days: int = 3, enough: int = 5,
     """(query_id, id, step) of queries(query_id, keywords, date): articles of that day with all keywords; if there are none, those of `days` days around it;
     and if a query of several keywords has fewer than `enough`, also those of the day with any one of them. step tells which of the three found it; the first `most` by ord.
 
-    Queries are a stated set, as the join has no key. One pass over the articles marks what each step finds; counts by query decide which steps hold."""
+    A query is dealt to the days around its own, which are the key of the join. One pass over the articles of those days marks what each step finds; counts by query decide which steps hold."""
     text = F.lower(F.concat_ws(" ", "title", "body"))
     low = F.transform("keywords", lambda k: F.lower(k))
     hits = F.size(F.filter(low, lambda k: F.col("_text").contains(k)))
-    away = F.abs(F.datediff(F.col("published_at"), F.col("date")))
-    rows = news.select("id", "ord", "published_at", text.alias("_text")).join(stated(queries), (away <= days) & (F.size("keywords") > 0)).select("query_id", "id", "ord", F.size("keywords").alias("n"), hits.alias("hits"), away.alias("away"))
+    away = F.abs(F.datediff(F.col("_day"), F.col("date")))
+    dealt = queries.where((F.size("keywords") > 0) & F.col("date").isNotNull()).withColumn("_day", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))))
+    rows = news.select("id", "ord", F.to_date("published_at").alias("_day"), text.alias("_text")).join(small(dealt, 500), "_day").select("query_id", "id", "ord", F.size("keywords").alias("n"), hits.alias("hits"), away.alias("away"))
     rows = rows.where("hits > 0").withColumns({"exact": F.expr("away = 0 and hits = n"), "wide": F.expr("hits = n"), "any": F.expr("away = 0")})
     counts = rows.groupBy("query_id").agg(F.count_if("exact").alias("n_exact"), F.count_if("wide").alias("n_wide"))
     rows = rows.join(small(counts), "query_id")

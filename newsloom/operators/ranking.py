@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..rules import news as rules
-from ..storage import materialized, small, stated
+from ..storage import materialized, small
 from . import scoring
 
 
 def candidates(queries: DataFrame, news: DataFrame) -> DataFrame:
     """Articles in the date range of each query (undated ones pass) that hold no excluded keyword; one row per query and article.
 
-    Queries are a stated set, whose size is checked, as the join has no key."""
+    Queries are dealt to the days of their range that have articles, and to the undated ones, so days are the key of the join; times are compared within it.
+    The queries are broadcast only if they are counted to be small."""
+    ends = news.agg(F.to_date(F.min("published_at")).alias("low"), F.to_date(F.max("published_at")).alias("high")).first()
+    undated = F.lit("0001-01-01").cast("date")
+    days = F.array(undated)
+    if ends.low is not None:
+        start, end = F.greatest(F.to_date("date_from"), F.lit(ends.low)), F.least(F.to_date("date_to"), F.lit(ends.high))
+        days = F.concat(days, F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<date>")))
+    dealt = queries.withColumn("_day", F.explode(days))
     dated = F.col("published_at").isNull() | ((F.col("date_from").isNull() | (F.col("published_at") >= F.col("date_from"))) & (F.col("date_to").isNull() | (F.col("published_at") <= F.col("date_to"))))
     text = F.lower(F.concat_ws(" ", "title", "body"))
     banned = F.coalesce("exclude_keywords", F.array().cast("array<string>"))
     clean = (F.size(banned) == 0) | ~x.let(text, lambda t: F.exists(banned, lambda k: t.contains(F.lower(k))))
-    return news.join(stated(queries), dated & clean)
+    return news.withColumn("_day", F.coalesce(F.to_date("published_at"), undated)).join(small(dealt, 500), "_day").where(dated & clean).drop("_day")
 
 
 def final_score(preset: Column) -> Column:
@@ -90,8 +98,10 @@ def rank(queries: DataFrame, news: DataFrame, as_of: Column, r: rules.Rules = ru
     crossed = materialized(crossed, "scored-articles")
     rows = candidates(queries.join(small(scoring.expanded_terms(queries, r)), "query_id", "left"), crossed)
     relevance = F.when(F.coalesce(F.size("keywords"), F.lit(0)) > 0, scoring.keyword_relevance()).otherwise(scoring.plain_relevance())
-    rows = scoring.with_popularity(rows, ["query_id"], as_of).withColumn("relevance_score", relevance)
-    return ranked(materialized(policy(rows.withColumn("final_score", final_score(F.col("preset")))).drop("body"), "scored-candidates"))
+    # what needs the text is computed once, and candidates are written without it
+    rows = materialized(rows.withColumn("relevance_score", relevance).drop("body", "terms"), "candidates")
+    rows = scoring.with_popularity(rows, ["query_id"], as_of)
+    return ranked(materialized(policy(rows.withColumn("final_score", final_score(F.col("preset")))), "scored-candidates"))
 
 
 def best_source(news: DataFrame, topic: str, keywords: list[str], newsworthy: tuple[str, ...] = rules.NEWSWORTHY_TITLES) -> DataFrame:
