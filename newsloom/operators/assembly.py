@@ -85,6 +85,13 @@ def cards(topics: DataFrame, least: int = 5, most: int = 10, size: int = 200) ->
     return topics.withColumn("cards", F.when(F.size("s") > 0, picked))
 
 
+def fallback_cards(title: Column, body: Column, most: int = 5) -> Column:
+    """Cards (title, body) of one article where its topic gives none: its title, then its first sentences of more than twenty characters, cut at 150."""
+    said = F.filter(F.transform(F.split(body, r"[.!?]\s*"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 20)
+    points = F.transform(F.slice(said, 1, most - 1), lambda s, i: F.struct(F.concat(F.lit("Point "), (i + 1).cast("string")).alias("title"), F.substring(s, 1, 150).alias("body")))
+    return F.concat(F.array(F.struct(F.substring(title, 1, 30).alias("title"), title.alias("body"))), points)
+
+
 def social_post(topics: DataFrame) -> DataFrame:
     words = F.slice(F.array_distinct(F.flatten(F.transform("s", lambda e: e.matched))), 1, 5)
     return topics.withColumns(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import small
+
 #: Points that an issue costs.
 PENALTY = {"CRITICAL": 30, "HIGH": 15, "MEDIUM": 5, "LOW": 2}
 
@@ -38,6 +40,55 @@ def search_checks(results: DataFrame) -> DataFrame:
     return out.withColumn("passed", (F.col("score") >= 50) & ~F.exists("issues", lambda i: i.severity == "CRITICAL"))
 
 
+def validated(tests: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per search test of tests(query_id, preset, limit, date, raw_count, terms): metrics of its results, issues (severity, check), score and passed.
+
+    results(query_id, group_key, rank_position, final_score, title, body, source_name, published_at, popularity_score, credibility_score, url). terms are
+    the lower-cased words of the query with their synonyms. A test without results fails with the score 0; points are taken off by severity, and some given for good
+    scores, relevance and diversity."""
+    held = results.join(small(tests.select("query_id", "date", "terms")), "query_id")
+    order = Window.partitionBy("query_id", "group_key").orderBy("rank_position")
+    text = F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(" "), F.lower(F.coalesce("body", F.lit(""))))
+    days = F.floor((F.unix_micros("published_at") - F.unix_micros("date")) / 86_400_000_000)
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    held = held.withColumns({"_rises": F.coalesce(F.lead("final_score").over(order) > F.col("final_score"), F.lit(False)), "_hit": F.exists("terms", lambda t: text.contains(t)), "_near": F.coalesce(F.abs(days) <= 3, F.lit(False))})
+    ratio = lambda c: F.round(c / F.count("*"), 2)
+    m = held.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.round(F.avg("final_score"), 1).alias("avg_score"), F.round(F.min("final_score"), 1).alias("min_score"), F.round(F.max("final_score"), 1).alias("max_score"),
+        F.round(F.max("final_score") - F.min("final_score"), 1).alias("score_range"), ratio(F.count_if("_hit")).alias("relevance_ratio"), F.countDistinct(F.coalesce("source_name", F.lit(""))).alias("unique_sources"),
+        ratio(F.countDistinct(F.coalesce("source_name", F.lit("")))).alias("diversity_ratio"), ratio(F.count_if("_near")).alias("date_match_ratio"), F.avg("popularity_score").alias("_popularity"),
+        F.avg("credibility_score").alias("_credibility"), F.count_if(empty("title") | empty("body")).alias("_empty"), F.count_if(empty("url")).alias("_unlinked"), F.count_if("_rises").alias("_rises"),
+    )
+    rows = tests.join(m, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    some, latest = F.col("n") > 0, F.col("preset") == "latest"
+    low, middle = F.when(latest, 20).otherwise(30), F.when(latest, 35).otherwise(50)
+    issue = lambda cond, severity, check: F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check")))
+    issues = F.array_compact(
+        F.array(
+            issue(F.col("raw_count") == 0, "CRITICAL", "collection_empty"), issue((F.col("raw_count") > 0) & ~some, "HIGH", "pipeline_empty"),
+            issue(some & (F.col("n") < F.col("limit")) & (F.col("raw_count") >= F.col("limit")), "MEDIUM", "insufficient_results"), issue(F.col("avg_score") < low, "HIGH", "low_avg_score"),
+            issue((F.col("avg_score") >= low) & (F.col("avg_score") < middle), "MEDIUM", "mediocre_avg_score"), issue((F.col("relevance_ratio") < 0.3) & (F.size("terms") > 0), "HIGH", "low_relevance"),
+            issue((F.col("n") >= 3) & (F.col("unique_sources") == 1), "MEDIUM", "no_diversity"), issue(F.col("date_match_ratio") < 0.5, "MEDIUM", "date_mismatch"),
+            issue((F.col("preset") == "trending") & (F.col("_popularity") < 0.1), "LOW", "low_trending_popularity"), issue((F.col("preset") == "credible") & (F.col("_credibility") < 0.5), "MEDIUM", "low_credibility_in_credible_preset"),
+            issue(F.col("_empty") > 0, "HIGH", "empty_content"), issue(F.col("_unlinked") > 0, "LOW", "missing_url"), issue(~latest & (F.col("_rises") > 0), "CRITICAL", "score_ordering"),
+        )
+    )
+    points = F.create_map(*(F.lit(v) for pair in PENALTY.items() for v in pair))
+    score = F.greatest(F.lit(0), 100 - F.aggregate("issues", F.lit(0), lambda a, i: a + points[i.severity]))
+    for good, more in ((F.col("avg_score") >= 60, 10), (F.col("relevance_ratio") >= 0.5, 5), (F.col("diversity_ratio") >= 0.5, 5)):
+        score = F.least(F.lit(100), score + F.when(good, more).otherwise(0))
+    out = rows.withColumn("issues", issues).withColumn("score", F.when(some, score).otherwise(0))
+    out = out.withColumn("passed", some & (F.col("score") >= 50) & ~F.exists("issues", lambda i: i.severity == "CRITICAL"))
+    return out.select("query_id", "preset", *(c for c in m.columns if c[0] != "_" and c != "query_id"), "issues", "score", "passed")
+
+
+def issue_counts(tests: DataFrame) -> DataFrame:
+    """(by, issue, n) of tests(issues of severity and check): how often each check failed, and each with its severity."""
+    each = tests.select(F.explode("issues").alias("i"))
+    named = F.explode(F.array(F.struct(F.lit("check").alias("by"), F.col("i.check").alias("issue")), F.struct(F.lit("severity").alias("by"), F.concat_ws(":", "i.severity", "i.check").alias("issue")))).alias("k")
+    return each.select(named).groupBy("k.by", "k.issue").agg(F.count("*").alias("n"))
+
+
 def issue_histogram(runs: DataFrame, most: int = 20) -> DataFrame:
     """Issues by name before the colon, the most frequent; equal counts by name."""
     each = runs.select(F.explode("issues").alias("issue")).groupBy(F.element_at(F.split("issue", ":"), 1).alias("issue")).agg(F.count("*").alias("n"))

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import images, registry
+from ..operators import assembly, images, qa, ranking, registry, scoring
 from ..operators import pages as page_blocks
 from ..rules import formats
 from ..sources import feeds, landing
 from ..storage import new_path
 from .registry import query
-from .stage1 import _unescape
+from .stage1 import _LATIN, RANKED, _unescape
+from .stage3 import _TITLES
 from .stage4 import _verdict_sql
-from .tables import ARTICLES, articles, sql_text, table
+from .tables import ARTICLES, AS_OF, articles, as_of, news, query_table, sql_text, table
 
 #: Pages of a landed feed, of an API response, and runs of a report.
 FEED, RESPONSE, REPORT = 20, 10, 50
@@ -204,3 +205,66 @@ def s09_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of each page: the run of blocks with most text and least links, without navigation, lists of links and scripts."""
     out = page_blocks.page_bodies(table(spark, sf_dir, "pages"))
     return out.select("page_id", "n_blocks", "n_run", F.md5("body").alias("body_md5"))
+
+
+#: The rankings of the stated queries as search tests, with every fiftieth article lacking its address.
+_TESTS = f"""{RANKED}, t as (select query_id, preset, lim, keywords, coalesce(date_from, timestamp '{AS_OF}') as target, (select count(*) from news) as raw from queries),
+rr as (select r.*, t.target, coalesce(lead(final_score) over (partition by r.query_id, group_key order by rank_position) > final_score, false) as rises,
+  len(list_filter(flatten(terms), lambda w: contains(lower(title) || ' ' || lower(body), w))) > 0 as hit, coalesce(abs(floor((epoch_us(published_at) - epoch_us(t.target)) / 86400000000)) <= 3, false) as near from ranked r join t using (query_id) where rank_position > off and rank_position <= off + r.lim),
+mm as (select query_id, count(*) as n, round(avg(final_score), 1) as avg_score, round(min(final_score), 1) as min_score, round(max(final_score), 1) as max_score, round(max(final_score) - min(final_score), 1) as score_range, round(count(*) filter (hit) / count(*), 2) as relevance_ratio,
+  count(distinct coalesce(source_name, '')) as unique_sources, round(count(distinct coalesce(source_name, '')) / count(*), 2) as diversity_ratio, round(count(*) filter (near) / count(*), 2) as date_match_ratio, avg(popularity_score) as pop, avg(credibility_score) as cred,
+  count(*) filter (title = '' or body = '') as empty_, count(*) filter (id % 50 = 0) as unlinked, count(*) filter (rises) as rises from rr group by 1),
+ii as (select t.query_id, preset, coalesce(n, 0) as n, mm.* exclude (query_id, n), list_filter([case when raw = 0 then 'CRITICAL:collection_empty' end, case when raw > 0 and n is null then 'HIGH:pipeline_empty' end, case when n < lim and raw >= lim then 'MEDIUM:insufficient_results' end,
+  case when avg_score < case when preset = 'latest' then 20 else 30 end then 'HIGH:low_avg_score' when avg_score < case when preset = 'latest' then 35 else 50 end then 'MEDIUM:mediocre_avg_score' end, case when relevance_ratio < 0.3 and len(keywords) > 0 then 'HIGH:low_relevance' end,
+  case when n >= 3 and unique_sources = 1 then 'MEDIUM:no_diversity' end, case when date_match_ratio < 0.5 then 'MEDIUM:date_mismatch' end, case when preset = 'trending' and pop < 0.1 then 'LOW:low_trending_popularity' end, case when preset = 'credible' and cred < 0.5 then 'MEDIUM:low_credibility_in_credible_preset' end,
+  case when empty_ > 0 then 'HIGH:empty_content' end, case when unlinked > 0 then 'LOW:missing_url' end, case when preset <> 'latest' and rises > 0 then 'CRITICAL:score_ordering' end], lambda v: v is not null) as issues from t left join mm using (query_id)),
+ss as (select *, greatest(0, 100 - coalesce(list_sum(list_transform(issues, lambda v: case split_part(v, ':', 1) when 'CRITICAL' then 30 when 'HIGH' then 15 when 'MEDIUM' then 5 else 2 end)), 0)) as s0 from ii),
+s3 as (select *, case when n = 0 then 0 else least(100, least(100, least(100, s0 + case when avg_score >= 60 then 10 else 0 end) + case when relevance_ratio >= 0.5 then 5 else 0 end) + case when diversity_ratio >= 0.5 then 5 else 0 end) end as score from ss),
+tests as (select query_id, preset, n, avg_score, min_score, max_score, score_range, relevance_ratio, unique_sources, diversity_ratio, date_match_ratio, issues, cast(score as int) as score,
+  n > 0 and score >= 50 and len(list_filter(issues, lambda v: starts_with(v, 'CRITICAL'))) = 0 as passed from s3)"""
+
+
+def search_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries as tests of the ranking, checked."""
+    q, n = query_table(spark), news(spark, sf_dir)
+    ranked = ranking.rank(q, n, as_of(), _LATIN)
+    results = ranked.join(n.select("id", "body"), "id").withColumn("url", F.when(F.col("id") % 50 != 0, F.concat(F.lit("http://news.example/"), F.col("id").cast("string"))))
+    raw = table(spark, sf_dir, "documents").count()
+    terms = scoring.expanded_terms(q, _LATIN).select("query_id", F.array_distinct(F.flatten("terms")).alias("terms"))
+    tests = q.join(terms, "query_id", "left").select("query_id", "preset", "limit", F.coalesce("date_from", as_of()).alias("date"), F.lit(raw).alias("raw_count"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    return qa.validated(tests, results)
+
+
+@query(f"with {_TESTS} select * replace (array_to_string(issues, ',') as issues) from tests")
+def v01_search_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten checks of each query's results: collection, number, scores, relevance with synonyms, sources, dates, preset, content, addresses, order."""
+    return search_tests(spark, sf_dir).withColumn("issues", F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i.severity, i["check"])), ","))
+
+
+@query(f"""with {_TESTS}, i as (select unnest(issues) as v from tests) select 'check' as by, split_part(v, ':', 2) as issue, count(*) as n from i group by 2 union all select 'severity', v, count(*) from i group by 2""")
+def a07_search_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of search tests by check, and by severity and check."""
+    return qa.issue_counts(search_tests(spark, sf_dir))
+
+
+@query(
+    f"""with {_TESTS}, g as (select preset, grouping(preset) as "all", count(*) as total, count(*) filter (passed) as passed, count(*) filter (not passed) as failed, 0 as errors, round(count(*) filter (passed) / count(*) * 100, 1) as pass_rate, round(avg(score), 1) as mean_score from tests group by rollup (preset)),
+i as (select preset, issue, grouping(preset) as "all", count(*) as n from (select preset, split_part(unnest(issues), ':', 2) as issue from tests) group by grouping sets ((preset, issue), (issue))),
+k as (select * from (select *, row_number() over (partition by "all", preset order by n desc, issue) as k from i) where k <= 10)
+select g.*, coalesce((select string_agg(issue || ':' || n, ',' order by k) from k where k."all" = g."all" and k.preset is not distinct from g.preset), '') as issues from g"""
+)
+def v02_search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over a batch of search tests, by preset and in all."""
+    tests = search_tests(spark, sf_dir).withColumns({"issues": F.transform("issues", lambda i: i["check"]), "error": F.lit(False)})
+    return qa.batch_report(tests, "preset")
+
+
+@query(
+    f"""with {ARTICLES}, t as (select id, trim(regexp_replace({_TITLES}, '\\s{{2,}}', ' ', 'g')) as title, list_filter(list_transform(string_split_regex(body, '[.!?]\\s*'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 20)[1:4] as said from articles)
+select id, len(said) + 1 as n_cards, left(title, 30) as first_title, md5(array_to_string(list_concat([title], list_transform(said, lambda s: left(s, 150))), chr(10))) as bodies_md5 from t"""
+)
+def m07_fallback_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of each article from its title and first sentences."""
+    cards = assembly.fallback_cards(x.clean_title(F.col("title")), F.col("body"))
+    t = articles(spark, sf_dir).select("id", cards.alias("cards"))
+    return t.select("id", F.size("cards").alias("n_cards"), F.get("cards", F.lit(0))["title"].alias("first_title"), F.md5(F.array_join(F.transform("cards", lambda c: c.body), "\n")).alias("bodies_md5"))

@@ -326,6 +326,27 @@ def test_run_reports(spark):
     assert {x.k: x.v_change for x in change.collect()} == {"a": 2.0, "b": 2.0}
 
 
+def test_search_tests_are_checked(spark):
+    from newsloom.operators import qa
+
+    day = dt.datetime(2026, 1, 10)
+    tests = rows(spark, [(1, "quality", 2, day, 9, ["ai"]), (2, "latest", 5, day, 9, ["ai"]), (3, "trending", 3, day, 3, ["x"]), (4, "quality", 5, day, 0, ["x"]), (5, "quality", 5, day, 7, ["x"]), (6, "credible", 1, day, 1, [])], "query_id int, preset string, limit int, date timestamp, raw_count int, terms array<string>")
+    found = [(1, "", k + 1, 80.0 - k, "AI " + "t" * k, "b", f"s{k}", day, 0.5, 0.9, "u") for k in range(3)]
+    found += [(2, "", 1, 30.0, "no", "b", "s", day + dt.timedelta(days=4), 0.5, 0.9, "u"), (2, "", 2, 25.0, "no", "b", "s", None, 0.5, 0.9, None), (2, "", 3, 26.0, "no", "", "s", day, 0.5, 0.9, "u")]
+    found += [(3, "", 1, 40.0, "x", "b", "s", day, 0.0, 0.9, "u"), (3, "", 2, 41.0, "x", "b", "r", day - dt.timedelta(days=3), 0.1, 0.9, "u"), (3, "", 3, 2.0, "x", "b", None, day + dt.timedelta(days=3, hours=5), 0.1, 0.9, "u"), (6, "", 1, 55.0, "q", "b", "s", day, 0.0, 0.4, "u")]
+    schema = "query_id int, group_key string, rank_position int, final_score double, title string, body string, source_name string, published_at timestamp, popularity_score double, credibility_score double, url string"
+    out = qa.validated(tests, rows(spark, found, schema))
+    got = {x.query_id: ({f"{i.severity}:{i.check}" for i in x.issues}, x.score, x.passed, x.avg_score, x.relevance_ratio, x.date_match_ratio) for x in out.collect()}
+    assert got[1] == (set(), 100, True, 79.0, 1.0, 1.0)
+    # 100 - 5 (too few) - 5 (27 of 35) - 15 (relevance) - 5 (one source) - 5 (dates) - 15 (an empty body) - 2 (no address); order does not count for latest
+    assert got[2] == ({"MEDIUM:insufficient_results", "MEDIUM:mediocre_avg_score", "HIGH:low_relevance", "MEDIUM:no_diversity", "MEDIUM:date_mismatch", "HIGH:empty_content", "LOW:missing_url"}, 48, False, 27.0, 0.0, 0.33)
+    assert got[3][0] == {"HIGH:low_avg_score", "LOW:low_trending_popularity", "CRITICAL:score_ordering"} - ({"HIGH:low_avg_score"} if got[3][3] >= 30 else set()) and not got[3][2] and got[3][5] == 1.0
+    assert got[4] == ({"CRITICAL:collection_empty"}, 0, False, None, None, None) and got[5] == ({"HIGH:pipeline_empty"}, 0, False, None, None, None)
+    assert got[6] == ({"MEDIUM:low_credibility_in_credible_preset"}, 100, True, 55.0, 0.0, 1.0)
+    counts = {(x.by, x.issue): x.n for x in qa.issue_counts(out).collect()}
+    assert counts["check", "score_ordering"] == counts["severity", "CRITICAL:score_ordering"] == 1 and len(counts) == 2 * len({k for _, k in counts if ":" not in k})
+
+
 # streams -------------------------------------------------------------------------------------------
 def test_streams(spark, tmp_path):
     from newsloom.streaming import jobs
@@ -402,3 +423,20 @@ def test_health_stream_needs_no_order(spark, tmp_path, monkeypatch):
         assert {tuple(x) for x in t03_health_stream(spark, str(tmp_path)).collect()} == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_queries_meet_articles_without_nested_loops(spark):
+    from newsloom.operators import querylog, ranking
+
+    at = lambda d: dt.datetime(2026, 1, d, 12)
+    news = rows(spark, [(i, i, f"title {i}", "body ai", None if i == 7 else at(i % 5 + 1)) for i in range(12)], "id int, ord int, title string, body string, published_at timestamp")
+    q = rows(spark, [(1, at(2), at(3), []), (2, None, at(1), ["TITLE 5"]), (3, at(4), None, None), (4, at(9), None, []), (5, at(3), at(2), []), (6, None, None, [])], "query_id int, date_from timestamp, date_to timestamp, exclude_keywords array<string>")
+    out = ranking.candidates(q, news)
+    got = {(x.query_id, x.id) for x in out.collect()}
+    days = {1: {2, 3}, 2: {1}, 3: {4, 5}, 4: set(), 5: set(), 6: {1, 2, 3, 4, 5}}
+    assert got == {(k, i) for k, d in days.items() for i in range(12) if (i == 7 or i % 5 + 1 in d) and not (k == 2 and i == 5)}
+    wanted = rows(spark, [(1, ["ai", "Title 3"], dt.date(2026, 1, 4)), (2, ["title 3"], dt.date(2026, 1, 7)), (3, ["ai"], None), (4, [], dt.date(2026, 1, 1))], "query_id int, keywords array<string>, date date")
+    wide = querylog.widened(wanted, news)
+    assert {(x.query_id, x.id, x.step) for x in wide.collect()} == {(1, 3, 1), (1, 8, 3), (2, 3, 2)}
+    for df in (out, wide):
+        assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()

@@ -223,6 +223,16 @@ def test_raw_records_and_page_images(spark):
     assert {x.url: x.fits for x in df.select("url", images.fits_page(F.col("url")).alias("fits")).collect()} == urls
 
 
+def test_fallback_cards(spark):
+    from newsloom.operators import assembly
+
+    body = "짧다. " + "가" * 21 + "! 둘째 문장은 이십 자를 넘는 긴 문장이라고 한다? " + "라" * 200 + ". " + "마" * 30 + ". " + "바" * 30
+    df = frame(spark, [("제" * 40, body), ("t", ""), ("t", "x" * 21)], "title string, body string").select(assembly.fallback_cards(F.col("title"), F.col("body")).alias("c"))
+    got = [[(c.title, c.body) for c in x.c] for x in df.collect()]
+    assert got[0] == [("제" * 30, "제" * 40), ("Point 1", "가" * 21), ("Point 2", "둘째 문장은 이십 자를 넘는 긴 문장이라고 한다"), ("Point 3", "라" * 150), ("Point 4", "마" * 30)]
+    assert got[1:] == [[("t", "t")], [("t", "t"), ("Point 1", "x" * 21)]]
+
+
 def test_intermediate_tables_are_swept(spark):
     import os
 
