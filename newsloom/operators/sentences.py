@@ -107,10 +107,24 @@ def merge_bodies(groups: DataFrame, news: DataFrame, target: int = 500) -> DataF
     return kept.groupBy(F.col("grp").alias("leader")).agg(joined.alias("merged"))
 
 
+#: Articles of a topic up to which each is compared with all others.
+FEW = 200
+
+
 def coverage(news: DataFrame, topic: str) -> DataFrame:
-    """(topic, id, coverage): one and the number of other articles of the topic with a title similarity of a fifth (case matters)."""
-    items = news.select(F.col(topic).alias("grp"), "id", "ord", x.words(F.col("title")).alias("tokens"))
-    return link_counts(items, 1, 5).select(F.col("grp").alias(topic), "id", (1 + F.col("links")).alias("coverage"))
+    """(topic, id, coverage): one and the number of other articles of the topic with a title similarity of a fifth (case matters).
+
+    The topic is the key of the join; topics of more than FEW articles are joined by prefixes of their titles, where copies make no pairs."""
+    items = materialized(news.select(F.col(topic).alias("grp"), "id", "ord", F.array_distinct(x.words(F.col("title"))).alias("tokens")), "topic-titles")
+    sizes = items.groupBy("grp").agg(F.count("*").alias("n"))
+    a, b = items.alias("a"), items.select("grp", "id", "tokens").join(sizes.where(F.col("n") <= FEW), "grp").alias("b")
+    both = F.size(F.array_intersect("a.tokens", "b.tokens"))
+    alike = (both > 0) & (both * 5 >= F.size("a.tokens") + F.size("b.tokens") - both)
+    near = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.id") != F.col("b.id"))).where(alike).groupBy(F.col("a.grp").alias("grp"), F.col("a.id").alias("id")).agg(F.count("*").alias("links"))
+    large = sizes.where(F.col("n") > FEW).select("grp")
+    if not large.isEmpty():
+        near = near.union(link_counts(items.join(large, "grp", "left_semi"), 1, 5).select("grp", "id", "links"))
+    return items.join(near, ["grp", "id"], "left").select(F.col("grp").alias(topic), "id", (1 + F.coalesce("links", F.lit(0))).alias("coverage"))
 
 
 def primary_articles(rows: DataFrame, news: DataFrame, topic: str, r: Rules = rules.KOREAN) -> DataFrame:

@@ -141,3 +141,19 @@ def test_fifty_thousand_titles_that_differ_in_one_word(spark):
     finally:
         similarity.similarity_edges = whole
     assert [(x.leader, x["count"]) for x in got] == [(0, n)] and made == [0]
+
+
+def test_coverage_of_small_and_large_topics(spark, monkeypatch):
+    from newsloom.operators import sentences
+
+    r = random.Random(12)
+    rows = [(i, i % 4 if i % 7 else 9, i, " ".join(r.choice("ABCDEFGHIJKLM") for _ in range(r.randrange(0, 7)))) for i in range(120)] + [(200, None, 1, "A B"), (201, 3, 1, None)]
+    df = spark.createDataFrame(rows, "id long, topic long, ord long, title string")
+    want = {}
+    for i, g, _, t in rows:
+        own = set((t or "").split())
+        near = [set((u or "").split()) for j, h, _, u in rows if j != i and h == g and g is not None]
+        want[i] = 1 + sum(bool(own & o) and 5 * len(own & o) >= len(own | o) for o in near)
+    for few in (200, 20, 0):
+        monkeypatch.setattr(sentences, "FEW", few)
+        assert {x.id: x.coverage for x in sentences.coverage(df, "topic").collect()} == want
