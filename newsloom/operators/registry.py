@@ -77,7 +77,8 @@ def over_limit(log: DataFrame, limits: DataFrame) -> DataFrame:
     Limits have a row for each source, so they join by its id, and are broadcast only where they are small."""
     out = None
     for unit, name in (("minute", "per_minute"), ("hour", "per_hour"), ("day", "per_day")):
-        part = usage(log, unit).join(limits.select("source_id", F.col(name).alias("allowed")), "source_id").where("requests > allowed").withColumn("unit", F.lit(unit))
+        allowed = limits.select(F.col("source_id").alias("_source"), F.col(name).alias("allowed"))
+        part = usage(log, unit).join(allowed, F.col("source_id").eqNullSafe(F.col("_source"))).drop("_source").where("requests > allowed").withColumn("unit", F.lit(unit))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -440,3 +440,12 @@ def test_queries_meet_articles_without_nested_loops(spark):
     assert {(x.query_id, x.id, x.step) for x in wide.collect()} == {(1, 3, 1), (1, 8, 3), (2, 3, 2)}
     for df in (out, wide):
         assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
+
+
+def test_over_limit_counts_every_request(spark, tmp_path):
+    from newsloom.plans.stage4 import t04_over_limit
+
+    t0 = dt.datetime(2026, 1, 1)
+    log = [(7, t0, "signup", 3), (7, t0 + dt.timedelta(minutes=1), "click", 4), (10, t0, "signup", 6), (10, t0 + dt.timedelta(minutes=2), "signup", 9), (None, t0, "click", 1), (None, t0, "error", 2), (8, t0, "click", 5)]
+    rows(spark, log, "user_id long, ts timestamp, event_type string, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    assert {tuple(x) for x in t04_over_limit(spark, str(tmp_path)).collect()} == {(s, t0, 2, "hour") for s in (7, 10, None)}
