@@ -157,3 +157,30 @@ def test_coverage_of_small_and_large_topics(spark, monkeypatch):
     for few in (200, 20, 0):
         monkeypatch.setattr(sentences, "FEW", few)
         assert {x.id: x.coverage for x in sentences.coverage(df, "topic").collect()} == want
+
+
+def test_edges_meet_by_numbers_and_come_once(spark):
+    """Tokens are longs, those that no other set holds post nothing, and what is held of places and sketches loses no pair; no distinct is needed."""
+    import random
+
+    from newsloom.operators.similarity import prefixes, similarity_edges
+
+    r = random.Random(5)
+    sets = [[r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 9))] + [f"lone{i}"] * (i % 3 == 0) for i in range(90)]
+    base = [f"w{k}" for k in range(300)]
+    sets += [base[: 300 - 20 * k] + [f"x{k}"] for k in range(8)]
+    df = spark.createDataFrame([(0, i, s) for i, s in enumerate(sets)], "grp int, id long, tokens array<string>")
+    posts = prefixes(df, 5, 10)
+    assert dict(posts.dtypes)["tokens"] == "array<bigint>" and dict(posts.dtypes)["token"] == "bigint"
+    lone = [i for i, s in enumerate(sets) if set(s) and all(sum(t in o for o in sets) == 1 for t in set(s))]
+    assert not posts.where(F.col("id").isin(lone)).count()
+    for num, den in ((1, 4), (4, 10), (6, 10), (9, 10)):
+        edges = similarity_edges(df, num, den)
+        got = sorted((e.a, e.b, e.both, e.either) for e in edges.collect())
+        u = [set(s) for s in sets]
+        want = [(a, b, len(u[a] & u[b]), len(u[a] | u[b])) for a in range(len(u)) for b in range(a + 1, len(u)) if u[a] and u[b] and len(u[a] & u[b]) * den >= len(u[a] | u[b]) * num]
+        assert got == want and got
+        assert "Aggregate" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    many = [str(k) for k in range(3000)]  # a size times a threshold in millionths is no int
+    df = spark.createDataFrame([(0, 1, many), (0, 2, many[100:])], "grp int, id long, tokens array<string>")
+    assert [(e.both, e.either) for e in similarity_edges(df, 900_000, 1_000_000).collect()] == [(2900, 3000)]
