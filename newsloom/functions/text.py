@@ -54,6 +54,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def sketch(tokens: Column, longs: int) -> list[Column]:
+    """The tokens as bits of that many longs: a bit that two sets do not share stands for a token that they do not share."""
+    at = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(64 * longs)).cast("int"))
+    bit = lambda i, k: F.when(F.floor(i / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)).otherwise(F.lit(0).cast("long"))
+    word = lambda k: F.aggregate(at, F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(bit(i, k)))
+    return [word(k) for k in range(longs)]
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if either is empty."""
     both, all_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

@@ -17,19 +17,18 @@ def quotes(text: Column) -> Column:
 def quote_matches(generated: DataFrame, sources: DataFrame, topic: str, least: float = 0.7) -> DataFrame:
     """(topic, quote, id): quotes of generated(topic, quotes) that equal a quote of sources(topic, id, quotes) or hold that share of its words; case does not count.
 
-    Who holds that share of n words holds one of any n - ceil(least * n) + 1 of them: sentences meet by the rarest ones of their topic."""
+    The topic is the key of the join, so each quote and sentence is written once, with a sketch of its words: a bit that only the sentence
+    has is a word that the quote lacks. Only what passes numbers of words and sketches is intersected, inside the join."""
     low = lambda c: F.trim(F.lower(F.col(c)))
-    made = generated.select(topic, F.explode(F.array_distinct("quotes")).alias("quote")).withColumn("said", low("quote")).withColumn("words", F.array_sort(F.array_distinct(x.words(F.col("said")))))
-    said = sources.select(topic, "id", F.explode(F.array_distinct("quotes")).alias("said")).withColumn("said", low("said")).withColumn("has", F.array_sort(F.array_distinct(x.words(F.col("said"))))).distinct()
-    equal = made.join(said, [topic, "said"]).select(topic, "quote", "id")
-    words = said.where(F.size("has") > 0).select(topic, "has").distinct().select(topic, "has", F.explode("has").alias("word"))
-    order = words.join(words.groupBy(topic, "word").agg(F.count("*").alias("n")), [topic, "word"]).groupBy(topic, "has").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("order"))
-    n = F.size("has")
-    rare = order.select(topic, "has", F.explode(F.slice(F.col("order.word"), F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("word"))
-    met = made.select(topic, "words").distinct().select(topic, "words", F.explode("words").alias("word")).join(rare, [topic, "word"]).select(topic, "words", "has").distinct()
-    fits = met.where(F.size(F.array_intersect("words", "has")) / F.size("has") >= least)
-    close = fits.join(made, [topic, "words"]).select(topic, "has", "quote").join(said, [topic, "has"]).select(topic, "quote", "id")
-    return equal.union(close).distinct()
+    bits = lambda c, name: F.struct(*(b.alias(f"s{k}") for k, b in enumerate(x.sketch(F.col(c), 2)))).alias(name)
+    made = generated.select(topic, F.explode(F.array_distinct("quotes")).alias("quote")).withColumn("said", low("quote")).withColumn("words", F.array_distinct(x.words(F.col("said"))))
+    said = sources.select(topic, "id", F.explode(F.array_distinct("quotes")).alias("said")).withColumn("said", low("said")).withColumn("has", F.array_distinct(x.words(F.col("said"))))
+    a, b = made.select("*", bits("words", "of")).alias("a"), said.select("*", bits("has", "of")).distinct().alias("b")
+    n, lacks = F.size("b.has"), F.lit(0)
+    for k in range(2):
+        lacks = lacks + F.bit_count(F.col(f"b.of.s{k}").bitwiseAND(F.bitwise_not(F.col(f"a.of.s{k}"))))
+    holds = (n > 0) & (F.least(F.size("a.words"), n - lacks) / n >= least) & (F.size(F.array_intersect("a.words", "b.has")) / n >= least)
+    return a.join(b, (F.col(f"a.{topic}") == F.col(f"b.{topic}")) & ((F.col("a.said") == F.col("b.said")) | holds)).select(f"a.{topic}", "a.quote", "b.id").distinct()
 
 
 def citations(matches: DataFrame, sources: DataFrame, topic: str) -> DataFrame:

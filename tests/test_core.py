@@ -278,6 +278,22 @@ def test_quotes_like_all_pairs_and_late_sentences(spark, monkeypatch):
     assert [(x.quotes, x.facts, x.total) for x in stage4.c01_citations(spark, "").collect()] == [(1, 2, 3)]
 
 
+def test_quotes_of_long_sentences_are_written_once(spark):
+    from newsloom.operators import citations
+
+    def shuffled():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    r = random.Random(8)
+    long = " ".join({"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(3000)})
+    made, said = rows(spark, [(1, [long])], "topic int, quotes array<string>"), rows(spark, [(1, 7, [long.upper(), long.rsplit(" ", 1)[0], "another"])], "topic int, id int, quotes array<string>")
+    before = shuffled()
+    assert [tuple(x) for x in citations.quote_matches(made, said, "topic").collect()] == [(1, long, 7)]
+    assert shuffled() - before < 20 * len(long)
+
+
 def test_citations(spark):
     from newsloom.operators import citations
 
