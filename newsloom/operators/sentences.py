@@ -14,8 +14,11 @@ from .similarity import edge_keys, greedy_leaders_by_keys, link_counts, shared_s
 
 Rules = rules.Rules
 BOILERPLATE = "|".join(f"(?:{p})" for p in rules.BOILERPLATE)
-#: Costly patterns, by how they begin, and words of which one stands in whatever they match; these are looked for first.
-GUARDS = {".{2,10}": ("기자", "특파원", "앵커", "리포터"), "[a-zA-Z0-9._%+-]+@": ("@",), r"\w+\.(": (".com", ".co.kr", ".net", ".or.kr", ".go.kr")}
+#: Costly patterns, and those that match without Hangul, by how they begin, and words of which one stands in whatever they match; these are looked for first.
+GUARDS = {
+    ".{2,10}": ("기자", "특파원", "앵커", "리포터"), "[a-zA-Z0-9._%+-]+@": ("@",), r"\w+\.(": (".com", ".co.kr", ".net", ".or.kr", ".go.kr"), "(?i)Copyright": ("©", "ⓒ"), r"All\s*[Rr]ights": ("ights",),
+    r"^\|.*\|$": ("|",), r"\[?(전화|": ("전화", "팩스", "메일", "Tel", "Fax", "Email"), r"\[%%": ("[%%",), "^AD$": ("AD",), "DB": ("DB",),
+}
 UNFINISHED = f"(?:{'|'.join(rules.UNFINISHED)})\\.*$"
 OUTLET_TAIL = f"^.{{0,59}}\\s(?:{'|'.join(map(re.escape, rules.OUTLETS))})[.!?]*$"
 OPINION = r"\[(?:" + "|".join(map(re.escape, rules.OPINION)) + r")\]"
@@ -29,7 +32,8 @@ def few_hangul(text: Column, least: float = 0.2, longer: int = 15) -> Column:
 
 def is_boilerplate(text: Column, hangul: bool = True) -> Column:
     guards = {p: words for p in rules.BOILERPLATE for start, words in GUARDS.items() if p.startswith(start)}
-    out = text.rlike("|".join(f"(?:{p})" for p in rules.BOILERPLATE if p not in guards)) | (x.contains_any(text, rules.OUTLETS) & text.rlike(OUTLET_TAIL))
+    # all others hold Hangul
+    out = (text.rlike("[가-힣]") & text.rlike("|".join(f"(?:{p})" for p in rules.BOILERPLATE if p not in guards))) | (x.contains_any(text, rules.OUTLETS) & text.rlike(OUTLET_TAIL))
     for p, words in guards.items():
         out = out | (x.contains_any(text, words) & text.rlike(p))
     return out | few_hangul(text) if hangul else out
@@ -37,7 +41,7 @@ def is_boilerplate(text: Column, hangul: bool = True) -> Column:
 
 def is_unfinished(text: Column) -> Column:
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    return text.rlike(UNFINISHED) | (count("(") > count(")")) | (count('"') % 2 != 0) | (count("'") % 2 != 0)
+    return (text.rlike("[가-힣]") & text.rlike(UNFINISHED)) | (count("(") > count(")")) | (count('"') % 2 != 0) | (count("'") % 2 != 0)
 
 
 def is_opinion(title: Column) -> Column:
@@ -67,14 +71,17 @@ def importance(r: Rules = rules.KOREAN) -> Column:
 
 def extract(news: DataFrame, keywords: list[str], r: Rules = rules.KOREAN, hangul: bool = True, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row per kept sentence: position, total, sentence, role, has_number, has_quote, matched, opinion, importance."""
-    # the number of sentences is carried in each, as a size beside the generator would cut the body again for every sentence
-    every = x.let(x.sentences(F.coalesce("body", F.lit(""))), lambda e: F.transform(e, lambda s: F.struct(F.size(e).alias("total"), s.alias("raw"))))
+    # the number of sentences is carried in each, as a size beside the generator would cut the body again for every sentence;
+    # sentences are made in the generator too, as the filters would repeat what makes them for each of their patterns
+    bare = lambda raw: F.trim(F.regexp_replace(raw, r"^[○●◎▶▷►◆◇■□★☆·•※→\-]\s*", ""))
+    every = x.let(x.sentences(F.coalesce("body", F.lit(""))), lambda e: F.transform(e, lambda s: F.struct(F.size(e).alias("total"), bare(s).alias("sentence"))))
     rows = news.select(*keep, is_opinion(F.col("title")).alias("opinion"), F.posexplode(every).alias("position", "cut"))
-    bare = F.trim(F.regexp_replace("cut.raw", r"^[○●◎▶▷►◆◇■□★☆·•※→\-]\s*", ""))
-    rows = rows.select(*keep, "opinion", "position", F.col("cut.total").alias("total"), bare.alias("sentence")).where(F.length("sentence") >= 10)
+    rows = rows.select(*keep, "opinion", "position", "cut.total", "cut.sentence").where(F.length("sentence") >= 10)
     s = F.col("sentence")
     rows = rows.where(~is_boilerplate(s, hangul) & ~is_unfinished(s))
-    matched = F.filter(x.strings(keywords), lambda k: F.lower(s).contains(F.lower(k)))
+    # lowered once, not for each keyword
+    found = lambda low: F.array_compact(F.array(*(F.when(low.contains(F.lower(F.lit(k))), k) for k in keywords)))
+    matched = x.let(F.lower(s), found) if keywords else x.strings(keywords)
     rows = rows.withColumns({"role": role_of(s, r), "has_number": x.has_number(s), "has_quote": x.has_quote(s), "matched": matched})
     return rows.withColumn("importance", F.round(importance(r), 6))
 

@@ -278,6 +278,20 @@ def test_quotes_like_all_pairs_and_late_sentences(spark, monkeypatch):
     assert [(x.quotes, x.facts, x.total) for x in stage4.c01_citations(spark, "").collect()] == [(1, 2, 3)]
 
 
+def test_sentences_are_made_once_and_guards_lose_no_boilerplate(spark):
+    from newsloom.operators import sentences
+
+    news = rows(spark, [(1, "T", "● The first sentence is here. Seen on 10% of all days. Copyright © of us all.")], "id long, title string, body string")
+    out = sentences.extract(news, ["THE", "all"], hangul=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("○●◎▶") == 1  # the mark of a sentence is cut once, not for each pattern that it is asked for
+    assert [(x.position, x.sentence, x.matched) for x in out.orderBy("position").collect()] == [(0, "The first sentence is here.", ["THE"]), (1, "Seen on 10% of all days.", ["all"])]
+    every = "|".join(f"(?:{p})" for p in sentences.rules.BOILERPLATE)
+    texts = ["저작권자 (c)", "copyright ⓒ", "All rights Reserved", "| a |", "[%%x%%]", "AD", "AD.", "Tel: 02-1", "[Fax] 1", "Email 3", "메일: 5", "APP 다운", "DB 금지", "출처 = x", "a@b.co", "b.com", "[기자] x", "plain words", "Rights", "전화 1", "*재판매", "홍길동 기자 보도"]
+    got = rows(spark, [(t,) for t in texts], "t string").select("t", sentences.is_boilerplate(F.col("t"), False).alias("got"), F.col("t").rlike(every).alias("want")).collect()
+    assert [x.t for x in got if x.got != x.want] == [] and 15 < sum(x.got for x in got) < len(texts)
+
+
 def test_quotes_of_long_sentences_are_written_once(spark):
     from newsloom.operators import citations
 
