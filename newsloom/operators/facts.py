@@ -38,19 +38,23 @@ def entity_scores(
         return [F.when(inside(text, low, w), entry(F.lit(w), base + F.when(inside(titles, low_titles, w), more).otherwise(0), 1, kind, i)) for i, w in enumerate(words)]
 
     known = F.array_compact(F.array(*hits(keywords, 0, 50, 20, True), *hits(brands, 1, 10, 20, False)))
-    rows = texts.select(topic, "titles", "text", known.alias("known"), F.regexp_extract_all(text, F.lit(companies), F.lit(0)).alias("ended"), F.regexp_extract_all(text, F.lit(names), F.lit(0)).alias("named"))
+    listed = {"known": known, "ended": F.regexp_extract_all(text, F.lit(companies), F.lit(0)), "named": F.regexp_extract_all(text, F.lit(names), F.lit(0))}
+    # inline() gives the lists once: through a projection Spark would push the filters below, and search the whole text again for every name
+    once = lambda **columns: F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    rows = texts.select(topic, "titles", "text", once(**listed))
     said = F.transform("known", lambda e: e.entity)
     in_title = lambda n: 5 + F.when(titles.contains(n), 15).otherwise(0)
     # a name counts each time, but is listed where it stands first
     ended = F.transform("ended", lambda n, i: entry(n, in_title(n), ((F.array_position("ended", n) == i + 1) & ~F.array_contains(said, n)).cast("int"), 2, i))
     fresh = F.filter(F.array_distinct("named"), lambda n: (F.length(n) > 2) & ~F.array_contains(said, n) & ~F.array_contains("ended", n))
     named = F.transform(fresh, lambda n, i: entry(n, in_title(n), 1, 3, i))
-    each = rows.select(topic, F.explode(F.concat("known", ended, named)).alias("e")).select(topic, "e.*")
+    rows = rows.select(topic, "text", once(entries=F.concat("known", ended, named)))
+    each = rows.select(topic, F.explode("entries").alias("e")).select(topic, "e.*")
     scored = each.groupBy(topic, "entity").agg((F.sum("points") + F.sum("listed")).alias("score"), F.min(F.struct("kind", "at")).alias("first"))
     order = Window.partitionBy(topic).orderBy(F.desc("score"), "first")
     best = scored.withColumn("place", F.row_number().over(order)).where((F.col("place") <= most) & (F.col("score") >= 2)).select(topic, "entity", "score", "place")
     # topics without an entity
-    bare = rows.where(F.size(F.concat("known", ended, named)) == 0).select(topic, F.posexplode(F.regexp_extract_all(text, F.lit(nouns), F.lit(0))).alias("at", "entity"))
+    bare = rows.where(F.size("entries") == 0).select(topic, F.posexplode(F.regexp_extract_all(text, F.lit(nouns), F.lit(0))).alias("at", "entity"))
     often = bare.groupBy(topic, "entity").agg(F.count("*").alias("score"), F.min("at").alias("at"))
     nouns_of = often.withColumn("n", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("score"), "at"))).where((F.col("n") <= most) & ~F.col("entity").isin(*stop_words) & (F.col("score") >= 2))
     return best.union(nouns_of.select(topic, "entity", "score", F.row_number().over(Window.partitionBy(topic).orderBy("n")).alias("place")))

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -322,6 +323,20 @@ def test_citations(spark):
     assert one(spark, citations.marked(F.col("t"), cited, "endnote"), t="x y") == "x y[1]\n\n[1] S\n[2] R"
 
 
+def test_texts_are_searched_for_names_once(spark):
+    from newsloom.operators import facts
+
+    t = rows(spark, [(1, "Acme Works", "Acme Works and Zeta Labs and Acme Works"), (2, "x", "가나 가나 다라")], "topic int, titles string, text string")
+    out = facts.entity_scores(t, "topic", ["zeta"], (), r"[A-Z][a-z]+ (?:Works|Labs)", companies="[A-Z][a-z]+ Works")
+    assert sorted((x.topic, x.entity, x.score, x.place) for x in out.collect()) == [(1, "Acme Works", 41, 2), (1, "Zeta Labs", 6, 3), (1, "zeta", 51, 1), (2, "가나", 2, 1)]
+    # the text is not searched again for each of its names
+    word = lambda k: "N" + "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    many = rows(spark, [(1, "x", ". ".join(word(k) for k in range(10_000)))], "topic int, titles string, text string")
+    start = time.monotonic()
+    assert [x.score for x in facts.entity_scores(many, "topic", ["qqq"], ()).collect()] == [6] * 5
+    assert time.monotonic() - start < 20
+
+
 def test_facts(spark):
     from newsloom.operators import facts
 
