@@ -184,3 +184,21 @@ def test_edges_meet_by_numbers_and_come_once(spark):
     many = [str(k) for k in range(3000)]  # a size times a threshold in millionths is no int
     df = spark.createDataFrame([(0, 1, many), (0, 2, many[100:])], "grp int, id long, tokens array<string>")
     assert [(e.both, e.either) for e in similarity_edges(df, 900_000, 1_000_000).collect()] == [(2900, 3000)]
+
+
+def test_posts_are_written_without_their_sets_and_frequent_tokens_are_dealt(spark, monkeypatch):
+    """A set of n tokens posts n rows of one size; parts of a token's posts make the same pairs, each once."""
+    from newsloom.operators import similarity
+
+    schemas, write = {}, similarity.materialized
+    monkeypatch.setattr(similarity, "materialized", lambda df, name: schemas.setdefault(name, dict(df.dtypes)) and write(df, name))
+    monkeypatch.setattr(similarity, "CHUNK", 3)
+    r = random.Random(21)
+    sets = [["all", *(r.choice("abcdefghij") for _ in range(r.randint(0, 5)))] for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>").select(F.lit(0).alias("grp"), "id", F.col("id").alias("ord"), "tokens")
+    got = sorted((e.a, e.b, e.both, e.either) for e in similarity.similarity_edges(df, 1, 4).collect())
+    u = [set(s) for s in sets]
+    assert got == [(a, b, len(u[a] & u[b]), len(u[a] | u[b])) for a in range(40) for b in range(a + 1, 40) if len(u[a] & u[b]) * 4 >= len(u[a] | u[b])]
+    similarity.leaders_by_tokens(df, 6, 10).collect()
+    posted = [s for s in schemas.values() if "token" in s and "id" in s]
+    assert posted and not any(t.startswith("array") for s in posted for t in s.values())
