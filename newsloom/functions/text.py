@@ -161,7 +161,8 @@ def sentences(text: Column) -> Column:
     """Lines, cut after . ! ? and white space; a full stop is added where none of them ends the sentence."""
     parts = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(F.trim(line), r"(?<=[.!?])\s+")))
     parts = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
-    return F.transform(parts, lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
+    # most end with one, which is seen without a search of the whole sentence
+    return F.transform(parts, lambda s: F.when(s.endswith(".") | s.endswith("!") | s.endswith("?") | s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
 
 
 def for_dedup(text: Column) -> Column:
@@ -195,8 +196,14 @@ def cut_title(title: Column, most: int = 60, least: int = 40) -> Column:
     return F.when(F.length(title) <= most, title).when(at > least, F.substring(title, F.lit(1), at)).otherwise(head)
 
 
+def digits_before(text: Column, patterns: Iterable[str]) -> Column:
+    """Any of the patterns, each `\\d+` and a plain sign: a sign is looked for first, and one digit before it is enough."""
+    signs = [p.removeprefix(r"\d+") for p in patterns]
+    return contains_any(text, signs) & text.rlike(r"\d(?:" + "|".join(signs) + ")")
+
+
 def has_number(text: Column) -> Column:
-    return text.rlike(r"\d+[%억만조원달러명개건]")
+    return digits_before(text, "%억만조원달러명개건")
 
 
 def has_quote(text: Column) -> Column:

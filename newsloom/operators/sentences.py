@@ -19,6 +19,7 @@ GUARDS = {
     ".{2,10}": ("기자", "특파원", "앵커", "리포터"), "[a-zA-Z0-9._%+-]+@": ("@",), r"\w+\.(": (".com", ".co.kr", ".net", ".or.kr", ".go.kr"), "(?i)Copyright": ("©", "ⓒ"), r"All\s*[Rr]ights": ("ights",),
     r"^\|.*\|$": ("|",), r"\[?(전화|": ("전화", "팩스", "메일", "Tel", "Fax", "Email"), r"\[%%": ("[%%",), "^AD$": ("AD",), "DB": ("DB",),
 }
+HANGUL = re.compile("[가-힣]")
 UNFINISHED = f"(?:{'|'.join(rules.UNFINISHED)})\\.*$"
 OUTLET_TAIL = f"^.{{0,59}}\\s(?:{'|'.join(map(re.escape, rules.OUTLETS))})[.!?]*$"
 OPINION = r"\[(?:" + "|".join(map(re.escape, rules.OPINION)) + r")\]"
@@ -32,16 +33,25 @@ def few_hangul(text: Column, least: float = 0.2, longer: int = 15) -> Column:
 
 def is_boilerplate(text: Column, hangul: bool = True) -> Column:
     guards = {p: words for p in rules.BOILERPLATE for start, words in GUARDS.items() if p.startswith(start)}
-    # all others hold Hangul
-    out = (text.rlike("[가-힣]") & text.rlike("|".join(f"(?:{p})" for p in rules.BOILERPLATE if p not in guards))) | (x.contains_any(text, rules.OUTLETS) & text.rlike(OUTLET_TAIL))
+    korean = lambda words: tuple(w for w in words if HANGUL.search(w))
+    other = lambda words: tuple(w for w in words if not HANGUL.search(w))
+    outlet = lambda names: x.contains_any(text, names) & text.rlike(OUTLET_TAIL)
+    # patterns without guards hold Hangul; whatever needs some is asked only where there is some
+    inside = text.rlike("|".join(f"(?:{p})" for p in rules.BOILERPLATE if p not in guards)) | outlet(korean(rules.OUTLETS))
+    out = outlet(other(rules.OUTLETS))
     for p, words in guards.items():
-        out = out | (x.contains_any(text, words) & text.rlike(p))
+        if korean(words):
+            inside = inside | (x.contains_any(text, korean(words)) & text.rlike(p))
+        if other(words):
+            out = out | (x.contains_any(text, other(words)) & text.rlike(p))
+    out = out | (text.rlike("[가-힣]") & inside)
     return out | few_hangul(text) if hangul else out
 
 
 def is_unfinished(text: Column) -> Column:
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-    return (text.rlike("[가-힣]") & text.rlike(UNFINISHED)) | (count("(") > count(")")) | (count('"') % 2 != 0) | (count("'") % 2 != 0)
+    odd = lambda c: text.contains(c) & (count(c) % 2 != 0)
+    return (text.contains("(") & (count("(") > count(")"))) | odd('"') | odd("'") | (text.rlike("[가-힣]") & text.rlike(UNFINISHED))
 
 
 def is_opinion(title: Column) -> Column:
@@ -51,12 +61,14 @@ def is_opinion(title: Column) -> Column:
 def role_of(text: Column, r: Rules = rules.KOREAN, strict: bool = False) -> Column:
     """Quotes before statistics before keyword roles before endings; else a fact. Endings are matched without the final
     punctuation; strict matches them with it, as the added full stop demands."""
-    bare = text if strict else F.regexp_replace(text, r"[.!?]+$", "")
-    out = F.when(x.contains_any(text, rules.QUOTE_MARKS), "quote").when(text.rlike("|".join(rules.STATISTICS)), "statistic")
+    out = F.when(x.contains_any(text, rules.QUOTE_MARKS), "quote").when(x.digits_before(text, rules.STATISTICS), "statistic")
     for role, keys in r.role_words.items():
-        out = out.when(text.rlike(f"(?:{'|'.join(map(re.escape, keys))}){rules.WORD_END}"), role)
+        # a plain search first, as most sentences hold none of the words
+        out = out.when(x.contains_any(text, keys) & text.rlike(f"(?:{'|'.join(map(re.escape, keys))}){rules.WORD_END}"), role)
     for role, endings in r.role_endings.items():
-        out = out.when(bare.rlike(f"(?:{'|'.join(map(re.escape, endings))})$"), role)
+        # the final punctuation may stand before or behind a last line end, as `$` has it
+        tail = "$" if strict else r"(?:[.!?]*$|(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])[.!?]+\z)"
+        out = out.when(x.contains_any(text, endings) & text.rlike(f"(?:{'|'.join(map(re.escape, endings))}){tail}"), role)
     return out.otherwise("fact")
 
 
@@ -71,12 +83,14 @@ def importance(r: Rules = rules.KOREAN) -> Column:
 
 def extract(news: DataFrame, keywords: list[str], r: Rules = rules.KOREAN, hangul: bool = True, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row per kept sentence: position, total, sentence, role, has_number, has_quote, matched, opinion, importance."""
-    # the number of sentences is carried in each, as a size beside the generator would cut the body again for every sentence;
+    # the number of sentences and the mark of the title are carried in each, as beside the generator they would be computed again for every sentence
+    # (and the title, which may be all of a text without lines, copied with it);
     # sentences are made in the generator too, as the filters would repeat what makes them for each of their patterns
     bare = lambda raw: F.trim(F.regexp_replace(raw, r"^[○●◎▶▷►◆◇■□★☆·•※→\-]\s*", ""))
-    every = x.let(x.sentences(F.coalesce("body", F.lit(""))), lambda e: F.transform(e, lambda s: F.struct(F.size(e).alias("total"), bare(s).alias("sentence"))))
-    rows = news.select(*keep, is_opinion(F.col("title")).alias("opinion"), F.posexplode(every).alias("position", "cut"))
-    rows = rows.select(*keep, "opinion", "position", "cut.total", "cut.sentence").where(F.length("sentence") >= 10)
+    whole = F.struct(x.sentences(F.coalesce("body", F.lit(""))).alias("cut"), is_opinion(F.col("title")).alias("opinion"))
+    every = x.let(whole, lambda e: F.transform(e.cut, lambda s: F.struct(F.size(e.cut).alias("total"), e.opinion.alias("opinion"), bare(s).alias("sentence"))))
+    rows = news.select(*keep, F.posexplode(every).alias("position", "cut"))
+    rows = rows.select(*keep, "cut.opinion", "position", "cut.total", "cut.sentence").where(F.length("sentence") >= 10)
     s = F.col("sentence")
     rows = rows.where(~is_boilerplate(s, hangul) & ~is_unfinished(s))
     # lowered once, not for each keyword
