@@ -104,11 +104,16 @@ def rank(queries: DataFrame, news: DataFrame, as_of: Column, r: rules.Rules = ru
     return ranked(materialized(policy(rows.withColumn("final_score", final_score(F.col("preset")))), "scored-candidates"))
 
 
-def best_source(news: DataFrame, topic: str, keywords: list[str], newsworthy: tuple[str, ...] = rules.NEWSWORTHY_TITLES) -> DataFrame:
-    """One article per topic: keywords in title and lead, newsworthy words, quality, credibility and length decide; the first of equals."""
+def source_score(keywords: list[str], newsworthy: tuple[str, ...] = rules.NEWSWORTHY_TITLES) -> Column:
+    """Points of an article as a source: keywords in title and lead, newsworthy words, quality, credibility and length."""
     title, lead = F.lower("title"), F.lower(F.substring(F.coalesce("body", F.lit("")), 1, 300))
     low = [k.lower() for k in keywords]
     score = 50 * x.count_contained(title, low) + 10 * x.count_contained(lead, low) + F.when(x.contains_any(title, newsworthy), 30).otherwise(0)
-    score = score + 10 * F.col("quality_score") + 10 * F.col("credibility_score") + F.least(F.length(F.coalesce("body", F.lit(""))) / 100, F.lit(10.0))
+    return score + 10 * F.col("quality_score") + 10 * F.col("credibility_score") + F.least(F.length(F.coalesce("body", F.lit(""))) / 100, F.lit(10.0))
+
+
+def best_source(news: DataFrame, topic: str, keywords: list[str], newsworthy: tuple[str, ...] = rules.NEWSWORTHY_TITLES, score: Column | None = None) -> DataFrame:
+    """One article per topic, by its points as a source; the first of equals. score is a column that has these points, where news has no bodies any more."""
+    score = source_score(keywords, newsworthy) if score is None else score
     best = F.max_by(F.struct("id", F.round(score, 3).alias("score")), F.struct(F.round(score, 6), -F.col("ord")))
     return news.groupBy(topic).agg(best.alias("best")).select(topic, "best.id", "best.score")

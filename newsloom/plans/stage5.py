@@ -13,7 +13,7 @@ from ..rules.news import LATIN
 from ..storage import materialized
 from .registry import SQL, query
 from .stage1 import _LATIN
-from .stage3 import _FEATURES, _PRIMARY, _STRUCT, KEYS, _top, q, scored_topics, topic_articles
+from .stage3 import _FEATURES, _PRIMARY, _STRUCT, KEYS, _top, q, scored_topics
 from .stage4 import NAMED, _URLS, sources
 from .tables import ARTICLES, NEWS, any_of, articles, count_of, news, sql_text, table
 
@@ -137,10 +137,9 @@ best_ as (select topic_id, id from (select *, row_number() over (partition by to
 @query(f"with {_PRIMARY}, {_K17} select b.topic_id, coalesce(p.id, b.id) as id, p.id is null as fallback, a.title from best_ b left join primary_ p using (topic_id) join articles a on a.id = coalesce(p.id, b.id)")
 def j11_title_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article that names each topic: the primary one, else the best source."""
-    news_ = topic_articles(spark, sf_dir)
-    _, rows = scored_topics(spark, sf_dir)
+    news_, rows = scored_topics(spark, sf_dir, ranking.source_score(KEYS, LATIN.newsworthy).alias("source_score"))
     primary = sentences.primary_articles(rows, news_, "topic_id", _LATIN).select("topic_id", F.col("id").alias("primary_id"))
-    best = ranking.best_source(news_, "topic_id", KEYS, LATIN.newsworthy).select("topic_id", F.col("id").alias("best_id"))
+    best = ranking.best_source(news_, "topic_id", KEYS, score=F.col("source_score")).select("topic_id", F.col("id").alias("best_id"))
     both = best.join(primary, "topic_id", "left").select("topic_id", F.coalesce("primary_id", "best_id").alias("id"), F.col("primary_id").isNull().alias("fallback"))
     return both.join(news_.select("id", "title"), "id").select("topic_id", "id", "fallback", "title")
 

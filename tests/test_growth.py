@@ -37,3 +37,18 @@ def test_rules_of_sentences_with_plain_searches_first(spark):
     assert {t for t in texts if by[t].b} == {"기자 = 홍길동 기자 보도", "YTN 뉴스 KBS.", "Tel: 02-1", "전화: 02-1"}
     assert {t for t in texts if by[t].u} == {"그는 \"말", "(a", "보기 때문..."}
     assert {t: by[t].r for t in texts if by[t].r not in ("fact", "quote")} == {"값이 5% 올랐다.": "statistic", "12억": "statistic", "ends in ed.!": "lead", "ends in ed\r.": "lead", "ends in ed.\r": "lead", "the end": "background"}
+
+
+def _documents(spark, path):
+    rows = [(i, f"Title {i}\nThe first sentence of article {i} is here. Another sentence number {i % 3} follows it.", "en", f"src{i % 4}") for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_title_articles_score_texts_once(spark, tmp_path, monkeypatch):
+    from newsloom.plans import stage3, stage5
+
+    calls, scored = [], stage3.scoring.with_quality
+    monkeypatch.setattr(stage3.scoring, "with_quality", lambda *a, **b: calls.append(1) or scored(*a, **b))
+    assert stage5.j11_title_articles(spark, _documents(spark, tmp_path)).count() == 2
+    assert len(calls) == 1
