@@ -123,6 +123,8 @@ def merge_bodies(groups: DataFrame, news: DataFrame, target: int = 500) -> DataF
         F.col("leader").alias("grp"), (F.col("id") != F.col("leader")).alias("other"), "ord", F.posexplode(x.sentences(F.col("body"))).alias("position", "sentence"), F.col("id").alias("news_id")
     )
     rows = rows.where(F.length("sentence") >= 10).withColumn("id", F.concat_ws(":", "news_id", "position")).withColumn("ord", F.struct("other", "ord", "position"))
+    # written once, as the bodies would be brought to their groups again for what is kept of them
+    rows = materialized(rows.select("grp", "id", "ord", "sentence"), "group-sentences")
     kept = distinct_sentences(rows, 7, 10, 0)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "sentence"))), lambda s: s.sentence), " ")
     return kept.groupBy(F.col("grp").alias("leader")).agg(joined.alias("merged"))

@@ -16,16 +16,16 @@ SKETCH, CHUNK = 8, 2000
 def numbered(items: DataFrame, num: int | None) -> DataFrame:
     """(grp, id, num, n, tokens, sketch) of items(grp, id, tokens), written: n counts all tokens, and those that others hold too stand rarest first, as numbers.
 
-    A token is numbered by its place among all tokens in that order, so that sets are met and intersected as longs; one that no other set holds meets nothing and
-    only counts in n. A set of such tokens alone has no row."""
+    A token of a group is numbered by its place among all of them in that order, so that sets are met and intersected as longs; one that no other set of the group
+    holds meets nothing and only counts in n. A set of such tokens alone has no row."""
     own = F.col("num") if num is None else F.lit(num)
     items = items.select("grp", "id", own.alias("num"), F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
     items = materialized(items, "token-sets")
     each = items.select("grp", "id", "num", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    numbers = materialized(often.orderBy("often", "token").select("token", F.monotonically_increasing_id().alias("number")), "token-numbers")
+    often = each.groupBy("grp", "token").agg(F.count("*").alias("often")).where("often > 1")
+    numbers = materialized(often.orderBy("often", "grp", "token").select("grp", "token", F.monotonically_increasing_id().alias("number")), "token-numbers")
     # the row's own number of tokens bounds this group
-    ordered = each.join(numbers, "token").groupBy("grp", "id", "num", "n").agg(F.sort_array(F.collect_list("number")).alias("tokens"))
+    ordered = each.join(numbers, ["grp", "token"]).groupBy("grp", "id", "num", "n").agg(F.sort_array(F.collect_list("number")).alias("tokens"))
     sketch = F.struct(*(w.alias(f"s{k}") for k, w in enumerate(x.sketch(F.col("tokens"), SKETCH))))
     return materialized(ordered.withColumn("sketch", sketch), "numbered-sets")
 

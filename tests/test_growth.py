@@ -52,3 +52,21 @@ def test_title_articles_score_texts_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stage3.scoring, "with_quality", lambda *a, **b: calls.append(1) or scored(*a, **b))
     assert stage5.j11_title_articles(spark, _documents(spark, tmp_path)).count() == 2
     assert len(calls) == 1
+
+
+def test_merged_bodies_cut_sentences_once(spark, tmp_path, monkeypatch):
+    from newsloom.operators import sentences
+    from newsloom.plans import stage3
+
+    names, write = [], sentences.materialized
+    monkeypatch.setattr(sentences, "materialized", lambda df, name: names.append(name) or write(df, name))
+    got = stage3.d06_merged_bodies(spark, _documents(spark, tmp_path)).collect()
+    assert sorted(x.leader for x in got) == [0, 5] and "group-sentences" in names
+
+
+def test_tokens_of_other_groups_meet_nothing(spark):
+    from newsloom.operators.similarity import numbered, similarity_edges
+
+    items = spark.createDataFrame([("g", 1, ["a", "b", "c"]), ("g", 2, ["a", "b", "d"]), ("h", 3, ["a", "b", "c"]), ("h", 4, ["e", "f"])], "grp string, id long, tokens array<string>")
+    assert {(x.grp, x.id, x.n, len(x.tokens)) for x in numbered(items, 1).collect()} == {("g", 1, 3, 2), ("g", 2, 3, 2)}
+    assert [(x.grp, x.a, x.b, x.both, x.either) for x in similarity_edges(items, 1, 2).collect()] == [("g", 1, 2, 2, 4)]
