@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..rules import news as rules
-from ..storage import small, stated
+from ..storage import materialized, small, stated
 
 #: Keyword, exclusion and limit patterns, and option words.
 KEYWORD_PATTERNS = (r"([가-힣A-Za-z0-9]+)\s*관련", r"([가-힣A-Za-z0-9]+)에\s*대한")
@@ -128,18 +128,33 @@ def sources_of(queries: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("query_id", "source_id", F.row_number().over(order).alias("place"))
 
 
-def widened(queries: DataFrame, news: DataFrame, days: int = 3, enough: int = 5, most: int = 30) -> DataFrame:
+#: Words of queries that are looked for in every text; beyond that each text is brought to the queries of its days.
+MARKED = 500
+
+
+def widened(queries: DataFrame, news: DataFrame, days: int = 3, enough: int = 5, most: int = 30, times: DataFrame | None = None) -> DataFrame:
     """(query_id, id, step) of queries(query_id, keywords, date): articles of that day with all keywords; if there are none, those of `days` days around it;
     and if a query of several keywords has fewer than `enough`, also those of the day with any one of them. step tells which of the three found it; the first `most` by ord.
 
-    A query is dealt to the days around its own, which are the key of the join. One pass over the articles of those days marks what each step finds; counts by query decide which steps hold."""
+    A query is dealt to the days around its own, which are the key of the join. One pass over the articles of those days marks what each step finds; counts by query decide which steps hold.
+    With times(id, published_at) news has no time of its own: the words of all queries, if they are at most MARKED, are marked in the texts first, so that no text is
+    brought to its time. What is found is written once, as ids and numbers."""
     text = F.lower(F.concat_ws(" ", "title", "body"))
     low = F.transform("keywords", lambda k: F.lower(k))
-    hits = F.size(F.filter(low, lambda k: F.col("_text").contains(k)))
+    held = lambda k: F.col("_text").contains(k)
+    if times is not None:
+        words = [r["word"] for r in queries.select(F.explode(low).alias("word")).where("word is not null").distinct().limit(MARKED + 1).collect()]
+        if len(words) <= MARKED:
+            marks = x.let(text, lambda t: F.filter(x.strings(words), lambda w: t.contains(w)))
+            news, text = news.select("id", "ord", marks.alias("_marks")).where(F.size("_marks") > 0), F.col("_marks")
+            held = lambda k: F.array_contains("_text", k)
+        news = news.join(times.select("id", "published_at"), "id")
+    hits = F.size(F.filter(low, held))
     away = F.abs(F.datediff(F.col("_day"), F.col("date")))
     dealt = queries.where((F.size("keywords") > 0) & F.col("date").isNotNull()).withColumn("_day", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))))
     rows = news.select("id", "ord", F.to_date("published_at").alias("_day"), text.alias("_text")).join(small(dealt, 500), "_day").select("query_id", "id", "ord", F.size("keywords").alias("n"), hits.alias("hits"), away.alias("away"))
     rows = rows.where("hits > 0").withColumns({"exact": F.expr("away = 0 and hits = n"), "wide": F.expr("hits = n"), "any": F.expr("away = 0")})
+    rows = materialized(rows, "marked")
     counts = rows.groupBy("query_id").agg(F.count_if("exact").alias("n_exact"), F.count_if("wide").alias("n_wide"))
     rows = rows.join(small(counts), "query_id")
     found = F.when(F.col("exact"), 1).when(F.col("wide") & (F.col("n_exact") == 0), 2)

@@ -15,7 +15,7 @@ from .registry import SQL, query
 from .stage1 import _LATIN
 from .stage3 import _FEATURES, _PRIMARY, _STRUCT, KEYS, _top, q, scored_topics
 from .stage4 import NAMED, _URLS, sources
-from .tables import ARTICLES, NEWS, any_of, articles, count_of, news, sql_text, table
+from .tables import ARTICLES, NEWS, any_of, articles, count_of, news, sql_text, table, times
 
 _TOP = f"""{_PRIMARY}, b as (select s.id // 5 as topic_id, p.id as primary_id, s.id, s.ord, position, s.s, s.role, s.has_number, round(case when s.id = p.id then least(importance * 1.5, 1.0) when len(matched) > 0 then importance * 0.6 else importance * 0.3 end, 6) as importance
   from sentences s join primary_ p on s.id // 5 = p.topic_id),
@@ -398,7 +398,7 @@ select query_id, id, step, place from (select *, row_number() over (partition by
 def u03_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a query finds on its day, else around it, and by single keywords if that is little."""
     wanted = spark.createDataFrame(_WANTED, "query_id int, keywords array<string>, date string").withColumn("date", F.col("date").cast("date"))
-    return querylog.widened(wanted, news(spark, sf_dir))
+    return querylog.widened(wanted, articles(spark, sf_dir), times=times(spark, sf_dir)[0])
 
 
 @query(
@@ -495,7 +495,7 @@ select w.query_id, coalesce(search_count, 0) as search_count, coalesce(chars, 0)
 def v07_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: one row a query over the whole run: what was found, what was made of it (the first two bodies; nothing for query 2), and what is missing."""
     wanted = spark.createDataFrame(_WANTED, "query_id int, keywords array<string>, date string").withColumn("date", F.col("date").cast("date"))
-    found = materialized(querylog.widened(wanted, news(spark, sf_dir)), "found")
+    found = materialized(querylog.widened(wanted, articles(spark, sf_dir), times=times(spark, sf_dir)[0]), "found")
     bodies = articles(spark, sf_dir).select("id", F.length("body").alias("chars"))
     made = found.where("place <= 2 and query_id <> 2").join(bodies, "id").groupBy("query_id").agg(F.sum("chars").alias("chars"))
     made = made.withColumn("issues", F.array_compact(F.array(F.when(F.col("chars") < 400, "BODY_TOO_SHORT").when(F.col("chars") > 800, "BODY_TOO_LONG"))))

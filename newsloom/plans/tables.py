@@ -43,17 +43,22 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """articles with published_at and engagement from events: event doc_id * step gives the time, events with id = doc_id modulo documents the counts."""
+def times(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(id, published_at) of articles: event doc_id * step gives the time; and the number of documents."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
     n = d.agg(F.count("*").alias("n")).first()["n"]
     step = max(1, e.count() // max(1, n))
-    times = e.where(F.col("event_id") % step == 0).select((F.col("event_id") / step).cast("long").alias("id"), F.col("ts").cast("timestamp").alias("published_at"))
+    return e.where(F.col("event_id") % step == 0).select((F.col("event_id") / step).cast("long").alias("id"), F.col("ts").cast("timestamp").alias("published_at")), n
+
+
+def news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """articles with published_at from `times` and engagement from events: events with id = doc_id modulo documents give the counts."""
+    e, (at, n) = table(spark, sf_dir, "events"), times(spark, sf_dir)
     counts = e.groupBy((F.col("event_id") % max(1, n)).alias("id")).agg(
         F.count_if(F.col("event_type") == "view").alias("view_count"), F.count_if(F.col("event_type") == "click").alias("share_count"),
         F.count_if(F.col("event_type") == "signup").alias("comment_count"),
     )
-    return articles(spark, sf_dir).join(times, "id", "left").join(counts, "id", "left")
+    return articles(spark, sf_dir).join(at, "id", "left").join(counts, "id", "left")
 
 
 QUERY_ROWS = [

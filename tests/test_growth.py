@@ -70,3 +70,17 @@ def test_tokens_of_other_groups_meet_nothing(spark):
     items = spark.createDataFrame([("g", 1, ["a", "b", "c"]), ("g", 2, ["a", "b", "d"]), ("h", 3, ["a", "b", "c"]), ("h", 4, ["e", "f"])], "grp string, id long, tokens array<string>")
     assert {(x.grp, x.id, x.n, len(x.tokens)) for x in numbered(items, 1).collect()} == {("g", 1, 3, 2), ("g", 2, 3, 2)}
     assert [(x.grp, x.a, x.b, x.both, x.either) for x in similarity_edges(items, 1, 2).collect()] == [("g", 1, 2, 2, 4)]
+
+
+def test_widened_by_times(spark, monkeypatch):
+    from newsloom.operators import querylog
+
+    day = lambda d: dt.datetime(2026, 2, d, 8)
+    titles = [("chip plan", 5), ("chip", 5), ("plan", 5), ("car", 7), ("car", 9), ("Chip PLAN", 6), ("car", None)]
+    news = spark.createDataFrame([(i, i, t, "") for i, (t, _) in enumerate(titles)], "id long, ord long, title string, body string")
+    times = spark.createDataFrame([(i, day(d)) for i, (_, d) in enumerate(titles) if d], "id long, published_at timestamp")
+    q = spark.createDataFrame([(1, ["chip", "Plan"], dt.date(2026, 2, 5)), (2, ["car"], dt.date(2026, 2, 5)), (3, ["none"], dt.date(2026, 2, 5))], "query_id int, keywords array<string>, date date")
+    want = [(1, 0, 1), (1, 1, 3), (1, 2, 3), (2, 3, 2)]
+    for most in (querylog.MARKED, 1):
+        monkeypatch.setattr(querylog, "MARKED", most)
+        assert sorted((x.query_id, x.id, x.step) for x in querylog.widened(q, news, times=times).collect()) == want
