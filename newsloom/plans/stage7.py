@@ -10,7 +10,7 @@ from ..operators import assembly, images, qa, ranking, registry, scoring
 from ..operators import pages as page_blocks
 from ..rules import formats
 from ..sources import feeds, landing
-from ..storage import new_path
+from ..storage import materialized, new_path
 from .registry import query
 from .stage1 import _LATIN, RANKED, _unescape
 from .stage3 import _TITLES
@@ -79,8 +79,9 @@ def s01_landed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
     for name, search, read in (("general", False, feeds.read_feeds), ("search", True, feeds.read_search_rss)):
         docs.where(F.col("search") == search).select("feed", "xml").write.partitionBy("feed").text(f"{root}/{name}")
-        records = read(spark, f"{root}/{name}").select("feed", F.lit("search" if search else "record").alias("status"), *feeds.RECORD[1:], none.cast("int").alias("elements"))
-        lost = feeds.malformed(spark, f"{root}/{name}").select("feed", F.lit("malformed").alias("status"), *(none.cast("string").alias(c) for c in feeds.RECORD[1:]), "elements")
+        bad = materialized(feeds.malformed(spark, f"{root}/{name}").select("feed", "elements"), "malformed")
+        records = read(spark, f"{root}/{name}", bad).select("feed", F.lit("search" if search else "record").alias("status"), *feeds.RECORD[1:], none.cast("int").alias("elements"))
+        lost = bad.select("feed", F.lit("malformed").alias("status"), *(none.cast("string").alias(c) for c in feeds.RECORD[1:]), "elements")
         part = records.unionByName(lost)
         out = part if out is None else out.unionByName(part)
     return out.withColumn("feed", F.regexp_extract("feed", "/feed=([0-9]+)/", 1).cast("long"))

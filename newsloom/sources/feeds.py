@@ -45,8 +45,9 @@ def malformed(spark: SparkSession, path: str) -> DataFrame:
     return found.groupBy("feed").agg(F.first(CORRUPT).alias(CORRUPT)).withColumn("elements", F.regexp_count(CORRUPT, F.lit("<(?:item|entry)[ />]")))
 
 
-def _whole(records: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    return records.join(malformed(spark, path).select("feed"), "feed", "left_anti")
+def _whole(records: DataFrame, spark: SparkSession, path: str, lost: DataFrame | None) -> DataFrame:
+    """records of files that are not among the malformed ones; lost is `malformed` where it is known, as finding it lists and reads all files once for each root."""
+    return records.join((malformed(spark, path) if lost is None else lost).select("feed"), "feed", "left_anti")
 
 
 def _items(spark: SparkSession, path: str) -> DataFrame:
@@ -54,14 +55,14 @@ def _items(spark: SparkSession, path: str) -> DataFrame:
     return _named(df, x.filled("source"), F.col("title"), x.filled("link"), F.col("description"), F.col("pubDate"), x.first_filled("author", "dc:creator"))
 
 
-def read_rss(spark: SparkSession, path: str) -> DataFrame:
+def read_rss(spark: SparkSession, path: str, lost: DataFrame | None = None) -> DataFrame:
     """`<item>` elements of well-formed RSS files; empty feeds give no rows, malformed ones are in `malformed`."""
-    return _whole(_items(spark, path), spark, path)
+    return _whole(_items(spark, path), spark, path, lost)
 
 
-def read_search_rss(spark: SparkSession, path: str) -> DataFrame:
+def read_search_rss(spark: SparkSession, path: str, lost: DataFrame | None = None) -> DataFrame:
     """The same with the name of the outlet, `Unknown` if it is missing."""
-    return read_rss(spark, path).withColumn("source_name", F.coalesce("source_name", F.lit("Unknown")))
+    return read_rss(spark, path, lost).withColumn("source_name", F.coalesce("source_name", F.lit("Unknown")))
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
@@ -70,15 +71,15 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
     return _named(df, F.lit(None).cast("string"), F.col("title"), F.get("link", F.lit(0))["_href"], x.first_filled("summary", "content"), x.first_filled("published", "updated"), x.filled("author.name"))
 
 
-def read_atom(spark: SparkSession, path: str) -> DataFrame:
-    return _whole(_entries(spark, path), spark, path)
+def read_atom(spark: SparkSession, path: str, lost: DataFrame | None = None) -> DataFrame:
+    return _whole(_entries(spark, path), spark, path, lost)
 
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+def read_feeds(spark: SparkSession, path: str, lost: DataFrame | None = None) -> DataFrame:
     """Records of well-formed files: RSS items, and Atom entries of files without any item."""
     rss = _items(spark, path)
     atom = _entries(spark, path).join(rss.select("feed").distinct(), "feed", "left_anti")
-    return _whole(rss.unionByName(atom), spark, path)
+    return _whole(rss.unionByName(atom), spark, path, lost)
 
 
 def xml_text(c: Column) -> Column:

@@ -84,3 +84,15 @@ def test_widened_by_times(spark, monkeypatch):
     for most in (querylog.MARKED, 1):
         monkeypatch.setattr(querylog, "MARKED", most)
         assert sorted((x.query_id, x.id, x.step) for x in querylog.widened(q, news, times=times).collect()) == want
+
+
+def test_malformed_feeds_are_looked_for_once(spark, tmp_path, monkeypatch):
+    from newsloom.plans import stage7
+
+    rows = [(i, f"http://n/{i}", f"<html><title>t{i}</title><body>x</body></html>") for i in range(100)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    calls, found = [], stage7.feeds.malformed
+    monkeypatch.setattr(stage7.feeds, "malformed", lambda *a: calls.append(1) or found(*a))
+    out = stage7.s01_landed_feeds(spark, str(tmp_path)).collect()
+    assert len(calls) == 2
+    assert {x.status for x in out} == {"record", "search", "malformed"} and [(x.feed, x.elements) for x in out if x.status == "malformed"] == [(3, 20)]
