@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..rules import news as rules
-from ..storage import materialized
-from .similarity import edge_keys, greedy_leaders_by_keys, link_counts, shared_substrings, similarity_edges
+from ..storage import mark, materialized, settled, small
+from .similarity import TASK, edge_keys, greedy_leaders_by_keys, link_counts, pairs_within, reached, shared_substrings, shared_within, similarity_edges
 
 Rules = rules.Rules
 BOILERPLATE = "|".join(f"(?:{p})" for p in rules.BOILERPLATE)
@@ -100,17 +100,67 @@ def extract(news: DataFrame, keywords: list[str], r: Rules = rules.KOREAN, hangu
     return rows.withColumn("importance", F.round(importance(r), 6))
 
 
+#: Characters of a group that is held whole by one task.
+GROUP = 1_000_000
+
+
 def distinct_sentences(rows: DataFrame, num: int = 1, den: int = 2, shared: int = 15, least: int = 0) -> DataFrame:
-    """rows(grp, id, ord, sentence) without those equal or similar to an earlier kept one of their group."""
-    keyed = rows.withColumn("key", x.for_dedup(F.col("sentence"))).where(F.length("key") >= least)
-    first = keyed.groupBy("grp", "key").agg(F.min(F.struct("ord", "id")).alias("f")).select("grp", "key", F.col("f.id").alias("id"), F.col("f.ord").alias("ord"))
-    first = materialized(first, "sentences")
+    """rows(grp, id, ord, sentence) without those equal or similar to an earlier kept one of their group.
+
+    Groups of up to GROUP characters are dealt whole to tasks that find there who is near whom, so that texts are shuffled and not their words and substrings;
+    only who has neighbours is written. The words and substrings of larger groups are dealt over all tasks."""
+    rows = rows.where("grp is not null and id is not null")
+    sizes = materialized(rows.groupBy("grp").agg(F.sum(F.length("sentence")).alias("chars")).where("chars >= 0"), "group-sizes")
+    small_, large = sizes.where(F.col("chars") <= GROUP), sizes.where(F.col("chars") > GROUP)
+    if large.isEmpty():
+        return distinct_within(rows, small_, num, den, shared, least)
+    these = small(large.select("grp"))
+    every = distinct_between(rows.join(these, "grp", "left_semi"), num, den, shared, least)
+    return every if small_.isEmpty() else every.unionByName(distinct_within(rows.join(these, "grp", "left_anti"), small_, num, den, shared, least))
+
+
+def keyed(rows: DataFrame, least: int) -> DataFrame:
+    return rows.withColumn("key", x.for_dedup(F.col("sentence"))).where(F.length("key") >= least)
+
+
+def firsts(rows: DataFrame) -> DataFrame:
+    """(grp, key, id, ord) of the first of equal keys."""
+    return rows.groupBy("grp", "key").agg(F.min(F.struct("ord", "id")).alias("f")).select("grp", "key", F.col("f.id").alias("id"), F.col("f.ord").alias("ord"))
+
+
+def distinct_within(rows: DataFrame, sizes: DataFrame, num: int, den: int, shared: int, least: int) -> DataFrame:
+    """`distinct_sentences` of groups that a task can hold, with sizes(grp, chars)."""
+    spark, since = rows.sparkSession, mark()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sizes.agg(F.sum("chars")).first()[0] or 0) // TASK + 1)
+    rows = keyed(rows, least)
+    dealt = rows.repartition(tasks, "grp")
+    first = firsts(dealt)
+    tokens = F.array_distinct(x.words(F.col("key"))).alias("tokens")
+    pairs = materialized(pairs_within(first.select("grp", "id", tokens), num, den), "met")
+    ends = small(materialized(pairs.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct(), "ends"))
+    sets = rows.join(ends, ["grp", "id"], "left_semi").select("grp", "id", F.lit(num).cast("long").alias("num"), tokens).withColumn("n", F.size("tokens").cast("long"))
+    keys = edge_keys(reached(pairs, materialized(sets, "end-sets"), den).select("grp", "a", "b"))
+    if shared:
+        keys = keys.union(shared_within(first.select("grp", "id", F.col("key").alias("text")), shared))
+    keys = materialized(keys, "near")
+    nodes = rows.join(small(materialized(keys.select("grp", "id").distinct(), "near-ids")), ["grp", "id"], "left_semi").select("grp", "id", "ord")
+    led = greedy_leaders_by_keys(materialized(nodes, "nodes"), keys)
+    out = small(settled(led.where("id <> leader").select("grp", "id"), "out", since))
+    place = F.struct("ord", "id")
+    kept = dealt.withColumn("_first", F.min(place).over(Window.partitionBy("key", "grp"))).where(place == F.col("_first")).drop("key", "_first")
+    return kept.join(out, ["grp", "id"], "left_anti")
+
+
+def distinct_between(rows: DataFrame, num: int, den: int, shared: int, least: int) -> DataFrame:
+    """`distinct_sentences` of groups of any size."""
+    since = mark()
+    first = materialized(firsts(keyed(rows, least)), "sentences")
     tokens = first.select("grp", "id", x.words(F.col("key")).alias("tokens"))
     keys = edge_keys(similarity_edges(tokens, num, den).select("grp", "a", "b"))
     if shared:
         keys = keys.union(shared_substrings(first.select("grp", "id", F.col("key").alias("text")), shared))
     led = greedy_leaders_by_keys(first.select("grp", "id", "ord"), keys)
-    return rows.join(led.where("id = leader").select("grp", "id"), ["grp", "id"], "left_semi")
+    return rows.join(settled(led.where("id = leader").select("grp", "id"), "kept", since), ["grp", "id"], "left_semi")
 
 
 def merge_bodies(groups: DataFrame, news: DataFrame, target: int = 500) -> DataFrame:

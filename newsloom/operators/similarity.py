@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
@@ -38,7 +38,7 @@ def posts_of(sets: DataFrame, den: int) -> DataFrame:
     held = F.size("tokens").cast("long")
     alone = F.col("n") - held
     keep = (F.col("n") - F.ceil(F.col("n") * F.col("num") / den) + 1 - alone).cast("int")  # sizes are longs, as they are multiplied by fine thresholds
-    prefix = F.when(keep > 0, F.slice("tokens", F.lit(1), F.greatest(keep, F.lit(1)))).otherwise(F.array().cast("array<long>"))
+    prefix = F.when(keep > 0, F.slice("tokens", F.lit(1), F.greatest(keep, F.lit(1)))).otherwise(F.array().cast(sets.schema["tokens"].dataType))
     posts = sets.select("grp", "id", "num", "n", "tokens", "sketch", held.alias("held"), F.posexplode(prefix).alias("at", "token"))
     return posts.select("grp", "id", "num", "n", "tokens", "sketch", "held", "token", (F.col("n") - F.col("held") + F.col("at") + 1).alias("pos"))
 
@@ -58,6 +58,18 @@ def narrow(sets: DataFrame, den: int) -> tuple[DataFrame, int]:
     return posts.join(small(materialized(many, "long-posts")), ["grp", "token"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))), min(most, 1 + posts.count() // CHUNK)
 
 
+def can_reach(a, b, num: Column, den: int, longs: int = SKETCH) -> Column:
+    """Whether two posts of a token, as a(name) and b(name) give their fields, can be of sets that reach the similarity, by sizes, places and sketches."""
+    na, nb = a("n"), b("n")
+    length = (na * den >= nb * num) & (nb * den >= na * num)
+    place = (F.least(na - a("pos"), nb - b("pos")) + 1) * (num + den) >= (na + nb) * num
+    apart = F.lit(0)
+    for k in range(longs):
+        apart = apart + F.bit_count(a("sketch").getField(f"s{k}").bitwiseXOR(b("sketch").getField(f"s{k}")))
+    alike = (a("held") + b("held") - apart) * (num + den) >= (na + nb) * num * 2
+    return length & place & alike
+
+
 def met(a: DataFrame, b: DataFrame, order: Column, num: Column, den: int, tasks: int) -> DataFrame:
     """(grp, a, b) of pairs of posts a and b (aliases) of one token in that order that can reach the similarity, each pair once, written.
 
@@ -67,16 +79,9 @@ def met(a: DataFrame, b: DataFrame, order: Column, num: Column, den: int, tasks:
     deal = lambda df: df.repartition(tasks, "grp", "token", "part")
     a = deal(a.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))).alias("a")
     b = deal(b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))).alias("b")
-    na, nb = col("a", "n"), col("b", "n")
-    length = (na * den >= nb * num) & (nb * den >= na * num)
-    place = (F.least(na - col("a", "pos"), nb - col("b", "pos")) + 1) * (num + den) >= (na + nb) * num
-    apart = F.lit(0)
-    for k in range(SKETCH):
-        apart = apart + F.bit_count(col("a", f"sketch.s{k}").bitwiseXOR(col("b", f"sketch.s{k}")))
-    alike = (col("a", "held") + col("b", "held") - apart) * (num + den) >= (na + nb) * num * 2
     same = (col("a", "grp") == col("b", "grp")) & (col("a", "token") == col("b", "token")) & (col("a", "part") == col("b", "part"))
     # all stands in the condition of the join, as Spark would ask a later filter first
-    found = a.join(b, same & order & length & place & alike).select(col("a", "grp").alias("grp"), col("a", "id").alias("a"), col("b", "id").alias("b"))
+    found = a.join(b, same & order & can_reach(lambda name: col("a", name), lambda name: col("b", name), num, den)).select(col("a", "grp").alias("grp"), col("a", "id").alias("a"), col("b", "id").alias("b"))
     return materialized(found.distinct(), "met")
 
 
@@ -136,6 +141,53 @@ def shared_substrings(items: DataFrame, length: int = 15) -> DataFrame:
     return keys.join(held, ["grp", "key"], "left_semi").select("grp", "key", "id")
 
 
+#: Characters that a task takes of groups that it holds whole, longs in the sketches there, characters of a cut text, and the first ones of a substring of which a blank marks a place in it.
+TASK, FEW, CUT, MARK = 1_500_000, 2, 128, 6
+
+
+def pairs_within(items: DataFrame, num: int, den: int) -> DataFrame:
+    """(grp, a, b), a < b, of pairs that can reach the similarity, of items(grp, id, tokens) that are dealt by grp: all is found inside the tasks, and nothing more is shuffled.
+
+    As in `similarity_edges` the tokens that others of the group hold too stand rarest first, and posts of the prefixes are met by sizes, places and sketches."""
+    each = items.select("grp", "id", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    each = each.withColumn("often", F.count("*").over(Window.partitionBy("token", "grp"))).where("often > 1")
+    sets = each.groupBy("grp", "id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("l")).select("grp", "id", F.lit(num).cast("long").alias("num"), "n", F.col("l.token").alias("tokens"))
+    sketch = F.struct(*(w.alias(f"s{k}") for k, w in enumerate(x.sketch(F.col("tokens"), FEW))))
+    posts = posts_of(sets.withColumn("sketch", sketch), den)
+    lists = posts.groupBy("token", "grp").agg(F.collect_list(F.struct("id", "n", "held", "pos", "sketch")).alias("l")).where(F.size("l") > 1)
+    one = F.col("one")
+    near = F.filter("l", lambda b: (b.getField("id") > one.getField("id")) & can_reach(one.getField, b.getField, F.lit(num).cast("long"), den, FEW))
+    met = lists.select("grp", "l", F.explode("l").alias("one")).select("grp", "one.id", F.explode(near).alias("other"))
+    return met.select("grp", F.col("id").alias("a"), F.col("other.id").alias("b")).distinct()
+
+
+def marked_pieces(items: DataFrame, length: int = 15) -> DataFrame:
+    """(grp, id, print, piece) of items(grp, id, text): each substring of `length` characters lies in a piece whose print is a hash of what all copies of it hold too.
+
+    Either a blank is among its first MARK characters, then one of its pieces is that of the blank, with the print of what surely follows inside the substring; or
+    there is none, then it is a piece and its print is its own. Long texts are cut, with overlaps, as places are counted from the start."""
+    k = min(MARK, length)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("text") - length) / CUT).cast("int")), lambda c: F.substring(F.col("text"), c * CUT + 1, F.lit(CUT + length - 1)))
+    rows = items.where(F.char_length("text") >= length).select("grp", "id", F.explode(cuts).alias("cut"))
+    rows = rows.select("grp", "id", "cut", F.explode(F.sequence(F.lit(1), F.char_length("cut"))).alias("p"))
+    cut, p = F.col("cut"), F.col("p")
+    blank = F.substring(cut, p, F.lit(1)) == " "
+    own = ~blank & (F.instr(F.substring(cut, p, F.lit(k)), " ") == 0)
+    rows = rows.where(blank | own)
+    surely = F.xxhash64(F.substring(cut, p, F.when(blank, length + 1 - k).otherwise(length)))
+    piece = F.substring(cut, F.when(blank, F.greatest(p - k + 1, F.lit(1))).otherwise(p), F.when(blank, F.least(p, F.lit(k)) + length - 1).otherwise(length))
+    return rows.select("grp", "id", surely.alias("print"), piece.alias("piece")).where(F.char_length("piece") >= length)
+
+
+def shared_within(items: DataFrame, length: int = 15) -> DataFrame:
+    """`shared_substrings` of items that are dealt by grp: all is found inside the tasks, and nothing more is shuffled."""
+    several = lambda df, key: df.withColumns({"_a": F.min("id").over(Window.partitionBy(key, "grp")), "_b": F.max("id").over(Window.partitionBy(key, "grp"))}).where("_a <> _b").drop("_a", "_b")
+    near = several(marked_pieces(items, length), "print")
+    places = F.sequence(F.lit(1), F.char_length("piece") - length + 1)
+    keys = near.select("grp", "id", "piece", F.explode(places).alias("p")).select("grp", F.substring(F.col("piece"), F.col("p"), F.lit(length)).alias("key"), "id")
+    return several(keys, "key").distinct()
+
+
 def edge_keys(edges: DataFrame) -> DataFrame:
     """edges(grp, a, b) as keys that their two ends share."""
     key = F.concat_ws("\u0001", F.least(F.col("a").cast("string"), F.col("b").cast("string")), F.greatest(F.col("a").cast("string"), F.col("b").cast("string")))
