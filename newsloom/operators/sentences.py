@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..rules import news as rules
 from ..storage import mark, materialized, settled, small
-from .similarity import TASK, edge_keys, greedy_leaders_by_keys, link_counts, pairs_within, reached, shared_substrings, shared_within, similarity_edges
+from .similarity import TASK, edge_keys, greedy_leaders_by_keys, link_counts, pairs_within, reached, shared_substrings, similarity_edges
 
 Rules = rules.Rules
 BOILERPLATE = "|".join(f"(?:{p})" for p in rules.BOILERPLATE)
@@ -141,7 +141,7 @@ def distinct_within(rows: DataFrame, sizes: DataFrame, num: int, den: int, share
     sets = rows.join(ends, ["grp", "id"], "left_semi").select("grp", "id", F.lit(num).cast("long").alias("num"), tokens).withColumn("n", F.size("tokens").cast("long"))
     keys = edge_keys(reached(pairs, materialized(sets, "end-sets"), den).select("grp", "a", "b"))
     if shared:
-        keys = keys.union(shared_within(first.select("grp", "id", F.col("key").alias("text")), shared))
+        keys = keys.union(shared_substrings(first.select("grp", "id", F.col("key").alias("text")), shared))
     keys = materialized(keys, "near")
     nodes = rows.join(small(materialized(keys.select("grp", "id").distinct(), "near-ids")), ["grp", "id"], "left_semi").select("grp", "id", "ord")
     led = greedy_leaders_by_keys(materialized(nodes, "nodes"), keys)

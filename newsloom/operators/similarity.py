@@ -128,19 +128,6 @@ def winnowed(items: DataFrame, length: int = 15, gram: int = GRAM) -> DataFrame:
     return rows.select("grp", "id", "r.print", F.array_join(F.slice("c", F.col("r.s"), F.col("r.e") - F.col("r.s") + length), "").alias("piece"))
 
 
-def shared_substrings(items: DataFrame, length: int = 15) -> DataFrame:
-    """(grp, key, id): for items(grp, id, text) the substrings of that length that others of their group hold too; who shares a key is a neighbour.
-
-    Only pieces whose print several items of the group have are cut into their substrings."""
-    pieces = materialized(winnowed(items, length), "pieces")
-    often = pieces.select("grp", "print", "id").distinct().groupBy("grp", "print").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    near = pieces.join(often, ["grp", "print"], "left_semi")
-    places = F.sequence(F.lit(1), F.char_length("piece") - length + 1)
-    keys = near.select("grp", "id", F.explode(F.transform(places, lambda i: F.substring(F.col("piece"), i, F.lit(length)))).alias("key")).distinct()
-    held = keys.groupBy("grp", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return keys.join(held, ["grp", "key"], "left_semi").select("grp", "key", "id")
-
-
 #: Characters that a task takes of groups that it holds whole, longs in the sketches there, characters of a cut text, and the first ones of a substring of which a blank marks a place in it.
 TASK, FEW, CUT, MARK = 1_500_000, 2, 128, 6
 
@@ -179,13 +166,21 @@ def marked_pieces(items: DataFrame, length: int = 15) -> DataFrame:
     return rows.select("grp", "id", surely.alias("print"), piece.alias("piece")).where(F.char_length("piece") >= length)
 
 
-def shared_within(items: DataFrame, length: int = 15) -> DataFrame:
-    """`shared_substrings` of items that are dealt by grp: all is found inside the tasks, and nothing more is shuffled."""
-    several = lambda df, key: df.withColumns({"_a": F.min("id").over(Window.partitionBy(key, "grp")), "_b": F.max("id").over(Window.partitionBy(key, "grp"))}).where("_a <> _b").drop("_a", "_b")
+def shared_substrings(items: DataFrame, length: int = 15) -> DataFrame:
+    """(grp, key, id): for items(grp, id, text) the substrings of that length that others of their group hold too; who shares a key is a neighbour.
+
+    Only pieces whose print several items of the group have are cut into their substrings. Pieces and substrings are each shuffled once, to their prints and
+    keys, and by nothing more if items are dealt by grp: then all is found inside the tasks."""
     near = several(marked_pieces(items, length), "print")
     places = F.sequence(F.lit(1), F.char_length("piece") - length + 1)
     keys = near.select("grp", "id", "piece", F.explode(places).alias("p")).select("grp", F.substring(F.col("piece"), F.col("p"), F.lit(length)).alias("key"), "id")
-    return several(keys, "key").distinct()
+    return several(keys, "key").distinct().select("grp", "key", "id")
+
+
+def several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows(grp, id, ..) of a key that several items of a group have."""
+    same = Window.partitionBy(key, "grp")
+    return rows.withColumns({"_a": F.min("id").over(same), "_b": F.max("id").over(same)}).where("_a <> _b").drop("_a", "_b")
 
 
 def edge_keys(edges: DataFrame) -> DataFrame:

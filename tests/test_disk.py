@@ -86,3 +86,20 @@ def test_sentences_write_neither_words_nor_pieces_nor_keep_shuffles(spark, tmp_p
     assert storage.mark() == since + 2  # sizes of groups, and who is left out
     assert blocks() <= before + 30  # those of counts and first rows only
     assert 0 < out.count() < len(rows) and spark.conf.get(storage.CLEANUP, None) != "true"
+
+
+def test_shared_substrings_are_shuffled_once_and_not_written(spark, monkeypatch):
+    from newsloom import storage
+    from newsloom.operators import similarity
+
+    texts = [(i % 2, i, t) for i, (_, _, _, t) in enumerate(some_sentences(9, 1, 80))]
+    df = spark.createDataFrame(texts, "grp int, id int, text string")
+    monkeypatch.setattr(storage, "new_path", lambda *a: 1 / 0)  # nothing is written
+    found = similarity.shared_substrings(df)
+    held = {}
+    for g, i, t in texts:
+        for p in range(len(t) - 14):
+            held.setdefault((g, t[p : p + 15]), set()).add(i)
+    assert {(x.grp, x.key, x.id) for x in found.collect()} == {(g, k, i) for (g, k), ids in held.items() if len(ids) > 1 for i in ids}
+    texts_of = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
+    assert texts_of(found) == 3  # cuts, places and substrings, each made once
