@@ -103,3 +103,39 @@ def test_shared_substrings_are_shuffled_once_and_not_written(spark, monkeypatch)
     assert {(x.grp, x.key, x.id) for x in found.collect()} == {(g, k, i) for (g, k), ids in held.items() if len(ids) > 1 for i in ids}
     texts_of = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
     assert texts_of(found) == 3  # cuts, places and substrings, each made once
+
+
+def test_many_pairs_are_met_in_rounds(spark, monkeypatch):
+    """Each round's candidates are deleted before the next; edges, links and leaders are those of one round."""
+    from newsloom import storage
+    from newsloom.operators import similarity
+
+    r = random.Random(4)
+    sets = [["all", *(r.choice("abcdefghij") for _ in range(r.randint(0, 5)))] for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>").select(F.lit(0).alias("grp"), "id", F.col("id").alias("ord"), "tokens")
+    u = [set(s) for s in sets]
+    want = [(a, b, len(u[a] & u[b]), len(u[a] | u[b])) for a in range(40) for b in range(a + 1, 40) if len(u[a] & u[b]) * 4 >= len(u[a] | u[b])]
+    lead = {x.id: x.leader for x in similarity.leaders_by_tokens(df, 6, 10).collect()}
+    for name, value in (("ALL", 0), ("EACH", 1), ("CHUNK", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    since, names, write = storage.mark(), [], similarity.materialized
+    monkeypatch.setattr(similarity, "materialized", lambda d, name: names.append(name) or write(d, name))
+    got = similarity.similarity_edges(df, 1, 4)
+    left = storage._own.paths[since:]
+    assert names.count("met") > 2 and not any("/met-" in p for p in left) and sum("/reached-" in p for p in left) == names.count("met")
+    assert sorted((e.a, e.b, e.both, e.either) for e in got.collect()) == want
+    assert {x.id: x.leader for x in similarity.leaders_by_tokens(df, 6, 10).collect()} == lead
+
+
+def test_sets_of_texts_are_written_once_and_not_shuffled(spark, monkeypatch):
+    from newsloom.operators import dedup
+
+    names, write = [], dedup.materialized
+    monkeypatch.setattr(dedup, "materialized", lambda d, name: names.append(name) or write(d, name))
+    rows = [(i, i, f"title {i % 3}", " ".join(f"w{(i % 20) * 3 + k}" for k in range(30))) for i in range(60)]
+    classes, members = dedup.text_classes(spark.createDataFrame(rows, "id long, ord long, title string, body string"))
+    assert names == ["token-sets", "text-members"]
+    plan = classes._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    want = {i: i % 20 for i in range(60)}  # single digits are no tokens
+    assert {x.id: x.first for x in members.collect()} == want and {x.id for x in classes.collect()} == set(want.values())
