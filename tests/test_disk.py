@@ -139,3 +139,25 @@ def test_sets_of_texts_are_written_once_and_not_shuffled(spark, monkeypatch):
     assert "hashpartitioning" not in plan
     want = {i: i % 20 for i in range(60)}  # single digits are no tokens
     assert {x.id: x.first for x in members.collect()} == want and {x.id for x in classes.collect()} == set(want.values())
+
+
+def test_groups_move_neither_bodies_nor_copies_of_the_leader(spark, tmp_path, monkeypatch):
+    """Members come to the tokens of their leader, which are not copied to them, and bodies are not shuffled."""
+    from newsloom.operators import dedup
+
+    long = [f"b{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    rows = [(i, i, "one title of all", " ".join(long if i == 0 else [f"m{chr(97 + i)}{chr(97 + k)}" for k in range(3)])) for i in range(20)]
+    spark.createDataFrame(rows, "id long, ord long, title string, body string").write.parquet(f"{tmp_path}/news")
+    news = spark.read.parquet(f"{tmp_path}/news")
+    nodes = []
+    monkeypatch.setattr(dedup, "greedy_leaders_by_keys", lambda n, keys, whole=dedup.greedy_leaders_by_keys: nodes.append(n) or whole(n, keys))
+    got = dedup.similar_groups(news)
+    assert {(x.leader, x.id) for x in got.collect()} == {(0, i) for i in range(1, 20)}
+    plan = nodes[0]._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftSemi") :]
+    assert "length(body" in join  # lengths are taken before the join
+    ids = spark.createDataFrame([(0, i) for i in range(1, 20)], "a long, b long")
+    classes, _ = dedup.text_classes(news)
+    plan = dedup.scored(ids, classes, 0.6)._jdf.queryExecution().optimizedPlan().toString()
+    outer, inner = plan.index("Join Inner"), plan.index("Join Inner", plan.index("Join Inner") + 5)
+    assert "(a#" in plan[outer : plan.index("\n", outer)] and "(b#" in plan[inner : plan.index("\n", inner)]
