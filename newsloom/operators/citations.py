@@ -17,17 +17,18 @@ def quotes(text: Column) -> Column:
 def quote_matches(generated: DataFrame, sources: DataFrame, topic: str, least: float = 0.7) -> DataFrame:
     """(topic, quote, id): quotes of generated(topic, quotes) that equal a quote of sources(topic, id, quotes) or hold that share of its words; case does not count.
 
-    The topic is the key of the join, so each quote and sentence is written once, with a sketch of its words: a bit that only the sentence
-    has is a word that the quote lacks. Only what passes numbers of words and sketches is intersected, inside the join."""
-    low = lambda c: F.trim(F.lower(F.col(c)))
-    bits = lambda c, name: F.struct(*(b.alias(f"s{k}") for k, b in enumerate(x.sketch(F.col(c), 2)))).alias(name)
-    made = generated.select(topic, F.explode(F.array_distinct("quotes")).alias("quote")).withColumn("said", low("quote")).withColumn("words", F.array_distinct(x.words(F.col("said"))))
-    said = sources.select(topic, "id", F.explode(F.array_distinct("quotes")).alias("said")).withColumn("said", low("said")).withColumn("has", F.array_distinct(x.words(F.col("said"))))
-    a, b = made.select("*", bits("words", "of")).alias("a"), said.select("*", bits("has", "of")).distinct().alias("b")
-    n, lacks = F.size("b.has"), F.lit(0)
+    The topic is the key of the join, so each quote and sentence is written once, with the number and a sketch of its words: a bit that only the sentence
+    has is a word that the quote lacks. Only what passes numbers and sketches is cut in words again and intersected, inside the join."""
+    low = lambda c: F.trim(F.lower(c))
+    words = lambda c: F.array_distinct(x.words(c))
+    bits = lambda c: F.struct(F.size(c).alias("n"), *(b.alias(f"s{k}") for k, b in enumerate(x.sketch(c, 2))))
+    made = generated.select(topic, F.explode(F.array_distinct("quotes")).alias("quote")).withColumn("said", low(F.col("quote")))
+    said = sources.select(topic, "id", F.explode(F.array_distinct(F.transform("quotes", low))).alias("said"))
+    a, b = (df.withColumn("of", x.let(words(F.col("said")), bits)).alias(name) for df, name in ((made, "a"), (said, "b")))
+    n, lacks = F.col("b.of.n"), F.lit(0)
     for k in range(2):
         lacks = lacks + F.bit_count(F.col(f"b.of.s{k}").bitwiseAND(F.bitwise_not(F.col(f"a.of.s{k}"))))
-    holds = (n > 0) & (F.least(F.size("a.words"), n - lacks) / n >= least) & (F.size(F.array_intersect("a.words", "b.has")) / n >= least)
+    holds = (n > 0) & (F.least(F.col("a.of.n"), n - lacks) / n >= least) & (F.size(F.array_intersect(words(F.col("a.said")), words(F.col("b.said")))) / n >= least)
     return a.join(b, (F.col(f"a.{topic}") == F.col(f"b.{topic}")) & ((F.col("a.said") == F.col("b.said")) | holds)).select(f"a.{topic}", "a.quote", "b.id").distinct()
 
 

@@ -10,7 +10,7 @@ from ..operators import assembly, citations, facts, images, qa, querylog, rankin
 from ..operators import formats as chosen
 from ..rules import formats as rules
 from ..rules.news import LATIN
-from ..storage import materialized
+from ..storage import ID_BYTES, mark, materialized, settled, small
 from .registry import SQL, query
 from .stage1 import _LATIN
 from .stage3 import _FEATURES, _PRIMARY, _STRUCT, KEYS, _top, q, scored_topics
@@ -24,8 +24,9 @@ top_ as (select * from (select *, row_number() over (partition by topic_id order
 
 
 def ordered_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics with their sentences in order, written once."""
-    return materialized(assembly.ordered(_top(spark, sf_dir), "topic_id"), "topics")
+    """Topics with their sentences in order, written once; what they were made of is deleted then."""
+    since = mark()
+    return settled(assembly.ordered(_top(spark, sf_dir), "topic_id"), "topics", since)
 
 
 def md5s(df: DataFrame, *names: str) -> list:
@@ -247,16 +248,17 @@ def m16_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics with the text of every format, their best format by the assembled length, and the primary article's title and body."""
+    since = mark()
     t = ordered_topics(spark, sf_dir)
     t = assembly.social_post(assembly.newsletter(assembly.feature(assembly.analysis(assembly.cards(assembly.brief(assembly.straight(t)))))))
     n = articles(spark, sf_dir).withColumn("topic_id", F.floor(F.col("id") / 5).cast("long"))
     named = n.groupBy("topic_id", "source_name").agg(F.min("ord").alias("ord")).groupBy("topic_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_name"))), lambda s: s.source_name), ", ").alias("sources"))
-    primary = n.select(F.col("id").alias("primary_id"), "title", F.col("body").alias("primary_body"))
-    t = materialized(t.join(primary, "primary_id").join(named, "topic_id", "left").withColumn("sources", F.coalesce("sources", F.lit(""))), "assembled")
+    primary = n.select(F.col("id").alias("primary_id"), "title", F.col("body").alias("primary_body")).join(small(t.select("primary_id"), ID_BYTES), "primary_id", "left_semi")
+    t = settled(t.join(primary, "primary_id").join(named, "topic_id", "left").withColumn("sources", F.coalesce("sources", F.lit(""))), "assembled", since)
     # the format is chosen again by the length of what was assembled, as one long sentence without keywords
     length = F.length("body") + F.length("lead")
     seen = t.select(F.col("topic_id").alias("id"), "title", F.repeat(F.lit("x"), length).alias("body"))
-    best = chosen.recommend(chosen.features(seen), 1).select(F.col("id").alias("topic_id"), "format")
+    best = small(materialized(chosen.recommend(chosen.features(seen), 1).select(F.col("id").alias("topic_id"), "format"), "formats"), ID_BYTES)
     texts = templates.texts_of(t)
     t = t.join(best, "topic_id", "left").withColumns({f"text_{k}": c for k, c in texts.items()})
     text = F.col("text_straight")
@@ -268,7 +270,8 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m15_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The generated text of each topic: format chosen by length, rendered, split into title and body, with its parts and citations."""
-    t = materialized(generated(spark, sf_dir), "generated")
+    since = mark()
+    t = settled(generated(spark, sf_dir).select("topic_id", "format", "title", "text", "text_card_news"), "generated", since)
     parts = x.split_title_body(F.col("text"), F.col("title"))
     made = t.select("topic_id", x.sentences(F.col("text")).alias("quotes"))
     n = articles(spark, sf_dir).withColumn("topic_id", F.floor(F.col("id") / 5).cast("long")).withColumn("quotes", x.sentences(F.col("body")))

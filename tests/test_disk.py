@@ -161,3 +161,34 @@ def test_groups_move_neither_bodies_nor_copies_of_the_leader(spark, tmp_path, mo
     plan = dedup.scored(ids, classes, 0.6)._jdf.queryExecution().optimizedPlan().toString()
     outer, inner = plan.index("Join Inner"), plan.index("Join Inner", plan.index("Join Inner") + 5)
     assert "(a#" in plan[outer : plan.index("\n", outer)] and "(b#" in plan[inner : plan.index("\n", inner)]
+
+
+def shuffled(spark):
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_quotes_are_shuffled_without_their_words(spark):
+    from newsloom.operators import citations
+
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n))
+    said = [(t, i, [text(30) for _ in range(40)]) for t in range(5) for i in range(4)]
+    made = [(t, [q[0].upper(), q[1].rsplit(" ", 9)[0]]) for t, i, q in said if i == 0]
+    chars = sum(len(s) for _, _, q in said for s in q)
+    a, b = spark.createDataFrame(made, "topic int, quotes array<string>"), spark.createDataFrame(said, "topic int, id int, quotes array<string>")
+    before = shuffled(spark)
+    got = {tuple(x) for x in citations.quote_matches(a, b, "topic").collect()}
+    assert got == {(t, q, 0) for t, qs in made for q in qs}
+    assert shuffled(spark) - before < 1.3 * chars
+
+
+def test_generated_texts_leave_one_table(spark):
+    from newsloom import storage
+    from newsloom.plans import stage5
+
+    since = storage.mark()
+    out = stage5.m15_generated(spark, "/root/testdata/sf0.001")
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._own.paths[since:]] == ["generated"]
+    assert out.count() == 40
