@@ -192,3 +192,25 @@ def test_generated_texts_leave_one_table(spark):
     out = stage5.m15_generated(spark, "/root/testdata/sf0.001")
     assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._own.paths[since:]] == ["generated"]
     assert out.count() == 40
+
+
+def test_rounds_of_leaders_stop_when_they_take_little(spark, monkeypatch):
+    """A ring of titles of which one can lead at a time, and a common word: a round decides next to nothing, so the rest is compared at once."""
+    from newsloom.operators import dedup, similarity
+
+    n = 60
+    title = lambda i: " ".join(f"c{chr(97 + (i + k) % n // 26)}{chr(97 + (i + k) % n % 26)}" for k in range(9)) + " the of and"
+    news = spark.createDataFrame([(i, i, title(i), "") for i in range(n)], "id long, ord long, title string, body string")
+    calls, whole = [], similarity.gathered
+    monkeypatch.setattr(similarity, "gathered", lambda *a: calls.append(1) or whole(*a))
+    monkeypatch.setattr(similarity, "PAIRS", 0)
+    got = dedup.web_groups(news, F.length("body") * 0.0, 6, 10)
+    sets = [set(title(i).split()) for i in range(n)]
+    heads, want = [], {}
+    for i in range(n):
+        near = [h for h in heads if len(sets[h] & sets[i]) * 10 >= len(sets[h] | sets[i]) * 6]
+        want[i] = near[0] if near else i
+        heads += [] if near else [i]
+    assert {x.id: x.leader for x in got.collect()} == want and len(heads) > 5
+    assert len(calls) < 8
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()  # texts are read once
